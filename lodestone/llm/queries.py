@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from . import decontaminate
+from .decontaminate import op9_decontaminate
 from .ngram_jaccard import op2_ngram_jaccard
+from .token_counts import op7_token_counts
+from .token_output import op5_token_output
 
 QUERIES = {
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op5_token_output": op5_token_output,
+    "op7_token_counts": op7_token_counts,
+    "op9_decontaminate": op9_decontaminate,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_decontaminate": decontaminate.ORACLE,
+}
