@@ -2,7 +2,7 @@
 
 Each slice of documents is a shard. Its suffix array holds the word suffixes
 that begin with a word pair of the test items (no other suffix can match a
-window of them), sorted by prefix doubling of word hashes. Every test suffix is
+window of them), sorted by the hashes of their first words. Every test suffix is
 searched by bisection, all of them at once; the run of suffixes that share its
 first window of words gives the places of the window, and the neighbours in the
 array give the longest verbatim match.
@@ -79,14 +79,7 @@ class SuffixArray:
     def __init__(self, w: Words, at: np.ndarray, depth: int):
         self.hash, self.stop = w.hash, w.first[w.row + 1] if len(w.hash) else w.first[:0]
         n = len(at)
-        # Ranks of the words that matter, 0 beyond the end of a row.
-        order = np.arange(n)
-        if n:
-            keys = []
-            for i in range(depth):
-                keys.append(self._word(at, i))
-            order = np.lexsort(keys[::-1])
-        self.at = at[order]
+        self.at = at[np.lexsort([self._word(at, i) for i in reversed(range(depth))])] if n else at
 
     def _word(self, at: np.ndarray, i: int) -> np.ndarray:
         """Hash of the word i places on, 0 beyond the row's end."""
@@ -169,7 +162,7 @@ def _scan(q: TestItems, window: int):
                         seen.add((r, i))
                         items[r].append(q.ids[i])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(s.first, s.n), batch.column(1).slice(s.first, s.n) if False else pa.array(np.diff(w.first)), pa.array(n_hit), pa.array([sorted(set(map(str, x))) for x in items], pa.list_(pa.string())), pa.array(spans, pa.list_(_SPAN))],
+                    [batch.column(0).slice(s.first, s.n), pa.array(np.diff(w.first)), pa.array(n_hit), pa.array([sorted(set(map(str, x))) for x in items], pa.list_(pa.string())), pa.array(spans, pa.list_(_SPAN))],
                     ["id", "n_words", "n_hit", "items", "spans"],
                 )
 
@@ -213,7 +206,6 @@ def _merged(passes: list[DataFrame]) -> DataFrame:
     both = passes[0]
     for p in passes[1:]:
         both = both.unionByName(p)
-    both = both.withColumn("copy", F.monotonically_increasing_id() * 0)
     merged = both.groupBy("id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
     start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
 
