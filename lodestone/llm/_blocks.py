@@ -76,16 +76,17 @@ def questions(block_id: int, sorted_hashes: np.ndarray, bits: int, body: Callabl
 QUESTION = "part int, block_id long, body binary"
 
 
-def answered(asked: DataFrame, answer: Callable[[list[int], list[bytes]], list[bytes]], bits: int, name: str, extra: str = "", more: Callable | None = None) -> DataFrame:
-    """Answer each range from all its blobs: rows (part, block_id, body)."""
+def answered(asked: DataFrame, answer: Callable[[list[int], list[bytes]], tuple[list[bytes], list[float]]], bits: int, name: str) -> DataFrame:
+    """Answer each range from all its blobs: rows (part, block_id, body, stats); stats, of the whole range, are in one row of it."""
 
     def run(batches):
         part, ids, bodies = None, [], []
 
         def give():
-            out = answer(ids, bodies)
-            # small batches, so that an answer never needs much more memory than its question
-            return pa.RecordBatch.from_arrays([pa.array([part] * len(ids), pa.int32()), pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["part", "block_id", "body"])
+            out, stats = answer(ids, bodies)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([part] * len(ids), pa.int32()), pa.array(ids, pa.int64()), pa.array(out, pa.binary()), pa.array([stats] + [None] * (len(ids) - 1), pa.list_(pa.float64()))], ["part", "block_id", "body", "stats"]
+            )
 
         for batch in batches:
             for p, i, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
@@ -100,7 +101,7 @@ def answered(asked: DataFrame, answer: Callable[[list[int], list[bytes]], list[b
 
     n = max(1 << bits, 1)
     spread = asked.repartition(min(n, max(n // 4, int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")))), "part").sortWithinPartitions("part")
-    return store(spread.mapInArrow(run, QUESTION), name)
+    return store(spread.mapInArrow(run, QUESTION + ", stats array<double>"), name)
 
 
 def with_answers(blocks: DataFrame, **answers: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import decontaminate
 from .decontaminate import op9_decontaminate
+from .lm_scoring import op8_lm_scoring
 from .ngram_jaccard import op2_ngram_jaccard
 from .substring_dedup import op10_substring_dedup
 from .token_counts import op7_token_counts
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op5_token_output": op5_token_output,
     "op7_token_counts": op7_token_counts,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_decontaminate": op9_decontaminate,
     "op10_substring_dedup": op10_substring_dedup,
 }

@@ -104,7 +104,7 @@ def _packed(body: bytes, width: int) -> tuple[np.ndarray, bytes]:
     return np.unpackbits(np.frombuffer(body, np.uint8, cut), count=n).astype(bool), body[cut:]
 
 
-def _answer_anchors(ids: list[int], blobs: list[bytes]) -> list[bytes]:
+def _answer_anchors(ids: list[int], blobs: list[bytes]) -> tuple[list[bytes], list[float]]:
     flags, hashes = zip(*(_packed(b, 8) for b in blobs))
     h = np.concatenate([np.frombuffer(x, np.uint64) for x in hashes])
     twice = np.concatenate(flags)
@@ -116,7 +116,7 @@ def _answer_anchors(ids: list[int], blobs: list[bytes]) -> list[bytes]:
     repeated = np.empty(len(h), dtype=bool)
     repeated[order] = often[group]
     ends = np.cumsum([len(f) for f in flags])[:-1]
-    return [np.packbits(x).tobytes() + len(x).to_bytes(8, "little") for x in np.split(repeated, ends)]
+    return [np.packbits(x).tobytes() + len(x).to_bytes(8, "little") for x in np.split(repeated, ends)], []
 
 
 def _flags(found: list[bytes]) -> np.ndarray:
@@ -152,7 +152,7 @@ def _ask_windows(window: int, anchor: int, bits: int):
     return run
 
 
-def _answer_windows(ids: list[int], blobs: list[bytes]) -> list[bytes]:
+def _answer_windows(ids: list[int], blobs: list[bytes]) -> tuple[list[bytes], list[float]]:
     """Whether a document before the block's own first one has the window."""
     hashes, docs, sizes = [], [], []
     for b in blobs:
@@ -167,7 +167,7 @@ def _answer_windows(ids: list[int], blobs: list[bytes]) -> list[bytes]:
     s = h[order]
     later = np.empty(len(h), dtype=bool)
     later[order] = np.concatenate([[False], s[1:] == s[:-1]]) if len(s) else False
-    return [np.packbits(x).tobytes() + len(x).to_bytes(8, "little") for x in np.split(later, np.cumsum(sizes)[:-1])]
+    return [np.packbits(x).tobytes() + len(x).to_bytes(8, "little") for x in np.split(later, np.cumsum(sizes)[:-1])], []
 
 
 _OUT = "id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<first: long, size: long>>"
