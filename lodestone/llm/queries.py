@@ -6,6 +6,7 @@ from . import decontaminate
 from .decontaminate import op9_decontaminate
 from .lm_scoring import op8_lm_scoring
 from .ngram_jaccard import op2_ngram_jaccard
+from .quality_crf import op6_quality_crf
 from .substring_dedup import op10_substring_dedup
 from .token_counts import op7_token_counts
 from .token_output import op5_token_output
@@ -13,6 +14,7 @@ from .token_output import op5_token_output
 QUERIES = {
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op5_token_output": op5_token_output,
+    "op6_quality_crf": op6_quality_crf,
     "op7_token_counts": op7_token_counts,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_decontaminate": op9_decontaminate,
