@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, mixing
 from .decontaminate import op9_decontaminate
 from .lm_scoring import op8_lm_scoring
+from .mixing import op1_mixing
 from .ngram_jaccard import op2_ngram_jaccard
 from .quality_crf import op6_quality_crf
 from .substring_dedup import op10_substring_dedup
@@ -12,6 +13,7 @@ from .token_counts import op7_token_counts
 from .token_output import op5_token_output
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op5_token_output": op5_token_output,
     "op6_quality_crf": op6_quality_crf,
@@ -22,5 +24,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_mixing": mixing.oracle(),
     "op9_decontaminate": decontaminate.ORACLE,
 }
