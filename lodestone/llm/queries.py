@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import decontaminate, mixing
 from .decontaminate import op9_decontaminate
+from .embedding_dedup import op3_embedding_dedup
 from .lm_scoring import op8_lm_scoring
 from .mixing import op1_mixing
 from .ngram_jaccard import op2_ngram_jaccard
@@ -15,6 +16,7 @@ from .token_output import op5_token_output
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op5_token_output": op5_token_output,
     "op6_quality_crf": op6_quality_crf,
     "op7_token_counts": op7_token_counts,
