@@ -221,10 +221,25 @@ def digest(scanned: DataFrame) -> DataFrame:
     return scanned.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(listed, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """Documents in which no window of any item occurs; a row with a null id is kept or not by its own text."""
-    hit = scan(docs, benchmark, id_col=id_col, **options).where("n_hit > 0").select(F.col("id").alias(id_col)).distinct()
-    return docs.join(hit, docs[id_col].eqNullSafe(hit[id_col]), "left_anti")
+def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """Documents in which no window of any item occurs, with all their columns; each row is judged where it lies, so nothing is shuffled."""
+    tests = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).alias("text")).where("item_id is not null and length(text) > 0")
+    at = docs.columns.index(text_col)
+
+    def keep(q: TestItems):
+        def run(batches):
+            for batch in batches:
+                hit = np.zeros(batch.num_rows, dtype=bool)
+                for s in slices(batch.column(at)):
+                    w, _, place, _ = matches(s, q, window)
+                    hit[s.first + w.row[place]] = True
+                yield batch.filter(pa.array(~hit))
+
+        return run
+
+    for q in _blocks(tests, window):
+        docs = docs.mapInArrow(keep(q), docs.schema)
+    return docs
 
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:

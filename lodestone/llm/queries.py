@@ -9,6 +9,7 @@ from .lm_scoring import op8_lm_scoring
 from .mixing import op1_mixing
 from .ngram_jaccard import op2_ngram_jaccard
 from .quality_crf import op6_quality_crf
+from .secret_scan import op4_secret_scan
 from .substring_dedup import op10_substring_dedup
 from .token_counts import op7_token_counts
 from .token_output import op5_token_output
@@ -17,6 +18,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_embedding_dedup": op3_embedding_dedup,
+    "op4_secret_scan": op4_secret_scan,
     "op5_token_output": op5_token_output,
     "op6_quality_crf": op6_quality_crf,
     "op7_token_counts": op7_token_counts,
