@@ -96,7 +96,7 @@ def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
 
 def _leaf_columns(docs: DataFrame, domain: Column | None) -> dict[str, Column]:
     domain = domain_of(F.col("source")) if domain is None else domain
-    return {"mix_domain": F.coalesce(domain, F.lit("unknown")), "mix_lang": F.coalesce("lang", F.lit("unknown")), "mix_source": F.coalesce("source", F.lit("unknown"))}
+    return {"__mix_domain": F.coalesce(domain, F.lit("unknown")), "__mix_lang": F.coalesce("lang", F.lit("unknown")), "__mix_source": F.coalesce("source", F.lit("unknown"))}
 
 
 def _hash(mix: Mix, epoch: Column) -> Column:
@@ -139,9 +139,9 @@ def mixture(docs: DataFrame, mix: Mix = PRODUCTION, domain: Column | None = None
 def take_documents(docs: DataFrame, mix: Mix, domain: Column | None = None) -> DataFrame:
     """The documents that the mixture takes at least once, whole and with all their columns."""
     leaf = _leaf_columns(docs, domain)
-    leaves = plan(count_tokens(docs, domain), mix).select(*(F.col(n).alias(k) for n, k in zip(LEVELS, leaf)), "epochs", F.col("cut").alias("mix_cut"))
-    out = docs.withColumns(leaf).join(leaves.withColumnRenamed("epochs", "mix_epochs"), list(leaf))
-    took = (F.col("mix_epochs") > 0) | F.coalesce(_hash(mix, F.col("mix_epochs")) <= F.col("mix_cut"), F.lit(False))
+    leaves = plan(count_tokens(docs, domain), mix).select(*(F.col(n).alias(k) for n, k in zip(LEVELS, leaf)), "epochs", F.col("cut").alias("__mix_cut"))
+    out = docs.withColumns(leaf).join(leaves.withColumnRenamed("epochs", "__mix_epochs"), list(leaf))
+    took = (F.col("__mix_epochs") > 0) | F.coalesce(_hash(mix, F.col("__mix_epochs")) <= F.col("__mix_cut"), F.lit(False))
     return out.where(took).select(*docs.columns)
 
 
