@@ -162,3 +162,12 @@ def test_verdict_of_no_findings(spark):
     none = spark.createDataFrame([], "severity string, gone boolean")
     r = findings.verdict(none, "severity", F.col("gone")).first()
     assert (r.blocking, r.total, r.incomplete, r.passed, r.exit_code) == (0, 0, False, True, 0)
+
+
+def test_incremental_scan(spark, tmp_path):
+    from lodestone.streaming.incremental import scan_new
+
+    spark.createDataFrame([("a", "// @ts-ignore")], "path string, text string").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("path string, text string").parquet(str(tmp_path / "in"))
+    scan_new(stream, rules.suppressions, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
+    assert [(r.path, r.token) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("a", "@ts-ignore")]
