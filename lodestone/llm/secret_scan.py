@@ -35,9 +35,15 @@ FORMATS = (
     ("json-web-token", r"\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+"),
     ("private-key", r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"),
 )
-_AFTER = rf"(?<=(?i:{_KEYWORD})[\"']?[ ]{{0,3}}[=:][ ]{{0,3}}[\"']?)[^\s\"',;]{{6,256}}"
-_LONG = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,256}={0,2}"
-CANDIDATE = "|".join([*(f for _, f in FORMATS), _AFTER, _LONG])
+# The short looks behind come first, because they fail nearly everywhere and cost little.
+_AFTER = rf"(?<=[=:\"' ])(?<=[=:][ ]{{0,3}}[\"']?)(?<=(?i:{_KEYWORD})[\"']?[ ]{{0,3}}[=:][ ]{{0,3}}[\"']?)[^\s\"',;]{{6,256}}"
+#: Every text with a candidate matches one of these; the others, nearly all, aren't looked at closely.
+_HAS_LONG = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16}"
+_HAS_KEYWORD = rf"(?i){_KEYWORD}[\"']?[ ]{{0,3}}[=:]"
+# Keys that name their issuer are runs of key characters too, but for these three.
+_OTHER = "|".join(p.removeprefix(r"\b") for n, p in FORMATS if n in ("slack-token", "json-web-token", "private-key"))
+CANDIDATE = rf"{_AFTER}|(?<![A-Za-z0-9+/_-])(?:{_OTHER}|[A-Za-z0-9+/_-]{{16,256}}={{0,2}})"
+
 
 #: Words of plain text, of source and of placeholders.
 DICTIONARY = (
@@ -56,12 +62,14 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     without a second search.
     """
     rows = docs.select(F.col(id_col).alias("id"), (F.lit("") if path is None else F.coalesce(path, F.lit(""))).alias("path"), F.col(text_col).alias("text"))
-    rows = rows.withColumn("found", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).where(F.size("found") > 0)
-    rows = rows.withColumn("gaps", F.split("text", CANDIDATE, -1)).select(F.posexplode(F.arrays_zip("found", "gaps", F.slice("gaps", 2, F.size("found")).alias("next"))).alias("n", "x"), "id", "path", "found", "gaps")
-    lengths = lambda c: F.aggregate(F.slice(c, 1, F.col("n")), F.lit(0).cast("long"), lambda a, s: a + F.length(s))
-    rows = rows.where(F.col("n") < F.size("found"))
-    start = lengths("found") + lengths("gaps") + F.length("x.gaps")
-    return rows.select("id", "path", start.alias("start"), F.col("x.found").alias("token"), F.right("x.gaps", F.lit(48)).alias("before"), F.left("x.next", F.lit(32)).alias("after"))
+    shaped = F.col("text").rlike(_HAS_LONG) | F.contains("text", F.lit("-----BEGIN")) | F.col("text").rlike(r"\b(eyJ|xox)")
+    assigned = (F.contains("text", F.lit("=")) | F.contains("text", F.lit(":"))) & F.col("text").rlike(_HAS_KEYWORD)
+    rows = rows.where(shaped | assigned).select("id", "path", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("found"), F.split("text", CANDIDATE, -1).alias("gaps"))
+    rows = rows.select("id", "path", "found", "gaps", F.transform("found", F.length).alias("f"), F.transform("gaps", F.length).alias("g"))
+    total = lambda c, n: F.aggregate(F.slice(c, F.lit(1), n), F.lit(0).cast("long"), lambda a, s: a + s)
+    # Only pieces next to a match leave the row, never its text again.
+    each = F.transform("found", lambda t, i: F.struct((total("f", i) + total("g", i + 1)).alias("start"), t.alias("token"), F.right(F.get("gaps", i), F.lit(48)).alias("before"), F.left(F.get("gaps", i + 1), F.lit(32)).alias("after")))
+    return rows.select("id", "path", F.explode(each).alias("x")).select("id", "path", "x.*")
 
 
 def kind_of(token: Column) -> Column:
