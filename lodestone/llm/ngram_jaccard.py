@@ -7,10 +7,16 @@
    ties its sets to the least of them first.
 3. Sizes and the Hamming distance of the bit sketches, which is at most the
    symmetric difference, reject most pairs; the rest are verified on the sets.
+   Texts move once: sets are stored of those documents only that a pair or a
+   large key names, and meet in the group that a pair's documents share.
 4. Sets of the large keys that still lie in different components are compared
-   block by block on their sketches; what passes is verified as well. So no
-   link between different components is lost, and large groups of near copies
-   don't make their pairs.
+   block by block on their sketches: first each set with its nearest one of
+   another component only, which joins large groups of near copies without
+   making their pairs, and at last with every one. What passes is verified as
+   well, so no link between different components is lost.
+
+Joins of tables that grow with the documents ask for a shuffle, as no size
+bound holds for either side.
 
 Null and empty texts have no shingles and link with nothing. Repeated rows are
 kept as rows; ids are expected to be unique and rows that repeat an id count
@@ -31,6 +37,9 @@ from ._text import mix64, shingle_sets, slices
 
 SMALL_GROUP = 32
 BLOCK = 2048
+NEAREST_ROUNDS = 1
+#: Shingles of all documents that are verified together in one task.
+TOGETHER = 1 << 21
 
 
 def _binary(values: np.ndarray, counts: np.ndarray) -> pa.Array:
@@ -147,15 +156,13 @@ def _meet(batches):
         yield give(key, sid)
 
 
-def _close(n_a: np.ndarray, s_a: np.ndarray, n_b: np.ndarray, s_b: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Whether sizes and sketches allow a link."""
-    limit = (den - num) * (n_a + n_b) // (den + num)
-    far = np.bitwise_count(s_a ^ s_b).sum(axis=-1, dtype=np.int64)
-    return (np.minimum(n_a, n_b) * den >= np.maximum(n_a, n_b) * num) & (far <= limit)
+def _allowed(n_a: np.ndarray, n_b: np.ndarray, far: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether sizes and the distance of sketches allow a link."""
+    return (np.minimum(n_a, n_b) * den >= np.maximum(n_a, n_b) * num) & (far <= (den - num) * (n_a + n_b) // (den + num))
 
 
-def _blocks(num: int, den: int):
-    """Rows of one (hot, i, j) sorted: sets of blocks i and j that may link and lie in different components."""
+def _blocks(num: int, den: int, nearest: bool):
+    """Rows of one (hot, i, j) sorted: sets of blocks i and j that may link and lie in different components; nearest: one for each set."""
 
     def compare(rows):
         sid, comp, n, side, sk = rows
@@ -165,8 +172,13 @@ def _blocks(num: int, den: int):
         for at in range(0, len(first), 256):
             i = first[at : at + 256]
             j = first if same else second
-            ok = (comp[i][:, None] != comp[j][None, :]) & _close(n[i][:, None], sk[i][:, None, :], n[j][None, :], sk[j][None, :, :], num, den)
-            x, y = np.nonzero(ok)
+            far = np.bitwise_count(sk[i][:, None, :] ^ sk[j][None, :, :]).sum(axis=-1, dtype=np.int64)
+            ok = (comp[i][:, None] != comp[j][None, :]) & _allowed(n[i][:, None], n[j][None, :], far, num, den)
+            if nearest:
+                some = np.flatnonzero(ok.any(1))
+                x, y = some, np.where(ok[some], far[some], 1 << 40).argmin(1)
+            else:
+                x, y = np.nonzero(ok)
             out.append((sid[i[x]], sid[j[y]]))
         a, b = np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
         keep = a < b if same else a != b
@@ -206,7 +218,32 @@ def _sets(k: int):
         for batch in batches:
             for s in slices(batch.column(1)):
                 h, _, counts = shingle_sets(s, k)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, s.n), _binary(h, counts)], ["sid", "items"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, s.n), pa.array(counts.astype(np.int64)), _binary(h, counts)], ["doc_id", "n", "items"])
+
+    return run
+
+
+def _similar(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both * den >= num * (len(x) + len(y) - both)
+
+
+def _verify_groups(num: int, den: int):
+    """Rows (g, a, b, items) sorted by g with sets (b null) before pairs: the pairs that link."""
+
+    def run(batches):
+        group, sets = None, {}
+        for batch in batches:
+            out: tuple[list, list] = ([], [])
+            for g, a, b, items in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3)):
+                if g != group:
+                    group, sets = g, {}
+                if b is None:
+                    sets[a] = np.frombuffer(items.as_buffer(), np.uint64)
+                elif _similar(sets[a], sets[b], num, den):
+                    out[0].append(a)
+                    out[1].append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["a", "b"])
 
     return run
 
@@ -215,11 +252,7 @@ def _verify(num: int, den: int):
     def run(batches):
         for batch in batches:
             a, b, xs, ys = batch.columns
-            keep = []
-            for x, y in zip(xs, ys):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both * den >= num * (len(x) + len(y) - both))
+            keep = [_similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), num, den) for x, y in zip(xs, ys)]
             yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -238,14 +271,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     met = store(keys.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(_meet, "a long, b long, hot long, n long"), "met")
     sets = store(real.groupBy("sid", "sid2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "sets")
 
-    def linked(pairs: DataFrame, name: str) -> DataFrame:
-        return store(_check(pairs, pairs_in, sets, k, num, den), name)
-
-    found = linked(_near(met.where("hot is null").select("a", "b").distinct(), sets, num, den), "links")
-    hot = met.where("hot is not null").select("hot", F.col("b").alias("sid"), "n")
+    near = store(_near(met.where("hot is null").select("a", "b").distinct(), sets, num, den).distinct(), "candidates")
+    by_sid = sets.select("sid", "rep", F.col("n_shingles").alias("size"), "sketch")
+    hot = store(met.where("hot is not null").select("hot", F.col("b").alias("sid"), "n").join(by_sid.hint("merge"), "sid").drop("sid"), "hot")
+    wanted = near.select(F.explode(F.array("a", "b")).alias("doc_id")).union(hot.select("rep")).distinct()
+    texts = pairs_in.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    items = store(texts.mapInArrow(_sets(k), "doc_id long, n long, items binary"), "items")
+    found = store(_check(near, items, num, den), "links")
     if not hot.isEmpty():
-        labels = components(found)
-        found = found.union(linked(_rest(hot, sets, labels, num, den), "links"))
+        for last in [False] * NEAREST_ROUNDS + [True]:
+            pairs = store(_rest(hot, components(found), num, den, nearest=not last), "candidates")
+            # No set has a nearest one in another component: no set has any.
+            if pairs.isEmpty():
+                break
+            found = found.union(store(_check(pairs, items, num, den, few=True), "links"))
     merged = components(found)
     reps = sets.groupBy("sid", "sid2", "n_shingles").agg(F.min("rep").alias("rep")).join(merged.withColumnRenamed("id", "rep"), "rep", "left")
     by_set = reps.select("sid", "sid2", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
@@ -264,16 +303,16 @@ def _near(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
                 continue
             ra, na, ka, rb, nb, kb = batch.columns
             sk = [np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in (ka, kb)]
-            keep = _close(na.to_numpy(), sk[0], nb.to_numpy(), sk[1], num, den)
+            far = np.bitwise_count(sk[0] ^ sk[1]).sum(axis=-1, dtype=np.int64)
+            keep = _allowed(na.to_numpy(), nb.to_numpy(), far, num, den)
             yield pa.RecordBatch.from_arrays([ra, rb], ["a", "b"]).filter(pa.array(keep))
 
-    return pairs.join(left, "a").join(right, "b").select("ra", "na", "ka", "rb", "nb", "kb").mapInArrow(run, "a long, b long")
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("ra", "na", "ka", "rb", "nb", "kb").mapInArrow(run, "a long, b long")
 
 
-def _rest(hot: DataFrame, sets: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of the large keys that lie in different components, as representatives, block against block."""
-    rows = hot.join(sets.select("sid", F.col("rep"), F.col("n_shingles").alias("size"), "sketch"), "sid")
-    rows = rows.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("component_id", "rep"))
+def _rest(hot: DataFrame, labels: DataFrame, num: int, den: int, nearest: bool) -> DataFrame:
+    """Pairs of the large keys that lie in different components, block against block."""
+    rows = hot.join(labels.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").withColumn("comp", F.coalesce("component_id", "rep"))
     mixed = rows.groupBy("hot").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("hot")
     rows = rows.join(mixed, "hot", "left_semi")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -282,18 +321,35 @@ def _rest(hot: DataFrame, sets: DataFrame, labels: DataFrame, num: int, den: int
     rows = rows.withColumn("other", other).select(
         "hot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("rep").alias("sid"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "comp", "size", "sketch"
     )
-    out = rows.repartition("hot", "i", "j").sortWithinPartitions("hot", "i", "j").mapInArrow(_blocks(num, den), "a long, b long")
+    out = rows.repartition("hot", "i", "j").sortWithinPartitions("hot", "i", "j").mapInArrow(_blocks(num, den, nearest), "a long, b long")
     return out.distinct()
 
 
-def _check(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Those of the pairs of representatives that link, by their whole sets."""
-    pairs = store(pairs.distinct(), "candidates")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    items = store(texts.mapInArrow(_sets(k), "sid long, items binary"), "items")
-    both = pairs.join(items.select(F.col("sid").alias("a"), F.col("items").alias("x")), "a").join(items.select(F.col("sid").alias("b"), F.col("items").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(_verify(num, den), "a long, b long")
+def _grouped(pairs: DataFrame, items: DataFrame) -> DataFrame:
+    """Pairs with the group `g` in which they are verified: the least document within two steps of both; null where these differ or hold too much."""
+    both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    reach = both.join(near.withColumnRenamed("a", "b").hint("merge"), "b").groupBy("a").agg(F.min("m").alias("g"))
+    sizes = reach.join(items.select(F.col("doc_id").alias("a"), "n").hint("merge"), "a")
+    small = sizes.groupBy("g").agg(F.sum("n").alias("n")).where(F.col("n") <= TOGETHER)
+    own = reach.join(small.select("g").hint("merge"), "g", "left_semi")
+    out = pairs.join(own.select("a", F.col("g").alias("ga")).hint("merge"), "a", "left").join(own.select(F.col("a").alias("b"), F.col("g").alias("gb")).hint("merge"), "b", "left")
+    return out.select("a", "b", F.when(F.col("ga") == F.col("gb"), F.col("ga")).alias("g"))
+
+
+def _check(pairs: DataFrame, items: DataFrame, num: int, den: int, few: bool = False) -> DataFrame:
+    """Those of the pairs of documents that link, by their whole sets; few: Spark may find the pairs small enough to send them to the sets."""
+    pairs = store(_grouped(pairs, items), "grouped")
+    near = pairs.where("g is not null")
+    needed = near.select("g", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = needed.join(items.select("doc_id", "items") if few else items.select("doc_id", "items").hint("merge"), "doc_id")
+    rows = sets.select("g", F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "items").union(near.select("g", "a", "b", F.lit(None).cast("binary").alias("items")))
+    out = rows.repartition("g").sortWithinPartitions("g", F.col("b").asc_nulls_first()).mapInArrow(_verify_groups(num, den), "a long, b long")
+    far = pairs.where("g is null")
+    if far.isEmpty():
+        return out
+    both = far.join(items.select(F.col("doc_id").alias("a"), F.col("items").alias("x")).hint("merge"), "a").join(items.select(F.col("doc_id").alias("b"), F.col("items").alias("y")).hint("merge"), "b")
+    return out.union(both.select("a", "b", "x", "y").mapInArrow(_verify(num, den), "a long, b long"))
 
 
 def op2_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
