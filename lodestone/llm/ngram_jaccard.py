@@ -39,7 +39,9 @@ SMALL_GROUP = 32
 BLOCK = 2048
 NEAREST_ROUNDS = 1
 #: Shingles of all documents that are verified together in one task.
-TOGETHER = 1 << 21
+TOGETHER = 1 << 22
+#: Pairs that may be sent to every executor: a few megabytes.
+SENT = 100_000
 
 
 def _binary(values: np.ndarray, counts: np.ndarray) -> pa.Array:
@@ -326,29 +328,34 @@ def _rest(hot: DataFrame, labels: DataFrame, num: int, den: int, nearest: bool)
 
 
 def _grouped(pairs: DataFrame, items: DataFrame) -> DataFrame:
-    """Pairs with the group `g` in which they are verified: the least document within two steps of both; null where these differ or hold too much."""
-    both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    reach = both.join(near.withColumnRenamed("a", "b").hint("merge"), "b").groupBy("a").agg(F.min("m").alias("g"))
+    """Pairs with the group `g` in which they are verified, their component; null where its sets are too many for one task."""
+    reach = components(pairs, "groups").select(F.col("id").alias("a"), F.col("component_id").alias("g"))
     sizes = reach.join(items.select(F.col("doc_id").alias("a"), "n").hint("merge"), "a")
-    small = sizes.groupBy("g").agg(F.sum("n").alias("n")).where(F.col("n") <= TOGETHER)
-    own = reach.join(small.select("g").hint("merge"), "g", "left_semi")
-    out = pairs.join(own.select("a", F.col("g").alias("ga")).hint("merge"), "a", "left").join(own.select(F.col("a").alias("b"), F.col("g").alias("gb")).hint("merge"), "b", "left")
-    return out.select("a", "b", F.when(F.col("ga") == F.col("gb"), F.col("ga")).alias("g"))
+    small = sizes.groupBy("g").agg(F.sum("n").alias("n")).where(F.col("n") <= TOGETHER).select("g", F.lit(True).alias("small"))
+    own = reach.join(small.hint("merge"), "g", "left")
+    return pairs.join(own.hint("merge"), "a").select("a", "b", F.when(F.col("small"), F.col("g")).alias("g"))
 
 
 def _check(pairs: DataFrame, items: DataFrame, num: int, den: int, few: bool = False) -> DataFrame:
-    """Those of the pairs of documents that link, by their whole sets; few: Spark may find the pairs small enough to send them to the sets."""
+    """Those of the pairs of documents that link, by their whole sets.
+
+    few: after counting them, up to `SENT` pairs are sent to the sets, which
+    then don't move; more pairs meet the sets by a shuffle, as in the first
+    check, where their number grows with the documents.
+    """
     pairs = store(_grouped(pairs, items), "grouped")
-    near = pairs.where("g is not null")
+    near, far = pairs.where("g is not null"), pairs.where("g is null")
+    n_far = far.count()
+    sent = lambda df, n: F.broadcast(df) if n <= SENT else df.hint("merge")
     needed = near.select("g", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = needed.join(items.select("doc_id", "items") if few else items.select("doc_id", "items").hint("merge"), "doc_id")
+    sets = items.select("doc_id", "items").join(sent(needed, near.count() if few else SENT + 1), "doc_id")
     rows = sets.select("g", F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "items").union(near.select("g", "a", "b", F.lit(None).cast("binary").alias("items")))
     out = rows.repartition("g").sortWithinPartitions("g", F.col("b").asc_nulls_first()).mapInArrow(_verify_groups(num, den), "a long, b long")
-    far = pairs.where("g is null")
-    if far.isEmpty():
+    if not n_far:
         return out
-    both = far.join(items.select(F.col("doc_id").alias("a"), F.col("items").alias("x")).hint("merge"), "a").join(items.select(F.col("doc_id").alias("b"), F.col("items").alias("y")).hint("merge"), "b")
+    ids = far.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    own = items.select("doc_id", "items").join(sent(ids, n_far), "doc_id", "left_semi")
+    both = far.join(own.select(F.col("doc_id").alias("a"), F.col("items").alias("x")).hint("merge"), "a").join(own.select(F.col("doc_id").alias("b"), F.col("items").alias("y")).hint("merge"), "b")
     return out.union(both.select("a", "b", "x", "y").mapInArrow(_verify(num, den), "a long, b long"))
 
 
