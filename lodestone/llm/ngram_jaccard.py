@@ -353,10 +353,20 @@ def _check(pairs: DataFrame, items: DataFrame, num: int, den: int, few: bool = F
     out = rows.repartition("g").sortWithinPartitions("g", F.col("b").asc_nulls_first()).mapInArrow(_verify_groups(num, den), "a long, b long")
     if not n_far:
         return out
-    ids = far.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    own = items.select("doc_id", "items").join(sent(ids, n_far), "doc_id", "left_semi")
-    both = far.join(own.select(F.col("doc_id").alias("a"), F.col("items").alias("x")).hint("merge"), "a").join(own.select(F.col("doc_id").alias("b"), F.col("items").alias("y")).hint("merge"), "b")
-    return out.union(both.select("a", "b", "x", "y").mapInArrow(_verify(num, den), "a long, b long"))
+
+    def verified(some: DataFrame, n: int) -> DataFrame:
+        ids = some.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        own = items.select("doc_id", "items").join(sent(ids, n), "doc_id", "left_semi")
+        both = some.join(own.select(F.col("doc_id").alias("a"), F.col("items").alias("x")).hint("merge"), "a").join(own.select(F.col("doc_id").alias("b"), F.col("items").alias("y")).hint("merge"), "b")
+        return store(both.select("a", "b", "x", "y").mapInArrow(_verify(num, den), "a long, b long"), "links")
+
+    # One pair per document first; of the others, those that these links don't connect already.
+    first = verified(far.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), n_far)
+    label = components(first)
+    ends = [label.select(F.col("id").alias(c), F.col("component_id").alias(f"top_{c}")).hint("merge") for c in ("a", "b")]
+    tops = far.select("a", "b").join(ends[0], "a", "left").join(ends[1], "b", "left")
+    rest = store(tops.where(F.coalesce("top_a", "a") != F.coalesce("top_b", "b")).select("a", "b"), "candidates")
+    return out.union(first).union(verified(rest, rest.count()))
 
 
 def op2_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

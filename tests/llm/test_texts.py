@@ -21,8 +21,9 @@ def shingles(text, k):
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
 
 
-@pytest.mark.parametrize(("k", "num", "small"), [(4, 85, 32), (5, 80, 2)])
-def test_jaccard_components(spark, monkeypatch, k, num, small):
+@pytest.mark.parametrize(("k", "num", "small", "together"), [(4, 85, 32, 1 << 22), (5, 80, 2, 60)])
+def test_jaccard_components(spark, monkeypatch, k, num, small, together):
+    monkeypatch.setattr(ngram_jaccard, "TOGETHER", together)
     monkeypatch.setattr(ngram_jaccard, "SMALL_GROUP", small)
     rows = corpus(150, seed=k)
     sets = {r[0]: shingles(r[1], k) for r in rows}
