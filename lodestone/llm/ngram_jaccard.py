@@ -39,7 +39,7 @@ SMALL_GROUP = 32
 BLOCK = 2048
 NEAREST_ROUNDS = 1
 #: Shingles of all documents that are verified together in one task.
-TOGETHER = 1 << 22
+TOGETHER = 1 << 21
 #: Pairs that may be sent to every executor: a few megabytes.
 SENT = 100_000
 
