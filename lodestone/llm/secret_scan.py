@@ -31,18 +31,22 @@ _KEYWORD = r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|cred
 FORMATS = (
     ("aws-access-key", r"\bAKIA[0-9A-Z]{16}\b"),
     ("github-token", r"\bgh[pousr]_[A-Za-z0-9]{36}\b"),
-    ("slack-token", r"\bxox[abprs]-[A-Za-z0-9-]{10,72}"),
-    ("json-web-token", r"\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+"),
+    ("slack-token", r"\bxox[abprs]-[A-Za-z0-9-]{10,}+"),
+    ("json-web-token", r"\beyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+(?:\.[A-Za-z0-9_-]++)++"),
     ("private-key", r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"),
 )
-# The short looks behind come first, because they fail nearly everywhere and cost little.
-_AFTER = rf"(?<=[=:\"' ])(?<=[=:][ ]{{0,3}}[\"']?)(?<=(?i:{_KEYWORD})[\"']?[ ]{{0,3}}[=:][ ]{{0,3}}[\"']?)[^\s\"',;]{{6,256}}"
+# The first characters are looked at before the formats, because they fail nearly everywhere and cost little.
+_KEY = rf"(?=[Aegx-])(?:{'|'.join(p for _, p in FORMATS)})"
+_HEADER = dict(FORMATS)["private-key"]
+_AFTER = rf"(?<=[=:\"' ])(?<=[=:][ ]{{0,3}}[\"']?)(?<=(?i:{_KEYWORD})[\"']?[ ]{{0,3}}[=:][ ]{{0,3}}[\"']?)(?:(?!{_HEADER})[^\s\"',;]){{6,}}+"
+# A run ends before a key that lies in it and goes on behind it (\G: where the last match ended).
+_LONG = rf"(?:(?<![A-Za-z0-9+/_-])|\G)(?=[A-Za-z0-9+/_-]{{16}})(?:(?!{_KEY})[A-Za-z0-9+/_-]){{16,}}+={{0,2}}"
 #: Every text with a candidate matches one of these; the others, nearly all, aren't looked at closely.
 _HAS_LONG = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16}"
 _HAS_KEYWORD = rf"(?i){_KEYWORD}[\"']?[ ]{{0,3}}[=:]"
-# Keys that name their issuer are runs of key characters too, but for these three.
-_OTHER = "|".join(p.removeprefix(r"\b") for n, p in FORMATS if n in ("slack-token", "json-web-token", "private-key"))
-CANDIDATE = rf"{_AFTER}|(?<![A-Za-z0-9+/_-])(?:{_OTHER}|[A-Za-z0-9+/_-]{{16,256}}={{0,2}})"
+CANDIDATE = rf"{_AFTER}|{_KEY}|{_LONG}"
+#: A value after a credential word is cut at the keys in it; what lies between them is as long as a value at least.
+_PIECE = rf"{_KEY}|(?:(?!{_KEY})[\s\S]){{6,}}+"
 
 
 #: Words of plain text, of source and of placeholders.
@@ -59,7 +63,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id, path, start, token, before, after) of each candidate; start counts characters from 0.
 
     The text is cut at the matches, so what lies before and after each is there
-    without a second search.
+    without a second search. Keys of known formats are candidates of their own,
+    also within a longer value or run; nothing else of it is cut off.
     """
     rows = docs.select(F.col(id_col).alias("id"), (F.lit("") if path is None else F.coalesce(path, F.lit(""))).alias("path"), F.col(text_col).alias("text"))
     shaped = F.col("text").rlike(_HAS_LONG) | F.contains("text", F.lit("-----BEGIN")) | F.col("text").rlike(r"\b(eyJ|xox)")
@@ -69,7 +74,19 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     total = lambda c, n: F.aggregate(F.slice(c, F.lit(1), n), F.lit(0).cast("long"), lambda a, s: a + s)
     # Only pieces next to a match leave the row, never its text again.
     each = F.transform("found", lambda t, i: F.struct((total("f", i) + total("g", i + 1)).alias("start"), t.alias("token"), F.right(F.get("gaps", i), F.lit(48)).alias("before"), F.left(F.get("gaps", i + 1), F.lit(32)).alias("after")))
-    return rows.select("id", "path", F.explode(each).alias("x")).select("id", "path", "x.*")
+    return _keys_apart(rows.select("id", "path", F.explode(each).alias("x")).select("id", "path", "x.*"))
+
+
+def _keys_apart(found: DataFrame) -> DataFrame:
+    """The candidates, with each token that holds a key cut into its keys and the pieces between them."""
+    t = F.col("token")
+    pieces, gaps = F.regexp_extract_all(t, F.lit(_PIECE), F.lit(0)), F.split(t, _PIECE, -1)
+    length = lambda c, n: F.length(F.array_join(F.slice(c, F.lit(1), n), ""))
+    whole = F.array(F.struct(F.lit(0).alias("at"), t.alias("piece")))
+    x = F.when(t.rlike(_KEY), F.transform(pieces, lambda p, i: F.struct((length(pieces, i) + length(gaps, i + 1)).alias("at"), p.alias("piece")))).otherwise(whole)
+    rows = found.select("*", F.explode(x).alias("x")).select("*", "x.at", "x.piece")
+    behind = F.substring(t, F.col("at") + F.length("piece") + 1, F.lit(32))
+    return rows.select("id", "path", (F.col("start") + F.col("at")).alias("start"), F.col("piece").alias("token"), F.right(F.concat("before", F.substring(t, F.lit(1), F.col("at"))), F.lit(48)).alias("before"), F.left(F.concat(behind, "after"), F.lit(32)).alias("after"))
 
 
 def kind_of(token: Column) -> Column:
