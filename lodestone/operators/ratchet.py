@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 
+#: Lines of a file that are looked at together.
+BUCKET = 256
+
 
 def multiset(current: DataFrame, baseline: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Adds `grandfathered`: the first findings of a key, in order, as many as the baseline has of it."""
@@ -41,9 +44,20 @@ def numeric(current: DataFrame, baseline: DataFrame, keys: list[str], value: str
 
 
 def touched_ranges(findings: DataFrame, changes: DataFrame) -> DataFrame:
-    """Findings (file, first, last) with a changed line (file, line) inside."""
-    c = changes.select("file", F.col("line").alias("changed_line"))
-    return findings.join(c, (findings["file"] == c["file"]) & F.col("changed_line").between(F.col("first"), F.greatest("first", "last")), "left_semi")
+    """Findings (file, first, last) with a changed line (file, line) inside.
+
+    A range meets the changed lines of the bucket in which it begins and the
+    first one behind that bucket, not all lines of its file.
+    """
+    bucket = lambda c: F.floor(F.col(c) / BUCKET).alias("_bucket")
+    lines = changes.select("file", bucket("line"), F.col("line").alias("_line"))
+    begins = findings.select("file", bucket("first"), F.lit(None).alias("_line")).distinct()
+    marks = lines.unionByName(begins).groupBy("file", "_bucket").agg(F.collect_set("_line").alias("_lines"))
+    behind = Window.partitionBy("file").orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    marks = marks.withColumn("_next", F.min(F.array_min("_lines")).over(behind))
+    last = F.greatest("first", "last")
+    met = findings.select("*", bucket("first")).join(marks, ["file", "_bucket"])
+    return met.where(F.exists("_lines", lambda x: x.between(F.col("first"), last)) | (F.col("_next") <= last)).select(*findings.columns)
 
 
 def hunks(changes: DataFrame) -> DataFrame:

@@ -127,6 +127,29 @@ def test_walk_and_report(spark, tmp_path):
     assert repository.read_report(spark, str(tmp_path / "out"), "file string, line int").collect() == [("a", 1)]
 
 
+def test_touched_ranges_of_whole_tables(spark):
+    sf = "/root/testdata/sf0.001"
+    f = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr("l_suppkey % 10 AS file", "l_orderkey AS first", "l_orderkey + l_linenumber % 3 AS last", "l_linenumber")
+    c = spark.read.parquet(f"{sf}/orders.parquet").selectExpr("o_custkey % 10 AS file", "o_orderkey AS line")
+    odd = [(1, 5, 5, 0), (1, 5, 5, 0), (1, 9, None, 1), (1, None, 9, 2), (None, 1, 9, 3), (1, 7, 3, 4), (2, -900, 900, 5), (2, 0, 90000, 6), (2, 100001, 1 << 60, 7), (3, 255, 256, 8), (3, -1, 0, 9), (3, 257, 511, 10)]
+    lines = [(1, 5), (1, 5), (1, 9), (1, 7), (1, None), (None, 3), (2, 100000), (2, -900), (3, 256), (3, 512), (4, 1)]
+    small = (spark.createDataFrame(odd, "file long, first long, last long, l_linenumber long"), spark.createDataFrame(lines, "file long, line long"))
+    for found, changed in ((f, c), small):
+        at = {(r.file, r.line) for r in changed.collect()} - {(None, 3)}
+        inside = lambda r: r.file is not None and r.first is not None and any(k == r.file and n is not None and r.first <= n <= max(r.first, r.last or r.first) for k, n in at)
+        out = ratchet.touched_ranges(found, changed)
+        assert out.columns == found.columns
+        assert sorted(map(str, out.collect())) == sorted(str(r) for r in found.collect() if inside(r))
+
+
+def test_touched_ranges_compare_no_pairs_of_a_file(spark):
+    found = spark.range(400000).selectExpr("1 AS file", "id * 10 AS first", "id * 10 + 4 AS last")
+    changed = spark.range(400000).selectExpr("1 AS file", "id * 10 + 7 AS line")
+    plan = ratchet.touched_ranges(found, changed)._jdf.queryExecution().executedPlan().toString()
+    assert "_bucket" in plan.split("Join", 1)[1].split("\n", 1)[0]
+    assert ratchet.touched_ranges(found, changed).isEmpty()
+
+
 def test_numeric_ratchet_uses_up_the_baseline(spark):
     cur = spark.createDataFrame([("f", 1, 10.0), ("f", 2, 9.0), ("f", 3, 1.0), ("g", 4, 1.0)], "file string, ord long, actual double")
     base = spark.createDataFrame([("f", 10.0), ("f", 5.0)], "file string, actual double")
