@@ -143,9 +143,12 @@ def matches(s: TextSlice, q: TestItems, window: int = WINDOW) -> tuple[Words, np
     return w, *SuffixArray(w, at, window).search(q)
 
 
-def _scan(q: TestItems, window: int):
+def _scan(q: TestItems, window: int, more: bool = False):
+    """more: each row keeps its text for the next block of items, and what the blocks before have found."""
+
     def run(batches):
         for batch in batches:
+            earlier = "spans" in batch.schema.names
             for s in slices(batch.column(1)):
                 w, which, place, same = matches(s, q, window)
                 hit = np.zeros(len(w.hash) + 1, dtype=np.int64)
@@ -154,17 +157,15 @@ def _scan(q: TestItems, window: int):
                 inside = np.concatenate([[0], np.cumsum(np.cumsum(hit)[:-1] > 0)])
                 n_hit = inside[w.first[1:]] - inside[w.first[:-1]]
                 row = w.row[place]
-                items, spans = [[] for _ in range(s.n)], [[] for _ in range(s.n)]
+                items, spans = (batch.column(c).slice(s.first, s.n).to_pylist() if earlier else [[] for _ in range(s.n)] for c in ("items", "spans"))
                 seen = set()
                 for r, i, p, m, z in zip(row.tolist(), q.item[q.start[which]].tolist(), (place - w.first[row]).tolist(), same.tolist(), q.size[which].tolist()):
                     spans[r].append({"first": p, "size": z, "longest": m, "item_id": q.ids[i]})
                     if (r, i) not in seen:
                         seen.add((r, i))
                         items[r].append(q.ids[i])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(s.first, s.n), pa.array(np.diff(w.first)), pa.array(n_hit), pa.array([sorted(set(map(str, x))) for x in items], pa.list_(pa.string())), pa.array(spans, pa.list_(_SPAN))],
-                    ["id", "n_words", "n_hit", "items", "spans"],
-                )
+                found = {"n_words": pa.array(np.diff(w.first)), "n_hit": pa.array(n_hit), "items": pa.array([sorted(set(map(str, x))) for x in items], pa.list_(pa.string())), "spans": pa.array(spans, pa.list_(_SPAN))}
+                yield pa.RecordBatch.from_pydict({c: batch.column(c).slice(s.first, s.n) for c in ("id", "text")[: 1 + more]} | found)
 
     return run
 
@@ -183,10 +184,12 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<first: long, size: long, longest: long, item_id: string>>"
-    passes = [rows.mapInArrow(_scan(q, window), schema) for q in _blocks(tests, window)]
-    if len(passes) == 1:
-        return passes[0]
-    return _merged(passes)
+    blocks = _blocks(tests, window)
+    if len(blocks) == 1:
+        return rows.mapInArrow(_scan(blocks[0], window), schema)
+    for q in blocks:
+        rows = rows.mapInArrow(_scan(q, window, True), schema.replace(", n_words", ", text string, n_words", 1))
+    return _recounted(rows)
 
 
 def _blocks(tests: DataFrame, window: int) -> list[TestItems]:
@@ -201,12 +204,9 @@ def _blocks(tests: DataFrame, window: int) -> list[TestItems]:
     return out
 
 
-def _merged(passes: list[DataFrame]) -> DataFrame:
-    """One row per document of several passes; hit words are recounted from the spans of all."""
-    both = passes[0]
-    for p in passes[1:]:
-        both = both.unionByName(p)
-    merged = both.groupBy("id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+def _recounted(rows: DataFrame) -> DataFrame:
+    """After several blocks: hit words are recounted from the spans of all."""
+    merged = rows.withColumn("spans", F.array_sort("spans"))
     start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
 
     def step(acc, x):

@@ -137,3 +137,15 @@ def test_mixture_weights_maximise_likelihood():
 
     best = max(gain((x / 50, y / 50, max(1e-6, 1 - x / 50 - y / 50))) for x in range(50) for y in range(50 - x))
     assert gain(a[3]) >= best - 1e-3
+
+
+def test_decontaminate_rows_stay_apart_over_blocks(spark, monkeypatch):
+    one, two = "alpha beta gamma delta", "one two three four five"
+    rows = [(i, t, "en", "src0", 1) for i, t in ((1, f"x {one} y"), (1, f"{two} z"), (1, None), (None, f"{one} {two}"), (None, "nothing here"), (2, f"{two} {two}"), (2, f"{two} {two}"))]
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate((one, two, "three four", "gamma delta one two"))], "item_id long, text string")
+    got = []
+    for block in (decontaminate.BLOCK_BYTES, 20):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+        got.append(sorted(map(str, decontaminate.digest(decontaminate.scan(frame(spark, rows), bench)).collect())))
+    assert len(got[0]) == len(rows)
+    assert got[0] == got[1]
