@@ -1,7 +1,9 @@
 """Queries of the engine by key, with the SQL that a reference database runs for the same rows.
 
 The driver's tables hold no source code, so each operator works on a
-deterministic projection of them; every query reads its whole tables.
+deterministic projection of them. Queries read their whole tables, but for
+attribution_range, module_reachability, engine_states and
+coverage_missing_source, whose filters leave rows out, in their SQL as well.
 """
 
 from __future__ import annotations
