@@ -15,6 +15,9 @@
    making their pairs, and at last with every one. What passes is verified as
    well, so no link between different components is lost.
 
+Only components are searched: pairs of texts that other links connect already
+may stay unverified, so there are no pairs and no number of links.
+
 Joins of tables that grow with the documents ask for a shuffle, as no size
 bound holds for either side.
 
