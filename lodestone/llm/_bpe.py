@@ -20,7 +20,7 @@ import unicodedata
 
 import numpy as np
 
-from ._text import _Q, TextSlice, _powers, mix64
+from ._text import TextSlice, string_hashes
 
 #: The pre-tokens that one worker remembers; beyond it, it starts anew.
 REMEMBERED = 1_000_000
@@ -114,10 +114,7 @@ def _split(s: TextSlice, lead: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray
 
 
 def hashes(d: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    pw, ipw = _powers(len(d) + 1)
-    value = (d.astype(np.uint64) + np.uint64(1)) * pw[: len(d)]
-    length = np.diff(np.append(starts, len(d))).astype(np.uint64)
-    return mix64(np.add.reduceat(value, starts) * ipw[starts] ^ length * np.uint64(_Q))
+    return string_hashes(d, starts, np.diff(np.append(starts, len(d))))
 
 
 class Vocabulary:

@@ -16,25 +16,9 @@ import pyarrow as pa
 SLICE_BYTES = 2 << 20
 SLICE_ROWS = 1 << 15
 
-_P = 0x9E3779B97F4A7C15 | 1
-_P_INV = pow(_P, -1, 1 << 64)
 _Q = 0xC2B2AE3D27D4EB4F
 _SHINGLE_BITS = 48
 
-_pw = np.ones(1, dtype=np.uint64)
-_ipw = np.ones(1, dtype=np.uint64)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _pw, _ipw
-    if len(_pw) < n:
-        size = max(n, 2 * SLICE_BYTES)
-        for name, base in (("_pw", _P), ("_ipw", _P_INV)):
-            x = np.full(size, base, dtype=np.uint64)
-            x[0] = 1
-            globals()[name] = np.multiply.accumulate(x)
-    return _pw, _ipw
-
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on unsigned 64-bit integers."""
@@ -46,6 +30,31 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_place = np.zeros(0, dtype=np.uint64)
+
+
+def string_hashes(body: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hash of each string; the strings lie in `body` one after another, from `first` on, `size` bytes each.
+
+    The sum over the bytes of a random number of the byte times one of its place
+    in the string: unlike the powers of a base, places have no structure that
+    some text could cancel.
+    """
+    global _place
+    if not len(first):
+        return np.zeros(0, dtype=np.uint64)
+    longest = int(size.max())
+    if len(_place) < longest:
+        _place = mix64(np.arange(2 * longest + 64, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.uint64(0x2545F4914F6CDD1D)) | np.uint64(1)
+    at = np.arange(len(body)) - np.repeat(first, size)
+    value = _BYTE[body]
+    value *= _place[at]
+    h = np.add.reduceat(value, first)
+    h ^= size.astype(np.uint64) * np.uint64(_Q)
+    return mix64(h)
+
+
 def _lut(separators) -> np.ndarray:
     t = np.ones(256, dtype=bool)
     t[list(separators)] = False
@@ -113,18 +122,8 @@ def words(s: TextSlice, is_word: np.ndarray = WHITESPACE_WORDS, lower: bool = Fa
         stops[cuts - 1] |= inside[1:-1][cuts - 1]
     start = np.flatnonzero(begins)
     end = np.flatnonzero(stops) + 1
-    pw, ipw = _powers(n + 1)
-    value = data.astype(np.uint64)
-    value += np.uint64(1)
-    value *= pw[:n]
-    value[~inside[1:-1]] = 0
-    if len(start):
-        h = np.add.reduceat(value, start)
-        h *= ipw[start]
-        h ^= (end - start).astype(np.uint64) * np.uint64(_Q)
-        h = mix64(h)
-    else:
-        h = np.zeros(0, dtype=np.uint64)
+    size = end - start
+    h = string_hashes(data[inside[1:-1]], np.cumsum(size) - size, size)
     first = np.searchsorted(start, s.offsets)
     row = np.repeat(np.arange(s.n), np.diff(first))
     return Words(h, start, end, row, first)
@@ -160,7 +159,7 @@ def window_starts(w: Words, k: int) -> np.ndarray:
 
 
 def shingle_sets(s: TextSlice, k: int, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct k-word shingles of each row as sorted 48-bit hashes.
+    """Distinct k-word shingles of each row as 64-bit hashes, ascending within a row.
 
     A row of fewer words, but not none, has its whole sequence as the only
     shingle. Returns (hashes, row of each, number per row).
@@ -175,9 +174,15 @@ def shingle_sets(s: TextSlice, k: int, lower: bool = True) -> tuple[np.ndarray,
         if len(some):
             grams = ngrams(w.hash, n)[w.first[some]]
             h, rows = np.concatenate([h, mix64(grams ^ np.uint64(0x5851F42D4C957F2D))]), np.concatenate([rows, some])
+    # Row and leading bits sort at once; where those bits are equal and the hashes aren't, all bits do.
     key = (rows.astype(np.uint64) << np.uint64(_SHINGLE_BITS)) | (h >> np.uint64(64 - _SHINGLE_BITS))
-    key.sort()
-    if len(key):
-        key = key[np.concatenate([[True], key[1:] != key[:-1]])]
-    rows = (key >> np.uint64(_SHINGLE_BITS)).astype(np.int64)
-    return key & np.uint64((1 << _SHINGLE_BITS) - 1), rows, np.bincount(rows, minlength=s.n)
+    order = np.argsort(key)
+    key, h = key[order], h[order]
+    if ((key[1:] == key[:-1]) & (h[1:] != h[:-1])).any():
+        exact = np.lexsort((h, key))
+        order, h = order[exact], h[exact]
+    rows = rows[order]
+    if len(h):
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (rows[1:] != rows[:-1])])
+        h, rows = h[new], rows[new]
+    return h, rows, np.bincount(rows, minlength=s.n)

@@ -1,50 +1,61 @@
 """N-gram Jaccard join by parity sketches.
 
-1. One Arrow pass turns each text into its set of shingles, a 128-bit digest of
-   the set, a parity bit sketch and the band keys of `_parity`.
-2. Sets meet by key. Copies have one digest and count as one set, so they make
-   no pairs. A key of up to `SMALL_GROUP` sets gives its pairs; a larger one
-   ties its sets to the least of them first.
-3. Sizes and the Hamming distance of the bit sketches, which is at most the
-   symmetric difference, reject most pairs; the rest are verified on the sets.
-   Texts move once: sets are stored of those documents only that a pair or a
-   large key names, and meet in the group that a pair's documents share.
-4. Sets of the large keys that still lie in different components are compared
-   block by block on their sketches: first each set with its nearest one of
-   another component only, which joins large groups of near copies without
-   making their pairs, and at last with every one. What passes is verified as
-   well, so no link between different components is lost.
+1. One Arrow pass turns each text into a 128-bit digest of its set of shingles
+   and a parity bit sketch; texts with equal sets count as one set from there
+   on, so copies make no pairs. A second pass issues the band keys of `_parity`.
+2. Sets meet by key. A key of up to `SMALL_GROUP` sets gives all its pairs; a
+   larger one gives those of its least set with each other.
+3. Each set of larger keys is compared on bit sketches within its two largest
+   ones and paired with the nearest, which joins groups of near copies without
+   making their pairs.
+4. Sizes and the Hamming distance of the bit sketches, which is at most the
+   symmetric difference, reject most pairs. The rest are verified on whole sets
+   in rounds: in each, a set goes to the one of its partners that has most of
+   them, and pairs that verified links connect already leave before the next.
+5. Sets of a larger key that still lie in different components are compared on
+   sketches, all of those outside the key's largest component with all others.
+   What passes is verified as well, so no link between components is lost.
 
 Only components are searched: pairs of texts that other links connect already
 may stay unverified, so there are no pairs and no number of links.
 
-Joins of tables that grow with the documents ask for a shuffle, as no size
-bound holds for either side.
+A task holds one pivot's set and a few megabytes of its partners, or the
+sketches of two blocks of `BLOCK` sets. Texts of sets that have a partner are
+stored once, bucketed by set, and only those that a round asks for move again.
+A key with many components makes (sets outside the largest)^2 / `BLOCK` rows.
 
-Null and empty texts have no shingles and link with nothing. Repeated rows are
-kept as rows; ids are expected to be unique and rows that repeat an id count
-once. Other columns are ignored.
+Null and empty texts have no shingles and link with nothing. Every row of the
+documents gives a row. A repeated id with different texts stands for each of
+them. A null id is no id that links could reach: such a row gets the component
+of its set, or null where no row with an id has that set.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ._among import bitmap, with_chance
 from ._components import components
 from ._parity import Bands, bit_sketch
-from ._store import store
+from ._store import discard, shared_dir, store
 from ._text import mix64, shingle_sets, slices
 
-SMALL_GROUP = 32
-BLOCK = 2048
-NEAREST_ROUNDS = 1
-#: Shingles of all documents that are verified together in one task.
-TOGETHER = 1 << 21
-#: Pairs that may be sent to every executor: a few megabytes.
-SENT = 100_000
+SMALL_GROUP = 16
+#: Sets of a key whose sketches meet in one task.
+BLOCK = 8192
+#: Sets that are verified against one copy of a pivot.
+PIVOT_BLOCK = 256
+#: Rounds in which a set is verified against one partner, before all pairs that are left.
+ROUNDS = 2
+#: Bytes of text that are turned into sets at a time.
+RAW = 2 << 20
 
 
 def _binary(values: np.ndarray, counts: np.ndarray) -> pa.Array:
@@ -56,17 +67,12 @@ def _binary(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.array([raw[a:b] for a, b in zip(offsets[:-1], offsets[1:])], pa.large_binary())
 
 
-def _longs(values: np.ndarray, counts: np.ndarray) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
-
-
-def _digests(h: np.ndarray, rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _digests(h: np.ndarray, counts: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Two sums of token hashes for each row (the same for equal sets)."""
     out = []
     some = np.flatnonzero(counts)
     begin = (np.cumsum(counts) - counts)[some]
-    for salt in (0x1234567, 0x89ABCDE):
+    for salt in (0x1234567 + 2 * seed, 0x89ABCDE + 2 * seed):
         d = np.zeros(len(counts), dtype=np.uint64)
         if len(some):
             d[some] = np.add.reduceat(mix64(h ^ np.uint64(salt << 20)), begin)
@@ -74,25 +80,40 @@ def _digests(h: np.ndarray, rows: np.ndarray, counts: np.ndarray) -> tuple[np.nd
     return out[0], out[1]
 
 
-def _features(k: int, num: int, den: int):
+def _features(k: int, seed: int):
     def run(batches):
-        bands = Bands(num, den)
         for batch in batches:
             ids = batch.column(0)
             for s in slices(batch.column(1)):
                 h, rows, counts = shingle_sets(s, k)
-                d1, d2 = _digests(h, rows, counts)
-                key, owner = bands.keys(h, counts)
-                order = np.argsort(owner, kind="stable")
+                d1, d2 = _digests(h, counts, seed)
                 sketch = bit_sketch(h, rows, s.n)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(s.first, s.n), pa.array(counts.astype(np.int64)), pa.array(d1), pa.array(d2), _binary(sketch, np.full(s.n, sketch.shape[1])), _longs(key[order], np.bincount(owner, minlength=s.n))],
-                    ["doc_id", "n_shingles", "sid", "sid2", "sketch", "keys"],
+                    [ids.slice(s.first, s.n), pa.array(counts.astype(np.int64)), pa.array(d1), pa.array(d2), _binary(sketch, np.full(s.n, sketch.shape[1]))], ["doc_id", "n_shingles", "sid", "sid2", "sketch"]
                 )
 
     return run
 
 
+def _keys(k: int, num: int, den: int, seed: int):
+    """(key, sid) of each set; copies within a slice issue their keys once."""
+
+    def run(batches):
+        bands = Bands(num, den)
+        for batch in batches:
+            for s in slices(batch.column(0)):
+                h, rows, counts = shingle_sets(s, k)
+                sid, _ = _digests(h, counts, seed)
+                once = np.zeros(s.n, dtype=bool)
+                once[np.unique(sid, return_index=True)[1]] = True
+                some = once & (counts > 0)
+                # The leading 48 bits of a hash name a token here.
+                key, owner = bands.keys(h[some[rows]] >> np.uint64(16), counts[some])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(sid[some][owner])], ["key", "sid"])
+
+    return run
+
+
 def _ranges(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     return new, np.diff(np.concatenate([new, [len(keys)]]))
@@ -166,37 +187,46 @@ def _allowed(n_a: np.ndarray, n_b: np.ndarray, far: np.ndarray, num: int, den: i
     return (np.minimum(n_a, n_b) * den >= np.maximum(n_a, n_b) * num) & (far <= (den - num) * (n_a + n_b) // (den + num))
 
 
-def _blocks(num: int, den: int, nearest: bool):
-    """Rows of one (hot, i, j) sorted: sets of blocks i and j that may link and lie in different components; nearest: one for each set."""
-
-    def compare(rows):
-        sid, comp, n, side, sk = rows
-        first, second = (np.flatnonzero(side == v) for v in (0, 1))
-        same = not len(second)
-        out = []
-        for at in range(0, len(first), 256):
-            i = first[at : at + 256]
-            j = first if same else second
-            far = np.bitwise_count(sk[i][:, None, :] ^ sk[j][None, :, :]).sum(axis=-1, dtype=np.int64)
-            ok = (comp[i][:, None] != comp[j][None, :]) & _allowed(n[i][:, None], n[j][None, :], far, num, den)
-            if nearest:
+def _sketches(column: list) -> np.ndarray:
+    return np.frombuffer(b"".join(column), dtype=np.uint64).reshape(len(column), -1)
+
+
+def _nearest(num: int, den: int):
+    """Rows (hot, block, sid, size, sketch), sorted by the first two: each set with the nearest one that may link with it."""
+
+    def run(batches):
+        for _, (sid, n, sk) in _by_key(batches, 2):
+            sid, n, sk = np.array(sid, dtype=np.int64), np.array(n, dtype=np.int64), _sketches(sk)
+            a, b = [], []
+            for at in range(0, len(sid), 256):
+                i = np.arange(at, min(at + 256, len(sid)))
+                far = np.bitwise_count(sk[i][:, None, :] ^ sk[None, :, :]).sum(axis=-1, dtype=np.int64)
+                ok = _allowed(n[i][:, None], n[None, :], far, num, den)
+                ok[np.arange(len(i)), i] = False
                 some = np.flatnonzero(ok.any(1))
-                x, y = some, np.where(ok[some], far[some], 1 << 40).argmin(1)
-            else:
-                x, y = np.nonzero(ok)
-            out.append((sid[i[x]], sid[j[y]]))
-        a, b = np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
-        keep = a < b if same else a != b
-        return np.minimum(a, b)[keep], np.maximum(a, b)[keep]
+                a.append(sid[i[some]])
+                b.append(sid[np.where(ok[some], far[some], 1 << 40).argmin(1)])
+            a, b = np.concatenate(a), np.concatenate(b)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return run
+
+
+def _across(num: int, den: int):
+    """Rows (hot, i, j, sid, comp, size, side, sketch), sorted by the first three: sets of side 0 and side 1 (of side 0 alone where i = j) that lie in different components and may link."""
 
     def run(batches):
-        for key, rows in _by_key(batches, 3):
-            sk = np.frombuffer(b"".join(rows[4]), dtype=np.uint64).reshape(len(rows[4]), -1)
-            sid, side, comp, n = (np.array(rows[c], dtype=np.int64) for c in range(4))
-            if not len(np.unique(comp)) > 1 or not (side == 0).any():
-                continue
-            a, b = compare((sid, comp, n, side, sk))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        for (_, i, j), (sid, comp, n, side, sk) in _by_key(batches, 3):
+            sk = _sketches(sk)
+            sid, comp, n, side = (np.array(x, dtype=np.int64) for x in (sid, comp, n, side))
+            first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            second = first if i == j else second
+            for at in range(0, len(first) if len(second) else 0, 256):
+                x = first[at : at + 256]
+                far = np.bitwise_count(sk[x][:, None, :] ^ sk[second][None, :, :]).sum(axis=-1, dtype=np.int64)
+                p, q = np.nonzero((comp[x][:, None] != comp[second][None, :]) & _allowed(n[x][:, None], n[second][None, :], far, num, den))
+                a, b = sid[x[p]], sid[second[q]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     return run
 
@@ -218,158 +248,255 @@ def _by_key(batches, width: int):
         yield key, held
 
 
-def _sets(k: int):
+def _bodies(k: int, seed: int):
+    """Rows (text) to (sid, body): the digest of the set and the compressed text; copies within a slice once."""
+
     def run(batches):
+        z = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            for s in slices(batch.column(1)):
+            for s in slices(batch.column(0)):
                 h, _, counts = shingle_sets(s, k)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, s.n), pa.array(counts.astype(np.int64)), _binary(h, counts)], ["doc_id", "n", "items"])
+                sid, _ = _digests(h, counts, seed)
+                some = np.unique(sid, return_index=True)[1]
+                raw = s.data.tobytes()
+                body = [z.compress(raw[s.offsets[i] : s.offsets[i + 1]]) for i in some.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(sid[some]), pa.array(body, pa.binary())], ["sid", "body"])
 
     return run
 
 
+def _sets(bodies: pa.Array, k: int):
+    """(index, set) of each compressed text, a few megabytes at a time."""
+    z = zstandard.ZstdDecompressor()
+    held, size, at = [], 0, 0
+    for i in range(len(bodies) + 1):
+        if held and (i == len(bodies) or size > RAW):
+            for s in slices(pa.array(held, pa.large_binary()).cast(pa.large_string())):
+                h, _, counts = shingle_sets(s, k)
+                cuts = np.concatenate([[0], np.cumsum(counts)]).tolist()
+                for r in range(s.n):
+                    yield at + s.first + r, h[cuts[r] : cuts[r + 1]]
+            held, size, at = [], 0, i
+        if i < len(bodies):
+            held.append(z.decompress(bodies[i].as_buffer()))
+            size += len(held[-1])
+
+
 def _similar(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
-    both = len(np.intersect1d(x, y, assume_unique=True))
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    both = int((y[at] == x).sum())
     return both * den >= num * (len(x) + len(y) - both)
 
 
-def _verify_groups(num: int, den: int):
-    """Rows (g, a, b, items) sorted by g with sets (b null) before pairs: the pairs that link."""
+def _verified(k: int, num: int, den: int):
+    """Rows (pivot, block, role, sid, body), the pivot itself (role 0) before its partners: the pairs that link."""
 
     def run(batches):
-        group, sets = None, {}
+        pivot, own = None, None
         for batch in batches:
             out: tuple[list, list] = ([], [])
-            for g, a, b, items in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3)):
-                if g != group:
-                    group, sets = g, {}
-                if b is None:
-                    sets[a] = np.frombuffer(items.as_buffer(), np.uint64)
-                elif _similar(sets[a], sets[b], num, den):
-                    out[0].append(a)
-                    out[1].append(b)
+            key = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            role, sid = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            for i, x in _sets(batch.column(4), k):
+                if role[i] == 0:
+                    pivot, own = key[i], x
+                elif pivot != key[i]:
+                    raise ValueError("a partner came without its pivot")
+                elif _similar(own, x, num, den):
+                    out[0].append(key[i][0])
+                    out[1].append(sid[i])
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["a", "b"])
 
     return run
 
 
-def _verify(num: int, den: int):
-    def run(batches):
-        for batch in batches:
-            a, b, xs, ys = batch.columns
-            keep = [_similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), num, den) for x, y in zip(xs, ys)]
-            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
+def _distinct_sets(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame, int]:
+    """The rows' features and the distinct sets (sid, n_shingles, rep, sketch); no two sets share a sid: another seed is taken if two do."""
+    for seed in range(8):
+        made = store(rows.mapInArrow(_features(k, seed), "doc_id long, n_shingles long, sid long, sid2 long, sketch binary"), "features")
+        by = made.where("n_shingles > 0").groupBy("sid").agg(
+            F.min("n_shingles").alias("n_shingles"), F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), ((F.min("sid2") != F.max("sid2")) | (F.min("n_shingles") != F.max("n_shingles"))).alias("clash")
+        )
+        sets = store(by, "sets")
+        if sets.where("clash").isEmpty():
+            return made, sets.select("sid", "n_shingles", "rep", "sketch"), seed
+        discard(made, sets)
+    raise ValueError("no seed gives each set a digest of its own")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each document; two link when den * |A & B| >= num * |A | B|.
+    """(doc_id, n_shingles, component_id) of each row; two link when den * |A & B| >= num * |A | B|.
 
-    component_id is the least id that links reach. Defaults are five words and
-    a similarity of 0.8. A null id has a null component.
+    component_id is the least id that links reach. Defaults are five words and a
+    similarity of 0.8.
     """
-    pairs_in = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    made = store(pairs_in.mapInArrow(_features(k, num, den), "doc_id long, n_shingles long, sid long, sid2 long, sketch binary, keys array<long>"), "features")
-    real = made.where("n_shingles > 0 and doc_id is not null")
-    keys = real.select(F.explode("keys").alias("key"), "sid")
+    out, _ = _jaccard(docs, id_col, text_col, k, num, den)
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
+def _jaccard(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> tuple[DataFrame, int]:
+    """The components with each row's set (sid) and that of its component (top), both null without words; and the seed of the sets' digests."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    made, sets, seed = _distinct_sets(rows, k)
+    # Sets that only rows without an id have can't be reached and reach nothing.
+    named = sets.where("rep is not null")
+    labels = _components_of_sets(rows, named, k, num, den, seed)
+    tops = named.join(labels.withColumnRenamed("id", "sid").hint("merge"), "sid", "left").select("sid", "rep", F.coalesce("component_id", "sid").alias("top"))
+    least = tops.groupBy("top").agg(F.min("rep").alias("component"))
+    by_set = tops.select("sid", "top").join(least.hint("merge"), "top").select("sid", "top", "component")
+    own = made.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("sid")).alias("sid"))
+    return own.join(by_set.hint("merge"), "sid", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), "sid", F.coalesce("top", "sid").alias("top")), seed
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """One row of each component, with all its columns: that of the least id (null last), any one of rows that repeat it; rows without words stay.
+
+    Rows that no other row shares a component with stay where they are; only the
+    others meet the decisions.
+    """
+    out, seed = _jaccard(docs, id_col, text_col, k, num, den)
+    found = store(out.where("sid is not null").select("doc_id", "sid", "top"), "found")
+    head = found.groupBy("top").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "sid")).alias("h"))
+    sets = found.groupBy("sid").agg(F.first("top").alias("top"), F.count("*").alias("rows"))
+    sets = sets.join(head.hint("merge"), "top").select("sid", "rows", (F.col("h.sid") == F.col("sid")).alias("heads"), F.col("h.doc_id").alias("id"))
+    # Several rows of the id and set that stay.
+    same = found.groupBy("sid", "doc_id").agg(F.count("*").alias("same")).where("same > 1").select("sid", F.col("doc_id").alias("id"), F.lit(True).alias("many"))
+    joined = sets.join(same.hint("merge"), (sets["sid"] == same["sid"]) & sets["id"].eqNullSafe(same["id"]), "left").where("rows > 1 or not heads")
+    decided = store(joined.select(sets["sid"].alias("__sid"), F.col("heads").alias("__heads"), sets["id"].alias("__id"), F.coalesce("many", F.lit(False)).alias("__many")), "decided")
+    at, names = docs.columns.index(text_col), docs.columns
+
+    def run(batches):
+        for batch in batches:
+            for s in slices(batch.column(at)):
+                h, _, counts = shingle_sets(s, k)
+                sid, _ = _digests(h, counts, seed)
+                part = batch.slice(s.first, s.n)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sid, mask=counts == 0)], [*names, "__sid"])
+
+    kind = T.StructType([*docs.schema.fields, T.StructField("__sid", T.LongType())])
+    rows = with_chance(docs.mapInArrow(run, kind), "__sid", bitmap(decided, "__sid"))
+    near = rows.where("__chance").join(decided.hint("merge"), "__sid", "left")
+    near = near.where(F.col("__heads").isNull() | (F.col("__heads") & F.col(id_col).cast("long").eqNullSafe(F.col("__id"))))
+    once = F.coalesce("__many", F.lit(False))
+    return rows.where(~F.col("__chance")).select(*names).union(near.where(~once).select(*names)).union(near.where(once).dropDuplicates(["__sid"]).select(*names))
+
+
+def _components_of_sets(rows: DataFrame, sets: DataFrame, k: int, num: int, den: int, seed: int) -> DataFrame:
+    """(id, component_id) of the sets that link with others, by sid."""
+    keys = rows.where("doc_id is not null").select("text").mapInArrow(_keys(k, num, den, seed), "key long, sid long")
     met = store(keys.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(_meet, "a long, b long, hot long, n long"), "met")
-    sets = store(real.groupBy("sid", "sid2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "sets")
-
-    near = store(_near(met.where("hot is null").select("a", "b").distinct(), sets, num, den).distinct(), "candidates")
-    by_sid = sets.select("sid", "rep", F.col("n_shingles").alias("size"), "sketch")
-    hot = store(met.where("hot is not null").select("hot", F.col("b").alias("sid"), "n").join(by_sid.hint("merge"), "sid").drop("sid"), "hot")
-    wanted = near.select(F.explode(F.array("a", "b")).alias("doc_id")).union(hot.select("rep")).distinct()
-    texts = pairs_in.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    items = store(texts.mapInArrow(_sets(k), "doc_id long, n long, items binary"), "items")
-    found = store(_check(near, items, num, den), "links")
-    if not hot.isEmpty():
-        for last in [False] * NEAREST_ROUNDS + [True]:
-            pairs = store(_rest(hot, components(found), num, den, nearest=not last), "candidates")
-            # No set has a nearest one in another component: no set has any.
-            if pairs.isEmpty():
-                break
-            found = found.union(store(_check(pairs, items, num, den, few=True), "links"))
-    merged = components(found)
-    reps = sets.groupBy("sid", "sid2", "n_shingles").agg(F.min("rep").alias("rep")).join(merged.withColumnRenamed("id", "rep"), "rep", "left")
-    by_set = reps.select("sid", "sid2", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
-    own = made.select("doc_id", "n_shingles", "sid", "sid2").distinct()
-    return own.join(by_set, ["sid", "sid2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    near = store(_near(met.where("hot is null").select("a", "b").distinct(), sets, num, den), "near")
+    hot = store(met.where("hot is not null").select("hot", F.col("b").alias("sid"), "n"), "hot")
+    discard(met)
+    pool = store(near.union(_hot_pairs(hot, sets, num, den)).distinct(), "pool")
+    discard(near)
+    texts = _texts(rows, sets, pool.select(F.explode(F.array("a", "b")).alias("sid")).union(hot.select("sid")).distinct(), k, seed)
+    found, labels = None, None
+    for last in [False] * ROUNDS + [True]:
+        chosen = store(pool.select(F.col("a").alias("pivot"), F.col("b").alias("sid")) if last else _uphill(pool), "chosen")
+        links = store(_verify(chosen, texts, k, num, den), "links")
+        found = links if found is None else found.union(links)
+        labels = components(found)
+        tried = chosen.select(F.least("pivot", "sid").alias("a"), F.greatest("pivot", "sid").alias("b"))
+        rest = store(_apart(pool.join(tried.hint("merge"), ["a", "b"], "left_anti"), labels), "pool")
+        discard(pool, chosen)
+        pool = rest
+        if pool.isEmpty():
+            break
+    across = store(_hot_rest(hot, sets, labels, num, den).distinct(), "pool")
+    if not across.isEmpty():
+        chosen = across.select(F.col("a").alias("pivot"), F.col("b").alias("sid"))
+        labels = components(found.union(store(_verify(chosen, texts, k, num, den), "links")))
+    rows.sparkSession.sql(f"DROP TABLE {texts}")
+    return labels
 
 
 def _near(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of sets as (a, b) by representative document, where sizes and sketches allow a link."""
-    left = sets.select(F.col("sid").alias("a"), F.col("rep").alias("ra"), F.col("n_shingles").alias("na"), F.col("sketch").alias("ka"))
-    right = sets.select(F.col("sid").alias("b"), F.col("rep").alias("rb"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("kb"))
+    """Those of the pairs (a, b) of sets whose sizes and sketches allow a link."""
+    left = sets.select(F.col("sid").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("ka"))
+    right = sets.select(F.col("sid").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("kb"))
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ra, na, ka, rb, nb, kb = batch.columns
-            sk = [np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in (ka, kb)]
-            far = np.bitwise_count(sk[0] ^ sk[1]).sum(axis=-1, dtype=np.int64)
+            a, na, ka, b, nb, kb = batch.columns
+            far = np.bitwise_count(_sketches(ka.to_pylist()) ^ _sketches(kb.to_pylist())).sum(axis=-1, dtype=np.int64)
             keep = _allowed(na.to_numpy(), nb.to_numpy(), far, num, den)
-            yield pa.RecordBatch.from_arrays([ra, rb], ["a", "b"]).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(keep))
+
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "na", "ka", "b", "nb", "kb").mapInArrow(run, "a long, b long")
+
+
+def _hot_pairs(hot: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of nearest sets within the two largest keys of each set."""
+    by = Window.partitionBy("sid").orderBy(F.desc("n"), "hot")
+    two = hot.withColumn("rank", F.row_number().over(by)).where("rank <= 2")
+    rows = two.join(sets.select("sid", F.col("n_shingles").alias("size"), "sketch").hint("merge"), "sid")
+    rows = rows.select("hot", F.pmod(F.xxhash64("sid"), F.ceil(F.col("n") / BLOCK)).cast("int").alias("block"), "sid", "size", "sketch")
+    return rows.repartition("hot", "block").sortWithinPartitions("hot", "block").mapInArrow(_nearest(num, den), "a long, b long")
+
+
+def _texts(rows: DataFrame, sets: DataFrame, wanted: DataFrame, k: int, seed: int) -> str:
+    """The table (sid, body) of the wanted sets' texts, bucketed by sid; returns its name."""
+    spark = rows.sparkSession
+    shared_dir(spark)
+    wanted = store(wanted.join(sets.select("sid", "rep").hint("merge"), "sid").select("sid", "rep"), "wanted")
+    some = with_chance(rows, "doc_id", bitmap(wanted, "rep")).where("__chance").select("text")
+    made = some.mapInArrow(_bodies(k, seed), "sid long, body binary")
+    kept = made.join(wanted.select("sid").hint("merge"), "sid", "left_semi").dropDuplicates(["sid"])
+    table = f"lodestone_texts_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Bodies are compressed already.
+    kept.write.format("parquet").option("compression", "none").bucketBy(buckets, "sid").sortBy("sid").saveAsTable(table)
+    discard(wanted)
+    return table
+
 
-    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("ra", "na", "ka", "rb", "nb", "kb").mapInArrow(run, "a long, b long")
+def _uphill(pairs: DataFrame) -> DataFrame:
+    """(pivot, sid): each set with the one of its partners that has most partners, unless it has more itself."""
+    both = pairs.select(F.col("a").alias("sid"), F.col("b").alias("of")).union(pairs.select("b", "a"))
+    degree = both.groupBy(F.col("sid").alias("of")).agg(F.count("*").alias("n"))
+    best = both.join(degree.hint("merge"), "of").groupBy("sid").agg(F.count("*").alias("own"), F.max(F.struct("n", (-F.col("of")).alias("x"))).alias("top"))
+    return best.where((F.col("top.n") > F.col("own")) | ((F.col("top.n") == F.col("own")) & (F.col("top.x") > -F.col("sid")))).select((-F.col("top.x")).alias("pivot"), "sid")
 
 
-def _rest(hot: DataFrame, labels: DataFrame, num: int, den: int, nearest: bool) -> DataFrame:
-    """Pairs of the large keys that lie in different components, block against block."""
-    rows = hot.join(labels.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").withColumn("comp", F.coalesce("component_id", "rep"))
-    mixed = rows.groupBy("hot").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("hot")
-    rows = rows.join(mixed, "hot", "left_semi")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.withColumn("other", other).select(
-        "hot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("rep").alias("sid"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "comp", "size", "sketch"
-    )
-    out = rows.repartition("hot", "i", "j").sortWithinPartitions("hot", "i", "j").mapInArrow(_blocks(num, den, nearest), "a long, b long")
-    return out.distinct()
+def _verify(chosen: DataFrame, texts: str, k: int, num: int, den: int) -> DataFrame:
+    """Those pairs (pivot, sid) that link, by their whole sets. Partners of one pivot are dealt to blocks with a copy of it each."""
+    blocks = chosen.groupBy("pivot").agg(F.ceil(F.count("*") / PIVOT_BLOCK).alias("blocks"))
+    dealt = chosen.join(blocks.hint("merge"), "pivot").select("pivot", F.pmod(F.xxhash64("sid"), "blocks").cast("int").alias("block"), F.lit(1).alias("role"), "sid")
+    pivots = dealt.select("pivot", "block", F.lit(0).alias("role"), F.col("pivot").alias("sid")).distinct()
+    asked = dealt.union(pivots).join(chosen.sparkSession.table(texts).hint("merge"), "sid").select("pivot", "block", "role", "sid", "body")
+    return asked.repartition("pivot", "block").sortWithinPartitions("pivot", "block", "role").mapInArrow(_verified(k, num, den), "a long, b long")
 
 
-def _grouped(pairs: DataFrame, items: DataFrame) -> DataFrame:
-    """Pairs with the group `g` in which they are verified, their component; null where its sets are too many for one task."""
-    reach = components(pairs, "groups").select(F.col("id").alias("a"), F.col("component_id").alias("g"))
-    sizes = reach.join(items.select(F.col("doc_id").alias("a"), "n").hint("merge"), "a")
-    small = sizes.groupBy("g").agg(F.sum("n").alias("n")).where(F.col("n") <= TOGETHER).select("g", F.lit(True).alias("small"))
-    own = reach.join(small.hint("merge"), "g", "left")
-    return pairs.join(own.hint("merge"), "a").select("a", "b", F.when(F.col("small"), F.col("g")).alias("g"))
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b) that lie in different components."""
+    ends = [labels.select(F.col("id").alias(c), F.col("component_id").alias(f"top_{c}")).hint("merge") for c in ("a", "b")]
+    tops = pairs.join(ends[0], "a", "left").join(ends[1], "b", "left")
+    return tops.where(F.coalesce("top_a", "a") != F.coalesce("top_b", "b")).select("a", "b")
 
 
-def _check(pairs: DataFrame, items: DataFrame, num: int, den: int, few: bool = False) -> DataFrame:
-    """Those of the pairs of documents that link, by their whole sets.
+def _hot_rest(hot: DataFrame, sets: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of the larger keys' sets that lie in different components and may link.
 
-    few: after counting them, up to `SENT` pairs are sent to the sets, which
-    then don't move; more pairs meet the sets by a shuffle, as in the first
-    check, where their number grows with the documents.
+    Sets of the key's largest component are dealt to blocks once; the others
+    meet each of these blocks and each block of their own.
     """
-    pairs = store(_grouped(pairs, items), "grouped")
-    near, far = pairs.where("g is not null"), pairs.where("g is null")
-    n_far = far.count()
-    sent = lambda df, n: F.broadcast(df) if n <= SENT else df.hint("merge")
-    needed = near.select("g", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = items.select("doc_id", "items").join(sent(needed, near.count() if few else SENT + 1), "doc_id")
-    rows = sets.select("g", F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "items").union(near.select("g", "a", "b", F.lit(None).cast("binary").alias("items")))
-    out = rows.repartition("g").sortWithinPartitions("g", F.col("b").asc_nulls_first()).mapInArrow(_verify_groups(num, den), "a long, b long")
-    if not n_far:
-        return out
-
-    def verified(some: DataFrame, n: int) -> DataFrame:
-        ids = some.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        own = items.select("doc_id", "items").join(sent(ids, n), "doc_id", "left_semi")
-        both = some.join(own.select(F.col("doc_id").alias("a"), F.col("items").alias("x")).hint("merge"), "a").join(own.select(F.col("doc_id").alias("b"), F.col("items").alias("y")).hint("merge"), "b")
-        return store(both.select("a", "b", "x", "y").mapInArrow(_verify(num, den), "a long, b long"), "links")
-
-    # One pair per document first; of the others, those that these links don't connect already.
-    first = verified(far.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), n_far)
-    label = components(first)
-    ends = [label.select(F.col("id").alias(c), F.col("component_id").alias(f"top_{c}")).hint("merge") for c in ("a", "b")]
-    tops = far.select("a", "b").join(ends[0], "a", "left").join(ends[1], "b", "left")
-    rest = store(tops.where(F.coalesce("top_a", "a") != F.coalesce("top_b", "b")).select("a", "b"), "candidates")
-    return out.union(first).union(verified(rest, rest.count()))
+    rows = store(hot.join(labels.withColumnRenamed("id", "sid").hint("merge"), "sid", "left").select("hot", "sid", "n", F.coalesce("component_id", "sid").alias("comp")), "hot")
+    largest = rows.groupBy("hot", "comp").agg(F.count("*").alias("c"), F.first("n").alias("n")).groupBy("hot").agg(F.max(F.struct("c", "comp")).alias("top"), F.first("n").alias("n"))
+    mixed = largest.where("top.c < n").select("hot", F.col("top.comp").alias("major"), F.ceil(F.col("top.c") / BLOCK).cast("int").alias("majors"), F.ceil((F.col("n") - F.col("top.c")) / BLOCK).cast("int").alias("minors"))
+    rows = rows.join(mixed.hint("merge"), "hot").join(sets.select("sid", F.col("n_shingles").alias("size"), "sketch").hint("merge"), "sid")
+    own = F.pmod(F.xxhash64("sid"), F.when(F.col("comp") == F.col("major"), F.col("majors")).otherwise(F.col("minors"))).cast("int")
+    rows = rows.withColumn("own", own)
+    place = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+    to_major = F.transform(F.sequence(F.lit(0), F.col("majors") - 1), lambda m: place(m, F.lit(-1), F.lit(0)))
+    to_minor = F.transform(F.sequence(F.lit(0), F.col("minors") - 1), lambda o: place(F.least("own", o), F.greatest("own", o), F.when(F.col("own") <= o, 0).otherwise(1)))
+    places = F.when(F.col("comp") == F.col("major"), F.array(place(F.col("own"), F.lit(-1), F.lit(1)))).otherwise(F.concat(to_major, to_minor))
+    dealt = rows.select("hot", "sid", "comp", "size", "sketch", F.explode(places).alias("p")).select("hot", "p.i", "p.j", "sid", "comp", "size", "p.side", "sketch")
+    return dealt.repartition("hot", "i", "j").sortWithinPartitions("hot", "i", "j").mapInArrow(_across(num, den), "a long, b long")
 
 
 def op2_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -8,10 +8,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import _parity, decontaminate, lm_scoring, ngram_jaccard, substring_dedup
+from lodestone.llm import _components, _parity, _text, decontaminate, lm_scoring, ngram_jaccard, substring_dedup
 
 from .helpers import SCHEMA, alnum, components, corpus, frame, words
 
@@ -21,10 +22,13 @@ def shingles(text, k):
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
 
 
-@pytest.mark.parametrize(("k", "num", "small", "together"), [(4, 85, 32, 1 << 22), (5, 80, 2, 60)])
-def test_jaccard_components(spark, monkeypatch, k, num, small, together):
-    monkeypatch.setattr(ngram_jaccard, "TOGETHER", together)
+@pytest.mark.parametrize(("k", "num", "small", "block", "pivot", "one_task"), [(4, 85, 16, 8192, 256, 500_000), (5, 80, 2, 3, 2, 0), (4, 60, 1, 2, 1, 3)])
+def test_jaccard_components(spark, monkeypatch, k, num, small, block, pivot, one_task):
+    """Both sides of each bound: keys above and below the small group, several blocks, several copies of a pivot, star contraction and one task."""
     monkeypatch.setattr(ngram_jaccard, "SMALL_GROUP", small)
+    monkeypatch.setattr(ngram_jaccard, "BLOCK", block)
+    monkeypatch.setattr(ngram_jaccard, "PIVOT_BLOCK", pivot)
+    monkeypatch.setattr(_components, "ONE_TASK", one_task)
     rows = corpus(150, seed=k)
     sets = {r[0]: shingles(r[1], k) for r in rows}
     ids = list(sets)
@@ -37,12 +41,50 @@ def test_jaccard_components(spark, monkeypatch, k, num, small, together):
 
 
 def test_jaccard_repeated_rows_and_empty_table(spark):
-    rows = [(1, "a b c d e f", None, None, 1)] * 3 + [(2, "a b c d e f", None, None, 1), (None, "a b c d e f", None, None, 1)]
-    got = {(r.doc_id, r.component_id) for r in ngram_jaccard.jaccard_components(frame(spark, rows)).collect()}
-    assert got == {(1, 1), (2, 1), (None, 1)}
+    rows = [(1, "a b c d e f", None, None, 1)] * 3 + [(2, "a b c d e f", None, None, 1), (None, "a b c d e f", None, None, 1), (None, "q r s t u v", None, None, 1), (None, None, None, None, 0), (7, " ", None, None, 1)]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_jaccard.jaccard_components(frame(spark, rows)).collect()), key=str)
+    assert got == sorted([(None, 0, None), (None, 2, None), (None, 2, 1), (1, 2, 1), (1, 2, 1), (1, 2, 1), (2, 2, 1), (7, 0, 7)], key=str)
     assert ngram_jaccard.jaccard_components(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_jaccard_one_id_with_two_texts(spark):
+    """Each text of a repeated id links on its own."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(5, a, None, None, 1), (5, b, None, None, 1), (6, a + " more", None, None, 1), (7, b + " more", None, None, 1), (8, "x" * 300_000 + " y", None, None, 1)]
+    got = sorted((r.doc_id, r.component_id) for r in ngram_jaccard.jaccard_components(frame(spark, rows)).collect())
+    assert got == [(5, 5), (5, 5), (6, 5), (7, 5), (8, 8)]
+
+
+def test_keep_one_of_each_component(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(5, a, "x", None, 1), (5, a, "y", None, 1), (6, a + " more", None, None, 1), (None, a, None, None, 1), (7, b, None, None, 1), (5, b + " more", None, None, 1), (None, "q r s", None, None, 1), (None, "q r s", None, None, 1), (None, None, None, None, 0), (9, "", None, None, 1), (9, "", None, None, 1), (10, "lone words", None, None, 1)]
+    docs = frame(spark, rows).withColumn("heads", F.lit("clash"))
+    kept = ngram_jaccard.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got == sorted([(5, a), (5, b + " more"), (None, "q r s"), (None, None), (9, ""), (9, ""), (10, "lone words")], key=str)
+    assert ngram_jaccard.keep_one(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+@pytest.mark.parametrize("one_task", [0, 10_000])
+def test_components_of_chains_stars_and_cycles(spark, monkeypatch, one_task):
+    monkeypatch.setattr(_components, "ONE_TASK", one_task)
+    edges = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(200, 260)] + [(1, 2), (2, 3), (3, 1), (5, 5), (1, 2), (300, 7)]
+    want = components({v for e in edges for v in e}, edges)
+    got = {r.id: r.component_id for r in _components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: c for i, c in want.items() if i != 5}
+
+
+def test_words_of_two_letters_in_the_pattern_that_cancels_powers():
+    """Thue-Morse words and their complements collide under any polynomial modulo 2**64 with an odd base."""
+    bits = [bin(i).count("1") & 1 for i in range(4096)]
+    a, b = "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+    (s,) = _text.slices(pa.array([a, b]))
+    h = _text.words(s).hash
+    assert len(h) == 2
+    assert h[0] != h[1]
+
+
 @pytest.mark.parametrize("size", [1, 2, 5, 6, 7, 12, 13, 40, 120, 500])
 def test_similar_sets_share_a_key(size):
     """Every pair of sets at the threshold shares a key, also where bands are empty."""
