@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lodestone.llm._store import store
 from lodestone.llm.decontaminate import clean_documents
 from lodestone.llm.mixing import Mix, take_documents
-from lodestone.llm.ngram_jaccard import jaccard_components
+from lodestone.llm.ngram_jaccard import keep_one
 from lodestone.llm.quality_crf import keep_good, remainder
 from lodestone.llm.token_output import token_tables
 
@@ -26,10 +26,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group of five-word shingle sets that links of similarity 0.8 connect; rows without an id stay."""
-    found = jaccard_components(docs)
-    dropped = found.where("doc_id <> component_id").select("doc_id")
-    return docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group that links of five-word shingle sets at a similarity of 0.8 connect: that with the least doc_id."""
+    return keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
