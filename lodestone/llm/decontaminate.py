@@ -143,28 +143,35 @@ def matches(s: TextSlice, q: TestItems, window: int = WINDOW) -> tuple[Words, np
     return w, *SuffixArray(w, at, window).search(q)
 
 
-def _scan(q: TestItems, window: int, more: bool = False):
-    """more: each row keeps its text for the next block of items, and what the blocks before have found."""
+def _listed(ids: np.ndarray, rows: np.ndarray, items: np.ndarray, n: int, known: list) -> pa.Array:
+    """Ids of the distinct items of each row as sorted strings, with those that are known already."""
+    pairs = np.unique(np.stack([rows, items], 1), axis=0) if len(rows) else np.zeros((0, 2), np.int64)
+    out = [list(x) for x in known] if known else [[] for _ in range(n)]
+    for r, i in pairs.tolist():
+        out[r].append(ids[i])
+    return pa.array([sorted(set(map(str, x))) for x in out], pa.list_(pa.string()))
+
+
+def _scan(q: TestItems, window: int, more: bool = False, spans: bool = True):
+    """more: each row keeps its text for the next block of items, and what the blocks before have found; spans: give each occurrence."""
 
     def run(batches):
         for batch in batches:
-            earlier = "spans" in batch.schema.names
+            earlier = "items" in batch.schema.names
             for s in slices(batch.column(1)):
                 w, which, place, same = matches(s, q, window)
                 hit = np.zeros(len(w.hash) + 1, dtype=np.int64)
                 np.add.at(hit, place, 1)
                 np.add.at(hit, place + q.size[which], -1)
                 inside = np.concatenate([[0], np.cumsum(np.cumsum(hit)[:-1] > 0)])
-                n_hit = inside[w.first[1:]] - inside[w.first[:-1]]
                 row = w.row[place]
-                items, spans = (batch.column(c).slice(s.first, s.n).to_pylist() if earlier else [[] for _ in range(s.n)] for c in ("items", "spans"))
-                seen = set()
-                for r, i, p, m, z in zip(row.tolist(), q.item[q.start[which]].tolist(), (place - w.first[row]).tolist(), same.tolist(), q.size[which].tolist()):
-                    spans[r].append({"first": p, "size": z, "longest": m, "item_id": q.ids[i]})
-                    if (r, i) not in seen:
-                        seen.add((r, i))
-                        items[r].append(q.ids[i])
-                found = {"n_words": pa.array(np.diff(w.first)), "n_hit": pa.array(n_hit), "items": pa.array([sorted(set(map(str, x))) for x in items], pa.list_(pa.string())), "spans": pa.array(spans, pa.list_(_SPAN))}
+                known = batch.column("items").slice(s.first, s.n).to_pylist() if earlier else []
+                found = {"n_words": pa.array(np.diff(w.first)), "n_hit": pa.array(inside[w.first[1:]] - inside[w.first[:-1]]), "items": _listed(q.ids, row, q.item[q.start[which]], s.n, known)}
+                if spans:
+                    each = batch.column("spans").slice(s.first, s.n).to_pylist() if earlier else [[] for _ in range(s.n)]
+                    for r, i, p, m, z in zip(row.tolist(), q.item[q.start[which]].tolist(), (place - w.first[row]).tolist(), same.tolist(), q.size[which].tolist()):
+                        each[r].append({"first": p, "size": z, "longest": m, "item_id": q.ids[i]})
+                    found["spans"] = pa.array(each, pa.list_(_SPAN))
                 yield pa.RecordBatch.from_pydict({c: batch.column(c).slice(s.first, s.n) for c in ("id", "text")[: 1 + more]} | found)
 
     return run
@@ -173,8 +180,8 @@ def _scan(q: TestItems, window: int, more: bool = False):
 _SPAN = pa.struct([("first", pa.int64()), ("size", pa.int64()), ("longest", pa.int64()), ("item_id", pa.string())])
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(id, n_words, n_hit, items, spans) of each document.
+def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, spans: bool = True) -> DataFrame:
+    """(id, n_words, n_hit, items, spans) of each document; without `spans` they aren't made where one block of items suffices.
 
     `items` are the ids, as sorted strings, of items with occurring windows;
     `spans` has each occurrence: first word, words of the window, longest
@@ -186,7 +193,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     schema = f"id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<first: long, size: long, longest: long, item_id: string>>"
     blocks = _blocks(tests, window)
     if len(blocks) == 1:
-        return rows.mapInArrow(_scan(blocks[0], window), schema)
+        return rows.mapInArrow(_scan(blocks[0], window, spans=spans), schema if spans else schema.partition(", spans")[0])
     for q in blocks:
         rows = rows.mapInArrow(_scan(q, window, True), schema.replace(", n_words", ", text string, n_words", 1))
     return _recounted(rows)
@@ -243,7 +250,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text
 
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:
-    return digest(scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    return digest(scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), spans=False))
 
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"

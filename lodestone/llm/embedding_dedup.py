@@ -7,8 +7,10 @@ threshold collides on each line with a known chance, so a count of collisions
 that such pairs reach with probability `RECALL_COUNT` tells which pairs are
 verified by their cosine in double precision.
 
-Counting for all pairs would grow with the square of the table. So vectors
-first meet in cells: the signs of K lines name a cell, and L independent cells
+Counting for all pairs would grow with the square of the table, and a window that
+keeps pairs at the threshold holds a third of a line, so sorted lines alone don't
+prune. So vectors first meet in cells, where collisions of all lines are counted
+for every pair of a block at once: the signs of K lines name a cell, and L independent cells
 per vector make a pair at the threshold meet at least once with probability
 `RECALL_CELLS`. K grows with the logarithm of the number of vectors, which keeps
 cells at about `CELL` vectors, and L with about its power 0.22. A pair that
@@ -17,7 +19,7 @@ sums, and no pair leaves its task: a cell gives a row per vector with links and
 a vector it is connected to. Cells of more than `BLOCK` vectors are compared
 block against block, in tasks of their own.
 
-Null or zero vectors and those with null or non-finite components link with
+A row without an id links with nothing. Null or zero vectors and those with null or non-finite components link with
 nothing. Vectors of different lengths are never compared. Repeated ids keep a
 row each.
 """
@@ -129,8 +131,6 @@ def cell_links(plan: Plan, t: int, rep: np.ndarray, copies: np.ndarray, x: np.nd
     second = first if whole else second
     p = (x @ plan.lines(x.shape[1])).astype(np.float32)
     codes = plan.codes(x)
-    order = np.argsort(p[second, 0], kind="stable")
-    second = second[order]
     links, pairs = np.zeros(len(rep), dtype=np.int64), []
     for at in range(0, len(first), 256):
         i = first[at : at + 256]
@@ -215,7 +215,10 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     classes = distinct.join(links.hint("merge"), "rep", "left").join(labels.withColumnRenamed("id", "rep").hint("merge"), "rep", "left")
     classes = classes.select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
-    out = rows.join(classes.hint("merge"), "v", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    # Vectors that link with nothing stay where they are; a vector with many copies is a skewed key, which adaptive execution splits.
+    fine = F.coalesce(usable, F.lit(False)) & F.col("vec_id").isNotNull()
+    linked = rows.where(fine).join(classes.hint("merge"), "v").select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id")
+    out = linked.union(rows.where(~fine).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 

@@ -14,9 +14,11 @@ and one per leaf and range of hashes. Only the range in which a leaf's budget
 ends is looked at row by row, so a hot leaf meets in no single task. Texts
 aren't moved: a document is taken if its hash isn't above its leaf's cut.
 
-Null domains, languages and sources count as "unknown", null texts as empty.
-Rows that repeat a doc_id in a leaf are taken or left together. Shares round
-down to whole tokens. All of it is DataFrame operations.
+Null domains, languages and sources count as "unknown", null texts as empty, and
+a null doc_id as one more id. Rows that repeat a doc_id in a leaf follow each
+other in order of their texts' digests and count one by one, so the budget is
+kept to the token; of rows that are equal in both, any ones are taken. Shares
+round down to whole tokens. All of it is DataFrame operations.
 """
 
 from __future__ import annotations
@@ -99,50 +101,70 @@ def _leaf_columns(docs: DataFrame, domain: Column | None) -> dict[str, Column]:
     return {"__mix_domain": F.coalesce(domain, F.lit("unknown")), "__mix_lang": F.coalesce("lang", F.lit("unknown")), "__mix_source": F.coalesce("source", F.lit("unknown"))}
 
 
-def _hash(mix: Mix, epoch: Column) -> Column:
-    return F.md5(F.concat_ws(":", F.lit(str(mix.seed)), epoch.cast("string"), F.col("doc_id").cast("string")))
+def _order(mix: Mix, epoch: Column) -> Column:
+    """The place of a row in an epoch: a hash of the seed, the epoch and its id, then the digest of its text."""
+    return F.concat(F.md5(F.concat_ws(":", F.lit(str(mix.seed)), epoch.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), F.col("__mix_tie"))
 
 
 def plan(tokens: DataFrame, mix: Mix) -> DataFrame:
-    """One row per leaf: whole epochs, the cut of the epoch after them, and the tokens taken of the document at the cut."""
+    """One row per leaf: whole epochs, the cut of the epoch after them, and the tokens taken of the rows at the cut."""
     leaves = tokens.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
     leaf = store(budgets(leaves, mix).where("tokens > 0").select(*LEVELS, F.expr("share div tokens").alias("epochs"), F.expr("share % tokens").alias("rest")), "leaves")
-    hashed = tokens.join(leaf, list(LEVELS)).where("rest > 0").select(*LEVELS, "n_tokens", "rest", _hash(mix, F.col("epochs")).alias("hash"))
-    hashed = hashed.withColumn("range", F.substring("hash", 1, mix.digits))
-    ranges = hashed.groupBy(*LEVELS, "range").agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("rest"))
+    placed = tokens.join(leaf, list(LEVELS)).where("rest > 0").select(*LEVELS, "n_tokens", "rest", _order(mix, F.col("epochs")).alias("place"))
+    placed = placed.withColumn("range", F.substring("place", 1, mix.digits))
+    ranges = placed.groupBy(*LEVELS, "range").agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("rest"))
     before = Window.partitionBy(*LEVELS).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     last = ranges.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).where("before < rest").groupBy(*LEVELS).agg(F.max(F.struct("range", "before")).alias("x")).select(*LEVELS, "x.range", "x.before")
-    close = hashed.join(last, [*LEVELS, "range"]).groupBy(*LEVELS, "hash").agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("rest"), F.first("before").alias("start"))
-    inside = Window.partitionBy(*LEVELS).orderBy("hash").rowsBetween(Window.unboundedPreceding, -1)
+    close = placed.join(last, [*LEVELS, "range"]).groupBy(*LEVELS, "place").agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("rest"), F.first("before").alias("start"))
+    inside = Window.partitionBy(*LEVELS).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     close = close.withColumn("before", F.col("start") + F.coalesce(F.sum("n").over(inside), F.lit(0))).where("before < rest")
-    cuts = close.groupBy(*LEVELS).agg(F.max(F.struct("hash", (F.col("rest") - F.col("before")).alias("taken"))).alias("x")).select(*LEVELS, F.col("x.hash").alias("cut"), F.col("x.taken").alias("at_cut"))
+    cuts = close.groupBy(*LEVELS).agg(F.max(F.struct("place", (F.col("rest") - F.col("before")).alias("taken"))).alias("x")).select(*LEVELS, F.col("x.place").alias("cut"), F.col("x.taken").alias("at_cut"))
     return store(leaf.join(cuts, list(LEVELS), "left").select(*LEVELS, "epochs", "cut", "at_cut"), "plan")
 
 
+def _tie(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")))
+
+
 def count_tokens(docs: DataFrame, domain: Column | None = None) -> DataFrame:
-    """(doc_id, domain, lang, source, n_tokens), stored: one pass over the texts."""
+    """(doc_id, domain, lang, source, n_tokens, __mix_tie), stored: one pass over the texts."""
     leaf = [c.alias(n) for n, c in zip(LEVELS, _leaf_columns(docs, domain).values())]
-    return store(docs.select("doc_id", *leaf, F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("n_tokens")), "tokens")
+    return store(docs.select("doc_id", *leaf, _words(F.col("text")).alias("n_tokens"), _tie(F.col("text")).alias("__mix_tie")), "tokens")
+
+
+def _words(text: Column) -> Column:
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
+
+
+def _at_cut(rows: DataFrame, leaf: list[str], epochs: str, n: Column, cut: str, at_cut: str, mix: Mix) -> tuple[DataFrame, DataFrame]:
+    """Rows apart from their leaf's cut with `__mix_in`, whether the begun epoch has them, and the rows at the cut, equal ones in a row, with `__mix_took`, the tokens taken of each."""
+    place = _order(mix, F.col(epochs))
+    at = F.coalesce(place == F.col(cut), F.lit(False))
+    nth = Window.partitionBy(*leaf).orderBy("__mix_tie")
+    tied = rows.where(at).withColumn("__mix_took", F.greatest(F.col(at_cut) - (F.row_number().over(nth) - 1) * n, F.lit(0)))
+    return rows.where(~at).withColumn("__mix_in", F.coalesce(place < F.col(cut), F.lit(False))), tied
 
 
 def mixture(docs: DataFrame, mix: Mix = PRODUCTION, domain: Column | None = None) -> DataFrame:
     """Rows (doc_id, domain, lang, source, epoch, n_tokens, n_taken): each document in each epoch that takes it."""
     tokens = count_tokens(docs, domain)
-    rows = tokens.join(plan(tokens, mix), list(LEVELS))
-    taken = F.coalesce(_hash(mix, F.col("epochs")) <= F.col("cut"), F.lit(False))
-    rows = rows.withColumn("at", _hash(mix, F.col("epochs")) == F.col("cut")).withColumn("last", F.col("epochs") - F.when(taken, 0).otherwise(1))
-    rows = rows.where("last >= 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
-    ends = (F.col("epoch") == F.col("epochs")) & F.coalesce("at", F.lit(False))
-    return rows.select("doc_id", *LEVELS, "epoch", "n_tokens", F.when(ends, F.least("n_tokens", "at_cut")).otherwise(F.col("n_tokens")).alias("n_taken"))
+    apart, tied = _at_cut(tokens.join(plan(tokens, mix), list(LEVELS)), list(LEVELS), "epochs", F.col("n_tokens"), "cut", "at_cut", mix)
+    out = ["doc_id", *LEVELS, "epoch", "n_tokens"]
+    each = lambda rows, last: rows.withColumn("last", last).where("last >= 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
+    whole = each(apart, F.col("epochs") - F.when(F.col("__mix_in"), 0).otherwise(1)).select(*out, F.col("n_tokens").alias("n_taken"))
+    ends = F.col("epoch") == F.col("epochs")
+    part = each(tied, F.col("epochs") - F.when(F.col("__mix_took") > 0, 0).otherwise(1)).select(*out, F.when(ends, F.least("n_tokens", "__mix_took")).otherwise(F.col("n_tokens")).alias("n_taken"))
+    return whole.union(part)
 
 
 def take_documents(docs: DataFrame, mix: Mix, domain: Column | None = None) -> DataFrame:
     """The documents that the mixture takes at least once, whole and with all their columns."""
     leaf = _leaf_columns(docs, domain)
-    leaves = plan(count_tokens(docs, domain), mix).select(*(F.col(n).alias(k) for n, k in zip(LEVELS, leaf)), "epochs", F.col("cut").alias("__mix_cut"))
-    out = docs.withColumns(leaf).join(leaves.withColumnRenamed("epochs", "__mix_epochs"), list(leaf))
-    took = (F.col("__mix_epochs") > 0) | F.coalesce(_hash(mix, F.col("__mix_epochs")) <= F.col("__mix_cut"), F.lit(False))
-    return out.where(took).select(*docs.columns)
+    leaves = plan(count_tokens(docs, domain), mix).select(*(F.col(n).alias(k) for n, k in zip(LEVELS, leaf)), F.col("epochs").alias("__mix_epochs"), F.col("cut").alias("__mix_cut"), F.col("at_cut").alias("__mix_at"))
+    rows = docs.withColumns(leaf).withColumn("__mix_tie", _tie(F.col("text"))).join(leaves, list(leaf))
+    apart, tied = _at_cut(rows, list(leaf), "__mix_epochs", _words(F.col("text")), "__mix_cut", "__mix_at", mix)
+    took = lambda rows, begun: rows.where((F.col("__mix_epochs") > 0) | begun).select(*docs.columns)
+    return took(apart, F.col("__mix_in")).union(took(tied, F.col("__mix_took") > 0))
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
@@ -170,7 +192,7 @@ def oracle(mix: Mix = PRODUCTION) -> str:
     kind = "CAST(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER) % 4"
     return rf"""
 WITH t AS (SELECT doc_id, coalesce(CASE {kind} WHEN 0 THEN 'web' WHEN 1 THEN 'books' WHEN 2 THEN 'forum' WHEN 3 THEN 'reference' END, 'unknown') AS domain,
-    coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS n_tokens FROM documents),
+    coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS n_tokens, md5(coalesce(text, '')) AS tie FROM documents),
 leaves AS (SELECT domain, lang, source, sum(n_tokens) AS tokens, sum(n_tokens) * {mix.max_epochs} AS capacity FROM t GROUP BY ALL),
 d_in AS (SELECT domain, sum(capacity) AS capacity, {_case('domain', mix.domains)} AS weight, (SELECT sum(tokens) * {mix.percent} // 100 FROM leaves) AS budget FROM leaves GROUP BY domain),
 {_share_sql('d', 'd_in', '', 'domain', '')},
@@ -179,7 +201,7 @@ l_in AS (SELECT domain, lang, sum(capacity) AS capacity, {_case('lang', mix.lang
 s_in AS (SELECT domain, lang, source, tokens, capacity, {_case('source', mix.sources)} AS weight, budget FROM leaves JOIN l USING (domain, lang)),
 {_share_sql('s', 's_in', 'domain, lang', 'source', 'tokens,')},
 p AS (SELECT domain, lang, source, budget // tokens AS epochs, budget % tokens AS rest FROM s WHERE tokens > 0),
-h AS (SELECT t.*, epochs, rest, md5('{mix.seed}:' || CAST(epochs AS BIGINT) || ':' || doc_id) AS hash FROM t JOIN p USING (domain, lang, source)),
+h AS (SELECT t.*, epochs, rest, md5('{mix.seed}:' || CAST(epochs AS BIGINT) || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null')) || tie AS hash FROM t JOIN p USING (domain, lang, source)),
 c AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY hash ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM h),
 e AS (SELECT *, unnest(range(0, CAST(epochs AS BIGINT) + CASE WHEN before < rest THEN 1 ELSE 0 END)) AS epoch FROM c)
 SELECT doc_id, domain, lang, source, epoch, n_tokens, CAST(CASE WHEN epoch = epochs THEN least(n_tokens, rest - before) ELSE n_tokens END AS BIGINT) AS n_taken FROM e

@@ -5,13 +5,21 @@ features and those of the lines before and after it; transitions are four
 weights. Forward-backward marginals, weighted by line length, give the score of
 a document, so one bad line in a long good text weighs little.
 
-Training takes a bounded sample of labelled documents (`SAMPLE` documents of at
-most `SAMPLE_LINES` lines each, chosen by a hash of their id) and gives each
-line its document's label. Labels, language, source and id are no features.
+Labels are of documents, so lines are latent in training: each line is taken to
+show its document's label, wrongly with the chance `NOISE`. What is maximised is
+the likelihood of the labels over all labellings of the lines; its gradient, for
+emissions and transitions alike, is the difference of expected counts with and
+without the labels, and each document weighs the same. So a document may have
+lines of both kinds, and the transitions between kinds are learned.
+
+Training takes a bounded sample of labelled documents: `SAMPLE` of them, chosen
+by a hash of their id, and of one that has more than `SAMPLE_LINES` lines that
+many from its middle. Scores are of whole texts. Labels, language, source and id
+are no features.
 
 Null and empty texts are one empty line and get a score as any other. Rows that
-repeat an id get a row each. Without labels of both kinds, every score is the
-share of good labels (0.5 without any).
+repeat an id get a row each (in training one of them counts). Without labels of
+both kinds, every score is the share of good labels (0.5 without any).
 """
 
 from __future__ import annotations
@@ -24,8 +32,9 @@ from pyspark.sql import functions as F
 from ._text import WHITESPACE_WORDS, TextSlice, slices, words
 
 SAMPLE = 6000
-SAMPLE_LINES = 2000
+SAMPLE_LINES = 100
 THRESHOLD = 0.3
+NOISE = 0.02
 OWN = 15
 
 
@@ -102,11 +111,11 @@ def _logaddexp(a, b):
     return np.logaddexp(a, b)
 
 
-def marginals(emission: np.ndarray, first: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+def marginals(emission: np.ndarray, first: np.ndarray, t: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
     """P(good) of each line, expected transitions and the sum of log partition sums.
 
-    emission: score of good against bad; t[i, j]: score of label j after i. All
-    rows advance together, one line a step.
+    emission: score of good against bad; t[i, j]: score of label j after i;
+    weight: of each row in the two sums. All rows advance together, one line a step.
     """
     count = np.diff(first)
     order = np.argsort(-count, kind="stable")
@@ -132,33 +141,39 @@ def marginals(emission: np.ndarray, first: np.ndarray, t: np.ndarray) -> tuple[n
     inner = np.ones(n, dtype=bool)
     inner[begin] = False
     at = np.flatnonzero(inner)
+    each = np.ones(len(first) - 1) if weight is None else weight
+    line = np.repeat(each, np.diff(first))[at]
     for i in (0, 1):
         for j in (0, 1):
-            pairs[i, j] = np.exp(np.minimum(f[at - 1, i] + t[i, j] + e[at, j] + b[at, j] - z[at], 0)).sum()
-    return good, pairs, float(z[begin].sum())
+            pairs[i, j] = (line * np.exp(np.minimum(f[at - 1, i] + t[i, j] + e[at, j] + b[at, j] - z[at], 0))).sum()
+    return good, pairs, float((each[order] * z[begin]).sum())
+
+
+def likelihood(x: np.ndarray, first: np.ndarray, label: np.ndarray, w: np.ndarray, t: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean log likelihood of the documents' labels, each weighed by 1 / lines, and its gradient in emissions and transitions."""
+    count = np.diff(first)
+    share = 1 / count
+    e = x @ w
+    # A shown label is right with chance 1 - NOISE: a score for its own kind of line.
+    shown = np.repeat(np.where(label > 0, 1.0, -1.0), count) * np.log((1 - NOISE) / NOISE)
+    free, free_pairs, free_z = marginals(e, first, t, share)
+    held, held_pairs, held_z = marginals(e + shown, first, t, share)
+    # A bad label's factor is (1 - NOISE) for bad lines and NOISE for good ones; e holds the difference only.
+    base = (share * count * np.where(label > 0, np.log(NOISE), np.log(1 - NOISE))).sum()
+    n = len(label)
+    return (held_z + base - free_z) / n, x.T @ ((held - free) * np.repeat(share, count)) / n, (held_pairs - free_pairs) / n
 
 
 def train(x: np.ndarray, first: np.ndarray, label: np.ndarray, rounds: int = 250, ridge: float = 1e-3) -> dict:
-    """Weights by full-batch Adam on the likelihood; label is of documents, each line has its document's."""
+    """Weights by full-batch Adam on the likelihood of the documents' labels."""
     mean, scale = x.mean(0), x.std(0)
     mean[-1], scale[scale < 1e-9] = 0, 1
     x = (x - mean) / scale
-    count = np.diff(first)
-    y = np.repeat(label, count).astype(float)
-    inner = np.repeat(count > 1, count)
-    starts = np.zeros(len(y), dtype=bool)
-    starts[first[:-1]] = True
-    seen = np.zeros((2, 2))
-    for v in (0, 1):
-        seen[v, v] = ((y == v) & inner & ~starts).sum()
     w, t = np.zeros(x.shape[1]), np.zeros((2, 2))
     m, v = np.zeros(len(w) + 4), np.zeros(len(w) + 4)
-    n = len(label)
     for step in range(1, rounds + 1):
-        good, pairs, _ = marginals(x @ w, first, t)
-        # Each document weighs the same, whatever its number of lines.
-        share = np.repeat(1 / count, count)
-        g = np.concatenate([x.T @ ((y - good) * share) / n - ridge * w, ((seen - pairs) / len(y)).ravel() - ridge * t.ravel()])
+        _, gw, gt = likelihood(x, first, label, w, t)
+        g = np.concatenate([gw - ridge * w, (gt - ridge * t).ravel()])
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w += move[: len(w)]
@@ -170,7 +185,8 @@ def _collect(batches):
     for batch in batches:
         for s in slices(batch.column(1)):
             x, _, first = features(s)
-            body = [x[first[i] : first[i + 1]].astype(np.float32).tobytes() if first[i + 1] - first[i] <= SAMPLE_LINES else None for i in range(s.n)]
+            skip = np.maximum(np.diff(first) - SAMPLE_LINES, 0) // 2
+            body = [x[first[i] + k : min(first[i + 1], first[i] + k + SAMPLE_LINES)].astype(np.float32).tobytes() for i, k in enumerate(skip.tolist())]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, s.n), pa.array(body, pa.binary())], ["quality", "x"])
 
 
@@ -179,7 +195,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id", text_
     rows = labels.where(learn).where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("quality"))
     # At most `sample` rows of two numbers: small enough to send to each executor.
     chosen = rows.orderBy(F.xxhash64(id_col), id_col).limit(sample)
-    got = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select("quality", text_col).mapInArrow(_collect, "quality int, x binary").where("x is not null").toArrow()
+    found = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).groupBy(id_col).agg(F.first("quality").alias("quality"), F.min(F.coalesce(text_col, F.lit(""))).alias("text"))
+    got = found.select("quality", "text").mapInArrow(_collect, "quality int, x binary").toArrow()
     y = got["quality"].to_numpy().astype(int) if got.num_rows else np.zeros(0, int)
     if len(set(y.tolist())) < 2:
         return {"share": float(y.mean()) if len(y) else 0.5}

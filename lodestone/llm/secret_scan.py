@@ -3,8 +3,9 @@
 Candidates are strings that a pattern of known key formats, of values after
 credential words, or of long runs of key characters finds in whole texts. A
 forest, trained here on labelled findings, judges each by its length, its
-character classes and transitions between them, its coverage by dictionary
-words, the path of its document and the words next to it.
+character classes, how much likelier the transitions between them are in secrets
+than in false positives (two matrices counted on the labelled findings), its
+coverage by dictionary words, the path of its document and the words next to it.
 
 The labelled findings are generated from seeded hashes by rule (`labelled`):
 keys, tokens and passwords as secrets; words, digests, identifiers, numbers,
@@ -17,6 +18,9 @@ and MLlib's forest in the JVM.
 
 from __future__ import annotations
 
+import math
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,13 +100,40 @@ def kind_of(token: Column) -> Column:
     return out.otherwise("credential")
 
 
+CLASSES = "aA0_"
 FEATURES = (
-    "length", "digits", "capitals", "lowers", "signs", "runs", "distinct", "entropy", "vowels", "consonants", "dictionary", "hex", "format",
+    "length", "digits", "capitals", "lowers", "signs", "runs", "transitions", "distinct", "entropy", "vowels", "consonants", "dictionary", "hex", "format",
     "keyword", "assigned", "quoted", "decoy", "test_path", "config_path",
 )
 
 
-def with_features(found: DataFrame) -> DataFrame:
+def _classes(token: Column) -> Column:
+    """Each character as its class: lower-case letter, capital, digit, other sign."""
+    out = F.regexp_replace(token, "[^A-Za-z0-9]", "_")
+    for pattern, name in (("[a-z]", "a"), ("[A-Z]", "A"), ("[0-9]", "0")):
+        out = F.regexp_replace(out, pattern, name)
+    return out
+
+
+def _pairs(token: Column) -> dict[str, Column]:
+    """How often each class follows each."""
+    c = _classes(token)
+    return {x + y: F.regexp_count(c, F.lit(f"{x}(?={y})")) for x in CLASSES for y in CLASSES}
+
+
+def learn_transitions(examples: DataFrame) -> dict[str, float]:
+    """Log of how much likelier each transition is in labelled secrets than in the others, each count raised by one."""
+    pairs = _pairs(F.col("token"))
+    sums = [F.sum(F.when(F.col("label") == v, n).otherwise(0)).alias(f"{p}{v}") for p, n in pairs.items() for v in (0, 1)]
+    row = examples.agg(*sums).first()
+
+    def share(p: str, v: int) -> float:
+        return ((row[f"{p}{v}"] or 0) + 1) / (sum((row[f"{p[0]}{y}{v}"] or 0) for y in CLASSES) + len(CLASSES))
+
+    return {p: math.log(share(p, 1) / share(p, 0)) for p in pairs}
+
+
+def with_features(found: DataFrame, transitions: dict[str, float]) -> DataFrame:
     t, b, a = F.col("token"), F.lower("before"), F.lower("after")
     n = F.greatest(F.length(t), F.lit(1))
     rate = lambda pattern: F.regexp_count(t, F.lit(pattern)) / n
@@ -115,6 +146,7 @@ def with_features(found: DataFrame) -> DataFrame:
         "lowers": rate("[a-z]"),
         "signs": rate("[^A-Za-z0-9]"),
         "runs": rate("[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+"),
+        "transitions": sum((n * transitions[p] for p, n in _pairs(t).items()), F.lit(0.0)) / n,
         "distinct": F.size(chars) / n,
         "entropy": F.aggregate(F.filter(chars, lambda c: c != ""), F.lit(0.0), lambda s, c: s - share(c) * F.log2(share(c))),
         "vowels": rate("(?i)[aeiou]"),
@@ -168,25 +200,33 @@ def labelled(spark: SparkSession, n: int = EXAMPLES, seed: int = 7) -> DataFrame
     return store(out, "labelled")
 
 
-def fit(examples: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = 11):
+class Judge(NamedTuple):
+    """A forest and the transitions that one of its features needs."""
+
+    forest: object
+    transitions: dict[str, float]
+
+
+def fit(examples: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = 11) -> Judge:
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(with_features(examples)).select("features", "label")
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(ready)
+    transitions = learn_transitions(examples)
+    ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(with_features(examples, transitions)).select("features", "label")
+    return Judge(RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(ready), transitions)
 
 
-def judged(found: DataFrame, model) -> DataFrame:
+def judged(found: DataFrame, model: Judge) -> DataFrame:
     """The candidates with `probability`, the forest's share for a secret."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(with_features(found))
-    model = model.setProbabilityCol("shares")
-    return model.transform(ready).withColumn("probability", vector_to_array("shares")[1]).drop("features", "shares", "rawPrediction", "prediction", *FEATURES)
+    ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(with_features(found, model.transitions))
+    forest = model.forest.setProbabilityCol("shares")
+    return forest.transform(ready).withColumn("probability", vector_to_array("shares")[1]).drop("features", "shares", "rawPrediction", "prediction", *FEATURES)
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: Column | None = None, threshold: float = THRESHOLD, model=None) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: Column | None = None, threshold: float = THRESHOLD, model: Judge | None = None) -> DataFrame:
     """Findings that the forest keeps: (id, start, length, kind, probability, secret_sha256, redacted); secrets themselves aren't shown."""
     model = model or fit(labelled(docs.sparkSession))
     kept = judged(candidates(docs, id_col, text_col, path), model).where(F.col("probability") >= threshold)

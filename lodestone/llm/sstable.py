@@ -8,14 +8,17 @@ A shard holds documents in ascending order of their identifier:
     Bloom filter  ten bits and seven probes a key
     footer        places of index and filter, counts, CRC, magic
 
-Keys are 8 bytes, big-endian with the sign bit flipped, so their byte order is
-that of the integers. Values are token ids as little-endian unsigned integers
+Keys are 9 bytes: 1 and the identifier, big-endian with the sign bit flipped, so
+their byte order is that of the integers; nine zeros stand for no identifier and
+come first. Values are token ids as little-endian unsigned integers
 of 2 or 4 bytes. A lookup asks the filter, searches the index by bisection and
-reads one block. Entries with equal keys are kept, in order of writing.
+reads one block. Entries with equal keys are kept, in order of writing. A writer
+holds one block, 24 bytes and a key for each block and 16 bytes for each entry.
 """
 
 from __future__ import annotations
 
+import array
 import bisect
 import struct
 import zlib
@@ -24,18 +27,19 @@ import numpy as np
 import xxhash
 import zstandard
 
-MAGIC = b"LDSTSST1"
+MAGIC = b"LDSTSST2"
+KEY = 9
 BLOCK_BYTES = 64 << 10
 BLOOM_BITS, BLOOM_PROBES = 10, 7
 _FOOTER = struct.Struct("<QQQQQQIB8s")
 
 
-def key_of(doc_id: int) -> bytes:
-    return struct.pack(">Q", (doc_id + (1 << 63)) & ((1 << 64) - 1))
+def key_of(doc_id: int | None) -> bytes:
+    return bytes(KEY) if doc_id is None else b"\x01" + struct.pack(">Q", (doc_id + (1 << 63)) & ((1 << 64) - 1))
 
 
-def id_of(key: bytes) -> int:
-    return struct.unpack(">Q", key)[0] - (1 << 63)
+def id_of(key: bytes) -> int | None:
+    return struct.unpack(">Q", key[1:])[0] - (1 << 63) if key[0] else None
 
 
 def _varint(n: int) -> bytes:
@@ -58,10 +62,22 @@ def _read_varint(data: bytes, at: int) -> tuple[int, int]:
         shift += 7
 
 
-def _probes(key: bytes, bits: int) -> list[int]:
+def _hashes(key: bytes) -> tuple[int, int]:
     h = xxhash.xxh3_128_intdigest(key)
-    a, b = h & ((1 << 64) - 1), h >> 64
-    return [(a + i * b) % bits for i in range(BLOOM_PROBES)]
+    return h & ((1 << 64) - 1), h >> 64
+
+
+def _places(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
+    """The bits of keys with these hashes, probe after probe; sums wrap around at 64 bits."""
+    return np.concatenate([(a + np.uint64(i) * b) % np.uint64(bits) for i in range(BLOOM_PROBES)])
+
+
+def _filter(a: np.ndarray, b: np.ndarray, bits: int) -> bytes:
+    out = np.zeros(-(-bits // 8), dtype=np.uint8)
+    for at in range(0, len(a), 1 << 16):
+        place = _places(a[at : at + (1 << 16)], b[at : at + (1 << 16)], bits)
+        np.bitwise_or.at(out, (place >> np.uint64(3)).astype(np.int64), np.uint8(1) << (place & np.uint64(7)).astype(np.uint8))
+    return out.tobytes()
 
 
 class Writer:
@@ -72,23 +88,23 @@ class Writer:
         self.dtype = {2: "<u2", 4: "<u4"}[width]
         self.block, self.block_bytes, self.last, self.prior = [], 0, b"", None
         self.index: list[tuple[bytes, int, int]] = []
-        self.keys: list[bytes] = []
+        self.hashes = array.array("Q")
         self.n_tokens = 0
         self.zstd = zstandard.ZstdCompressor(level=3)
 
-    def add(self, doc_id: int, ids: np.ndarray) -> None:
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         key, value = key_of(doc_id), ids.astype(self.dtype).tobytes()
         if self.prior is not None and key < self.prior:
             raise ValueError("keys must ascend")
         shared = 0
         if self.block:
-            while shared < 8 and key[shared] == self.prior[shared]:
+            while shared < KEY and key[shared] == self.prior[shared]:
                 shared += 1
-        entry = _varint(shared) + _varint(8 - shared) + _varint(len(value)) + key[shared:] + value
+        entry = _varint(shared) + _varint(KEY - shared) + _varint(len(value)) + key[shared:] + value
         self.block.append(entry)
         self.block_bytes += len(entry)
         self.prior = key
-        self.keys.append(key)
+        self.hashes.extend(_hashes(key))
         self.n_tokens += len(ids)
         if self.block_bytes >= BLOCK_BYTES:
             self._flush()
@@ -107,12 +123,11 @@ class Writer:
     def close(self) -> None:
         self._flush()
         index_at, index_size = self._put(b"".join(k + struct.pack("<QQ", a, n) for k, a, n in self.index))
-        bits = max(64, BLOOM_BITS * len(self.keys))
-        bloom = np.zeros(bits, dtype=np.uint8)
-        for key in self.keys:
-            bloom[_probes(key, bits)] = 1
-        bloom_at, _ = self._put(np.packbits(bloom, bitorder="little").tobytes())
-        body = (index_at, index_size, bloom_at, bits, len(self.keys), self.n_tokens)
+        pairs = np.frombuffer(self.hashes, dtype=np.uint64) if self.hashes else np.zeros(0, np.uint64)
+        n = len(pairs) // 2
+        bits = max(64, BLOOM_BITS * n)
+        bloom_at, _ = self._put(_filter(pairs[::2], pairs[1::2], bits))
+        body = (index_at, index_size, bloom_at, bits, n, self.n_tokens)
         crc = zlib.crc32(struct.pack("<6QB", *body, self.width))
         self._put(_FOOTER.pack(*body, crc, self.width, MAGIC))
 
@@ -131,8 +146,9 @@ class Reader:
             raise ValueError("not a shard, or its footer is damaged")
         index_at, index_size, self.bloom_at, self.bits, self.n_docs, self.n_tokens = body
         raw = self._read(index_at, index_size)
-        self.last = [raw[i : i + 8] for i in range(0, len(raw), 24)]
-        self.place = [struct.unpack("<QQ", raw[i + 8 : i + 24]) for i in range(0, len(raw), 24)]
+        entry = KEY + 16
+        self.last = [raw[i : i + KEY] for i in range(0, len(raw), entry)]
+        self.place = [struct.unpack("<QQ", raw[i + KEY : i + entry]) for i in range(0, len(raw), entry)]
         self.dtype = {2: "<u2", 4: "<u4"}[self.width]
         self.bloom = None
         self.zstd = zstandard.ZstdDecompressor()
@@ -162,12 +178,13 @@ class Reader:
             for key, ids in self.block(i):
                 yield id_of(key), ids
 
-    def may_hold(self, doc_id: int) -> bool:
+    def may_hold(self, doc_id: int | None) -> bool:
         if self.bloom is None:
             self.bloom = self._read(self.bloom_at, -(-self.bits // 8))
-        return all(self.bloom[p >> 3] >> (p & 7) & 1 for p in _probes(key_of(doc_id), self.bits))
+        a, b = (np.array([h], dtype=np.uint64) for h in _hashes(key_of(doc_id)))
+        return all(self.bloom[p >> 3] >> (p & 7) & 1 for p in _places(a, b, self.bits).tolist())
 
-    def get(self, doc_id: int) -> np.ndarray | None:
+    def get(self, doc_id: int | None) -> np.ndarray | None:
         """The ids of the first entry with that key."""
         if not self.may_hold(doc_id):
             return None

@@ -6,9 +6,9 @@ written shard by shard; a shard is written under a name of its own attempt and
 moved to its final name, so a lost or repeated task leaves one whole file. The
 manifest has one row per shard with its first token's place among all tokens.
 
-Null texts count as empty: the end id alone. Rows with a null identifier have
-no key and are left out of the shards. Repeated identifiers give an entry for
-each row, ordered by a hash of their texts. Other columns are ignored.
+Null texts count as empty: the end id alone. Rows without an identifier have a
+key of their own that comes before all others. Repeated identifiers give an
+entry for each row, ordered by a hash of their texts. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from ._store import fresh_path, store
 from ._text import slices
 
 END_ID = 0
+#: Bytes of text in a shard, about; there are as many shards as shuffle partitions at least.
+SHARD_BYTES = 64 << 20
 _MANIFEST = "shard int, path string, n_docs long, n_tokens long"
 
 
@@ -73,8 +75,10 @@ def _write(vocabulary_path: str, out: str, end_id: int):
 def write_tokens(docs: DataFrame, vocabulary_path: str, out: str, shards: int | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the shards to folder `out`, which all executors see; returns the stored manifest (shard, path, n_docs, n_tokens, start)."""
     spark = docs.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    if shards is None:
+        size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     dealt = rows.repartitionByRange(shards, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     manifest = store(dealt.mapInArrow(_write(vocabulary_path, out, end_id), _MANIFEST), "manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
