@@ -26,7 +26,7 @@ from ._text import mix64
 #: Size classes: class c holds sizes up to BOUNDS[c]. Sets that may have a partner in the next class issue its words as well.
 _RATIO = 0.6
 _SLACK = 0.2
-BIT_WORDS = 8
+BITS_PER_TOKEN, MIN_BITS, MAX_BITS = 4, 512, 1 << 16
 
 
 class Bands:
@@ -53,18 +53,29 @@ class Bands:
 
     def keys(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Keys of sets given as sorted 48-bit hashes, set after set: (key, index of the set)."""
+        return self.keys_and_needs(hashes, counts)[:2]
+
+    def keys_and_needs(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The keys, and for each set how many of them it shares at least with any partner that isn't smaller.
+
+        Of the words that a set issues in a class, a partner lacks no more than
+        they differ in tokens, which is d(n) at most.
+        """
         out_k, out_s = [], []
+        words = np.full(len(counts), 1 << 40, dtype=np.int64)
         own, top = self.classes(counts)
         first = np.concatenate([[0], np.cumsum(counts)])
         for shift in range(int((top - own).max(initial=0)) + 1):
             some = np.flatnonzero((counts > 0) & (own + shift <= top))
             if len(some):
-                k, s = self._class_keys(hashes, counts, first, some, own[some] + shift)
+                k, s, n = self._class_keys(hashes, counts, first, some, own[some] + shift)
                 out_k.append(k)
                 out_s.append(s)
+                words[some] = np.minimum(words[some], n)
+        needs = np.where(counts > 0, words - self.diff(counts), 0)
         if not out_k:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        return np.concatenate(out_k), np.concatenate(out_s)
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), needs
+        return np.concatenate(out_k), np.concatenate(out_s), needs
 
     def _class_keys(self, hashes, counts, first, some, cls):
         n = counts[some]
@@ -88,7 +99,7 @@ class Bands:
         lacking = self._lacking(n, at, base)[owner]
         prefix = lacking & (_within(n) < ((self.den - self.num) * n // self.den + 1)[owner])
         tokens = mix64(h[prefix] ^ seed[prefix] ^ np.uint64(0x7F4A7C15))
-        return np.concatenate([key[keep], tokens]), np.concatenate([some[who[keep]], some[owner[prefix]]])
+        return np.concatenate([key[keep], tokens]), np.concatenate([some[who[keep]], some[owner[prefix]]]), np.bincount(who[keep], minlength=len(some))
 
     def _lacking(self, n: np.ndarray, at: np.ndarray, base: np.ndarray) -> np.ndarray:
         """Sets that have too few words that aren't empty among the first T, for some d that a partner may need."""
@@ -109,8 +120,27 @@ def _within(counts: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def bit_sketch(hashes: np.ndarray, rows: np.ndarray, n_rows: int) -> np.ndarray:
-    """A parity sketch of 64 * BIT_WORDS bits for each row: a token flips one bit."""
-    bit = (mix64(hashes ^ np.uint64(0xABCDEF)) % np.uint64(64 * BIT_WORDS)).astype(np.int64)
-    odd = np.bincount(rows * (64 * BIT_WORDS) + bit, minlength=n_rows * 64 * BIT_WORDS) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(n_rows, -1), axis=1).reshape(n_rows, -1).view(np.uint64)
+def sketch_bits(counts: np.ndarray) -> np.ndarray:
+    """Bits of the sketch of a set: a power of two, four to eight for a token."""
+    need = np.maximum(counts * BITS_PER_TOKEN, 1)
+    return np.clip(1 << np.ceil(np.log2(need)).astype(np.int64), MIN_BITS, MAX_BITS)
+
+
+def bit_sketches(hashes: np.ndarray, rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity sketches of the rows, a token flips one bit: their bytes one after another, and where each begins (n + 1 values).
+
+    A sketch of half as many bits is the XOR of the two halves.
+    """
+    bits = sketch_bits(counts)
+    base = np.concatenate([[0], np.cumsum(bits)])
+    bit = (mix64(hashes ^ np.uint64(0xABCDEF)) & (bits[rows] - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(base[rows] + bit, minlength=int(base[-1])) & 1
+    return np.packbits(odd.astype(np.uint8)), base // 8
+
+
+def folded(x: np.ndarray, words: int) -> np.ndarray:
+    """Sketches, a row of 64-bit words each, with so many words."""
+    while x.shape[1] > words:
+        half = x.shape[1] // 2
+        x = x[:, :half] ^ x[:, half:]
+    return x

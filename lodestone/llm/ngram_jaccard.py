@@ -1,17 +1,19 @@
 """N-gram Jaccard join by parity sketches.
 
-1. One Arrow pass turns each text into a 128-bit digest of its set of shingles
-   and a parity bit sketch; texts with equal sets count as one set from there
-   on, so copies make no pairs. A second pass issues the band keys of `_parity`.
+1. One Arrow pass turns each text into a 128-bit digest of its set of shingles;
+   texts with equal sets count as one set from there on, so copies make no
+   pairs. A second pass issues the band keys of `_parity`.
 2. Sets meet by key. A key of up to `SMALL_GROUP` sets gives all its pairs; a
-   larger one gives those of its least set with each other.
-3. Each set of larger keys is compared on bit sketches within its two largest
+   larger one gives those of its least set with each other. Pairs leave whose
+   sizes don't allow a link, or that share fewer keys than any partners must.
+3. Sets that still have a partner get a parity bit sketch, four to eight bits a
+   token. Each set of larger keys is compared on sketches within its two largest
    ones and paired with the nearest, which joins groups of near copies without
-   making their pairs.
-4. Sizes and the Hamming distance of the bit sketches, which is at most the
-   symmetric difference, reject most pairs. The rest are verified on whole sets
-   in rounds: in each, a set goes to the one of its partners that has most of
-   them, and pairs that verified links connect already leave before the next.
+   making their pairs. The Hamming distance of sketches is at most the symmetric
+   difference, and rejects most of the pairs.
+4. The rest are verified on whole sets in rounds: in each, a set goes to the one
+   of its partners that has most of them, and pairs that verified links connect
+   already leave before the next.
 5. Sets of a larger key that still lie in different components are compared on
    sketches, all of those outside the key's largest component with all others.
    What passes is verified as well, so no link between components is lost.
@@ -43,7 +45,7 @@ from pyspark.sql import types as T
 
 from ._among import bitmap, with_chance
 from ._components import components
-from ._parity import Bands, bit_sketch
+from ._parity import Bands, bit_sketches, folded
 from ._store import discard, shared_dir, store
 from ._text import mix64, shingle_sets, slices
 
@@ -58,15 +60,6 @@ ROUNDS = 2
 RAW = 2 << 20
 
 
-def _binary(values: np.ndarray, counts: np.ndarray) -> pa.Array:
-    """A binary array whose row i holds counts[i] of the 64-bit values."""
-    offsets = np.concatenate([[0], np.cumsum(counts)]) * 8
-    if offsets[-1] < 1 << 31:
-        return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
-    raw = values.tobytes()
-    return pa.array([raw[a:b] for a, b in zip(offsets[:-1], offsets[1:])], pa.large_binary())
-
-
 def _digests(h: np.ndarray, counts: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Two sums of token hashes for each row (the same for equal sets)."""
     out = []
@@ -80,17 +73,16 @@ def _digests(h: np.ndarray, counts: np.ndarray, seed: int) -> tuple[np.ndarray,
     return out[0], out[1]
 
 
-def _features(k: int, seed: int):
+def _features(k: int, num: int, den: int, seed: int):
     def run(batches):
+        bands = Bands(num, den)
         for batch in batches:
             ids = batch.column(0)
             for s in slices(batch.column(1)):
-                h, rows, counts = shingle_sets(s, k)
+                h, _, counts = shingle_sets(s, k)
                 d1, d2 = _digests(h, counts, seed)
-                sketch = bit_sketch(h, rows, s.n)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(s.first, s.n), pa.array(counts.astype(np.int64)), pa.array(d1), pa.array(d2), _binary(sketch, np.full(s.n, sketch.shape[1]))], ["doc_id", "n_shingles", "sid", "sid2", "sketch"]
-                )
+                _, _, needs = bands.keys_and_needs(h >> np.uint64(16), counts)
+                yield pa.RecordBatch.from_arrays([ids.slice(s.first, s.n), pa.array(counts.astype(np.int64)), pa.array(d1), pa.array(d2), pa.array(needs)], ["doc_id", "n_shingles", "sid", "sid2", "need"])
 
     return run
 
@@ -140,7 +132,7 @@ def _pairs_of_groups(sid: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tu
 
 
 def _meet(batches):
-    """Rows (key, sid) sorted: pairs (a, b) of sets with a common key, and the rows of large keys (hot, sid as b, size as n)."""
+    """Rows (key, sid) sorted: pairs (a, b) of sets with n common keys, and the rows of large keys (hot, sid as b, size as n)."""
     held_k, held_s = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def give(key, sid):
@@ -148,15 +140,19 @@ def _meet(batches):
         key, sid = key[new], sid[new]
         begin, size = _ranges(key)
         a, b = _pairs_of_groups(sid, begin, size)
+        times = np.zeros(0, np.int64)
         if len(a):
-            pairs = np.unique(np.stack([a, b], 1), axis=0)
-            a, b = pairs[:, 0], pairs[:, 1]
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+            times = np.diff(np.append(first, len(a)))
+            a, b = a[first], b[first]
         large = np.repeat(size > SMALL_GROUP, size)
         n = int(large.sum())
         sizes = np.repeat(size, size)[large]
         none = pa.nulls(len(a), pa.int64())
         return pa.RecordBatch.from_arrays(
-            [pa.concat_arrays([pa.array(a), pa.nulls(n, pa.int64())]), pa.concat_arrays([pa.array(b), pa.array(sid[large])]), pa.concat_arrays([none, pa.array(key[large])]), pa.concat_arrays([none, pa.array(sizes.astype(np.int64))])],
+            [pa.concat_arrays([pa.array(a), pa.nulls(n, pa.int64())]), pa.concat_arrays([pa.array(b), pa.array(sid[large])]), pa.concat_arrays([none, pa.array(key[large])]), pa.concat_arrays([pa.array(times), pa.array(sizes.astype(np.int64))])],
             ["a", "b", "hot", "n"],
         )
 
@@ -187,26 +183,63 @@ def _allowed(n_a: np.ndarray, n_b: np.ndarray, far: np.ndarray, num: int, den: i
     return (np.minimum(n_a, n_b) * den >= np.maximum(n_a, n_b) * num) & (far <= (den - num) * (n_a + n_b) // (den + num))
 
 
-def _sketches(column: list) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype=np.uint64).reshape(len(column), -1)
+class _Sketches:
+    """Sketches of different lengths, compared at the shorter one's."""
+
+    def __init__(self, bodies: list):
+        self.length = np.array([len(x) for x in bodies], dtype=np.int64)
+        self.at, self.rows = np.empty(len(bodies), dtype=np.int64), {}
+        for n in np.unique(self.length).tolist():
+            some = np.flatnonzero(self.length == n)
+            self.at[some] = np.arange(len(some))
+            self.rows[n] = np.frombuffer(b"".join(bodies[i] for i in some.tolist()), dtype=np.uint64).reshape(len(some), n // 8)
+
+    def of(self, index: np.ndarray, length: int, shown: int) -> np.ndarray:
+        return folded(self.rows[length][self.at[index]], shown // 8)
+
+    def far(self, other: "_Sketches") -> np.ndarray:
+        """Distances of row i from row i of the other."""
+        out = np.zeros(len(self.length), dtype=np.int64)
+        for m, n in {*zip(self.length.tolist(), other.length.tolist())}:
+            some = np.flatnonzero((self.length == m) & (other.length == n))
+            shown = min(m, n)
+            out[some] = np.bitwise_count(self.of(some, m, shown) ^ other.of(some, n, shown)).sum(axis=1, dtype=np.int64)
+        return out
+
+    def matrices(self, first: np.ndarray, second: np.ndarray, size: np.ndarray, num: int, den: int):
+        """(rows of first, rows of second, distances, whether a link is allowed) in blocks of a few megabytes; blocks that sizes rule out are left out."""
+        for m in self.rows:
+            x = first[self.length[first] == m]
+            for n in self.rows:
+                y = second[self.length[second] == n]
+                if not len(x) or not len(y) or size[y].max() * den < size[x].min() * num or size[x].max() * den < size[y].min() * num:
+                    continue
+                shown = min(m, n)
+                theirs = self.of(y, n, shown)
+                step = max(1, (1 << 22) // theirs.size)
+                for at in range(0, len(x), step):
+                    i = x[at : at + step]
+                    far = np.bitwise_count(self.of(i, m, shown)[:, None, :] ^ theirs[None, :, :]).sum(axis=-1, dtype=np.int64)
+                    yield i, y, far, _allowed(size[i][:, None], size[y][None, :], far, num, den)
 
 
 def _nearest(num: int, den: int):
     """Rows (hot, block, sid, size, sketch), sorted by the first two: each set with the nearest one that may link with it."""
 
     def run(batches):
-        for _, (sid, n, sk) in _by_key(batches, 2):
-            sid, n, sk = np.array(sid, dtype=np.int64), np.array(n, dtype=np.int64), _sketches(sk)
-            a, b = [], []
-            for at in range(0, len(sid), 256):
-                i = np.arange(at, min(at + 256, len(sid)))
-                far = np.bitwise_count(sk[i][:, None, :] ^ sk[None, :, :]).sum(axis=-1, dtype=np.int64)
-                ok = _allowed(n[i][:, None], n[None, :], far, num, den)
-                ok[np.arange(len(i)), i] = False
-                some = np.flatnonzero(ok.any(1))
-                a.append(sid[i[some]])
-                b.append(sid[np.where(ok[some], far[some], 1 << 40).argmin(1)])
-            a, b = np.concatenate(a), np.concatenate(b)
+        for _, (sid, n, bodies) in _by_key(batches, 2):
+            sid, n, sk = np.array(sid, dtype=np.int64), np.array(n, dtype=np.int64), _Sketches(bodies)
+            every = np.arange(len(sid))
+            least, best = np.full(len(sid), 1 << 40), np.full(len(sid), -1)
+            for i, j, far, ok in sk.matrices(every, every, n, num, den):
+                # Distances at different lengths compare by their share of the bits.
+                share = np.where(ok & (i[:, None] != j[None, :]), (far << 20) // (8 * np.minimum(sk.length[i][:, None], sk.length[j][None, :])), 1 << 40)
+                at = share.argmin(1)
+                found = share[np.arange(len(i)), at]
+                nearer = found < least[i]
+                least[i[nearer]], best[i[nearer]] = found[nearer], j[at[nearer]]
+            some = np.flatnonzero(best >= 0)
+            a, b = sid[some], sid[best[some]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     return run
@@ -216,16 +249,12 @@ def _across(num: int, den: int):
     """Rows (hot, i, j, sid, comp, size, side, sketch), sorted by the first three: sets of side 0 and side 1 (of side 0 alone where i = j) that lie in different components and may link."""
 
     def run(batches):
-        for (_, i, j), (sid, comp, n, side, sk) in _by_key(batches, 3):
-            sk = _sketches(sk)
+        for (_, i, j), (sid, comp, n, side, bodies) in _by_key(batches, 3):
             sid, comp, n, side = (np.array(x, dtype=np.int64) for x in (sid, comp, n, side))
-            first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            second = first if i == j else second
-            for at in range(0, len(first) if len(second) else 0, 256):
-                x = first[at : at + 256]
-                far = np.bitwise_count(sk[x][:, None, :] ^ sk[second][None, :, :]).sum(axis=-1, dtype=np.int64)
-                p, q = np.nonzero((comp[x][:, None] != comp[second][None, :]) & _allowed(n[x][:, None], n[second][None, :], far, num, den))
-                a, b = sid[x[p]], sid[second[q]]
+            sk, first, second = _Sketches(bodies), np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            for x, y, _, ok in sk.matrices(first, first if i == j else second, n, num, den):
+                p, q = np.nonzero(ok & (comp[x][:, None] != comp[y][None, :]))
+                a, b = sid[x[p]], sid[y[q]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     return run
@@ -249,18 +278,21 @@ def _by_key(batches, width: int):
 
 
 def _bodies(k: int, seed: int):
-    """Rows (text) to (sid, body): the digest of the set and the compressed text; copies within a slice once."""
+    """Rows (text) to (sid, size, sketch, body): a set's digest, size, sketch and compressed text; copies within a slice once."""
 
     def run(batches):
         z = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for s in slices(batch.column(0)):
-                h, _, counts = shingle_sets(s, k)
+                h, rows, counts = shingle_sets(s, k)
                 sid, _ = _digests(h, counts, seed)
                 some = np.unique(sid, return_index=True)[1]
                 raw = s.data.tobytes()
+                sketch, at = bit_sketches(h, rows, counts)
+                sketch = sketch.tobytes()
                 body = [z.compress(raw[s.offsets[i] : s.offsets[i + 1]]) for i in some.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(sid[some]), pa.array(body, pa.binary())], ["sid", "body"])
+                bits = [sketch[at[i] : at[i + 1]] for i in some.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(sid[some]), pa.array(counts[some].astype(np.int64)), pa.array(bits, pa.binary()), pa.array(body, pa.binary())], ["sid", "size", "sketch", "body"])
 
     return run
 
@@ -312,16 +344,16 @@ def _verified(k: int, num: int, den: int):
     return run
 
 
-def _distinct_sets(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame, int]:
-    """The rows' features and the distinct sets (sid, n_shingles, rep, sketch); no two sets share a sid: another seed is taken if two do."""
+def _distinct_sets(rows: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame, int]:
+    """The rows' features and the distinct sets (sid, n_shingles, rep, need); no two sets share a sid: another seed is taken if two do."""
     for seed in range(8):
-        made = store(rows.mapInArrow(_features(k, seed), "doc_id long, n_shingles long, sid long, sid2 long, sketch binary"), "features")
+        made = store(rows.mapInArrow(_features(k, num, den, seed), "doc_id long, n_shingles long, sid long, sid2 long, need long"), "features")
         by = made.where("n_shingles > 0").groupBy("sid").agg(
-            F.min("n_shingles").alias("n_shingles"), F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), ((F.min("sid2") != F.max("sid2")) | (F.min("n_shingles") != F.max("n_shingles"))).alias("clash")
+            F.min("n_shingles").alias("n_shingles"), F.min("doc_id").alias("rep"), F.min("need").alias("need"), ((F.min("sid2") != F.max("sid2")) | (F.min("n_shingles") != F.max("n_shingles"))).alias("clash")
         )
         sets = store(by, "sets")
         if sets.where("clash").isEmpty():
-            return made, sets.select("sid", "n_shingles", "rep", "sketch"), seed
+            return made, sets.select("sid", "n_shingles", "rep", "need"), seed
         discard(made, sets)
     raise ValueError("no seed gives each set a digest of its own")
 
@@ -339,7 +371,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def _jaccard(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> tuple[DataFrame, int]:
     """The components with each row's set (sid) and that of its component (top), both null without words; and the seed of the sets' digests."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    made, sets, seed = _distinct_sets(rows, k)
+    made, sets, seed = _distinct_sets(rows, k, num, den)
     # Sets that only rows without an id have can't be reached and reach nothing.
     named = sets.where("rep is not null")
     labels = _components_of_sets(rows, named, k, num, den, seed)
@@ -387,12 +419,13 @@ def _components_of_sets(rows: DataFrame, sets: DataFrame, k: int, num: int, den:
     """(id, component_id) of the sets that link with others, by sid."""
     keys = rows.where("doc_id is not null").select("text").mapInArrow(_keys(k, num, den, seed), "key long, sid long")
     met = store(keys.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(_meet, "a long, b long, hot long, n long"), "met")
-    near = store(_near(met.where("hot is null").select("a", "b").distinct(), sets, num, den), "near")
     hot = store(met.where("hot is not null").select("hot", F.col("b").alias("sid"), "n"), "hot")
+    near = store(_likely(met.where("hot is null").groupBy("a", "b").agg(F.sum("n").alias("shared")), sets, hot, num, den), "near")
     discard(met)
-    pool = store(near.union(_hot_pairs(hot, sets, num, den)).distinct(), "pool")
+    texts = _texts(rows, sets, near.select(F.explode(F.array("a", "b")).alias("sid")).union(hot.select("sid")).distinct(), k, seed)
+    sketches = rows.sparkSession.table(texts).select("sid", "size", "sketch")
+    pool = store(_near(near, sketches, num, den).union(_hot_pairs(hot, sketches, num, den)).distinct(), "pool")
     discard(near)
-    texts = _texts(rows, sets, pool.select(F.explode(F.array("a", "b")).alias("sid")).union(hot.select("sid")).distinct(), k, seed)
     found, labels = None, None
     for last in [False] * ROUNDS + [True]:
         chosen = store(pool.select(F.col("a").alias("pivot"), F.col("b").alias("sid")) if last else _uphill(pool), "chosen")
@@ -405,7 +438,7 @@ def _components_of_sets(rows: DataFrame, sets: DataFrame, k: int, num: int, den:
         pool = rest
         if pool.isEmpty():
             break
-    across = store(_hot_rest(hot, sets, labels, num, den).distinct(), "pool")
+    across = store(_hot_rest(hot, sketches, labels, num, den).distinct(), "pool")
     if not across.isEmpty():
         chosen = across.select(F.col("a").alias("pivot"), F.col("b").alias("sid"))
         labels = components(found.union(store(_verify(chosen, texts, k, num, den), "links")))
@@ -413,39 +446,48 @@ def _components_of_sets(rows: DataFrame, sets: DataFrame, k: int, num: int, den:
     return labels
 
 
-def _near(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _likely(pairs: DataFrame, sets: DataFrame, hot: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b, shared) whose sizes allow a link and that share as many keys as the smaller set needs; keys of larger groups may all be shared."""
+    more = hot.groupBy("sid").agg(F.count("*").alias("hots"))
+    known = sets.select("sid", F.col("n_shingles").alias("n"), "need").join(more.hint("merge"), "sid", "left").withColumn("hots", F.coalesce("hots", F.lit(0)))
+    side = lambda c: known.select(*(F.col(x).alias(y) for x, y in (("sid", c), ("n", f"n_{c}"), ("need", f"need_{c}"), ("hots", f"hots_{c}")))).hint("merge")
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    sizes = F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num
+    need = F.when(F.col("n_a") < F.col("n_b"), F.col("need_a")).when(F.col("n_a") > F.col("n_b"), F.col("need_b")).otherwise(F.greatest("need_a", "need_b"))
+    return both.where(sizes & (F.col("shared") + F.least("hots_a", "hots_b") >= need)).select("a", "b")
+
+
+def _near(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
     """Those of the pairs (a, b) of sets whose sizes and sketches allow a link."""
-    left = sets.select(F.col("sid").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("ka"))
-    right = sets.select(F.col("sid").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("kb"))
+    left = sketches.select(F.col("sid").alias("a"), F.col("size").alias("na"), F.col("sketch").alias("ka"))
+    right = sketches.select(F.col("sid").alias("b"), F.col("size").alias("nb"), F.col("sketch").alias("kb"))
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, na, ka, b, nb, kb = batch.columns
-            far = np.bitwise_count(_sketches(ka.to_pylist()) ^ _sketches(kb.to_pylist())).sum(axis=-1, dtype=np.int64)
-            keep = _allowed(na.to_numpy(), nb.to_numpy(), far, num, den)
-            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(keep))
+            for at in range(0, batch.num_rows, 1024):
+                a, na, ka, b, nb, kb = batch.slice(at, 1024).columns
+                keep = _allowed(na.to_numpy(), nb.to_numpy(), _Sketches(ka.to_pylist()).far(_Sketches(kb.to_pylist())), num, den)
+                yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(keep))
 
     return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "na", "ka", "b", "nb", "kb").mapInArrow(run, "a long, b long")
 
 
-def _hot_pairs(hot: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _hot_pairs(hot: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of nearest sets within the two largest keys of each set."""
     by = Window.partitionBy("sid").orderBy(F.desc("n"), "hot")
     two = hot.withColumn("rank", F.row_number().over(by)).where("rank <= 2")
-    rows = two.join(sets.select("sid", F.col("n_shingles").alias("size"), "sketch").hint("merge"), "sid")
+    rows = two.join(sketches.hint("merge"), "sid")
     rows = rows.select("hot", F.pmod(F.xxhash64("sid"), F.ceil(F.col("n") / BLOCK)).cast("int").alias("block"), "sid", "size", "sketch")
     return rows.repartition("hot", "block").sortWithinPartitions("hot", "block").mapInArrow(_nearest(num, den), "a long, b long")
 
 
 def _texts(rows: DataFrame, sets: DataFrame, wanted: DataFrame, k: int, seed: int) -> str:
-    """The table (sid, body) of the wanted sets' texts, bucketed by sid; returns its name."""
+    """The table (sid, size, sketch, body) of the wanted sets, bucketed by sid; returns its name."""
     spark = rows.sparkSession
     shared_dir(spark)
     wanted = store(wanted.join(sets.select("sid", "rep").hint("merge"), "sid").select("sid", "rep"), "wanted")
     some = with_chance(rows, "doc_id", bitmap(wanted, "rep")).where("__chance").select("text")
-    made = some.mapInArrow(_bodies(k, seed), "sid long, body binary")
+    made = some.mapInArrow(_bodies(k, seed), "sid long, size long, sketch binary, body binary")
     kept = made.join(wanted.select("sid").hint("merge"), "sid", "left_semi").dropDuplicates(["sid"])
     table = f"lodestone_texts_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -468,7 +510,7 @@ def _verify(chosen: DataFrame, texts: str, k: int, num: int, den: int) -> DataFr
     blocks = chosen.groupBy("pivot").agg(F.ceil(F.count("*") / PIVOT_BLOCK).alias("blocks"))
     dealt = chosen.join(blocks.hint("merge"), "pivot").select("pivot", F.pmod(F.xxhash64("sid"), "blocks").cast("int").alias("block"), F.lit(1).alias("role"), "sid")
     pivots = dealt.select("pivot", "block", F.lit(0).alias("role"), F.col("pivot").alias("sid")).distinct()
-    asked = dealt.union(pivots).join(chosen.sparkSession.table(texts).hint("merge"), "sid").select("pivot", "block", "role", "sid", "body")
+    asked = dealt.union(pivots).join(chosen.sparkSession.table(texts).select("sid", "body").hint("merge"), "sid").select("pivot", "block", "role", "sid", "body")
     return asked.repartition("pivot", "block").sortWithinPartitions("pivot", "block", "role").mapInArrow(_verified(k, num, den), "a long, b long")
 
 
@@ -479,7 +521,7 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return tops.where(F.coalesce("top_a", "a") != F.coalesce("top_b", "b")).select("a", "b")
 
 
-def _hot_rest(hot: DataFrame, sets: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
+def _hot_rest(hot: DataFrame, sketches: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of the larger keys' sets that lie in different components and may link.
 
     Sets of the key's largest component are dealt to blocks once; the others
@@ -488,7 +530,7 @@ def _hot_rest(hot: DataFrame, sets: DataFrame, labels: DataFrame, num: int, den:
     rows = store(hot.join(labels.withColumnRenamed("id", "sid").hint("merge"), "sid", "left").select("hot", "sid", "n", F.coalesce("component_id", "sid").alias("comp")), "hot")
     largest = rows.groupBy("hot", "comp").agg(F.count("*").alias("c"), F.first("n").alias("n")).groupBy("hot").agg(F.max(F.struct("c", "comp")).alias("top"), F.first("n").alias("n"))
     mixed = largest.where("top.c < n").select("hot", F.col("top.comp").alias("major"), F.ceil(F.col("top.c") / BLOCK).cast("int").alias("majors"), F.ceil((F.col("n") - F.col("top.c")) / BLOCK).cast("int").alias("minors"))
-    rows = rows.join(mixed.hint("merge"), "hot").join(sets.select("sid", F.col("n_shingles").alias("size"), "sketch").hint("merge"), "sid")
+    rows = rows.join(mixed.hint("merge"), "hot").join(sketches.hint("merge"), "sid")
     own = F.pmod(F.xxhash64("sid"), F.when(F.col("comp") == F.col("major"), F.col("majors")).otherwise(F.col("minors"))).cast("int")
     rows = rows.withColumn("own", own)
     place = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
