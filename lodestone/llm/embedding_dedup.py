@@ -21,7 +21,7 @@ block against block, in tasks of their own.
 
 A row without an id links with nothing. Null or zero vectors and those with null or non-finite components link with
 nothing. Vectors of different lengths are never compared. Repeated ids keep a
-row each.
+row each, with the links of its own vector.
 """
 
 from __future__ import annotations
@@ -202,10 +202,11 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))
     usable = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("v", lambda e: e != 0)
     good = rows.where(F.coalesce(usable, F.lit(False)) & F.col("vec_id").isNotNull())
-    distinct = store(good.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).select("rep", "copies", "v"), "vectors")
+    # A key of its own for each vector, fixed by being stored: an id may have several.
+    distinct = store(good.groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")).select(F.monotonically_increasing_id().alias("rep"), "least", "copies", "v"), "vectors")
     plan = Plan(distinct.count(), cosine)
     kind = dict(distinct.dtypes)["v"]
-    dealt = distinct.mapInArrow(_deal(plan), f"t int, code long, rep long, copies long, v {kind}")
+    dealt = distinct.select("rep", "copies", "v").mapInArrow(_deal(plan), f"t int, code long, rep long, copies long, v {kind}")
     large = dealt.groupBy("t", "code").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
     dealt = dealt.join(large.hint("merge"), ["t", "code"], "left").withColumn("blocks", F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("int"))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -213,8 +214,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     found = store(dealt.repartition("t", "code", "i", "j").sortWithinPartitions("t", "code", "i", "j").mapInArrow(_count(plan), "rep long, links long, root long"), "links")
     labels = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")).where("a <> b"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    classes = distinct.join(links.hint("merge"), "rep", "left").join(labels.withColumnRenamed("id", "rep").hint("merge"), "rep", "left")
-    classes = classes.select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
+    tops = distinct.join(labels.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").select("rep", "least", "copies", "v", F.coalesce("component_id", "rep").alias("top"))
+    names = tops.groupBy("top").agg(F.min("least").alias("component_id"))
+    classes = tops.join(names.hint("merge"), "top").join(links.hint("merge"), "rep", "left").select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     # Vectors that link with nothing stay where they are; a vector with many copies is a skewed key, which adaptive execution splits.
     fine = F.coalesce(usable, F.lit(False)) & F.col("vec_id").isNotNull()
     linked = rows.where(fine).join(classes.hint("merge"), "v").select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id")

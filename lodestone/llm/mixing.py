@@ -189,7 +189,7 @@ def _share_sql(name: str, source: str, parents: str, key: str, out: str) -> str:
 
 
 def oracle(mix: Mix = PRODUCTION) -> str:
-    kind = "CAST(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER) % 4"
+    kind = "TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER) % 4"
     return rf"""
 WITH t AS (SELECT doc_id, coalesce(CASE {kind} WHEN 0 THEN 'web' WHEN 1 THEN 'books' WHEN 2 THEN 'forum' WHEN 3 THEN 'reference' END, 'unknown') AS domain,
     coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS n_tokens, md5(coalesce(text, '')) AS tie FROM documents),
