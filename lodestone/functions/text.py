@@ -11,9 +11,51 @@ def lines(text: Column) -> Column:
     return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(text, r"\n\z", ""), r"\r?\n", -1))
 
 
+_BLANKS = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(x: Column) -> Column:
     """Without white space of any script at both ends."""
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    return F.trim(x, F.lit(_BLANKS))
+
+
+_QUOTED = r"""'(?:\\.|[^'\\])*+(?:'|\\?$)|"(?:\\.|[^"\\])*+(?:"|\\?$)|`(?:\\.|[^`\\])*+(?:`|\\?$)"""
+
+
+def without_comment(line: Column, hashes: bool = True) -> Column:
+    """The line up to the first // outside quotes; with `hashes` also up to a # at its start or after white space, which #[ and #![ are not."""
+    other = r"[^'\"`/#]|/(?!/)" + (r"|#(?=!?\[)|(?<=[^ \t\n\x0B\f\r])#" if hashes else "|#")
+    return F.regexp_extract(line, rf"(?s)^(?:{_QUOTED}|{other})*+", 0)
+
+
+def visible(text: Column) -> Column:
+    """Tabs, carriage returns and other control characters as escapes."""
+    out = F.replace(F.replace(text, F.lit("\t"), F.lit("\\t")), F.lit("\r"), F.lit("\\r"))
+    escaped = lambda c: F.concat(F.lit("\\u{"), F.regexp_replace(F.hex(F.ascii(c)), "^0+(?=.)", ""), F.lit("}"))
+    shown = F.array_join(F.transform(F.split(out, ""), lambda c: F.when(c.rlike(r"^[\x00-\x1F\x7F-\x9F]$"), escaped(c)).otherwise(c)), "")
+    return F.when(out.rlike(r"[\x00-\x1F\x7F-\x9F]"), shown).otherwise(out)
+
+
+def short_text(text: Column, limit: int = 240) -> Column:
+    """The first line that isn't blank, with control characters shown, cut at `limit` characters with an ellipsis."""
+    first = F.try_element_at(F.filter(lines(text), lambda x: strip(x) != ""), F.lit(1))
+    shown = visible(strip(first))
+    return F.when(F.length(shown) > limit, F.concat(F.left(shown, F.lit(limit)), F.lit("…"))).otherwise(F.coalesce(shown, F.lit("")))
+
+
+def number(x: Column) -> Column:
+    """At most three decimals, without trailing zeros."""
+    return F.regexp_replace(F.format_string("%.3f", x.cast("double")), r"\.?0+$", "")
+
+
+def location(file: Column, line: Column, column: Column, end_line: Column) -> Column:
+    """file, file:line, file:line:column or file:first-last."""
+    return (
+        F.when(line.isNull(), file)
+        .when(column.isNotNull(), F.concat_ws(":", file, line.cast("string"), column.cast("string")))
+        .when(end_line.isNotNull() & (end_line > line), F.concat(file, F.lit(":"), line.cast("string"), F.lit("-"), end_line.cast("string")))
+        .otherwise(F.concat_ws(":", file, line.cast("string")))
+    )
 
 
 def inside_string(prefix: Column) -> Column:
@@ -39,6 +81,24 @@ def lexical_path(path: Column) -> Column:
     return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
 
 
+def record_key(path: Column) -> Column:
+    """A report's path without empty parts and . and with .. resolved, which never leaves the root; a leading slash stays."""
+    slashed = F.regexp_replace(path, r"\\", "/")
+    step = lambda acc, x: F.when(x.isin("", "."), acc).when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x)))
+    joined = F.array_join(F.aggregate(F.split(slashed, "/"), F.array().cast("array<string>"), step), "/")
+    return F.when(slashed.startswith("/"), F.concat(F.lit("/"), joined)).otherwise(joined)
+
+
+def relative_key(path: Column) -> Column:
+    """A path without . and with .. resolved, where leading .. stay."""
+    step = (
+        lambda acc, x: F.when(x.isin("", "."), acc)
+        .when((x == "..") & (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1)) != ".."), F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
+        .otherwise(F.concat(acc, F.array(x)))
+    )
+    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+
+
 def name_of(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
@@ -48,12 +108,18 @@ def extension_of(path: Column) -> Column:
     return F.regexp_extract(name_of(path), r"^.+\.([^.]*)$", 1)
 
 
+def suffix_of(name: Column) -> Column:
+    """What follows the last dot of a name, be it the leading one."""
+    return F.regexp_extract(name, r"\.([^.]*)$", 1)
+
+
 def percent(hit: Column, found: Column) -> Column:
     return F.when(found == 0, F.lit(0.0)).otherwise(hit / found * 100)
 
 
-def glob_to_regex(glob: str) -> str:
-    """An anchored pattern for a glob: * and ? cross slashes, ** spans directories, {a,b} and [ab] as usual."""
+def glob_to_regex(glob: str, within: bool = False) -> str:
+    """An anchored pattern for a glob: * and ? cross slashes (unless `within` a part), ** spans directories, {a,b} and [ab] as usual."""
+    star, one = ("[^/]*", "[^/]") if within else (".*", ".")
     out, i, depth = [], 0, 0
     while i < len(glob):
         c = glob[i]
@@ -62,11 +128,11 @@ def glob_to_regex(glob: str) -> str:
             i += 3
             continue
         if c == "*":
-            out.append(".*")
+            out.append(".*" if glob.startswith("**", i) else star)
             while i + 1 < len(glob) and glob[i + 1] == "*":
                 i += 1
         elif c == "?":
-            out.append(".")
+            out.append(one)
         elif c == "[":
             end = glob.find("]", i + 2)
             if end < 0:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,24 +24,42 @@ def word_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
 
 
-def windows(streams: DataFrame, k: int) -> DataFrame:
-    """Streams (stream, tokens) to (stream, i, h): each k consecutive tokens by place and 128-bit digest.
+def windows(streams: DataFrame, k: int, digest: bool = False) -> DataFrame:
+    """Streams (stream, tokens) to (stream, i, h, before, after): each k consecutive tokens by place and hash, with the hashes of the windows around it.
 
-    The digest alone is carried: windows aren't moved as arrays.
+    Tokens are hashed once and windows from those numbers, so texts aren't read
+    k times; with `digest`, h is an MD5 of the tokens themselves, for reports.
     """
     n = F.size("tokens") - (k - 1)
-    at = streams.where(n > 0).select("stream", F.explode(F.transform(F.sequence(F.lit(1), n), lambda i: F.struct((i - 1).cast("long").alias("i"), F.md5(F.array_join(F.slice("tokens", i, k), "\x1f")).alias("h")))).alias("w"))
-    return at.select("stream", "w.i", "w.h")
+    if digest:
+        each = lambda i: F.md5(F.array_join(F.slice("tokens", i, k), "\x1f"))
+    else:
+        each = lambda i: F.xxhash64(F.slice("codes", i, k))
+    rows = streams.where(n > 0).withColumn("codes", F.transform("tokens", lambda t: F.xxhash64(t)))
+    rows = rows.select("stream", F.transform(F.sequence(F.lit(1), n), each).alias("hs"))
+    # Neighbours are joined to each window first: what is exploded carries no array.
+    near = F.transform("hs", lambda h, i: F.struct(i.cast("long").alias("i"), h.alias("h"), F.get("hs", i - 1).alias("before"), F.get("hs", i + 1).alias("after")))
+    return rows.select("stream", F.explode(near).alias("w")).select("stream", "w.*")
 
 
-def matches(found: DataFrame, k: int) -> DataFrame:
-    """Ordered pairs of equal windows that don't overlap in one stream: (a, ai, b, bi).
+def _sides(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    side = lambda n: found.select("h", F.col("stream").alias(n), F.col("i").alias(f"{n}i"), F.col("before").alias(f"{n}p"), F.col("after").alias(f"{n}n"))
+    return side("a"), side("b")
 
-    Digests of one window only, nearly all of them, leave before the join.
-    """
+
+def _pairs(found: DataFrame, k: int, edge: str) -> DataFrame:
+    """Ordered pairs of equal windows that don't overlap in one stream and whose neighbours on one side (before or after) differ or are missing."""
+    inner = F.col(edge)
+    many = found.groupBy("h").agg(F.count("*").alias("n"), F.count_if(inner.isNull()).alias("ends"), F.min(inner).alias("x"), F.max(inner).alias("y")).where("n > 1 and (ends > 0 or x <> y)").select("h")
+    a, b = _sides(found.join(many, "h", "left_semi"))
+    c = "p" if edge == "before" else "n"
+    return a.join(b, "h").where(F.expr(f"(a < b or (a = b and bi >= ai + {k})) and (a{c} is null or b{c} is null or a{c} <> b{c})")).select("a", "ai", "b", "bi")
+
+
+def matches(found: DataFrame, k: int) -> DataFrame:
+    """Ordered pairs of equal windows that don't overlap in one stream: (a, ai, b, bi). There are as many as all copies have in pairs; `spans` doesn't need them."""
     many = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    kept = found.join(many, "h", "left_semi")
-    a, b = kept.select("h", F.col("stream").alias("a"), F.col("i").alias("ai")), kept.select("h", F.col("stream").alias("b"), F.col("i").alias("bi"))
+    a, b = _sides(found.join(many, "h", "left_semi"))
     return a.join(b, "h").where(F.expr(f"a < b or (a = b and bi >= ai + {k})")).select("a", "ai", "b", "bi")
 
 
@@ -47,17 +68,128 @@ def over_capacity(found: DataFrame, limit: int = MAX_WINDOWS_PER_HASH) -> DataFr
     return found.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > limit)
 
 
-def spans(pairs: DataFrame, k: int) -> DataFrame:
-    """Matches on one diagonal that follow each other, as one span: (a, b, a_start, b_start, tokens)."""
+def capacity_failures(found: DataFrame, per_hash: int = MAX_WINDOWS_PER_HASH, pairs: int = MAX_MATCHES) -> DataFrame:
+    """(step, message): why the evidence of an index is incomplete; nothing is cut off because of it."""
+    n = found.groupBy("h").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs"))
+    said = F.array_compact(F.array(F.when(F.col("most") > per_hash, F.lit(f"more than {per_hash} windows of one hash")), F.when(F.col("pairs") > pairs, F.lit(f"more than {pairs} matches"))))
+    return n.select(F.lit("clone-index").alias("step"), F.explode(said).alias("message"))
+
+
+def spans(found: DataFrame, k: int) -> DataFrame:
+    """Equal windows on one diagonal that follow each other, as one span: (a, b, a_start, b_start, tokens).
+
+    Only pairs at which a span begins or ends are made. On a diagonal they take
+    turns, so the n-th begin belongs to the n-th end; windows inside of copies
+    have equal neighbours and never meet.
+    """
     by = Window.partitionBy("a", "b", "diagonal").orderBy("ai")
-    rows = pairs.withColumn("diagonal", F.col("bi") - F.col("ai")).withColumn("island", F.col("ai") - F.row_number().over(by))
-    return rows.groupBy("a", "b", "diagonal", "island").agg(F.min("ai").alias("a_start"), F.min("bi").alias("b_start"), (F.max("ai") - F.min("ai") + k).alias("tokens")).select("a", "b", "a_start", "b_start", "tokens")
+    sides = [_pairs(found, k, edge).withColumn("diagonal", F.col("bi") - F.col("ai")).withColumn("nth", F.row_number().over(by)) for edge in ("before", "after")]
+    last = sides[1].select("a", "b", "diagonal", "nth", F.col("ai").alias("last"))
+    both = sides[0].join(last, ["a", "b", "diagonal", "nth"])
+    return both.select("a", "b", F.col("ai").alias("a_start"), F.col("bi").alias("b_start"), (F.col("last") - F.col("ai") + k).alias("tokens"))
+
+
+def touching(found: DataFrame, changed: DataFrame) -> DataFrame:
+    """Spans (a, b, ...) that have a changed file (path) on either side."""
+    files = changed.select(F.col("path").alias("_file")).distinct()
+    left = found.join(files.withColumnRenamed("_file", "a"), "a", "left_semi").select(*found.columns)
+    right = found.join(files.withColumnRenamed("_file", "a"), "a", "left_anti").join(files.withColumnRenamed("_file", "b"), "b", "left_semi").select(*found.columns)
+    return left.union(right)
+
+
+def changed_first(files: DataFrame) -> DataFrame:
+    """Files (path, changed) in the order in which an index takes them: changed ones first, then by path."""
+    return files.orderBy(F.desc("changed"), F.split("path", "/"))
+
+
+def by_role(streams: DataFrame, dim: DataFrame) -> DataFrame:
+    """(role, a, b, a_start, b_start, tokens): clones among the streams (stream, role, tokens) of each role that looks for them, at that role's size.
+
+    Roles are at most nine, each with an index of its own; the sizes come from
+    the dimension of the policy.
+    """
+    out = None
+    for role, k in ((r.role, r.clone_min_tokens) for r in dim.where("clones").select("role", "clone_min_tokens").orderBy("role").collect()):
+        found = spans(windows(streams.where(F.col("role") == role).select("stream", "tokens"), int(k)), int(k)).withColumn("role", F.lit(role))
+        out = found if out is None else out.unionByName(found)
+    return None if out is None else out.select("role", "a", "b", "a_start", "b_start", "tokens")
 
 
 def files_with_clones(found: DataFrame) -> DataFrame:
     return found.select(F.explode(F.array("a", "b")).alias("f")).agg(F.count_distinct("f").alias("files"))
 
 
+_LEX = re.compile(r"""[A-Za-z_][A-Za-z0-9_]*|[0-9][A-Za-z0-9.]*|"(?:\\.|[^"\\])*"?|'(?:\\.|[^'\\])*'?|`(?:\\.|[^`\\])*`?|\S""", re.S)
+_COMMENT = re.compile(r"""(?:'(?:\\.|[^'\\])*(?:'|$)|"(?:\\.|[^"\\])*(?:"|$)|`(?:\\.|[^`\\])*(?:`|$)|[^'"`/#]|/(?!/)|\#(?=!?\[)|(?<=\S)\#)*""", re.S)
+_DYNAMIC = re.compile(r"\s*import(?:\s|/\*.*?\*/|//[^\n]*\n)*[(.]", re.S)
+_DECLARES = re.compile(
+    r"""use\ |pub\s*(?:\([^)]*\)\s*)?use\ |import[ \t{"']|import$|export\ \*|export\ (?:type\ )?\{|export\ .*\ from\ |(?:export\ \s*|pub\s*(?:\([^)]*\)\s*)?)?type\ \s*(?:\{|[A-Za-z0-9_<>, \[\]]*[A-Za-z0-9_<>,\[\]]\s*=|[^=]*;$|[^=]*\{[^=]*$)""",
+    re.S,
+)
+_QUOTED = re.compile(r"""'(?:\\.|[^'\\])*(?:'|$)|"(?:\\.|[^"\\])*(?:"|$)|`(?:\\.|[^`\\])*(?:`|$)|\\.""", re.S)
+
+
+class _Declarations:
+    """Whether lines belong to an import, a re-export or a type alias, which may span several."""
+
+    def __init__(self):
+        self.open, self.depth = False, dict.fromkeys("{([", 0)
+
+    def has(self, line: str) -> bool:
+        if not self.open:
+            if not _DECLARES.match(line):
+                return False
+            self.open = True
+        for c in _QUOTED.sub("", line):
+            if c in "{([":
+                self.depth[c] += 1
+            elif c in "})]":
+                o = "{(["["})]".index(c)]
+                self.depth[o] = max(0, self.depth[o] - 1)
+        if not any(self.depth.values()) and (line.endswith(";") or not line.endswith(("\\", "=", "|", "&", ","))):
+            self.__init__()
+        return True
+
+
+def code_stream(text: str) -> tuple[list[str], list[int]]:
+    """Tokens of a source text and the line of each; comments, imports, re-exports and type aliases have none."""
+    tokens, lines, at, routine = [], [], 0, _Declarations()
+    for n, line in enumerate(text.splitlines(keepends=True) if "\r" not in text else [x + "\n" for x in text.split("\n")], 1):
+        rest, at = at, at + len(line)
+        bare = line.strip()
+        if not bare or bare.startswith(("//", "#", "/*")):
+            continue
+        code = _COMMENT.match(line)[0]
+        bare = code.strip()
+        if not bare or (not _DYNAMIC.match(text, rest) and routine.has(bare)):
+            continue
+        for t in _LEX.findall(code):
+            tokens.append("_LIT_" if t[0] in "0123456789" else "_STR_" if t[0] in "\"'`" else t)
+            lines.append(n)
+    return tokens, lines
+
+
+def code_streams(files: DataFrame, path_col: str = "path", text_col: str = "text") -> DataFrame:
+    """(stream, tokens, lines) of source files; the state that spans lines is kept in the file's own row."""
+
+    def run(batches):
+        for pdf in batches:
+            both = [code_stream(t or "") for t in pdf["text"]]
+            yield pd.DataFrame({"stream": pdf["path"], "tokens": [x[0] for x in both], "lines": [x[1] for x in both]})
+
+    rows = files.select(F.col(path_col).alias("path"), F.col(text_col).alias("text"))
+    return rows.mapInPandas(run, "stream string, tokens array<string>, lines array<long>")
+
+
+def long_enough(streams: DataFrame, found: DataFrame, k: int, min_lines: int) -> DataFrame:
+    """Spans whose both sides cover `min_lines` lines or more, with those lines."""
+    at = streams.select("stream", "lines")
+    rows = found.join(at.select(F.col("stream").alias("a"), F.col("lines").alias("la")), "a").join(at.select(F.col("stream").alias("b"), F.col("lines").alias("lb")), "b")
+    place = lambda l, s, e=0: F.get(l, (F.col(s) + e).cast("int"))
+    rows = rows.select("a", "b", "a_start", "b_start", "tokens", place("la", "a_start").alias("a_first"), F.get("la", (F.col("a_start") + F.col("tokens") - 1).cast("int")).alias("a_last"), place("lb", "b_start").alias("b_first"), F.get("lb", (F.col("b_start") + F.col("tokens") - 1).cast("int")).alias("b_last"))
+    return rows.where((F.col("a_last") - F.col("a_first") + 1 >= min_lines) & (F.col("b_last") - F.col("b_first") + 1 >= min_lines))
+
+
 def fingerprint(tokens: Column, tag: str = "clone-v1") -> Column:
     """FNV-1a of 64 bits over a tag and the length and bytes of each token, as 16 hex digits.
 

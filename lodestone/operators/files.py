@@ -14,6 +14,8 @@ SOURCE_EXTENSIONS = (
     "rs", "js", "jsx", "ts", "tsx", "mjs", "cjs", "mts", "cts", "py", "css", "mdx", "sql", "json",
     "jsonc", "graphql", "gql", "snap", "toml", "yaml", "yml", "lock", "lockb",
 )
+PARSED_EXTENSIONS = ("rs", "js", "jsx", "ts", "tsx", "mjs", "cjs", "mts", "cts", "py")
+RETIRED_EXTENSIONS = ("go",)
 
 
 def _in_dir(path: Column, *names: str) -> Column:
@@ -29,16 +31,17 @@ def _token(name: Column, *tokens: str) -> Column:
 def role(path: Column) -> Column:
     """The role of a normalised path; the first convention that holds decides."""
     name, ext = T.name_of(path), T.extension_of(path)
+    suffix = T.suffix_of(name)
     return (
         F.when(_in_dir(path, *VENDOR_DIRS), "vendor")
         .when(name.isin(*LOCKFILES), "generated")
         .when(_in_dir(path, "__generated__", "generated", "gen") | _token(name, "generated", "gen") | name.isin("database.types.ts", "schema.gen.ts"), "generated")
-        .when(_in_dir(path, "__fixtures__", "fixtures", "__snapshots__", "snapshots") | _token(name, "fixture", "fixtures") | (ext == "snap"), "fixture")
+        .when(_in_dir(path, "__fixtures__", "fixtures", "__snapshots__", "snapshots") | _token(name, "fixture", "fixtures") | (suffix == "snap"), "fixture")
         .when(_in_dir(path, "tests", "test", "__tests__", "__mocks__", "mocks", "stories") | _token(name, "test", "spec", "stories", "mock") | name.rlike(r"^(tests|.*[_-]tests)\.rs$"), "test")
         .when(_in_dir(path, "migrations", "migration") | name.isin("seed.sql", "seed.ts") | name.rlike(r"\.(migration|seed)\.sql$"), "migration")
-        .when(_in_dir(path, "config", "configs") | _token(name, "config") | name.rlike(r"^\..+rc\.[^.]+$") | ext.isin("json", "jsonc", "toml", "yaml", "yml"), "config")
-        .when(ext == "mdx", "documentation")
-        .when(ext.isin(*SOURCE_EXTENSIONS), "source")
+        .when(_in_dir(path, "config", "configs") | _token(name, "config") | (name.rlike(r"^\..+rc\.[^.]+$") & suffix.isin(*SOURCE_EXTENSIONS)) | suffix.isin("json", "jsonc", "toml", "yaml", "yml"), "config")
+        .when(suffix == "mdx", "documentation")
+        .when(ext.isin(*SOURCE_EXTENSIONS, *RETIRED_EXTENSIONS), "source")
         .otherwise("unknown")
     )
 

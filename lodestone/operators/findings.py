@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STATES = ("disabled", "skipped", "cached", "completed", "failed", "incomplete")
@@ -24,14 +24,21 @@ def compare(before: DataFrame, after: DataFrame, columns: list[str]) -> DataFram
 
 
 def canonical(findings: DataFrame, order: list[str], limit: int) -> DataFrame:
-    """The first findings in the report's order; path components compare one by one."""
+    """The first findings in order of columns; a column that is a path compares part by part if it is given as its parts (`report.order_columns`)."""
     return findings.orderBy(*order).limit(limit)
 
 
 def grouped_advisories(rows: DataFrame, key: Column, message: str, location: str) -> DataFrame:
-    """(message, n, locations): how often a message occurs, with its three first locations."""
-    three = F.slice(F.array_sort(F.collect_set(location)), 1, 3)
-    return rows.groupBy(key.alias(message)).agg(F.count("*").alias("n"), F.array_join(F.transform(three, lambda x: x.cast("string")), ", ").alias("locations"))
+    """(message, n, locations): how often a message occurs, with its three first locations.
+
+    Locations are counted before they are ranked, and only the first three of a
+    message are ever brought together.
+    """
+    counted = rows.groupBy(key.alias(message), F.col(location).alias("_at")).agg(F.count("*").alias("n"))
+    first = counted.where("_at is not null").withColumn("_r", F.row_number().over(Window.partitionBy(message).orderBy("_at"))).where("_r <= 3")
+    shown = first.groupBy(message).agg(F.array_join(F.transform(F.array_sort(F.collect_list("_at")), lambda x: x.cast("string")), ", ").alias("locations"))
+    total = counted.groupBy(message).agg(F.sum("n").alias("n")).withColumnRenamed(message, "_m")
+    return total.join(shown, F.col("_m").eqNullSafe(F.col(message)), "left").select(F.col("_m").alias(message), "n", F.coalesce("locations", F.lit("")).alias("locations"))
 
 
 def engine_states(observed: DataFrame, key: str, state: str) -> DataFrame:
@@ -53,9 +60,11 @@ def budgets_unpivot(metrics: DataFrame, keys: list[str], limits: dict[str, float
 
 
 def contributors(rows: DataFrame, keys: list[str], line: str, score: str, n: int = 5) -> DataFrame:
-    """The lines of the n greatest scores of each key, greater first, then earlier."""
-    items = F.collect_list(F.struct((-F.col(score)).alias("s"), F.col(line).alias("l")))
-    return rows.groupBy(*keys).agg(F.array_join(F.transform(F.slice(F.array_sort(items), 1, n), lambda x: x["l"].cast("string")), ",").alias("lines"))
+    """The lines of the n greatest scores of each key, greater first, then earlier; ranked before they are gathered, so no more than n of a key meet."""
+    by = Window.partitionBy(*keys).orderBy(F.desc(score), line)
+    best = rows.withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= n)
+    items = F.array_sort(F.collect_list(F.struct("_r", F.col(line).alias("l"))))
+    return best.groupBy(*keys).agg(F.array_join(F.transform(items, lambda x: x["l"].cast("string")), ",").alias("lines"))
 
 
 def deduplicated(rows: DataFrame, keys: list[str], target: str, seq: str) -> DataFrame:

@@ -2,45 +2,154 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import bisect
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
+from ..plans.lineage import cut, ranked
 
 #: Lines of a file that are looked at together.
 BUCKET = 256
 
 
-def multiset(current: DataFrame, baseline: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Adds `grandfathered`: the first findings of a key, in order, as many as the baseline has of it."""
-    by = Window.partitionBy(*keys).orderBy(order)
-    had = baseline.groupBy(*keys).agg(F.count("*").alias("had"))
-    out = current.withColumn("rank", F.row_number().over(by)).join(had, keys, "left")
-    return out.withColumn("grandfathered", F.col("rank") <= F.coalesce("had", F.lit(0))).drop("rank", "had")
+def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> list:
+    """Equality of keys, nulls being equal, where the right side has them as _0, _1, ..."""
+    return [left[k].eqNullSafe(right[f"_{i}"]) for i, k in enumerate(keys)]
 
 
-def numeric(current: DataFrame, baseline: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
-    """Adds `grandfathered`: each finding of a key, in order, uses up the least baseline value that isn't below its own.
+def _renamed(rows: DataFrame, keys: list[str], *more) -> DataFrame:
+    return rows.select(*(F.col(k).alias(f"_{i}") for i, k in enumerate(keys)), *more)
+
+
+def multiset(current: DataFrame, baseline: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Adds `grandfathered`: the first findings of a key, in order, as many as the baseline has of it. Null keys are equal.
 
-    The order matters, so a fold over the arrays of a key does it; a key's
-    arrays hold the findings of one file and metric.
+    A hot key is ranked in parts, so it meets in no single task.
     """
-    cur = current.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(value).alias("v")))).alias("c"))
-    base = baseline.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("b"))
-    kind = dict(current.dtypes)[value]
-    start = F.struct(F.array().cast(f"array<{kind}>").alias("rest"), F.array().cast("array<boolean>").alias("out"))
+    had = _renamed(baseline.groupBy(*keys).agg(F.count("*").alias("had")), keys, "had")
+    rows = ranked(current, keys, order, "_rank")
+    out = rows.join(had, _same(rows, had, keys), "left")
+    return out.select(*current.columns, (F.col("_rank") <= F.coalesce("had", F.lit(0))).alias("grandfathered"))
 
-    def step(s, x):
-        fits = F.filter(s["rest"], lambda y: y >= x["v"])
-        used = F.size(s["rest"]) - F.size(fits)
-        rest = F.when(F.size(fits) > 0, F.concat(F.slice(s["rest"], 1, used), F.slice(fits, 2, F.greatest(F.size(fits) - 1, F.lit(0))))).otherwise(s["rest"])
-        return F.struct(rest.alias("rest"), F.concat(s["out"], F.array(F.size(fits) > 0)).alias("out"))
 
-    both = cur.join(base, keys, "left")
-    begin = F.struct(F.coalesce(F.col("b"), F.array().cast(f"array<{kind}>")).alias("rest"), start["out"].alias("out"))
-    done = both.withColumn("flags", F.aggregate("c", begin, step)["out"])
-    rows = done.select(*keys, F.explode(F.arrays_zip("c", "flags")).alias("x"))
-    return rows.select(*keys, F.col(f"x.c.{order}").alias(order), F.col("x.c.v").alias(value), F.col("x.flags").alias("grandfathered"))
+def numeric(current: DataFrame, baseline: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
+    """Adds `grandfathered`: each finding of a key, in order, uses up the least baseline value that isn't below its own. Null keys are equal.
+
+    Who gets which value depends on all findings before, so a key is worked
+    through in order, one finding at a time; what is kept is the baseline's
+    values of one file and metric. A null value is never grandfathered.
+    """
+    base = baseline.where(F.col(value).isNotNull()).select(*keys, F.lit(0).alias("_side"), F.lit(None).cast(current.schema[order].dataType).alias("_order"), F.col(value).cast("double").alias("_value"), F.lit(None).cast("string").alias("_row"))
+    cur = current.select(*keys, F.lit(1).alias("_side"), F.col(order).alias("_order"), F.col(value).cast("double").alias("_value"), F.to_json(F.struct(*current.columns)).alias("_row"))
+    both = base.union(cur).withColumn("_key", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})).select("_key", "_side", "_order", "_value", "_row").repartition("_key").sortWithinPartitions("_key", "_side", "_order")
+
+    def run(batches):
+        now, rest = None, []
+        for pdf in batches:
+            rows, flags = [], []
+            for k, side, v, row in zip(pdf["_key"], pdf["_side"], pdf["_value"], pdf["_row"]):
+                if k != now:
+                    now, rest = k, []
+                if side == 0:
+                    bisect.insort(rest, v)
+                    continue
+                at = bisect.bisect_left(rest, v) if v == v and v is not None else len(rest)
+                rows.append(row)
+                flags.append(at < len(rest))
+                if at < len(rest):
+                    rest.pop(at)
+            yield pd.DataFrame({"_row": rows, "grandfathered": pd.array(flags, dtype="boolean")})
+
+    done = both.mapInPandas(run, "_row string, grandfathered boolean")
+    return done.select(F.from_json("_row", current.schema).alias("r"), "grandfathered").select("r.*", "grandfathered")
+
+
+def touched(findings: DataFrame, changed_files: DataFrame, changed_lines: DataFrame) -> DataFrame:
+    """Adds `touched` to findings of a report (`report.FINDING` and ord): a budget by its file, suppressions and invariants by their line, functions and clones by a line in their range, a clone on either side.
+
+    changed_files: (file); changed_lines: (file, line). A file with changed
+    lines is changed.
+    """
+    files = changed_files.select("file").union(changed_lines.select("file")).distinct()
+    whole = findings.where("category = 'budget'").join(files, "file", "left_semi").select("ord")
+    at = findings.where("category in ('suppression', 'invariant')").join(changed_lines.select("file", "line").distinct(), ["file", "line"], "left_semi").select("ord")
+    spans = findings.where("category = 'complexity'").select("ord", "file", F.col("line").alias("first"), F.greatest("line", "end_line").alias("last"))
+    for f, a, b in (("file", "line", "end_line"), ("file_b", "line_b", "end_line_b")):
+        spans = spans.union(findings.where(f"category = 'clone' and {a} <= {b}").select("ord", f, a, b))
+    hit = touched_ranges(spans, changed_lines).select("ord")
+    found = whole.union(at).union(hit).distinct().withColumn("_t", F.lit(True))
+    return findings.join(found, "ord", "left").select(*findings.columns, F.coalesce("_t", F.lit(False)).alias("touched"))
+
+
+def apply(current: DataFrame, baseline: DataFrame, changed_files: DataFrame, changed_lines: DataFrame, renames: DataFrame) -> DataFrame:
+    """Adds `touched` and `grandfathered` to current findings (`report.FINDING`, ord and content, the line's text): debt that the baseline has too and no change touches.
+
+    Budgets and functions may not have grown; suppressions, invariants and clones
+    are counted. Current paths are followed back to their oldest names. Coverage,
+    mutation and steps are never grandfathered, nor clones without a fingerprint.
+    """
+    rows = touched(current, changed_files, changed_lines)
+    origin = lineage(renames)
+    for c in ("file", "file_b"):
+        rows = rows.join(origin.select(F.col("path").alias(c), F.col("origin").alias(f"_o_{c}")), c, "left").withColumn(f"_o_{c}", F.coalesce(f"_o_{c}", c))
+    base = baseline.withColumn("_o_file", F.col("file")).withColumn("_o_file_b", F.col("file_b"))
+    text = F.trim(F.regexp_replace("content", r"(?U)\s+", " "))
+    low, high = F.least("_o_file", "_o_file_b"), F.greatest("_o_file", "_o_file_b")
+    key = (
+        F.when(F.col("category") == "budget", F.array("_o_file", "metric"))
+        .when(F.col("category") == "complexity", F.array("_o_file", "identity", "metric"))
+        .when(F.col("category") == "suppression", F.array(F.col("_o_file"), F.col("identity"), text))
+        .when(F.col("category") == "invariant", F.array(F.col("_o_file"), F.col("identity"), F.col("metric"), F.col("file_b"), text))
+        .when((F.col("category") == "clone") & (F.coalesce("identity", F.lit("")) != ""), F.array(low, high, F.col("identity")))
+    )
+    keyed = lambda df: df.withColumn("_key", F.to_json(F.struct("category", key.alias("k")))).where(key.isNotNull())
+    cur, old = keyed(rows.where("not touched")), keyed(base)
+    by_value, by_count = F.col("category").isin("budget", "complexity"), F.col("category").isin("suppression", "invariant", "clone")
+    flags = numeric(cur.where(by_value).select("_key", "ord", "actual"), old.where(by_value).select("_key", "actual"), ["_key"], "actual", "ord").select("ord", "grandfathered")
+    flags = flags.union(multiset(cur.where(by_count).select("_key", "ord"), old.where(by_count).select("_key", "ord"), ["_key"], "ord").select("ord", "grandfathered"))
+    return rows.join(flags, "ord", "left").select(*current.columns, "touched", F.coalesce("grandfathered", F.lit(False)).alias("grandfathered"))
+
+
+def summary(applied: DataFrame) -> DataFrame:
+    """(grandfathered, retained) of a ratchet's findings."""
+    return applied.agg(F.count_if("grandfathered").alias("grandfathered"), F.count_if(~F.col("grandfathered")).alias("retained"))
+
+
+def _range(a: Column, b: Column) -> Column:
+    return F.when(a == b, a.cast("string")).otherwise(F.concat(a.cast("string"), F.lit("-"), b.cast("string")))
+
+
+def with_context(findings: DataFrame, changed_files: DataFrame, changed_lines: DataFrame) -> DataFrame:
+    """Appends to messages of retained findings (with ord) what changed around them, once: the file, the run of changed lines, or the changed parts of a clone's sides."""
+    lines = changed_lines.select("file", "line").distinct()
+    runs = hunks(lines)
+    first = lines.groupBy("file").agg(F.min("line").alias("_first"))
+    files = changed_files.select("file").distinct().withColumn("_changed", F.lit(True))
+    by_file = findings.where("category in ('budget', 'coverage', 'mutation')").join(first, "file", "left").join(files, "file", "left")
+    said = F.when(F.col("_first").isNotNull(), F.concat(F.lit("changed file `"), "file", F.lit("` at line "), F.col("_first").cast("string"))).when(F.col("_changed"), F.concat(F.lit("changed file `"), "file", F.lit("`")))
+    out = by_file.select("ord", said.alias("_context"))
+    # A changed line lies in one run; each run is dealt to the buckets of lines that it spans.
+    spread = lambda df, a, b: df.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(a) / BUCKET), F.floor(F.col(b) / BUCKET))))
+    dealt = spread(runs.select("file", F.col("first").alias("_a"), F.col("last").alias("_b")), "_a", "_b")
+    at = findings.where("category in ('suppression', 'complexity', 'invariant')").withColumn("_bucket", F.floor(F.col("line") / BUCKET)).join(dealt, ["file", "_bucket"]).where(F.col("line").between(F.col("_a"), F.col("_b")))
+    out = out.union(at.select("ord", F.concat(F.lit("changed hunk `"), "file", F.lit("`:"), _range(F.col("_a"), F.col("_b")))))
+    parts = None
+    for n, (f, a, b) in enumerate((("file", "line", "end_line"), ("file_b", "line_b", "end_line_b"))):
+        side = findings.where("category = 'clone'").select("ord", F.lit(n).alias("_n"), F.col(f).alias("file"), F.col(a).alias("_x"), F.col(b).alias("_y"))
+        met = spread(side.where("_x <= _y"), "_x", "_y").join(dealt, ["file", "_bucket"]).where("_a <= _y and _b >= _x").select("ord", "_n", F.greatest("_a", "_x").alias("_a"), F.least("_b", "_y").alias("_b")).distinct()
+        shown = met.groupBy("ord", "_n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_a", "_b"))), lambda r: _range(r["_a"], r["_b"])), ",").alias("_ranges"))
+        one = side.join(shown, ["ord", "_n"], "left").join(files, "file", "left")
+        text = F.when(F.col("_ranges").isNotNull(), F.concat(F.lit("`"), "file", F.lit("`:"), "_ranges")).when(F.col("_changed"), F.concat(F.lit("`"), "file", F.lit("`")))
+        one = one.select("ord", "_n", text.alias("_text")).where("_text is not null")
+        parts = one if parts is None else parts.union(one)
+    both = parts.groupBy("ord").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_text"))), lambda x: x["_text"]), ", ").alias("_text"))
+    out = out.union(both.select("ord", F.concat(F.lit("changed clone ranges: "), "_text"))).where("_context is not null")
+    rows = findings.join(out, "ord", "left")
+    add = F.col("_context").isNotNull() & ~F.coalesce(F.contains("message", F.lit("[changed ")), F.lit(False))
+    message = F.when(add, F.concat(F.when(F.coalesce("message", F.lit("")) == "", "").otherwise(F.concat("message", F.lit(" "))), F.lit("["), "_context", F.lit("]"))).otherwise(F.col("message"))
+    return rows.select(*(message.alias(c) if c == "message" else c for c in findings.columns))
 
 
 def touched_ranges(findings: DataFrame, changes: DataFrame) -> DataFrame:
@@ -68,17 +177,32 @@ def hunks(changes: DataFrame) -> DataFrame:
 
 
 def lineage(renames: DataFrame) -> DataFrame:
-    """(new, old) to (path, origin): the oldest name of each new path; a cycle ends where it would repeat.
+    """(new, old) to (path, origin): the oldest name of each new path. Names on a cycle lead back to themselves, and those that run into one to where they meet it; of two old names the lesser counts.
 
-    Pointer doubling: the number of rounds is the logarithm of the longest chain.
+    Pointer doubling, twice where there are cycles: after as many steps as there
+    are names, what walks on is on a cycle, and cycles are cut there.
     """
-    jump = renames.select(F.col("new").alias("path"), F.col("old").alias("origin")).where("path <> origin").dropDuplicates(["path"])
-    for _ in range(32):
-        step = jump.select(F.col("path").alias("origin"), F.col("origin").alias("further"))
-        new = cut(jump.join(step, "origin", "left").select("path", F.coalesce(F.when(F.col("further") != F.col("path"), F.col("further")), "origin").alias("origin")))
-        if new.exceptAll(jump).isEmpty():
-            return new
-        jump = new
+    steps = cut(renames.where("new <> old").groupBy(F.col("new").alias("path")).agg(F.min("old").alias("origin")))
+    rounds = steps.count().bit_length() + 1
+    ends = lambda: steps.select("origin").join(steps.select(F.col("path").alias("origin")), "origin", "left_anti").distinct()
+    jump = _doubled(steps, rounds)
+    walking = jump.join(ends(), "origin", "left_anti")
+    if walking.isEmpty():
+        return jump
+    on_cycle = cut(walking.select(F.col("origin").alias("path")).distinct())
+    straight = steps.join(on_cycle, "path", "left_anti")
+    return _doubled(cut(straight), rounds).union(on_cycle.select("path", F.col("path").alias("origin")))
+
+
+def _doubled(steps: DataFrame, rounds: int) -> DataFrame:
+    """(path, origin) after two to the power of `rounds` steps, or fewer where all have come to an end."""
+    jump = steps
+    for _ in range(rounds):
+        further = jump.select(F.col("path").alias("origin"), F.col("origin").alias("further"))
+        met = cut(jump.join(further, "origin", "left").select("path", F.coalesce("further", "origin").alias("origin"), F.col("further").isNotNull().alias("went")))
+        jump = met.select("path", "origin")
+        if met.where("went").isEmpty():
+            break
     return jump
 
 

@@ -1,9 +1,7 @@
 """Queries of the engine by key, with the SQL that a reference database runs for the same rows.
 
 The driver's tables hold no source code, so each operator works on a
-deterministic projection of them. Queries read their whole tables, but for
-attribution_range, module_reachability, engine_states and
-coverage_missing_source, whose filters leave rows out, in their SQL as well.
+deterministic projection of them. Queries read their whole tables.
 """
 
 from __future__ import annotations
@@ -12,16 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import clones, coverage, files, findings, mutation, ratchet, rules
+from . import gate_queries, report_queries, source_queries
+from .tables import table
 
 FLAGSHIP = "clone_spans"
 K = 50
 _LINES = r"CASE WHEN coalesce(text, '') = '' THEN [] ELSE regexp_split_to_array(regexp_replace(text, '\n\z', ''), '\r?\n') END"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def doc_files(spark, d) -> DataFrame:
     return table(spark, d, "documents").select(F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit("."), F.col("lang"))).alias("path"), "text")
 
@@ -89,7 +85,7 @@ def clone_windows(spark, d):
 
 
 def clone_spans(spark, d):
-    return clones.spans(clones.matches(clones.windows(_streams(spark, d), K), K), K)
+    return clones.spans(clones.windows(_streams(spark, d), K), K)
 
 
 def clone_files(spark, d):
@@ -97,7 +93,7 @@ def clone_files(spark, d):
 
 
 def clone_hash_capacity(spark, d):
-    return clones.over_capacity(clones.windows(_streams(spark, d), 3), 8)
+    return clones.over_capacity(clones.windows(_streams(spark, d), 3, digest=True), 8)
 
 
 def clone_fingerprint(spark, d):
@@ -116,8 +112,8 @@ def coverage_floors(spark, d):
 
 
 def coverage_missing_source(spark, d):
-    records = table(spark, d, "lineitem").where("l_quantity = 50").select(F.col("l_partkey").alias("file"))
-    return coverage.missing_sources(table(spark, d, "part").select(F.col("p_partkey").alias("file")), records)
+    records = table(spark, d, "lineitem").select((F.col("l_partkey") * 100 + F.col("l_quantity").cast("long")).alias("file"))
+    return coverage.missing_sources(table(spark, d, "part").select((F.col("p_partkey") * 2).alias("file")), records)
 
 
 def coverage_critical(spark, d):
@@ -151,7 +147,7 @@ def mutation_score(spark, d):
 
 
 def mutation_json_stryker(spark, d):
-    e = table(spark, d, "events").groupBy((F.col("user_id") % 5).alias("report")).agg(F.collect_list(F.struct(F.col("event_id").cast("string").alias("id"), F.when(F.col("event_type") == "click", "Survived").otherwise("Killed").alias("status"))).alias("mutants"))
+    e = table(spark, d, "events").groupBy(F.col("user_id").alias("report")).agg(F.collect_list(F.struct(F.col("event_id").cast("string").alias("id"), F.when(F.col("event_type") == "click", "Survived").otherwise("Killed").alias("status"))).alias("mutants"))
     j = e.select("report", F.to_json(F.struct(F.create_map(F.lit("a.ts"), F.struct("mutants")).alias("files"))).alias("body"))
     return mutation.stryker(j, "report", "body").groupBy("report", "file", "category").agg(F.count("*").alias("n"))
 
@@ -175,7 +171,7 @@ def ratchet_numeric(spark, d):
 
 def attribution_range(spark, d):
     f = table(spark, d, "lineitem").select((F.col("l_suppkey") % 10).alias("file"), F.col("l_orderkey").alias("first"), (F.col("l_orderkey") + F.col("l_linenumber") % 3).alias("last"), "l_linenumber")
-    c = table(spark, d, "orders").where("o_orderkey % 17 = 0").select((F.col("o_custkey") % 10).alias("file"), F.col("o_orderkey").alias("line"))
+    c = table(spark, d, "orders").select((F.col("o_custkey") % 10).alias("file"), F.col("o_orderkey").alias("line"))
     return ratchet.touched_ranges(f, c)
 
 
@@ -190,9 +186,10 @@ def rename_closure(spark, d):
 
 
 def module_reachability(spark, d):
-    p = table(spark, d, "part").where("p_partkey > 1")
-    edges = p.select(F.floor(F.col("p_partkey") / 2).cast("long").alias("src"), F.col("p_partkey").alias("dst")).where("dst % 5 <> 0")
-    seeds = table(spark, d, "part").where("p_partkey in (1, 3, 7)").select(F.col("p_partkey").alias("node"), F.when(F.col("p_partkey") == 3, 2).otherwise(1).alias("mask"))
+    p = table(spark, d, "part")
+    src = F.when(F.col("p_partkey") % 5 == 0, -1).otherwise(F.floor(F.col("p_partkey") / 2)).cast("long")
+    edges = p.select(src.alias("src"), F.col("p_partkey").alias("dst"))
+    seeds = p.where("p_partkey in (1, 3, 7)").select(F.col("p_partkey").alias("node"), F.when(F.col("p_partkey") == 3, 2).otherwise(1).alias("mask"))
     return ratchet.reach(edges, seeds)
 
 
@@ -225,8 +222,9 @@ def grouped_advisories(spark, d):
 
 
 def engine_states(spark, d):
-    state = F.element_at(F.array(*map(F.lit, findings.STATES)), (F.col("event_id") % 13 % 6 + 1).cast("int"))
-    return findings.engine_states(_events(spark, d).where("event_type <> 'error' or event_id % 13 < 5").select(F.col("user_id").alias("engine"), state.alias("state")), "engine", "state")
+    n = F.when((F.col("event_type") == "error") & (F.col("event_id") % 13 >= 5), 0).otherwise(F.col("event_id") % 13 % 6)
+    state = F.element_at(F.array(*map(F.lit, findings.STATES)), (n + 1).cast("int"))
+    return findings.engine_states(_events(spark, d).select(F.col("user_id").alias("engine"), state.alias("state")), "engine", "state")
 
 
 def verdict(spark, d):
@@ -346,25 +344,25 @@ ORACLES: dict[str, str] = {
     "clone_files": f"WITH {_SPANS} SELECT count(DISTINCT f) AS files FROM (SELECT a AS f FROM spans UNION ALL SELECT b FROM spans)",
     "clone_hash_capacity": f"WITH {_WINDOWS.format(k=3)} SELECT h, count(*) AS n FROM win GROUP BY h HAVING count(*) > 8",
     "coverage_floors": f"SELECT found, hit, round(hit / found * 100, 6) AS pct, hit / found * 100 < 60 AS below FROM (SELECT count(*) AS found, count(*) FILTER (hits > 0) AS hit FROM {DA})",
-    "coverage_missing_source": "SELECT file, CASE WHEN n IS NULL THEN 'absent' ELSE 'ambiguous' END AS reason FROM (SELECT DISTINCT p_partkey AS file FROM part) LEFT JOIN (SELECT l_partkey AS file, count(*) AS n FROM lineitem WHERE l_quantity = 50 GROUP BY 1) USING (file) WHERE n IS NULL OR n > 1",
+    "coverage_missing_source": "SELECT file, CASE WHEN n IS NULL THEN 'absent' ELSE 'ambiguous' END AS reason FROM (SELECT DISTINCT p_partkey * 2 AS file FROM part) LEFT JOIN (SELECT l_partkey * 100 + CAST(l_quantity AS BIGINT) AS file, count(*) AS n FROM lineitem GROUP BY 1) USING (file) WHERE n IS NULL OR n > 1",
     "coverage_critical": f"SELECT file, CASE WHEN found IS NULL THEN 'Missing Critical Path' ELSE 'Critical Path 100% Coverage' END AS finding, round(hit / found * 100, 6) AS pct FROM (SELECT DISTINCT s_suppkey * 2 AS file FROM supplier) LEFT JOIN (SELECT file, count(*) AS found, count(*) FILTER (hits > 0) AS hit FROM {DA} GROUP BY file) USING (file) WHERE found IS NULL OR hit < found",
     "coverage_diff_strict": _changed_sql(True),
     "coverage_diff_legacy": _changed_sql(False),
     "coverage_production_only": f"SELECT file, count(*) AS found, count(*) FILTER (hits > 0) AS hit FROM {DA} c WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_returnflag = 'R' AND l_suppkey = c.file AND l_orderkey = c.line) GROUP BY file",
     "mutation_score": "SELECT user_id % 7 AS report, count(*) FILTER (event_type = 'signup') AS killed, count(*) FILTER (event_type = 'view') AS survived, count(*) FILTER (event_type = 'purchase') AS timeout, count(*) FILTER (event_type = 'error') AS compile_error, CAST(0 AS BIGINT) AS runner_error, CAST(0 AS BIGINT) AS equivalent, count(*) FILTER (event_type = 'click') AS unviable, CAST(0 AS BIGINT) AS unknown, count(*) AS total, round(coalesce(killed * 100.0 / nullif(killed + survived, 0), 0), 6) AS score, killed + survived = 0 OR coalesce(killed * 100.0 / nullif(killed + survived, 0), 0) < 85 AS below FROM events GROUP BY 1",
-    "mutation_json_stryker": "SELECT user_id % 5 AS report, 'a.ts' AS file, CASE event_type WHEN 'click' THEN 'survived' ELSE 'killed' END AS category, count(*) AS n FROM events GROUP BY ALL",
+    "mutation_json_stryker": "SELECT user_id AS report, 'a.ts' AS file, CASE event_type WHEN 'click' THEN 'survived' ELSE 'killed' END AS category, count(*) AS n FROM events GROUP BY ALL",
     "ratchet_multiset": "WITH b AS (SELECT user_id, event_type, count(*) AS had FROM events WHERE event_id % 2 = 0 GROUP BY ALL) SELECT event_id, row_number() OVER (PARTITION BY e.user_id, e.event_type ORDER BY event_id) <= coalesce(had, 0) AS grandfathered FROM events e LEFT JOIN b ON e.user_id IS NOT DISTINCT FROM b.user_id AND e.event_type = b.event_type WHERE event_id % 2 = 1",
     "ratchet_numeric": "WITH c AS (SELECT o_custkey AS file, max(o_orderkey) AS ord, arg_max(o_totalprice, o_orderkey) AS actual, arg_min(o_totalprice, o_orderkey) AS base FROM orders GROUP BY 1) SELECT file, ord, actual, actual <= base AS grandfathered FROM c",
-    "attribution_range": "WITH f AS (SELECT l_suppkey % 10 AS file, l_orderkey AS first, l_orderkey + l_linenumber % 3 AS last, l_linenumber FROM lineitem) SELECT * FROM f WHERE EXISTS (SELECT 1 FROM orders WHERE o_orderkey % 17 = 0 AND o_custkey % 10 = f.file AND o_orderkey BETWEEN f.first AND f.last)",
+    "attribution_range": "WITH f AS (SELECT l_suppkey % 10 AS file, l_orderkey AS first, l_orderkey + l_linenumber % 3 AS last, l_linenumber FROM lineitem) SELECT * FROM f WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey % 10 = f.file AND o_orderkey BETWEEN f.first AND f.last)",
     "hunk_ranges": "WITH e AS (SELECT DISTINCT user_id AS file, CAST(epoch_us(ts) // 86400000000 AS BIGINT) AS line FROM events), g AS (SELECT *, line - row_number() OVER (PARTITION BY file ORDER BY line) AS island FROM e) SELECT file, min(line) AS first, max(line) AS last FROM g GROUP BY file, island",
     "rename_closure": "SELECT c_custkey AS path, CAST(1 AS BIGINT) AS origin FROM customer WHERE c_custkey > 1",
-    "module_reachability": "WITH RECURSIVE e AS (SELECT p_partkey // 2 AS src, p_partkey AS dst FROM part WHERE p_partkey > 1 AND p_partkey % 5 <> 0), r AS (SELECT p_partkey AS node, CAST(CASE WHEN p_partkey = 3 THEN 2 ELSE 1 END AS BIGINT) AS mask FROM part WHERE p_partkey IN (1, 3, 7) UNION SELECT e.dst, r.mask FROM r JOIN e ON e.src = r.node) SELECT node, bit_or(mask) AS mask FROM r GROUP BY node",
+    "module_reachability": "WITH RECURSIVE e AS (SELECT CASE WHEN p_partkey % 5 = 0 THEN -1 ELSE p_partkey // 2 END AS src, p_partkey AS dst FROM part), r AS (SELECT p_partkey AS node, CAST(CASE WHEN p_partkey = 3 THEN 2 ELSE 1 END AS BIGINT) AS mask FROM part WHERE p_partkey IN (1, 3, 7) UNION SELECT e.dst, r.mask FROM r JOIN e ON e.src = r.node) SELECT node, bit_or(mask) AS mask FROM r GROUP BY node",
     "report_compare": "WITH o AS (SELECT o_custkey AS file, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 50 END AS line, o_orderpriority AS identity, o_orderstatus AS s FROM orders), b AS (SELECT DISTINCT file, line, identity FROM o WHERE s <> 'F'), a AS (SELECT DISTINCT file, line, identity FROM o WHERE s <> 'O') SELECT *, 'retained' AS change FROM (SELECT * FROM b INTERSECT SELECT * FROM a) UNION ALL SELECT *, 'removed' FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT *, 'added' FROM (SELECT * FROM a EXCEPT SELECT * FROM b)",
     "top_files": "SELECT user_id AS file, count(*) AS findings FROM events GROUP BY 1 ORDER BY findings DESC, file LIMIT 10",
     "top_files_filter": "SELECT event_id, user_id FROM events WHERE user_id IN (SELECT user_id FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, user_id LIMIT 10))",
     "function_reviews": "SELECT l_orderkey, l_partkey, string_agg(l_linenumber || ':' || l_suppkey, ',' ORDER BY l_linenumber, l_suppkey) AS metrics, count(*) AS n FROM lineitem GROUP BY 1, 2",
     "grouped_advisories": "SELECT message, sum(c)::BIGINT AS n, array_to_string(list_sort(list(DISTINCT conv_id))[1:3], ', ') AS locations FROM (SELECT role || ' ' || length(text) % 5 AS message, conv_id, 1 AS c FROM conversations) GROUP BY message",
-    "engine_states": "SELECT user_id AS engine, (['disabled', 'skipped', 'cached', 'completed', 'failed', 'incomplete'])[max(event_id % 13 % 6) + 1] AS state FROM events WHERE event_type <> 'error' OR event_id % 13 < 5 GROUP BY 1",
+    "engine_states": "SELECT user_id AS engine, (['disabled', 'skipped', 'cached', 'completed', 'failed', 'incomplete'])[max(CASE WHEN event_type = 'error' AND event_id % 13 >= 5 THEN 0 ELSE event_id % 13 % 6 END) + 1] AS state FROM events GROUP BY 1",
     "verdict": "SELECT blocking, total, incomplete, blocking = 0 AND NOT incomplete AS passed, CAST(CASE WHEN incomplete THEN 2 WHEN blocking > 0 THEN 1 ELSE 0 END AS INTEGER) AS exit_code FROM (SELECT count(*) FILTER (event_type = 'error') AS blocking, count(*) AS total, coalesce(bool_or(value IS NULL), false) AS incomplete FROM events)",
     "summary_rollup": "SELECT count(*) AS total, count(DISTINCT user_id) AS files, " + ", ".join(f"count(*) FILTER (event_type = '{t}') AS n_{t}" for t in ("signup", "view", "error", "click", "purchase")) + " FROM events",
     "canonical_order_limit": "SELECT event_type, user_id, event_id FROM events ORDER BY event_type, user_id, event_id LIMIT 100",
@@ -375,3 +373,7 @@ ORACLES: dict[str, str] = {
     "input_identity_diff": "WITH b AS (SELECT doc_id, sha256(coalesce(text, '')) AS before FROM documents), a AS (SELECT doc_id + 1 AS doc_id, sha256(coalesce(text, '')) AS after FROM documents) SELECT coalesce(b.doc_id, a.doc_id) AS doc_id, before, after FROM b FULL JOIN a ON b.doc_id = a.doc_id WHERE before IS DISTINCT FROM after",
     "partition_cover": "WITH c AS (SELECT l_partkey * 3 AS source, count(DISTINCT l_suppkey % 3) AS n FROM lineitem GROUP BY 1), s AS (SELECT DISTINCT p_partkey * 2 AS source, true AS known FROM part), j AS (SELECT coalesce(c.source, s.source) AS source, CASE WHEN n IS NULL THEN 'uncovered' WHEN known IS NULL THEN 'unknown' WHEN n > 1 THEN 'overlap' END AS problem FROM s FULL JOIN c ON s.source = c.source) SELECT * FROM j WHERE problem IS NOT NULL",
 }
+
+for _part in (source_queries, gate_queries, report_queries):
+    QUERIES |= _part.QUERIES
+    ORACLES |= _part.ORACLES

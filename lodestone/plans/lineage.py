@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -18,3 +19,20 @@ def cut(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="lodestone-")
         context.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def ranked(rows: DataFrame, keys: list[str], order: str, name: str = "rank") -> DataFrame:
+    """Adds each row's rank from 1 within its keys, nulls being equal, without bringing the rows of a key together.
+
+    Rows are dealt by ranges of keys and order, which is checkpointed so that
+    all that follows sees one dealing; ranks within a range and the numbers of
+    a key's rows in the ranges before it give the rank.
+    """
+    dealt = cut(rows.repartitionByRange(*keys, order).withColumn("_part", F.spark_partition_id()))
+    sizes = dealt.groupBy("_part", *keys).agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # A key has a row here for each range that it spans.
+    sizes = sizes.select("_part", *(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("_part", *keys).orderBy(order)))
+    same = [inside["_part"] == sizes["_part"], *(inside[k].eqNullSafe(sizes[f"_k{i}"]) for i, k in enumerate(keys))]
+    return inside.join(sizes, same).select(*(inside[c] for c in rows.columns), (F.col("_rank") + F.col("_before")).alias(name))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -10,6 +10,8 @@ from ..functions import text as T
 # Tags of the format; those of the second line aren't supported and are findings.
 TAGS = ("TN", "VER", "SF", "DA", "LF", "LH", "FN", "FNDA", "FNF", "FNH", "BRDA", "BRF", "BRH", "end_of_record")
 UNSUPPORTED = ("FNL", "FNA", "MCDC", "MRF", "MRH")
+COUNTERS = ("LF", "LH", "FNF", "FNH", "BRF", "BRH")
+RECORD = ["report", "record"]
 
 
 def entries(reports: DataFrame, report_col: str = "report", text_col: str = "text") -> DataFrame:
@@ -18,46 +20,192 @@ def entries(reports: DataFrame, report_col: str = "report", text_col: str = "tex
     Records are cut and numbered inside each report's array, so order needs no
     shuffle; a report is one row.
     """
-    all_lines = F.filter(F.transform(T.lines(F.col(text_col)), T.strip), lambda x: x != "")
+    all_lines = F.filter(F.transform(T.lines(F.col(text_col)), T.strip), lambda x: (x != "") & ~x.startswith("#"))
     rows = reports.select(F.col(report_col).alias("report"), F.posexplode(F.split(F.array_join(all_lines, "\n"), r"(?<=(^|\n)end_of_record)\n")).alias("record", "body"))
-    file = F.regexp_extract("body", r"(?:^|\n)SF:([^\n]*)", 1)
+    file = T.strip(F.regexp_extract("body", r"(?:^|\n)SF:([^\n]*)", 1))
     rows = rows.select("report", F.col("record").cast("long").alias("record"), F.when(file != "", file).alias("file"), F.posexplode(F.split("body", "\n")).alias("seq", "line"))
     tag = F.regexp_extract("line", r"^([A-Za-z_]+)(?::|$)", 1)
     return rows.select("report", "record", "file", F.col("seq").cast("long").alias("seq"), tag.alias("tag"), F.regexp_extract("line", r"^[A-Za-z_]+:(.*)$", 1).alias("rest"))
 
 
+def _count(x: Column) -> Column:
+    """A whole number of digits only; null otherwise, also beyond 64 bits."""
+    trimmed = F.trim(x)
+    return F.when(trimmed.rlike(r"^\+?[0-9]+$"), trimmed.try_cast("long"))
+
+
 def line_hits(found: DataFrame) -> DataFrame:
-    """(report, record, file, line, hits) of DA entries; what isn't two or three fields of numbers has a null line."""
+    """(report, record, file, line, hits) of DA entries; what isn't two or three fields, a line from 1 on and a count has a null line."""
     parts = F.split("rest", ",")
-    ok = F.size(parts).between(2, 3) & F.forall(parts, lambda x: F.trim(x) != "")
-    return found.where("tag = 'DA'").select("report", "record", "file", F.when(ok, F.expr("try_cast(split(rest, ',')[0] as long)")).alias("line"), F.when(ok, F.expr("try_cast(split(rest, ',')[1] as long)")).alias("hits"))
+    line, hits = _count(F.get(parts, F.lit(0))), _count(F.get(parts, F.lit(1)))
+    ok = F.size(parts).between(2, 3) & F.forall(parts, lambda x: F.trim(x) != "") & (line > 0) & hits.isNotNull()
+    return found.where("tag = 'DA'").select("report", "record", "file", F.when(ok, line).alias("line"), F.when(ok, hits).alias("hits"))
 
 
 def branches(found: DataFrame) -> DataFrame:
-    """(report, record, file, line, block, branch, taken) of BRDA entries; a branch name may hold commas, taken - is null."""
-    part = lambda i: F.regexp_extract("rest", r"^([^,]*),([^,]*),(.*),([^,]*)$", i)
-    rows = found.where("tag = 'BRDA'").select("report", "record", "file", part(1).alias("l"), part(2).alias("block"), part(3).alias("branch"), part(4).alias("t"))
-    return rows.select("report", "record", "file", F.expr("try_cast(l as long)").alias("line"), "block", "branch", F.expr("try_cast(nullif(t, '-') as long)").alias("taken"))
+    """(report, record, file, line, block, branch, taken) of BRDA entries; a branch name may hold commas, taken - is null; malformed ones have a null line."""
+    part = lambda i: F.trim(F.regexp_extract("rest", r"^([^,]*),([^,]*),(.*),([^,]*)$", i))
+    rows = found.where("tag = 'BRDA'").select("report", "record", "file", _count(part(1)).alias("l"), part(2).alias("block"), part(3).alias("branch"), part(4).alias("t"))
+    named = lambda c: (F.col(c) != "") & F.forall(F.split(c, ","), lambda x: ~F.trim(x).isin("", "-"))
+    ok = (F.col("l") > 0) & named("block") & named("branch") & ((F.col("t") == "-") | _count(F.col("t")).isNotNull())
+    return rows.select("report", "record", "file", F.when(ok, F.col("l")).alias("line"), "block", "branch", _count(F.nullif("t", F.lit("-"))).alias("taken"))
+
+
+def functions(found: DataFrame) -> DataFrame:
+    """(report, record, file, name, line, declared, called, hits, bad): FN and FNDA entries by name.
+
+    FN has a line, perhaps a last line, and a name; FNDA hits and a name.
+    declared and called count the entries of the name, bad those that can't be read.
+    """
+    head, tail = F.regexp_extract("rest", "^([^,]*),", 1), F.regexp_extract("rest", "^[^,]*,(.*)$", 1)
+    last = _count(F.regexp_extract(tail, "^([^,]*),", 1))
+    is_fn = F.col("tag") == "FN"
+    name = F.trim(F.when(is_fn & last.isNotNull(), F.regexp_extract(tail, "^[^,]*,(.*)$", 1)).otherwise(tail))
+    n = _count(head)
+    ok = F.col("rest").contains(",") & (name != "") & n.isNotNull() & (~is_fn | ((n > 0) & (last.isNull() | ((last > 0) & (last >= n)))))
+    rows = found.where(F.col("tag").isin("FN", "FNDA")).select("report", "record", "file", is_fn.alias("fn"), F.when(ok, name).alias("name"), n.alias("n"), F.coalesce(ok, F.lit(False)).alias("ok"))
+    return rows.groupBy("report", "record", "file", "name").agg(
+        F.max(F.when(F.col("fn"), F.col("n"))).alias("line"), F.count_if(F.col("fn") & F.col("ok")).alias("declared"), F.count_if(~F.col("fn") & F.col("ok")).alias("called"),
+        F.max(F.when(~F.col("fn"), F.col("n"))).alias("hits"), F.count_if(~F.col("ok")).alias("bad"),
+    )
 
 
 def counters(found: DataFrame) -> DataFrame:
-    """One row per record with LF, LH, FNF, FNH, BRF and BRH."""
-    names = ["LF", "LH", "FNF", "FNH", "BRF", "BRH"]
-    n = F.expr("try_cast(rest as long)")
-    return found.where(F.col("tag").isin(*names)).groupBy("report", "record", "file").agg(*(F.max(F.when(F.col("tag") == t, n)).alias(t.lower()) for t in names))
-
-
-def problems(found: DataFrame) -> DataFrame:
-    """(report, record, problem): what makes a report invalid evidence; a report without entries has one too."""
-    by = found.groupBy("report", "record").agg(
-        F.count_if(F.col("tag") == "SF").alias("sf"), F.count_if(F.col("tag") == "end_of_record").alias("ends"), F.count_if(F.col("tag").isin(*UNSUPPORTED)).alias("odd"),
-        F.count_if(~F.col("tag").isin(*TAGS, *UNSUPPORTED)).alias("unknown"), F.count_if(~F.col("tag").isin("TN", "")).alias("real"),
-        F.max(F.when(F.col("tag") == "LF", F.expr("try_cast(rest as long)"))).alias("lf"), F.max(F.when(F.col("tag") == "LH", F.expr("try_cast(rest as long)"))).alias("lh"),
-        F.count_if(F.col("tag") == "DA").alias("da"), F.count_distinct(F.when(F.col("tag") == "DA", F.split("rest", ",")[0])).alias("da_lines"),
+    """One row per record with LF, LH, FNF, FNH, BRF and BRH, null where the record has none."""
+    n = _count(F.col("rest"))
+    return found.where(F.col("tag").isin(*COUNTERS)).groupBy("report", "record", "file").agg(*(F.max(F.when(F.col("tag") == t, n)).alias(t.lower()) for t in COUNTERS))
+
+
+def function_projection(found: DataFrame) -> DataFrame:
+    """(report, record, line, hit): a record's functions; those of one line count once where only that agrees with FNF and FNH, and where nothing agrees there are none."""
+    each = functions(found).where("declared > 0").select(*RECORD, "line", (F.coalesce("hits", F.lit(0)) > 0).alias("hit"))
+    grouped = each.groupBy(*RECORD, "line").agg(F.bool_or("hit").alias("hit"))
+    totals = counters(found).select(*RECORD, "fnf", "fnh")
+    agreed = lambda rows: rows.groupBy(*RECORD).agg(F.count("*").alias("n"), F.count_if("hit").alias("h")).join(totals, RECORD).where("n = fnf and h = fnh").select(*RECORD)
+    plain = agreed(each)
+    return each.join(plain, RECORD, "left_semi").union(grouped.join(agreed(grouped).join(plain, RECORD, "left_anti"), RECORD, "left_semi"))
+
+
+def records(found: DataFrame) -> DataFrame:
+    """(report, record, file, lines_found, lines_hit, functions_found, functions_hit, branches_found, branches_hit) of the records, 0 for missing counters."""
+    names = ("lines_found", "lines_hit", "functions_found", "functions_hit", "branches_found", "branches_hit")
+    heads = found.where("file is not null").select(*RECORD, "file").distinct()
+    return heads.join(counters(found).drop("file"), RECORD, "left").select(*RECORD, "file", *(F.coalesce(t.lower(), F.lit(0)).cast("long").alias(n) for t, n in zip(COUNTERS, names)))
+
+
+def production(found: DataFrame, test_lines: DataFrame) -> DataFrame:
+    """Records without what stands on test lines (file, line), and `problem` where that can't be told.
+
+    Counters that lines don't explain stay in the denominator, and hits are
+    credited to proven production lines and branches only. Records without
+    test lines keep their counters.
+    """
+    tests = test_lines.select("file", "line").distinct().withColumn("test", F.lit(True))
+    marked = lambda rows: rows.join(tests, ["file", "line"], "left").withColumn("test", F.coalesce("test", F.lit(False)))
+    one = lambda c, x: F.count_if(c & F.coalesce(x > 0, F.lit(False)))
+    own, test = ~F.col("test"), F.col("test")
+    da = marked(line_hits(found)).groupBy(*RECORD).agg(F.count_if(test).alias("da_test"), one(test, F.col("hits")).alias("da_test_hit"), one(own, F.col("hits")).alias("da_hit"))
+    br = marked(branches(found)).groupBy(*RECORD).agg(F.count("*").alias("br"), F.count_if(test).alias("br_test"), one(test, F.col("taken")).alias("br_test_hit"), F.count_if(own).alias("br_own"), one(own, F.col("taken")).alias("br_hit"))
+    heads = records(found)
+    told = marked(function_projection(found).join(heads.select(*RECORD, "file"), RECORD)).groupBy(*RECORD).agg(F.count("*").alias("fn"), F.count_if(own).alias("fn_own"), F.count_if(own & F.col("hit")).alias("fn_hit"))
+    declared = marked(functions(found).where("declared > 0")).groupBy(*RECORD).agg(F.count_if(test).alias("fn_test"))
+    rows = heads
+    for t in (da, br, told, declared):
+        rows = rows.join(t, RECORD, "left")
+    names = ("da_test", "da_test_hit", "da_hit", "br", "br_test", "br_test_hit", "br_own", "br_hit", "fn_own", "fn_hit", "fn_test")
+    rows = rows.withColumns({n: F.coalesce(n, F.lit(0)) for n in names})
+    mixed = (F.col("da_test") + F.col("br_test") + F.col("fn_test")) > 0
+    pick = lambda new, old: F.when(mixed, new).otherwise(F.col(old)).cast("long").alias(old)
+    left = lambda a, b: F.greatest(F.col(a) - F.col(b), F.lit(0))
+    unclear = F.when(mixed & F.col("fn").isNull() & (F.col("functions_found") > 0), "functions are ambiguous").when(mixed & (F.col("br") != F.col("branches_found")), "branches are incomplete")
+    return rows.select(
+        *RECORD, "file", pick(F.col("lines_found") - F.col("da_test"), "lines_found"), pick(F.least("da_hit", left("lines_hit", "da_test_hit")), "lines_hit"), pick(F.col("fn_own"), "functions_found"), pick(F.col("fn_hit"), "functions_hit"),
+        pick(F.col("br_own"), "branches_found"), pick(F.least("br_hit", left("branches_hit", "br_test_hit")), "branches_hit"), unclear.alias("problem"),
     )
+
+
+def problems(found: DataFrame, require_functions: bool = False, require_branches: bool = False) -> DataFrame:
+    """(report, record, problem): what makes a report invalid evidence; a report without records has one too, and so has a file's second record."""
+    tag = F.col("tag")
+    of = lambda *t: F.count_if(tag.isin(*t))
+    numbers = {t.lower(): F.max(F.when(tag == t, _count(F.col("rest")))) for t in COUNTERS}
+    by = found.groupBy(*RECORD).agg(
+        of("SF").alias("sf"), of("end_of_record").alias("ends"), of(*UNSUPPORTED).alias("odd"), F.count_if(~tag.isin(*TAGS, *UNSUPPORTED)).alias("unknown"), F.count_if(~tag.isin("TN", "")).alias("real"),
+        F.min(F.when(tag == "SF", F.col("seq"))).alias("sf_at"), F.min(F.when(~tag.isin("SF", "TN", "VER", "end_of_record"), F.col("seq"))).alias("metric_at"), F.max(F.when(tag == "TN", F.col("seq"))).alias("tn_at"),
+        F.count_if((tag == "SF") & (F.trim("rest") == "")).alias("empty_sf"), F.count_if((tag == "VER") & (F.trim("rest") == "")).alias("empty_ver"), of("VER").alias("ver"), F.max(F.when(tag == "VER", F.col("seq"))).alias("ver_at"),
+        F.count_if(tag.isin(*COUNTERS) & _count(F.col("rest")).isNull()).alias("bad_counts"), F.greatest(*(of(t) for t in COUNTERS)).alias("most"), *(v.alias(k) for k, v in numbers.items()),
+    )
+    lines_ = line_hits(found).groupBy(*RECORD).agg(F.count("*").alias("da"), F.count_distinct("line").alias("da_lines"), F.count_if(F.col("line").isNull()).alias("da_bad"), F.count_if(F.col("hits") > 0).alias("da_hit"))
+    named = functions(found).groupBy(*RECORD).agg(
+        F.count_if(F.col("declared") > 0).alias("fn"), F.count_if(F.col("called") > 0).alias("fnda"), F.count_if((F.col("declared") > 0) != (F.col("called") > 0)).alias("fn_lone"),
+        F.count_if((F.col("declared") > 1) | (F.col("called") > 1)).alias("fn_twice"), F.sum("bad").alias("fn_bad"), F.count_if((F.col("called") > 0) & (F.col("hits") > 0)).alias("fn_hit"),
+    )
+    each = branches(found).groupBy(*RECORD, "line", "block", "branch").agg(F.count("*").alias("n"))
+    forks = each.groupBy(*RECORD).agg(F.count_if(F.col("n") > 1).alias("br_twice"), F.count_if(F.col("line").isNull()).alias("br_bad"), F.count("*").alias("br"))
+    told = function_projection(found).groupBy(*RECORD).agg(F.count("*").alias("told"))
+    rows = by
+    for t in (lines_, named, forks, told):
+        rows = rows.join(t, RECORD, "left")
+    rows = rows.withColumns({n: F.coalesce(n, F.lit(0)) for n in ("da", "da_lines", "da_bad", "da_hit", "fn", "fnda", "fn_lone", "fn_twice", "fn_bad", "fn_hit", "br_twice", "br_bad", "br")})
+    c = F.col
+    lone = lambda a, b: c(a).isNull() != c(b).isNull()
+    empty = (c("da") == 0) & c("lf").isNull().eqNullSafe(c("lh").isNull()) & (F.coalesce("lf", F.lit(0)) == 0) & (F.coalesce("lh", F.lit(0)) == 0)
+    fnf, fnh = F.coalesce("fnf", F.lit(0)), F.coalesce("fnh", F.lit(0))
+    explained = (c("lh") < c("da_hit")) & (c("fn") > fnf) & c("told").isNotNull()
     checks = {
-        "nested or repeated source file": F.col("sf") > 1, "no source file": F.col("sf") == 0, "unterminated record": F.col("ends") == 0, "unsupported tag": F.col("odd") > 0, "unknown tag": F.col("unknown") > 0,
-        "duplicate line": F.col("da") > F.col("da_lines"), "unpaired line counters": F.col("lf").isNull() != F.col("lh").isNull(), "more lines hit than found": F.col("lh") > F.col("lf"), "fewer lines found than listed": F.col("lf") < F.col("da"),
+        "nested or repeated source file": c("sf") > 1, "no source file": c("sf") == 0, "empty source path": c("empty_sf") > 0, "metric outside a record": c("metric_at") < F.coalesce("sf_at", F.lit(1 << 40)), "test name inside a record": c("tn_at") > c("sf_at"),
+        "misplaced version": (c("ver") > 1) | (c("empty_ver") > 0) | (c("ver_at") > c("metric_at")) | (c("ver_at") < c("sf_at")), "unterminated record": c("ends") == 0, "unsupported tag": c("odd") > 0, "unknown tag": c("unknown") > 0,
+        "malformed line": c("da_bad") > 0, "duplicate line": c("da") - c("da_bad") > c("da_lines"), "malformed counter": c("bad_counts") > 0, "duplicate counter": c("most") > 1,
+        "unpaired line counters": lone("lf", "lh"), "unpaired function counters": lone("fnf", "fnh"), "unpaired branch counters": lone("brf", "brh"),
+        "missing line counters": ~empty & c("lf").isNull() & c("lh").isNull(), "missing function counters": F.lit(require_functions) & c("fnf").isNull(), "missing branch counters": F.lit(require_branches) & c("brf").isNull(),
+        "no lines": ~empty & (c("da") == 0), "fewer lines found than listed": c("lf") < c("da"), "more lines hit than found": c("lh") > c("lf"), "more functions hit than found": c("fnh") > c("fnf"), "more branches hit than found": c("brh") > c("brf"),
+        "lines hit disagree": (c("lf") == c("da_lines")) & (c("da") > 0) & (c("lh") != c("da_hit")) & ~explained,
+        "malformed function": c("fn_bad") > 0, "duplicate function": c("fn_twice") > 0, "functions and their hits disagree": c("fn_lone") > 0,
+        "functions without counters": (c("fn") > 0) & c("fnf").isNull() & F.lit(not require_functions), "impossible function hits": (c("fn") > 0) & (c("fn") >= fnf) & (c("fn_hit") >= fnh) & (c("fn_hit") - fnh > c("fn") - fnf),
+        "malformed branch": c("br_bad") > 0, "duplicate branch": c("br_twice") > 0, "branches without counters": (c("br") > 0) & c("brf").isNull() & F.lit(not require_branches),
     }
-    listed = F.array_compact(F.array(*(F.when(c, F.lit(name)) for name, c in checks.items())))
-    return by.where("real > 0").select("report", "record", F.explode(listed).alias("problem"))
+    listed = F.array_compact(F.array(*(F.when(F.coalesce(x, F.lit(False)), F.lit(name)) for name, x in checks.items())))
+    out = rows.where("real > 0").select(*RECORD, F.explode(listed).alias("problem"))
+    kept = found.where("file is not null").select(*RECORD, T.record_key(F.col("file")).alias("key")).distinct()
+    second = kept.groupBy("report", "key").agg(F.count("*").alias("n"), F.max("record").alias("record")).where("n > 1").select(*RECORD, F.lit("second record of a file").alias("problem"))
+    none = found.groupBy("report").agg(F.count_if(~tag.isin("TN", "")).alias("n")).where("n = 0").select("report", F.lit(None).cast("long").alias("record"), F.lit("no records").alias("problem"))
+    return out.union(second).union(none)
+
+
+def union_of(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records of several partial reports as one, and the (file, reports) that more than one of them covers, which is an error."""
+    rows = records(found)
+    twice = rows.groupBy("file").agg(F.count_distinct("report").alias("reports")).where("reports > 1")
+    return rows, twice
+
+
+def with_native_zeros(found: DataFrame, native: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Counters (report, record, file, lf, lh, fnf, fnh, brf, brh) whose missing pairs are zero where the native report proves both zero, and the problems.
+
+    native: (report, file, branch_coverage, num_statements, covered_lines,
+    num_branches, covered_branches, functions, covered_functions), as
+    `native_counters` makes it.
+    """
+    heads = found.where("file is not null").select(*RECORD, "file").distinct()
+    both = heads.join(counters(found).drop("file"), RECORD, "left").join(native, ["report", "file"], "left")
+    pairs = (("lf", "lh", "num_statements", "covered_lines"), ("brf", "brh", "num_branches", "covered_branches"), ("fnf", "fnh", "functions", "covered_functions"))
+    zero = lambda a, b: (F.col(a) == 0) & (F.col(b) == 0)
+    known = F.col("branch_coverage").isNotNull()
+    lacking = [F.col(x).isNull() | F.col(y).isNull() for x, y, _, _ in pairs]
+    proven = [F.col(x).isNull() & F.col(y).isNull() & F.coalesce(zero(a, b), F.lit(False)) for x, y, a, b in pairs]
+    filled = both.select(*RECORD, "file", *(F.when(p, F.lit(0)).otherwise(F.col(c)).cast("long").alias(c) for (x, y, _, _), p in zip(pairs, proven) for c in (x, y)))
+    checks = [F.when(~known, F.lit("no native counterpart")), F.when(known & ~F.col("branch_coverage"), F.lit("no branch execution"))]
+    checks += [F.when(known & lack & ~p, F.lit(f"omitted {x}/{y} that isn't empty")) for (x, y, _, _), lack, p in zip(pairs, lacking, proven)]
+    return filled, both.select(*RECORD, "file", F.explode(F.array_compact(F.array(*checks))).alias("problem"))
+
+
+_REGION = "struct<summary: struct<num_statements: long, covered_lines: long>>"
+_NATIVE = f"struct<meta: struct<branch_coverage: boolean>, files: map<string, struct<summary: struct<num_statements: long, covered_lines: long, num_branches: long, covered_branches: long>, functions: map<string, {_REGION}>>>>"
+
+
+def native_counters(reports: DataFrame, id_col: str = "report", body_col: str = "body") -> DataFrame:
+    """Native coverage reports of Python as counters of each file; functions count if they have statements and a name."""
+    rows = reports.select(F.col(id_col).alias("report"), F.from_json(body_col, _NATIVE).alias("r")).select("report", F.coalesce("r.meta.branch_coverage", F.lit(False)).alias("branch_coverage"), F.explode("r.files").alias("file", "f"))
+    real = F.filter(F.map_entries("f.functions"), lambda e: (e["key"] != "") & (e["value"]["summary"]["num_statements"] > 0))
+    hit = F.filter(real, lambda e: e["value"]["summary"]["covered_lines"] > 0)
+    return rows.select("report", "file", "branch_coverage", "f.summary.*", F.size(real).cast("long").alias("functions"), F.size(hit).cast("long").alias("covered_functions"))

@@ -75,7 +75,7 @@ def test_clone_spans_and_tokens(spark):
     body = [f"t{i}" for i in range(30)]
     rows = [("a", ["x", *body, "y"]), ("b", ["z", "w", *body]), ("c", ["q"])]
     found = clones.windows(spark.createDataFrame(rows, "stream string, tokens array<string>"), 10)
-    assert [tuple(r) for r in clones.spans(clones.matches(found, 10), 10).collect()] == [("a", "b", 1, 2, 30)]
+    assert [tuple(r) for r in clones.spans(found, 10).collect()] == [("a", "b", 1, 2, 30)]
     df = spark.range(1).select(clones.code_tokens(F.lit("let x1 = 'a b' + 3.5e2; y")).alias("a"), clones.code_tokens(F.lit("  // no")).alias("b")).first()
     assert df.a == ["let", "x1", "=", "_STR_", "+", "_LIT_", ";", "y"]
     assert df.b == []
@@ -112,7 +112,12 @@ def test_diff_and_status(spark):
     got = repository.changed_lines(spark.createDataFrame([(1, diff)], "diff long, text string")).collect()
     assert sorted((r.file, r.line) for r in got) == [("x", 2), ("x", 12), ("x", 13)]
     status = spark.createDataFrame([("?? n.py\x00R  new.py\x00old.py\x00 M z.py\x00",)], "text string")
-    assert [tuple(r) for r in repository.porcelain(status).collect()] == [("??", "n.py", None), ("R ", "new.py", "old.py"), (" M", "z.py", None)]
+    assert [tuple(r)[1:] for r in repository.porcelain(status).collect()] == [("??", "n.py", None, None), ("R ", "new.py", "old.py", None), (" M", "z.py", None, None)]
+    odd = spark.createDataFrame([("R  n1\x00?? b\x00",), ("R  n2\x00o2\x00x\x00?? ../up\x00",)], "text string")
+    assert sorted((tuple(r)[1:] for r in repository.porcelain(odd).collect()), key=str) == sorted([("R ", "n1", "?? b", None), ("R ", "n2", "o2", None), (None, None, None, "malformed record"), ("??", "../up", None, "path outside the repository")], key=str)
+    inside = spark.createDataFrame([(1, "diff --git a/q b/q\n--- a/q\n+++ b/q\n@@ -1 +7 @@\n+++ inc\n@@ -9 +0,2 @@\n@@ bad\n")], "diff long, text string")
+    got = repository.hunks(inside).collect()
+    assert [(r.file, r.start, r.count, r.problem) for r in got] == [("q", 7, 1, None), ("q", None, None, "lines from 0 on"), ("q", None, None, "malformed hunk header")]
 
 
 def test_walk_and_report(spark, tmp_path):
@@ -120,7 +125,7 @@ def test_walk_and_report(spark, tmp_path):
     (tmp_path / "r/node_modules/p/x.js").write_text("x")
     (tmp_path / "r/a.py").write_text("é\n")
     (tmp_path / "r/b.bin").write_bytes(b"\xff\xfe")
-    got = {r.path: r for r in repository.walk(spark, str(tmp_path / "r"), exclude=["*.bin"]).collect()}
+    got = {r.path: r for r in repository.walk(spark, str(tmp_path / "r"), exclude=["*.bin"], extensions=None).collect()}
     assert set(got) == {"a.py", "b.bin"}
     assert (got["a.py"].text, got["b.bin"].read_error, got["b.bin"].excluded) == ("é\n", "not UTF-8", True)
     repository.save_report(spark.createDataFrame([("a", 1)], "file string, line int"), str(tmp_path / "out"))
@@ -194,3 +199,78 @@ def test_incremental_scan(spark, tmp_path):
     stream = spark.readStream.schema("path string, text string").parquet(str(tmp_path / "in"))
     scan_new(stream, rules.suppressions, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     assert [(r.path, r.token) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("a", "@ts-ignore")]
+
+
+def test_walk_filters_and_order(spark, tmp_path):
+    for name in ("b/x.ts", "b-c/y.ts", "a.ts", ".hidden/z.ts", "c.txt", "gen/out.ts", "gen/keep.ts", "target/t.rs", "old.go"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    got = [r.path for r in repository.walk(spark, str(tmp_path), ignore=["gen/*", "!gen/keep.ts"]).collect()]
+    assert got == ["a.ts", "b/x.ts", "b-c/y.ts", "gen/keep.ts", "old.go"]
+
+
+def test_policies():
+    from lodestone.sources import policy
+
+    base = policy.load(None)
+    assert base["budgets"]["files"]["max_lines"]["rs"] == 499
+    assert policy.load("[budgets.files]\nmax_lines = {}\n")["budgets"]["files"]["max_lines"] == {}
+    assert policy.identity(base) == policy.identity(policy.merged(base, {}))
+    assert policy.load("[coverage]\nmin_line_percent = 50\n")["coverage"]["min_function_percent"] == 95.0
+    for bad in ("[gate]\nx = 1", "[budgets.files]\nmax_bytes = 0", "[coverage]\nmin_line_percent = 101", "[roles.test]\nmutation_target = true", "[budgets.files.max_lines]\ngo = 3", "[roles.source]\nseverity = 'loud'", "[legacy]\nratchet = true\nreference_branch = ' '"):
+        with pytest.raises(ValueError):
+            policy.load(bad)
+    assert policy.detect(["package.json", "pnpm-lock.yaml"], {"lint": "x"}) == ("javascript", {"lint": "pnpm run lint"})
+    assert policy.detect(["Cargo.toml", "package.json"])[0] == "ambiguous"
+    roots = policy.cargo_roots('[package]\nautobenches = false\n[[test]]\npath = "it/a.rs"\n', ["src/lib.rs", "src/main.rs", "src/bin/x.rs", "it/a.rs", "tests/t.rs", "benches/b.rs", "build.rs", "src/other.rs"])
+    assert roots == {"src/lib.rs": 1, "src/main.rs": 1, "src/bin/x.rs": 1, "it/a.rs": 2, "tests/t.rs": 2, "build.rs": 1}
+
+
+def test_valued_ratchet_walks_in_order(spark):
+    """Against a walk in order, over all orders of a customer as findings of one key."""
+    rows = spark.read.parquet(f"{SF}/orders.parquet").selectExpr("o_custkey % 40 AS file", "o_orderkey AS ord", "o_totalprice AS actual", "o_orderkey % 2 AS half").collect()
+    got = ratchet.numeric(spark.createDataFrame([r[:3] for r in rows if r.half], "file long, ord long, actual double"), spark.createDataFrame([(r.file, r.actual) for r in rows if not r.half], "file long, actual double"), ["file"], "actual", "ord").collect()
+    rest = {}
+    for r in rows:
+        if not r.half:
+            rest.setdefault(r.file, []).append(r.actual)
+    want = {}
+    for r in sorted((r for r in rows if r.half), key=lambda r: r.ord):
+        fits = sorted(v for v in rest.get(r.file, []) if v >= r.actual)
+        want[r.ord] = bool(fits)
+        if fits:
+            rest[r.file].remove(fits[0])
+    assert {r.ord: r.grandfathered for r in got} == want
+    assert 0 < sum(want.values()) < len(want)
+
+
+def test_ratchet_keys_that_are_null(spark):
+    cur = spark.createDataFrame([("f", None, 1), ("f", None, 2), (None, 3, 3)], "file string, line long, ord long")
+    base = spark.createDataFrame([("f", None), (None, 3)], "file string, line long")
+    assert {r.ord: r.grandfathered for r in ratchet.multiset(cur, base, ["file", "line"], "ord").collect()} == {1: True, 2: False, 3: True}
+    nums = ratchet.numeric(cur.withColumn("v", F.lit(2.0)), base.withColumn("v", F.lit(2.0)), ["file", "line"], "v", "ord")
+    assert {r.ord: r.grandfathered for r in nums.collect()} == {1: True, 2: False, 3: True}
+
+
+def test_lineage_of_three(spark):
+    renames = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("t", "b"), ("u", "t"), ("y", "x"), ("y", "w")], "new string, old string")
+    assert {tuple(r) for r in ratchet.lineage(renames).collect()} == {("a", "a"), ("b", "b"), ("c", "c"), ("t", "b"), ("u", "b"), ("y", "w")}
+
+
+def test_clone_spans_equal_islands_of_matches(spark):
+    """Begins and ends give the same spans as all matches, on streams that repeat themselves."""
+    import random
+
+    r = random.Random(2)
+    rows = [(i, [r.choice("ab") for _ in range(r.randint(0, 40))]) for i in range(12)]
+    found = clones.windows(spark.createDataFrame(rows, "stream long, tokens array<string>"), 4)
+    at = {(m.a, m.b, m.ai, m.bi) for m in clones.matches(found, 4).collect()}
+    begins = {m for m in at if (m[0], m[1], m[2] - 1, m[3] - 1) not in at}
+    want = set()
+    for a, b, i, j in begins:
+        n = 0
+        while (a, b, i + n, j + n) in at:
+            n += 1
+        want.add((a, b, i, j, n + 3))
+    assert {tuple(x) for x in clones.spans(found, 4).collect()} == want
+    assert want
