@@ -7,6 +7,8 @@ bounded whatever the batch size; a single longer document makes its own slice.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -68,6 +70,32 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def trimmed(run):
+    """A pass over batches that gives memory back to the machine when its task ends: workers are used again by later stages."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            _trim()
+
+    return whole
+
+
+@functools.cache
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+
+
+def _trim() -> None:
+    if hasattr(_libc(), "malloc_trim"):
+        _libc().malloc_trim(0)
+
+
 @dataclass
 class TextSlice:
     """Consecutive rows of a column: `data` holds their UTF-8 bytes, row i is data[offsets[i]:offsets[i + 1]]."""

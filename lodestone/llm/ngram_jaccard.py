@@ -46,8 +46,8 @@ from pyspark.sql import types as T
 from ._among import bitmap, with_chance
 from ._components import components
 from ._parity import Bands, bit_sketches, folded
-from ._store import discard, shared_dir, store
-from ._text import mix64, shingle_sets, slices
+from ._store import discard, shared_dir, small_batches, store
+from ._text import mix64, shingle_sets, slices, trimmed
 
 SMALL_GROUP = 16
 #: Sets of a key whose sketches meet in one task.
@@ -57,7 +57,9 @@ PIVOT_BLOCK = 256
 #: Rounds in which a set is verified against one partner, before all pairs that are left.
 ROUNDS = 2
 #: Bytes of text that are turned into sets at a time.
-RAW = 2 << 20
+RAW = 1 << 20
+#: Bytes of text whose keys are made at a time.
+SLICE = 1 << 20
 
 
 def _digests(h: np.ndarray, counts: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,13 +80,13 @@ def _features(k: int, num: int, den: int, seed: int):
         bands = Bands(num, den)
         for batch in batches:
             ids = batch.column(0)
-            for s in slices(batch.column(1)):
+            for s in slices(batch.column(1), SLICE):
                 h, _, counts = shingle_sets(s, k)
                 d1, d2 = _digests(h, counts, seed)
                 _, _, needs = bands.keys_and_needs(h >> np.uint64(16), counts)
                 yield pa.RecordBatch.from_arrays([ids.slice(s.first, s.n), pa.array(counts.astype(np.int64)), pa.array(d1), pa.array(d2), pa.array(needs)], ["doc_id", "n_shingles", "sid", "sid2", "need"])
 
-    return run
+    return trimmed(run)
 
 
 def _keys(k: int, num: int, den: int, seed: int):
@@ -93,7 +95,7 @@ def _keys(k: int, num: int, den: int, seed: int):
     def run(batches):
         bands = Bands(num, den)
         for batch in batches:
-            for s in slices(batch.column(0)):
+            for s in slices(batch.column(0), SLICE):
                 h, rows, counts = shingle_sets(s, k)
                 sid, _ = _digests(h, counts, seed)
                 once = np.zeros(s.n, dtype=bool)
@@ -103,7 +105,7 @@ def _keys(k: int, num: int, den: int, seed: int):
                 key, owner = bands.keys(h[some[rows]] >> np.uint64(16), counts[some])
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(sid[some][owner])], ["key", "sid"])
 
-    return run
+    return trimmed(run)
 
 
 def _ranges(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -242,7 +244,7 @@ def _nearest(num: int, den: int):
             a, b = sid[some], sid[best[some]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    return run
+    return trimmed(run)
 
 
 def _across(num: int, den: int):
@@ -257,7 +259,7 @@ def _across(num: int, den: int):
                 a, b = sid[x[p]], sid[y[q]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    return run
+    return trimmed(run)
 
 
 def _by_key(batches, width: int):
@@ -294,7 +296,7 @@ def _bodies(k: int, seed: int):
                 bits = [sketch[at[i] : at[i + 1]] for i in some.tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array(sid[some]), pa.array(counts[some].astype(np.int64)), pa.array(bits, pa.binary()), pa.array(body, pa.binary())], ["sid", "size", "sketch", "body"])
 
-    return run
+    return trimmed(run)
 
 
 def _sets(bodies: pa.Array, k: int):
@@ -341,7 +343,7 @@ def _verified(k: int, num: int, den: int):
                     out[1].append(sid[i])
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["a", "b"])
 
-    return run
+    return trimmed(run)
 
 
 def _distinct_sets(rows: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame, int]:
@@ -371,10 +373,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def _jaccard(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> tuple[DataFrame, int]:
     """The components with each row's set (sid) and that of its component (top), both null without words; and the seed of the sets' digests."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    made, sets, seed = _distinct_sets(rows, k, num, den)
-    # Sets that only rows without an id have can't be reached and reach nothing.
-    named = sets.where("rep is not null")
-    labels = _components_of_sets(rows, named, k, num, den, seed)
+    with small_batches(docs.sparkSession):
+        made, sets, seed = _distinct_sets(rows, k, num, den)
+        # Sets that only rows without an id have can't be reached and reach nothing.
+        named = sets.where("rep is not null")
+        labels = _components_of_sets(rows, named, k, num, den, seed)
     tops = named.join(labels.withColumnRenamed("id", "sid").hint("merge"), "sid", "left").select("sid", "rep", F.coalesce("component_id", "sid").alias("top"))
     least = tops.groupBy("top").agg(F.min("rep").alias("component"))
     by_set = tops.select("sid", "top").join(least.hint("merge"), "top").select("sid", "top", "component")
@@ -408,7 +411,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sid, mask=counts == 0)], [*names, "__sid"])
 
     kind = T.StructType([*docs.schema.fields, T.StructField("__sid", T.LongType())])
-    rows = with_chance(docs.mapInArrow(run, kind), "__sid", bitmap(decided, "__sid"))
+    rows = with_chance(docs.mapInArrow(trimmed(run), kind), "__sid", bitmap(decided, "__sid"))
     near = rows.where("__chance").join(decided.hint("merge"), "__sid", "left")
     near = near.where(F.col("__heads").isNull() | (F.col("__heads") & F.col(id_col).cast("long").eqNullSafe(F.col("__id"))))
     once = F.coalesce("__many", F.lit(False))
@@ -418,7 +421,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
 def _components_of_sets(rows: DataFrame, sets: DataFrame, k: int, num: int, den: int, seed: int) -> DataFrame:
     """(id, component_id) of the sets that link with others, by sid."""
     keys = rows.where("doc_id is not null").select("text").mapInArrow(_keys(k, num, den, seed), "key long, sid long")
-    met = store(keys.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(_meet, "a long, b long, hot long, n long"), "met")
+    met = store(keys.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(trimmed(_meet), "a long, b long, hot long, n long"), "met")
     hot = store(met.where("hot is not null").select("hot", F.col("b").alias("sid"), "n"), "hot")
     near = store(_likely(met.where("hot is null").groupBy("a", "b").agg(F.sum("n").alias("shared")), sets, hot, num, den), "near")
     discard(met)
@@ -469,7 +472,7 @@ def _near(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFram
                 keep = _allowed(na.to_numpy(), nb.to_numpy(), _Sketches(ka.to_pylist()).far(_Sketches(kb.to_pylist())), num, den)
                 yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(keep))
 
-    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "na", "ka", "b", "nb", "kb").mapInArrow(run, "a long, b long")
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "na", "ka", "b", "nb", "kb").mapInArrow(trimmed(run), "a long, b long")
 
 
 def _hot_pairs(hot: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:

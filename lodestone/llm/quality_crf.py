@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import WHITESPACE_WORDS, TextSlice, slices, words
+from ._text import WHITESPACE_WORDS, TextSlice, slices, trimmed, words
 
 SAMPLE = 6000
 SAMPLE_LINES = 100
@@ -250,7 +250,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, learn, threshold: float = THRE
             if keep:
                 yield batch.filter(pa.concat_arrays(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
 
 def op6_quality_crf(spark, sf_dir: str) -> DataFrame:
