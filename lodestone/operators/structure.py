@@ -1,14 +1,18 @@
-"""Functions of Python sources with their metrics."""
+"""Functions of sources with their metrics: Python by its own grammar, Rust, JavaScript and TypeScript by `braces`."""
 
 from __future__ import annotations
 
 import ast
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from . import braces
+from .files import PARSED_EXTENSIONS
+
 SCHEMA = "path string, name string, start_line long, start_column long, end_line long, lines long, parameters long, cyclomatic long, nesting long, statements long, error string, error_line long, error_column long"
 _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.Lambda)
 _LOOPS = (ast.For, ast.AsyncFor, ast.While)
@@ -87,14 +91,23 @@ def functions_of(path: str, text: str) -> list[tuple]:
     return sorted(out, key=lambda r: (r[2], r[3], -r[4]))
 
 
-def python_functions(files: DataFrame, path_col: str = "path", text_col: str = "text") -> DataFrame:
-    """One row per function, lambda included; a source that can't be parsed gives a row with its error and where it is."""
+def functions(files: DataFrame, path_col: str = "path", text_col: str = "text") -> DataFrame:
+    """One row per function of every source with a parser; one that can't be read gives a row with its error, and other files none."""
+    rows = files.select(F.col(path_col).alias("path"), F.col(text_col).alias("text")).where(F.lower(T.extension_of(F.col("path"))).isin(*PARSED_EXTENSIONS))
+    return _measured(rows, lambda path, text: functions_of(path, text) if path.lower().endswith(".py") else braces.functions_of(path.lower(), text, path))
+
+
+def _measured(rows: DataFrame, measure: Callable[[str, str], list[tuple]]) -> DataFrame:
     columns = [c.split()[0] for c in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [r for p, t in zip(pdf["path"], pdf["text"]) for r in functions_of(p, t)]
-            out = pd.DataFrame(rows, columns=columns)
+            out = pd.DataFrame([r for p, t in zip(pdf["path"], pdf["text"]) for r in measure(p, t)], columns=columns)
             yield out.astype({c: "Int64" for c in columns[2:10] + columns[11:]})
 
-    return files.select(F.col(path_col).alias("path"), F.col(text_col).alias("text")).mapInPandas(run, SCHEMA)
+    return rows.mapInPandas(run, SCHEMA)
+
+
+def python_functions(files: DataFrame, path_col: str = "path", text_col: str = "text") -> DataFrame:
+    """One row per function, lambda included; a source that can't be parsed gives a row with its error and where it is."""
+    return _measured(files.select(F.col(path_col).alias("path"), F.col(text_col).alias("text")), functions_of)

@@ -309,6 +309,50 @@ def python_syntax_errors(spark, d):
     return structure.python_functions(rows).select(F.col("path").cast("long").alias("p_partkey"), "error_line")
 
 
+_RUST = r'''pub(crate) async fn choose<T: A<B>>(a: &'a str, (b, c): (i32, Map<K, V>), f: fn(i32) -> i32) -> Option<T> where T: X {
+    let x = if a && b || c { 1 } else if d { 2 } else { 3 };
+    // if comment
+    match x {
+        1 | 2 if y && z => return None,
+        _ => { for i in 0..3 { if i == '{' as i32 { continue; } } }
+    }
+    let s = r#"if "quoted" {"#;
+    fn inner(q: u8) { loop { break; } }
+    items.iter().filter(|x| x.a || x.b).map(|&x| x).collect()
+}
+trait T { fn sig(&self); fn dflt(&self, a: u8,) -> u8 { a } }
+'''
+_SCRIPT = r'''export async function load(a, { b, c } = {}, ...rest) {
+  if (a && b) { return 1 } else if (c) { x() } else { if (d) y() }
+  for (let i = 0; i < 3; i++) { console.log(`t ${a ? `${b}` : c} {`) }
+  for (const k of rest) z(k)
+  try { w() } catch (e) { throw e } finally { v() }
+  switch (a) { case 1: f(); break; default: g() }
+  const h = (q?: number): string => q ? 'a' : /[/}]/.test(q)
+  const o = { m(x) { return x || 1 }, n: function () { } }
+  return h
+}
+class A extends B { static async go(p: T = {}): Promise<void> { await p ?? 1 } get v() { return 1 } field = x => x * 2 }
+type F = (a: number) => void
+const one = async x => { await x }
+'''
+
+
+@query(
+    "source_functions",
+    "WITH r(name, start_line, parameters, cyclomatic, nesting, statements) AS (VALUES ('choose', 1, 3, 12, 4, 6), ('inner', 9, 1, 2, 1, 2), ('dflt', 12, 2, 1, 0, 0)), "
+    "t(name, start_line, parameters, cyclomatic, nesting, statements) AS (VALUES ('load', 1, 3, 10, 2, 23), ('h', 7, 1, 2, 1, 0), ('m', 8, 1, 2, 0, 2), ('anonymous', 8, 0, 1, 0, 0), ('go', 11, 1, 1, 0, 2), ('v', 11, 0, 1, 0, 2), ('anonymous', 11, 1, 1, 0, 0), ('one', 13, 1, 1, 0, 1)) "
+    "SELECT path, name, CAST(start_line AS BIGINT) AS start_line, CAST(parameters AS BIGINT) AS parameters, CAST(cyclomatic AS BIGINT) AS cyclomatic, CAST(nesting AS BIGINT) AS nesting, CAST(statements AS BIGINT) AS statements, error FROM ("
+    "SELECT 'p' || p_partkey || '.rs' AS path, r.*, NULL AS error FROM part, r WHERE p_partkey % 3 = 0 UNION ALL SELECT 'p' || p_partkey || '.TS', t.*, NULL FROM part, t WHERE p_partkey % 3 = 1 UNION ALL SELECT 'p' || p_partkey || '.js', NULL, NULL, NULL, NULL, NULL, NULL, 'bracket without an end' FROM part WHERE p_partkey % 3 = 2)",
+)
+def source_functions(spark, d):
+    n = F.col("p_partkey") % 3
+    path = F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.when(n == 0, ".rs").when(n == 1, ".TS").otherwise(".js"))
+    text = F.when(n == 0, _RUST).when(n == 1, _SCRIPT).otherwise("function f( {")
+    rows = table(spark, d, "part").select(path.alias("path"), text.alias("text"))
+    return structure.functions(rows).select("path", "name", "start_line", "parameters", "cyclomatic", "nesting", "statements", "error")
+
+
 # Clones ------------------------------------------------------------------
 
 _SOURCE = 'import { a } from "x"\nuse std::{\n  fmt,\n};\n// c\nlet v{k} = "s" + 3.5e2; // t\ntype A = string |\n  number;\nimport("y")\n#[attr]\nfn f() { g(`q`) }\n'

@@ -94,7 +94,7 @@ def test_fingerprint(spark):
 
 
 def test_lcov(spark):
-    good = "TN:\nSF:src/a.ts\nFN:1,f\nFNDA:2,f\nDA:1,0,AAAA\nDA:3,1\nBRDA:3,0,a,b,-\nLF:2\nLH:1\nend_of_record\nSF:src/b.ts\nDA:1,5\nLF:1\nLH:1\nend_of_record\n"
+    good = "TN:\nSF:src/a.ts\nFN:1,f\nFNDA:2,f\nDA:1,0,AAAA\nDA:3,1\nBRDA:3,0,a,b,-\nFNF:1\nFNH:1\nBRF:1\nBRH:0\nLF:2\nLH:1\nend_of_record\nSF:src/b.ts\nDA:1,5\nLF:1\nLH:1\nend_of_record\n"
     bad = "SF:x\nDA:1,1\nDA:1,2\nLF:1\nFNL:1\nfoo:1\n"
     found = lcov.entries(spark.createDataFrame([("g", good), ("b", bad)], "report string, text string"))
     hits = lcov.line_hits(found.where("report = 'g'"))
@@ -117,7 +117,7 @@ def test_diff_and_status(spark):
     assert sorted((tuple(r)[1:] for r in repository.porcelain(odd).collect()), key=str) == sorted([("R ", "n1", "?? b", None), ("R ", "n2", "o2", None), (None, None, None, "malformed record"), ("??", "../up", None, "path outside the repository")], key=str)
     inside = spark.createDataFrame([(1, "diff --git a/q b/q\n--- a/q\n+++ b/q\n@@ -1 +7 @@\n+++ inc\n@@ -9 +0,2 @@\n@@ bad\n")], "diff long, text string")
     got = repository.hunks(inside).collect()
-    assert [(r.file, r.start, r.count, r.problem) for r in got] == [("q", 7, 1, None), ("q", None, None, "lines from 0 on"), ("q", None, None, "malformed hunk header")]
+    assert [(r.file, r.start, r["count"], r.problem) for r in got] == [("q", 7, 1, None), ("q", None, None, "lines from 0 on"), ("q", None, None, "malformed hunk header")]
 
 
 def test_walk_and_report(spark, tmp_path):
@@ -274,3 +274,17 @@ def test_clone_spans_equal_islands_of_matches(spark):
         want.add((a, b, i, j, n + 3))
     assert {tuple(x) for x in clones.spans(found, 4).collect()} == want
     assert want
+
+
+def test_functions_of_braces():
+    from lodestone.operators import braces
+
+    rows = {r[1]: r for r in braces.functions_of("a.rs", "fn a(x: &'static str, c: char) -> bool { x == \"}\" && c == '{' || /* if */ true }\nfn b<F: Fn(i32, u8) -> u8>(f: F) { let _ = |z| z; }\n")}
+    assert [rows["a"][i] for i in (6, 7, 8, 9)] == [2, 3, 0, 0]
+    assert [rows["b"][i] for i in (6, 7, 8, 9)] == [1, 1, 0, 1]
+    rows = {r[1]: r for r in braces.functions_of("a.js", "const f = function* () {}\nlet g = (a, b = [1, 2]) => a ? b : a ?? /\\/{/.test(b)\nfunction h() { label: while (1) break label }\n")}
+    assert set(rows) == {"g", "h"}
+    assert [rows["g"][i] for i in (6, 7, 8, 9)] == [2, 2, 1, 0]
+    assert [rows["h"][i] for i in (6, 7, 8, 9)] == [0, 2, 1, 4]
+    assert braces.functions_of("a.rs", "fn a() { /* }") == [("a.rs", *[None] * 9, "comment without an end", 1, 10)]
+    assert braces.functions_of("a.js", None) == []
