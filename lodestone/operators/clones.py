@@ -35,8 +35,11 @@ def windows(streams: DataFrame, k: int, digest: bool = False) -> DataFrame:
         each = lambda i: F.md5(F.array_join(F.slice("tokens", i, k), "\x1f"))
     else:
         each = lambda i: F.xxhash64(F.slice("codes", i, k))
-    rows = streams.where(n > 0).withColumn("codes", F.transform("tokens", lambda t: F.xxhash64(t)))
-    rows = rows.select("stream", F.transform(F.sequence(F.lit(1), n), each).alias("hs"))
+    # Arrays are made once for a row and not anew for each window that a lambda takes from them.
+    once = lambda c: F.explode(F.array(c))
+    rows = streams.select("stream", once(F.col("tokens")).alias("tokens")).where(n > 0)
+    rows = rows.select("stream", "tokens", once(F.transform("tokens", lambda t: F.xxhash64(t))).alias("codes"))
+    rows = rows.select("stream", once(F.transform(F.sequence(F.lit(1), n), each)).alias("hs"))
     # Neighbours are joined to each window first: what is exploded carries no array.
     near = F.transform("hs", lambda h, i: F.struct(i.cast("long").alias("i"), h.alias("h"), F.get("hs", i - 1).alias("before"), F.get("hs", i + 1).alias("after")))
     return rows.select("stream", F.explode(near).alias("w")).select("stream", "w.*")
@@ -47,15 +50,6 @@ def _sides(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     return side("a"), side("b")
 
 
-def _pairs(found: DataFrame, k: int, edge: str) -> DataFrame:
-    """Ordered pairs of equal windows that don't overlap in one stream and whose neighbours on one side (before or after) differ or are missing."""
-    inner = F.col(edge)
-    many = found.groupBy("h").agg(F.count("*").alias("n"), F.count_if(inner.isNull()).alias("ends"), F.min(inner).alias("x"), F.max(inner).alias("y")).where("n > 1 and (ends > 0 or x <> y)").select("h")
-    a, b = _sides(found.join(many, "h", "left_semi"))
-    c = "p" if edge == "before" else "n"
-    return a.join(b, "h").where(F.expr(f"(a < b or (a = b and bi >= ai + {k})) and (a{c} is null or b{c} is null or a{c} <> b{c})")).select("a", "ai", "b", "bi")
-
-
 def matches(found: DataFrame, k: int) -> DataFrame:
     """Ordered pairs of equal windows that don't overlap in one stream: (a, ai, b, bi). There are as many as all copies have in pairs; `spans` doesn't need them."""
     many = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
@@ -78,15 +72,21 @@ def capacity_failures(found: DataFrame, per_hash: int = MAX_WINDOWS_PER_HASH, pa
 def spans(found: DataFrame, k: int) -> DataFrame:
     """Equal windows on one diagonal that follow each other, as one span: (a, b, a_start, b_start, tokens).
 
-    Only pairs at which a span begins or ends are made. On a diagonal they take
-    turns, so the n-th begin belongs to the n-th end; windows inside of copies
-    have equal neighbours and never meet.
+    Only pairs at which a span begins or ends are made: a neighbour on that side
+    differs or is missing. On a diagonal begins and ends take turns, so the n-th
+    begin belongs to the n-th end. Windows inside of copies have equal
+    neighbours and never meet.
     """
-    by = Window.partitionBy("a", "b", "diagonal").orderBy("ai")
-    sides = [_pairs(found, k, edge).withColumn("diagonal", F.col("bi") - F.col("ai")).withColumn("nth", F.row_number().over(by)) for edge in ("before", "after")]
-    last = sides[1].select("a", "b", "diagonal", "nth", F.col("ai").alias("last"))
-    both = sides[0].join(last, ["a", "b", "diagonal", "nth"])
-    return both.select("a", "b", F.col("ai").alias("a_start"), F.col("bi").alias("b_start"), (F.col("last") - F.col("ai") + k).alias("tokens"))
+    uneven = lambda c: (F.count_if(F.col(c).isNull()) > 0) | (F.min(c) != F.max(c))
+    many = found.groupBy("h").agg(F.count("*").alias("n"), F.coalesce(uneven("before") | uneven("after"), F.lit(False)).alias("edge")).where("n > 1 and edge").select("h")
+    a, b = _sides(found.join(many, "h", "left_semi"))
+    differ = lambda x, y: F.col(x).isNull() | F.col(y).isNull() | (F.col(x) != F.col(y))
+    pairs = a.join(b, "h").where(F.expr(f"a < b or (a = b and bi >= ai + {k})"))
+    edges = F.array_compact(F.array(F.when(differ("ap", "bp"), F.lit(0)), F.when(differ("an", "bn"), F.lit(1))))
+    rows = pairs.select("a", "b", "ai", "bi", (F.col("bi") - F.col("ai")).alias("diagonal"), F.explode(edges).alias("edge"))
+    nth = F.row_number().over(Window.partitionBy("a", "b", "diagonal", "edge").orderBy("ai"))
+    both = rows.withColumn("nth", nth).groupBy("a", "b", "diagonal", "nth").agg(F.max(F.when(F.col("edge") == 0, F.col("ai"))).alias("first"), F.max(F.when(F.col("edge") == 1, F.col("ai"))).alias("last"))
+    return both.select("a", "b", F.col("first").alias("a_start"), (F.col("first") + F.col("diagonal")).alias("b_start"), (F.col("last") - F.col("first") + k).alias("tokens"))
 
 
 def touching(found: DataFrame, changed: DataFrame) -> DataFrame:

@@ -171,7 +171,7 @@ def order_columns() -> list[Column]:
     return [
         rank(cat), first.asc_nulls_first(), F.when(cat == "coverage", F.col("identity")).asc_nulls_first(), place.asc_nulls_first(), F.when(cat.isin("complexity", "specialist"), F.col("column")).asc_nulls_first(), F.when(cat.isin("complexity", "clone"), F.col("end_line")).asc_nulls_first(),
         F.when(cat == "clone", parts("file_b")).asc_nulls_first(), F.when(cat == "clone", F.col("line_b")).asc_nulls_first(), F.when(cat == "clone", F.col("end_line_b")).asc_nulls_first(),
-        F.col("identity").asc_nulls_first(), F.col("metric").asc_nulls_first(), F.col("message").asc_nulls_first(),
+        F.col("identity").asc_nulls_first(), F.col("metric").asc_nulls_first(), F.col("message").asc_nulls_first(), F.col("line").asc_nulls_first(),
     ]
 
 

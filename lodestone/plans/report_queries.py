@@ -176,7 +176,7 @@ _ORDERED = f"""SELECT {_RANKED} AS r, CASE category WHEN 'orchestration' THEN [m
     CASE WHEN category = 'clone' THEN string_split(file_b, '/') END AS fb, CASE WHEN category = 'clone' THEN line_b END AS lb, CASE WHEN category = 'clone' THEN end_line_b END AS eb, identity, metric, message, category, file, line FROM {_F} WHERE {_COUNTS}"""
 
 
-@query("display_order", f"SELECT category, file, line, identity, metric, message FROM ({_ORDERED}) ORDER BY r, f NULLS FIRST, cv NULLS FIRST, l NULLS FIRST, c NULLS FIRST, e NULLS FIRST, fb NULLS FIRST, lb NULLS FIRST, eb NULLS FIRST, identity NULLS FIRST, metric NULLS FIRST, message NULLS FIRST LIMIT 60")
+@query("display_order", f"SELECT category, file, line, identity, metric, message FROM ({_ORDERED}) ORDER BY r, f NULLS FIRST, cv NULLS FIRST, l NULLS FIRST, c NULLS FIRST, e NULLS FIRST, fb NULLS FIRST, lb NULLS FIRST, eb NULLS FIRST, identity NULLS FIRST, metric NULLS FIRST, message NULLS FIRST, line NULLS FIRST LIMIT 60")
 def display_order(spark, d):
     return report.displayed(_findings(spark, d), 60).select("category", "file", "line", "identity", "metric", "message")
 
