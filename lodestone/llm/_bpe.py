@@ -23,7 +23,7 @@ import numpy as np
 from ._text import TextSlice, string_hashes
 
 #: The pre-tokens that one worker remembers; beyond it, it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 _NEAR_BITS = 20
 _OTHER, _LETTER, _NUMBER, _SPACE, _UNKNOWN = range(5)
 

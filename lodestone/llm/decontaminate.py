@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import ALNUM_WORDS, TextSlice, Words, ngrams, slices, words
+from ._text import ALNUM_WORDS, TextSlice, Words, ngrams, slices, trimmed, words
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
@@ -242,7 +242,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text
                     hit[s.first + w.row[place]] = True
                 yield batch.filter(pa.array(~hit))
 
-        return run
+        return trimmed(run)
 
     for q in _blocks(tests, window):
         docs = docs.mapInArrow(keep(q), docs.schema)

@@ -196,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id", text_
     # At most `sample` rows of two numbers: small enough to send to each executor.
     chosen = rows.orderBy(F.xxhash64(id_col), id_col).limit(sample)
     found = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).groupBy(id_col).agg(F.first("quality").alias("quality"), F.min(F.coalesce(text_col, F.lit(""))).alias("text"))
-    got = found.select("quality", "text").mapInArrow(_collect, "quality int, x binary").toArrow()
+    got = found.select("quality", "text").mapInArrow(trimmed(_collect), "quality int, x binary").toArrow()
     y = got["quality"].to_numpy().astype(int) if got.num_rows else np.zeros(0, int)
     if len(set(y.tolist())) < 2:
         return {"share": float(y.mean()) if len(y) else 0.5}
@@ -219,7 +219,8 @@ def _score(model: dict):
                     x, size, first = features(s)
                     good, _, _ = marginals((x - model["mean"]) / model["scale"] @ model["w"], first, model["t"])
                     weight = size + 1
-                    score = np.add.reduceat(weight * good, first[:-1]) / np.add.reduceat(weight, first[:-1])
+                    # Rounded, so that equal texts get equal scores wherever they lie in a batch.
+                    score = np.round(np.add.reduceat(weight * good, first[:-1]) / np.add.reduceat(weight, first[:-1]), 12)
                     lines = [good[first[i] : first[i + 1]].tolist() for i in range(s.n)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, s.n), pa.array(np.clip(score, 0, 1)), pa.array(lines, pa.list_(pa.float64()))], ["id", "score", "lines"])
 

@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import fresh_path, store
-from ._text import slices
+from ._store import fresh_path, small_batches, store
+from ._text import slices, trimmed
 
 END_ID = 0
 #: Bytes of text in a shard, about; there are as many shards as shuffle partitions at least.
@@ -69,7 +69,7 @@ def _write(vocabulary_path: str, out: str, end_id: int):
         else:
             system.delete_file(attempt)
 
-    return run
+    return trimmed(run)
 
 
 def write_tokens(docs: DataFrame, vocabulary_path: str, out: str, shards: int | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -80,7 +80,8 @@ def write_tokens(docs: DataFrame, vocabulary_path: str, out: str, shards: int |
         shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     dealt = rows.repartitionByRange(shards, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    manifest = store(dealt.mapInArrow(_write(vocabulary_path, out, end_id), _MANIFEST), "manifest")
+    with small_batches(spark):
+        manifest = store(dealt.mapInArrow(_write(vocabulary_path, out, end_id), _MANIFEST), "manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return store(manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))), "manifest")
 
@@ -107,7 +108,7 @@ def _read(batches):
 def read_tokens(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, from the files."""
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.select("path", "start").repartition(n, "path").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.select("path", "start").repartition(n, "path").mapInArrow(trimmed(_read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_tables(docs: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
