@@ -158,7 +158,7 @@ def problems(found: DataFrame, require_functions: bool = False, require_branches
         "malformed line": c("da_bad") > 0, "duplicate line": c("da") - c("da_bad") > c("da_lines"), "malformed counter": c("bad_counts") > 0, "duplicate counter": c("most") > 1,
         "unpaired line counters": lone("lf", "lh"), "unpaired function counters": lone("fnf", "fnh"), "unpaired branch counters": lone("brf", "brh"),
         "missing line counters": ~empty & c("lf").isNull() & c("lh").isNull(), "missing function counters": F.lit(require_functions) & c("fnf").isNull(), "missing branch counters": F.lit(require_branches) & c("brf").isNull(),
-        "no lines": ~empty & (c("da") == 0), "fewer lines found than listed": c("lf") < c("da"), "more lines hit than found": c("lh") > c("lf"), "more functions hit than found": c("fnh") > c("fnf"), "more branches hit than found": c("brh") > c("brf"),
+        "no lines": ~empty & (c("da") == 0), "fewer lines found than listed": c("lf") < c("da_lines"), "more lines hit than found": c("lh") > c("lf"), "more functions hit than found": c("fnh") > c("fnf"), "more branches hit than found": c("brh") > c("brf"),
         "lines hit disagree": (c("lf") == c("da_lines")) & (c("da") > 0) & (c("lh") != c("da_hit")) & ~explained,
         "malformed function": c("fn_bad") > 0, "duplicate function": c("fn_twice") > 0, "functions and their hits disagree": c("fn_lone") > 0,
         "functions without counters": (c("fn") > 0) & c("fnf").isNull() & F.lit(not require_functions), "impossible function hits": (c("fn") > 0) & (c("fn") >= fnf) & (c("fn_hit") >= fnh) & (c("fn_hit") - fnh > c("fn") - fnf),
