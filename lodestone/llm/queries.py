@@ -8,6 +8,7 @@ from .embedding_dedup import op3_embedding_dedup
 from .lm_scoring import op8_lm_scoring
 from .mixing import op1_mixing
 from .ngram_jaccard import op2_ngram_jaccard
+from .periodic_runs import op13_periodic_runs
 from .quality_crf import op6_quality_crf
 from .secret_scan import op4_secret_scan
 from .substring_dedup import op10_substring_dedup
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_decontaminate": op9_decontaminate,
     "op10_substring_dedup": op10_substring_dedup,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
