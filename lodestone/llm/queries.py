@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import decontaminate, mixing
+from .best_fit_packing import op12_best_fit_packing
 from .decontaminate import op9_decontaminate
 from .embedding_dedup import op3_embedding_dedup
 from .lm_scoring import op8_lm_scoring
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_decontaminate": op9_decontaminate,
     "op10_substring_dedup": op10_substring_dedup,
+    "op12_best_fit_packing": op12_best_fit_packing,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
