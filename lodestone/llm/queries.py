@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing
+from . import decontaminate, hard_negatives, mixing
 from .best_fit_packing import op12_best_fit_packing
 from .decontaminate import op9_decontaminate
 from .embedding_dedup import op3_embedding_dedup
+from .hard_negatives import op11_hard_negatives
 from .lm_scoring import op8_lm_scoring
 from .mixing import op1_mixing
 from .ngram_jaccard import op2_ngram_jaccard
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_decontaminate": op9_decontaminate,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_best_fit_packing": op12_best_fit_packing,
     "op13_periodic_runs": op13_periodic_runs,
 }
@@ -34,4 +36,5 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op1_mixing": mixing.oracle(),
     "op9_decontaminate": decontaminate.ORACLE,
+    "op11_hard_negatives": hard_negatives.ORACLE,
 }
