@@ -24,25 +24,46 @@ def word_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
 
 
+def _once(c: Column) -> Column:
+    """An array made once for a row, and not anew for each element that a lambda takes from it."""
+    return F.explode(F.array(c))
+
+
+def window_hashes(streams: DataFrame, k: int, kept: tuple[str, ...] = ()) -> DataFrame:
+    """(stream, hs, kept...): the hash of each k consecutive tokens of streams that have as many.
+
+    Tokens are hashed once; hashes of 2, 4, 8 ... tokens are made of two halves,
+    and windows of those that k is the sum of, so the work doesn't grow with k.
+    """
+    rows = streams.select("stream", *kept, _once(F.col("tokens")).alias("_tokens")).where(F.size("_tokens") >= k)
+    rows = rows.select("stream", *kept, _once(F.transform("_tokens", lambda t: F.xxhash64(t))).alias("_part")).withColumn("_n", F.size("_part") - (k - 1))
+    follow = lambda a, b, by: F.transform(a, lambda h, i: F.xxhash64(h, F.get(b, i + by)))
+    size, done = 1, 0
+    while True:
+        if k & size:
+            grown = follow("_hs", F.col("_part"), done) if done else F.col("_part")
+            rows = rows.select("stream", *kept, "_part", "_n", _once(grown).alias("_hs"))
+            done += size
+        if 2 * size > k:
+            return rows.select("stream", F.slice("_hs", F.lit(1), F.col("_n")).alias("hs"), *kept)
+        rows = rows.select("stream", *kept, "_n", _once(follow("_part", F.col("_part"), size)).alias("_part"), *(["_hs"] if done else []))
+        size *= 2
+
+
 def windows(streams: DataFrame, k: int, digest: bool = False) -> DataFrame:
     """Streams (stream, tokens) to (stream, i, h, before, after): each k consecutive tokens by place and hash, with the hashes of the windows around it.
 
-    Tokens are hashed once and windows from those numbers, so texts aren't read
-    k times; with `digest`, h is an MD5 of the tokens themselves, for reports.
+    With `digest`, h is an MD5 of the tokens themselves, for reports.
     """
-    n = F.size("tokens") - (k - 1)
     if digest:
-        each = lambda i: F.md5(F.array_join(F.slice("tokens", i, k), "\x1f"))
+        n = F.size("tokens") - (k - 1)
+        rows = streams.select("stream", _once(F.col("tokens")).alias("tokens")).where(n > 0)
+        hashed = rows.select("stream", F.transform(F.sequence(F.lit(1), n), lambda i: F.md5(F.array_join(F.slice("tokens", i, k), "\x1f"))).alias("hs"))
     else:
-        each = lambda i: F.xxhash64(F.slice("codes", i, k))
-    # Arrays are made once for a row and not anew for each window that a lambda takes from them.
-    once = lambda c: F.explode(F.array(c))
-    rows = streams.select("stream", once(F.col("tokens")).alias("tokens")).where(n > 0)
-    rows = rows.select("stream", "tokens", once(F.transform("tokens", lambda t: F.xxhash64(t))).alias("codes"))
-    rows = rows.select("stream", once(F.transform(F.sequence(F.lit(1), n), each)).alias("hs"))
+        hashed = window_hashes(streams, k)
     # Neighbours are joined to each window first: what is exploded carries no array.
     near = F.transform("hs", lambda h, i: F.struct(i.cast("long").alias("i"), h.alias("h"), F.get("hs", i - 1).alias("before"), F.get("hs", i + 1).alias("after")))
-    return rows.select("stream", F.explode(near).alias("w")).select("stream", "w.*")
+    return hashed.select("stream", _once(F.col("hs")).alias("hs")).select("stream", F.explode(near).alias("w")).select("stream", "w.*")
 
 
 def _sides(found: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -69,9 +90,11 @@ def capacity_failures(found: DataFrame, per_hash: int = MAX_WINDOWS_PER_HASH, pa
     return n.select(F.lit("clone-index").alias("step"), F.explode(said).alias("message"))
 
 
-def spans(found: DataFrame, k: int) -> DataFrame:
+def spans(found: DataFrame, k: int, apart: int | None = None) -> DataFrame:
     """Equal windows on one diagonal that follow each other, as one span: (a, b, a_start, b_start, tokens).
 
+    Windows of one stream are paired from `apart` tokens on, by default those that don't overlap.
+
     Only pairs at which a span begins or ends are made: a neighbour on that side
     differs or is missing. On a diagonal begins and ends take turns, so the n-th
     begin belongs to the n-th end. Windows inside of copies have equal
@@ -81,7 +104,7 @@ def spans(found: DataFrame, k: int) -> DataFrame:
     many = found.groupBy("h").agg(F.count("*").alias("n"), F.coalesce(uneven("before") | uneven("after"), F.lit(False)).alias("edge")).where("n > 1 and edge").select("h")
     a, b = _sides(found.join(many, "h", "left_semi"))
     differ = lambda x, y: F.col(x).isNull() | F.col(y).isNull() | (F.col(x) != F.col(y))
-    pairs = a.join(b, "h").where(F.expr(f"a < b or (a = b and bi >= ai + {k})"))
+    pairs = a.join(b, "h").where(F.expr(f"a < b or (a = b and bi >= ai + {apart or k})"))
     edges = F.array_compact(F.array(F.when(differ("ap", "bp"), F.lit(0)), F.when(differ("an", "bn"), F.lit(1))))
     rows = pairs.select("a", "b", "ai", "bi", (F.col("bi") - F.col("ai")).alias("diagonal"), F.explode(edges).alias("edge"))
     nth = F.row_number().over(Window.partitionBy("a", "b", "diagonal", "edge").orderBy("ai"))
