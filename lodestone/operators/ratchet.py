@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import bisect
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,36 +31,78 @@ def multiset(current: DataFrame, baseline: DataFrame, keys: list[str], order: st
     return out.select(*current.columns, (F.col("_rank") <= F.coalesce("had", F.lit(0))).alias("grandfathered"))
 
 
-def numeric(current: DataFrame, baseline: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
-    """Adds `grandfathered`: each finding of a key, in order, uses up the least baseline value that isn't below its own. Null keys are equal.
+#: Findings of a key that one fold works through; a key of more is halved until its parts are that small.
+FOLD = 64
+
+
+def _taken(cars: DataFrame, spots: DataFrame) -> DataFrame:
+    """Adds `taken` to spots (k, node, v, id): whether some car (k, node, v, id) of its node parks there, each in the first free spot not below its own value.
 
-    Who gets which value depends on all findings before, so a key is worked
-    through in order, one finding at a time; what is kept is the baseline's
-    values of one file and metric. A null value is never grandfathered.
+    Which spots are taken doesn't depend on the order of the cars. Read by
+    value, a car opens a bracket and a spot closes one, and a spot stays free
+    where the running sum falls below all earlier ones. Sums and minima are made
+    within ranges of a checkpointed dealing and then over ranges, so the rows of
+    a key never meet in one task.
+    """
+    both = cars.select("k", "node", "v", F.lit(0).alias("side"), "id").unionByName(spots.select("k", "node", "v", F.lit(1).alias("side"), "id"))
+    dealt = cut(both.repartitionByRange("k", "node", "v", "side", "id").withColumn("part", F.spark_partition_id()))
+    by = Window.partitionBy("part", "k", "node").orderBy("v", "side", "id")
+    walked = dealt.withColumn("s", F.sum(1 - 2 * F.col("side")).over(by)).withColumn("low", F.min("s").over(by.rowsBetween(Window.unboundedPreceding, -1)))
+    ends = walked.groupBy("k", "node", "part").agg(F.sum(1 - 2 * F.col("side")).alias("total"), F.min("s").alias("least"))
+    # A key has a row here for each range that it spans.
+    earlier = Window.partitionBy("k", "node").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("base", F.coalesce(F.sum("total").over(earlier), F.lit(0)))
+    ends = ends.withColumn("before", F.min(F.col("base") + F.col("least")).over(earlier)).select("k", "node", "part", "base", "before")
+    met = walked.where("side = 1").join(ends, ["k", "node", "part"])
+    free = F.col("s") + F.col("base") < F.least(F.lit(0), "before", F.col("low") + F.col("base"))
+    return met.select("k", "node", "v", "id", (~free).alias("taken"))
+
+
+def numeric(current: DataFrame, baseline: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
+    """Adds `grandfathered` and `baseline_value`: each finding of a key, in order, uses up the least baseline value that isn't below its own. Null keys are equal.
+
+    Findings that come earlier take the same values as a set, however they come,
+    so a key with many findings is halved by order: the values that the first
+    half takes are known without knowing who takes which, and the second half
+    has the rest. After as many halvings as the largest key needs, parts of
+    `FOLD` findings are worked through one by one, all with built-in functions.
+    A value that is null or not a number is never grandfathered and grants nothing.
     """
-    base = baseline.where(F.col(value).isNotNull()).select(*keys, F.lit(0).alias("_side"), F.lit(None).cast(current.schema[order].dataType).alias("_order"), F.col(value).cast("double").alias("_value"), F.lit(None).cast("string").alias("_row"))
-    cur = current.select(*keys, F.lit(1).alias("_side"), F.col(order).alias("_order"), F.col(value).cast("double").alias("_value"), F.to_json(F.struct(*current.columns)).alias("_row"))
-    both = base.union(cur).withColumn("_key", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})).select("_key", "_side", "_order", "_value", "_row").repartition("_key").sortWithinPartitions("_key", "_side", "_order")
-
-    def run(batches):
-        now, rest = None, []
-        for pdf in batches:
-            rows, flags = [], []
-            for k, side, v, row in zip(pdf["_key"], pdf["_side"], pdf["_value"], pdf["_row"]):
-                if k != now:
-                    now, rest = k, []
-                if side == 0:
-                    bisect.insort(rest, v)
-                    continue
-                at = bisect.bisect_left(rest, v) if v == v and v is not None else len(rest)
-                rows.append(row)
-                flags.append(at < len(rest))
-                if at < len(rest):
-                    rest.pop(at)
-            yield pd.DataFrame({"_row": rows, "grandfathered": pd.array(flags, dtype="boolean")})
-
-    done = both.mapInPandas(run, "_row string, grandfathered boolean")
-    return done.select(F.from_json("_row", current.schema).alias("r"), "grandfathered").select("r.*", "grandfathered")
+    named = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+    number = F.col(value).cast("double")
+    rows = ranked(current.withColumn("_key", named), ["_key"], order, "_rank")
+    usable = number.isNotNull() & ~F.isnan(number)
+    cars = cut(rows.where(usable).select(F.col("_key").alias("k"), F.lit(0).cast("long").alias("node"), number.alias("v"), F.col("_rank").cast("long").alias("id")))
+    spots = baseline.where(usable).select(named.alias("k"), F.lit(0).cast("long").alias("node"), number.alias("v"), F.monotonically_increasing_id().alias("id"))
+    spots = cut(_taken(cars, cut(spots)).where("taken").drop("taken"))
+    most = cars.agg(F.max("id")).first()[0] or 0
+    size = FOLD
+    while size < most:
+        size *= 2
+    while size > FOLD:
+        half = size // 2
+        place = F.floor((F.col("id") - 1) / half)
+        several = cars.groupBy("k").agg(F.max("id").alias("n")).where(F.col("n") > half).select("k")
+        part = lambda df, how: df.join(several, "k", how)
+        first = part(cars, "left_semi").withColumn("node", place).where(place % 2 == 0).withColumn("node", F.floor(place / 2))
+        met = _taken(first, part(spots, "left_semi")).withColumn("node", F.col("node") * 2 + F.when(F.col("taken"), 0).otherwise(1)).drop("taken")
+        spots = cut(met.unionByName(part(spots, "left_anti")))
+        size = half
+    cars = cars.withColumn("node", F.floor((F.col("id") - 1) / FOLD))
+    lists = cars.groupBy("k", "node").agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("cars"))
+    left = spots.groupBy("k", "node").agg(F.sort_array(F.collect_list("v")).alias("spots"))
+
+    def park(state, car):
+        below = F.size(F.filter(state.spots, lambda s: s < car.v))
+        fits = below < F.size(state.spots)
+        rest = F.concat(F.slice(state.spots, F.lit(1), below), F.slice(state.spots, below + 2, F.size(state.spots)))
+        had = F.when(fits, F.get(state.spots, below))
+        return F.struct(F.when(fits, rest).otherwise(state.spots).alias("spots"), F.concat(state.done, F.array(F.struct(car.id.alias("_rank"), had.alias("baseline_value")))).alias("done"))
+
+    none = F.array().cast("array<struct<_rank: long, baseline_value: double>>")
+    folded = lists.join(left, ["k", "node"]).select("k", F.explode(F.aggregate("cars", F.struct(F.col("spots"), none.alias("done")), park).getField("done")).alias("x"))
+    found = folded.select(F.col("k").alias("_key"), "x._rank", "x.baseline_value").where("baseline_value is not null")
+    return rows.join(found, ["_key", "_rank"], "left").select(*current.columns, F.col("baseline_value").isNotNull().alias("grandfathered"), "baseline_value")
 
 
 def touched(findings: DataFrame, changed_files: DataFrame, changed_lines: DataFrame) -> DataFrame:

@@ -569,54 +569,95 @@ def _debt(spark, d):
     return rows.where("half = 1").drop("half"), rows.where("half = 0").drop("half")
 
 
-def _changes(spark):
-    # In f1 a file without lines, in f2 lines 3 to 6 and 9, in f3 line 12, in g1 line 51; f4 was f5.
-    files = spark.createDataFrame([("f1",)], "file string")
-    lines = spark.createDataFrame([("f2", 3), ("f2", 4), ("f2", 5), ("f2", 6), ("f2", 9), ("f3", 12), ("g1", 51)], "file string, line long")
-    return files, lines, spark.createDataFrame([("f4", "f5")], "new string, old string")
+# Changed files come from suppliers, changed lines from orders and customers, renames from suppliers: f4 was f5, which was f6, and so on in tens.
+_CHANGED_FILES = ("supplier", {"file": "'f' || s_suppkey", "keep": "s_suppkey % 11 = 1"})
+_CHANGED_LINES = (
+    ("orders", {"file": "'f' || o_custkey % 97", "line": "o_orderkey % 23", "keep": "o_orderkey % 5 = 3 AND o_custkey % 97 % 3 > 0"}),
+    ("customer", {"file": "'g' || c_custkey % 3", "line": "40 + c_custkey % 12", "keep": "c_custkey % 6 = 1"}),
+)
+_RENAMES = ("supplier", {"new": "'f' || s_suppkey", "old": "'f' || (s_suppkey + 1)", "keep": "s_suppkey % 10 IN (4, 5)"})
+
+
+def _changes(spark, d):
+    kept = lambda t: projected(spark, d, *t).where("keep").drop("keep")
+    lines = kept(_CHANGED_LINES[0]).union(kept(_CHANGED_LINES[1]))
+    return kept(_CHANGED_FILES), lines, kept(_RENAMES)
 
 
-_TOUCHED = """CASE category WHEN 'budget' THEN file IN ('f1', 'f2', 'f3', 'g1') WHEN 'complexity' THEN (file = 'f2' AND (line <= 6 AND end_line >= 3 OR 9 BETWEEN line AND end_line)) OR (file = 'f3' AND 12 BETWEEN line AND end_line)
-    WHEN 'clone' THEN (file = 'f2' AND (line <= 6 AND end_line >= 3 OR 9 BETWEEN line AND end_line)) OR (file = 'f3' AND 12 BETWEEN line AND end_line) OR file_b = 'g1' ELSE (file = 'f2' AND line IN (3, 4, 5, 6, 9)) OR (file = 'f3' AND line = 12) END"""
+_CHANGES_SQL = f"""cl AS (SELECT DISTINCT file, line FROM (SELECT file, line FROM {sql(*_CHANGED_LINES[0])} WHERE keep UNION ALL SELECT file, line FROM {sql(*_CHANGED_LINES[1])} WHERE keep)),
+    alone AS (SELECT file FROM {sql(*_CHANGED_FILES)} WHERE keep), cf AS (SELECT file FROM alone UNION SELECT file FROM cl),
+    d AS (SELECT *, CASE l_suppkey % 10 WHEN 4 THEN 'f' || (l_suppkey + 2) WHEN 5 THEN 'f' || (l_suppkey + 1) ELSE file END AS now FROM {sql('lineitem', {**_DEBT, 'l_suppkey': 'l_suppkey'})}),
+    x AS (SELECT *, CASE category WHEN 'budget' THEN file IN (FROM cf) WHEN 'complexity' THEN EXISTS (FROM cl WHERE cl.file = d.file AND cl.line BETWEEN d.line AND greatest(d.line, d.end_line))
+    WHEN 'clone' THEN EXISTS (FROM cl WHERE cl.file = d.file AND cl.line BETWEEN d.line AND d.end_line) OR EXISTS (FROM cl WHERE cl.file = d.file_b AND cl.line BETWEEN d.line_b AND d.end_line_b)
+    ELSE EXISTS (FROM cl WHERE cl.file = d.file AND cl.line = d.line) END AS touched FROM d)"""
 
 
-@query("attribution_touched", f"SELECT ord, {_TOUCHED} AS touched FROM {sql('lineitem', _DEBT)} WHERE half = 1")
+@query("attribution_touched", f"WITH {_CHANGES_SQL} SELECT ord, touched FROM x WHERE half = 1")
 def attribution_touched(spark, d):
     cur, _ = _debt(spark, d)
-    files, lines, _ = _changes(spark)
+    files, lines, _ = _changes(spark, d)
     return ratchet.touched(cur, files, lines).select("ord", "touched")
 
 
 @query(
     "ratchet_counted",
-    f"""WITH x AS (SELECT *, {_TOUCHED} AS touched, CASE file WHEN 'f4' THEN 'f5' ELSE file END AS now FROM {sql('lineitem', _DEBT)}), c AS (SELECT ord, category, row_number() OVER (PARTITION BY category, now, CASE WHEN category = 'suppression' THEN NULL ELSE file_b END, identity ORDER BY ord) AS r, now, file_b, identity FROM x WHERE half = 1 AND NOT touched AND category IN ('suppression', 'invariant', 'clone')),
+    f"""WITH {_CHANGES_SQL}, c AS (SELECT ord, category, row_number() OVER (PARTITION BY category, CASE category WHEN 'clone' THEN least(now, file_b) ELSE now END, CASE category WHEN 'suppression' THEN NULL WHEN 'clone' THEN greatest(now, file_b) ELSE file_b END, identity ORDER BY ord) AS r, now, file_b, identity FROM x WHERE half = 1 AND NOT touched AND category IN ('suppression', 'invariant', 'clone')),
     b AS (SELECT category, file AS now, file_b, identity, count(*) AS had FROM x WHERE half = 0 GROUP BY ALL) SELECT ord, r <= coalesce(had, 0) AS grandfathered FROM c LEFT JOIN b ON c.category = b.category AND c.now = b.now AND c.identity = b.identity AND (c.file_b IS NOT DISTINCT FROM b.file_b)""",
 )
 def ratchet_counted(spark, d):
     cur, base = _debt(spark, d)
-    out = ratchet.apply(cur, base, *_changes(spark))
+    out = ratchet.apply(cur, base, *_changes(spark, d))
     return out.where("not touched and category in ('suppression', 'invariant', 'clone')").select("ord", "grandfathered")
 
 
-@query("ratchet_valued")
+#: Each finding in order takes the first of the values that are left, ascending, that isn't below its own.
+_PARK = """list_reduce(cars, lambda acc, x: {'spots': CASE WHEN len(list_filter(acc.spots, lambda s: s < x.v)) < len(acc.spots) THEN list_concat(acc.spots[:len(list_filter(acc.spots, lambda s: s < x.v))], acc.spots[len(list_filter(acc.spots, lambda s: s < x.v)) + 2:]) ELSE acc.spots END,
+ 'done': list_append(acc.done, {'ord': x.ord, 'had': acc.spots[len(list_filter(acc.spots, lambda s: s < x.v)) + 1]})}, {'spots': spots, 'done': CAST([] AS STRUCT(ord BIGINT, had DOUBLE)[])})"""
+
+
+@query(
+    "ratchet_valued",
+    f"""WITH {_CHANGES_SQL}, k AS (SELECT *, CASE category WHEN 'budget' THEN 'm' ELSE identity || 'm' END AS what FROM x WHERE category IN ('budget', 'complexity')),
+    cars AS (SELECT category, now AS file, what, list({{'ord': ord, 'v': actual}} ORDER BY ord) AS cars FROM k WHERE half = 1 AND NOT touched GROUP BY ALL),
+    spots AS (SELECT category, file, what, list(actual ORDER BY actual) AS spots FROM k WHERE half = 0 GROUP BY ALL),
+    parked AS (SELECT unnest({_PARK}.done) AS p FROM cars JOIN spots USING (category, file, what)),
+    had AS (SELECT p.ord AS ord, p.had IS NOT NULL AS had FROM parked)
+    SELECT k.ord, touched, coalesce(had, false) AS grandfathered FROM k LEFT JOIN had ON k.ord = had.ord WHERE half = 1""",
+)
 def ratchet_valued(spark, d):
-    """Budgets and functions, several of one key: who gets which value depends on the order, so tests hold it against a walk in order."""
+    """Budgets and functions, several of one key: who gets which value depends on the order."""
     cur, base = _debt(spark, d)
-    out = ratchet.apply(cur, base, *_changes(spark))
+    out = ratchet.apply(cur, base, *_changes(spark, d))
     return out.where("category in ('budget', 'complexity')").select("ord", "touched", "grandfathered")
 
 
+@query(
+    "ratchet_hot_key",
+    f"""WITH o AS (SELECT o_orderkey AS ord, o_orderkey % 2 AS half, CAST(o_totalprice AS DOUBLE) AS v, CASE WHEN o_custkey % 3 = 0 THEN 'hot' ELSE o_orderpriority END AS key FROM orders),
+    cars AS (SELECT key, list({{'ord': ord, 'v': v}} ORDER BY ord) AS cars FROM o WHERE half = 1 GROUP BY key), spots AS (SELECT key, list(v ORDER BY v) AS spots FROM o WHERE half = 0 GROUP BY key)
+    SELECT p.ord AS ord, p.had IS NOT NULL AS grandfathered, p.had AS baseline_value FROM (SELECT unnest({_PARK}.done) AS p FROM cars JOIN spots USING (key))""",
+)
+def ratchet_hot_key(spark, d):
+    """Six keys for all orders, of which one has a third: keys that are halved until their parts are small."""
+    rows = projected(spark, d, "orders", {"ord": "o_orderkey", "half": "o_orderkey % 2", "v": "CAST(o_totalprice AS DOUBLE)", "key": "CASE WHEN o_custkey % 3 = 0 THEN 'hot' ELSE o_orderpriority END"})
+    return ratchet.numeric(rows.where("half = 1"), rows.where("half = 0"), ["key"], "v", "ord").select("ord", "grandfathered", "baseline_value")
+
+
 @query(
     "retained_context",
-    """SELECT ord, CASE WHEN category = 'budget' AND file = 'f1' THEN 'changed file `f1`' WHEN category = 'budget' AND file = 'f2' THEN 'changed file `f2` at line 3' WHEN category = 'budget' AND file = 'f3' THEN 'changed file `f3` at line 12'
-    WHEN category IN ('suppression', 'complexity', 'invariant') AND file = 'f2' AND line BETWEEN 3 AND 6 THEN 'changed hunk `f2`:3-6' WHEN category IN ('suppression', 'complexity', 'invariant') AND file = 'f2' AND line = 9 THEN 'changed hunk `f2`:9' WHEN category IN ('suppression', 'complexity', 'invariant') AND file = 'f3' AND line = 12 THEN 'changed hunk `f3`:12'
-    WHEN category = 'clone' THEN nullif('changed clone ranges: ' || concat_ws(', ', CASE WHEN file = 'f1' THEN '`f1`' WHEN file = 'f2' AND line <= 6 AND end_line >= 3 THEN '`f2`:' || CASE WHEN greatest(line, 3) = least(end_line, 6) THEN CAST(line AS VARCHAR) ELSE greatest(line, 3) || '-' || least(end_line, 6) END WHEN file = 'f2' AND 9 BETWEEN line AND end_line THEN '`f2`:9' WHEN file = 'f3' AND 12 BETWEEN line AND end_line THEN '`f3`:12' END, CASE WHEN file_b = 'g1' THEN '`g1`:51' END), 'changed clone ranges: ') END AS context FROM """
-    + sql("lineitem", _DEBT)
-    + " WHERE half = 1",
+    f"""WITH {_CHANGES_SQL}, isle AS (SELECT file, min(line) AS a, max(line) AS b FROM (SELECT file, line, line - row_number() OVER (PARTITION BY file ORDER BY line) AS g FROM cl) GROUP BY file, g),
+    one AS (SELECT file, min(line) AS line FROM cl GROUP BY file),
+    part AS (SELECT ord, 0 AS n, x.file, greatest(a, line) AS a, least(b, end_line) AS b FROM x JOIN isle ON x.file = isle.file AND a <= end_line AND b >= line WHERE category = 'clone' UNION ALL SELECT ord, 1, x.file_b, greatest(a, line_b), least(b, end_line_b) FROM x JOIN isle ON x.file_b = isle.file AND a <= end_line_b AND b >= line_b WHERE category = 'clone'),
+    side AS (SELECT ord, n, '`' || file || '`:' || string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '-' || b END, ',' ORDER BY a) AS t FROM part GROUP BY ord, n, file),
+    parts AS (SELECT ord, coalesce(s.n, o.n) AS n, coalesce(s.t, '`' || o.file || '`') AS t FROM side s FULL JOIN (SELECT ord, 0 AS n, file FROM x WHERE category = 'clone' AND file IN (FROM alone) UNION ALL SELECT ord, 1, file_b FROM x WHERE category = 'clone' AND file_b IN (FROM alone)) o USING (ord, n)),
+    text AS (SELECT ord, 'changed clone ranges: ' || string_agg(t, ', ' ORDER BY n) AS t FROM parts GROUP BY ord)
+    SELECT x.ord, CASE category WHEN 'budget' THEN CASE WHEN one.line IS NOT NULL THEN 'changed file `' || x.file || '` at line ' || one.line WHEN x.file IN (FROM alone) THEN 'changed file `' || x.file || '`' END
+    WHEN 'clone' THEN text.t ELSE 'changed hunk `' || x.file || '`:' || CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '-' || b END END AS context
+    FROM x LEFT JOIN one ON one.file = x.file LEFT JOIN text ON text.ord = x.ord LEFT JOIN isle ON isle.file = x.file AND x.line BETWEEN a AND b WHERE half = 1""",
 )
 def retained_context(spark, d):
     cur, _ = _debt(spark, d)
-    files, lines, _ = _changes(spark)
+    files, lines, _ = _changes(spark, d)
     return ratchet.with_context(cur, files, lines).select("ord", F.nullif(F.regexp_extract("message", r"^\[(.*)\]$", 1), F.lit("")).alias("context"))
 
 

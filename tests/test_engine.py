@@ -288,3 +288,39 @@ def test_functions_of_braces():
     assert [rows["h"][i] for i in (6, 7, 8, 9)] == [0, 2, 1, 4]
     assert braces.functions_of("a.rs", "fn a() { /* }") == [("a.rs", *[None] * 9, "comment without an end", 1, 10)]
     assert braces.functions_of("a.js", None) == []
+
+
+def _parked(cars, spots):
+    """Each finding in order takes the least value left that isn't below its own."""
+    rest, out = {}, []
+    for k, v in spots:
+        if v is not None and v == v:
+            rest.setdefault(k, []).append(v)
+    for k, o, v in sorted(cars, key=lambda c: c[1]):
+        fits = sorted(x for x in rest.get(k, []) if v is not None and x >= v)
+        if fits:
+            rest[k].remove(fits[0])
+        out.append((o, fits[0] if fits else None))
+    return out
+
+
+@pytest.mark.parametrize("fold", [1, 2, 8, 64])
+def test_numeric_ratchet_of_hot_keys(spark, monkeypatch, fold):
+    import random
+
+    monkeypatch.setattr(ratchet, "FOLD", fold)
+    r = random.Random(fold)
+    value = lambda: r.choice([None, float("nan"), float(r.randrange(6)), r.random() * 9])
+    keys = [None, "a", "hot", "hot", "hot", "only current"]
+    cars = [(r.choice(keys), i, value()) for i in r.sample(range(1000), 300)]
+    spots = [(r.choice([None, "a", "hot", "hot", "only baseline"]), value()) for _ in range(260)]
+    got = ratchet.numeric(spark.createDataFrame(cars, "k string, o long, v double"), spark.createDataFrame(spots, "k string, v double"), ["k"], "v", "o")
+    assert sorted((x.o, x.baseline_value) for x in got.collect()) == _parked(cars, spots)
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+    assert all(x.grandfathered == (x.baseline_value is not None) for x in got.collect())
+
+
+def test_numeric_ratchet_of_nothing(spark):
+    none, one = spark.createDataFrame([], "k string, o long, v double"), spark.createDataFrame([("k", 1, 2.0)], "k string, o long, v double")
+    assert ratchet.numeric(none, one, ["k"], "v", "o").collect() == []
+    assert [r.grandfathered for r in ratchet.numeric(one, none, ["k"], "v", "o").collect()] == [False]
