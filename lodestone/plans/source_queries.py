@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import mutation
 from ..sources import lcov, repository, tools
+from . import lineage
 from .tables import projected, sql, table
 
 QUERIES: dict = {}
@@ -206,6 +207,24 @@ def lcov_records(spark, d):
     return lcov.records(_lcov(spark, d)).drop("record")
 
 
+def _lcov_files(spark, d, parts: int) -> str:
+    """All of lineitem as LCOV files in a new folder that executors share."""
+    folder = lineage.fresh_folder(spark, "lcov")
+    text = "SF:./src/{k}/{n}.ts\nFNF:2\nFNH:1\nDA:1,{q}\nDA:2,{e}\nBRF:2\nBRH:{e}\nLF:2\nLH:{h}\nend_of_record"
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("q"), (F.col("l_linenumber") % 2).alias("e"))
+    row = F.lit(text)
+    for name, c in (("{k}", F.col("l_orderkey")), ("{n}", F.col("l_linenumber")), ("{q}", F.col("q")), ("{e}", F.col("e")), ("{h}", F.col("e") + 1)):
+        row = F.replace(row, F.lit(name), c.cast("string"))
+    li.select(row.alias("value")).repartition(parts).write.text(folder)
+    return folder
+
+
+@query("lcov_report_files", f"SELECT './src/' || l_orderkey || '/' || l_linenumber || '.ts' AS file, CAST(2 AS BIGINT) AS lines_found, {_E} + 1 AS lines_hit, CAST(2 AS BIGINT) AS functions_found, CAST(1 AS BIGINT) AS functions_hit, CAST(2 AS BIGINT) AS branches_found, {_E} AS branches_hit FROM lineitem")
+def lcov_report_files(spark, d):
+    """Reports in files, whose splits are read apart."""
+    return lcov.records(lcov.read_reports(spark, _lcov_files(spark, d, 4))).drop("report", "record")
+
+
 _GENERIC = "SF:src/{k}/{n}.rs\nFN:1,f<i32>\nFN:1,f<i64>\nFN:9,h\nFNDA:{e},f<i32>\nFNDA:1,f<i64>\nFNDA:0,h\nFNF:2\nFNH:1\nDA:1,1\nDA:9,0\nLF:2\nLH:1\nend_of_record\n"
 
 

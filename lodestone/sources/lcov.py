@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -14,18 +14,72 @@ COUNTERS = ("LF", "LH", "FNF", "FNH", "BRF", "BRH")
 RECORD = ["report", "record"]
 
 
+END = "end_of_record"
+
+
+def _pieces(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., i, n, piece): the lines between the ends of records, of rows with a text; blank lines and comments are left out."""
+    kept = F.filter(F.transform(T.lines(F.col("text")), T.strip), lambda x: (x != "") & ~x.startswith("#"))
+    cut = F.split(F.array_join(kept, "\n"), rf"(?:^|\n){END}(?=\n|$)", -1)
+    rows = rows.select(*keys, F.explode(F.array(cut)).alias("cut"))
+    return rows.select(*keys, F.size("cut").alias("n"), F.posexplode("cut").alias("i", "piece")).withColumn("piece", F.regexp_replace("piece", r"^\n", ""))
+
+
+def _file() -> Column:
+    found = T.strip(F.regexp_extract("piece", r"(?:^|\n)SF:([^\n]*)", 1))
+    return F.when(found != "", found).alias("file")
+
+
+def _tagged(rows: DataFrame) -> DataFrame:
+    """(report, seq, record, tag, rest) of rows (report, record, file, piece)."""
+    each = rows.select("report", "record", "file", F.posexplode(F.split("piece", "\n")).alias("seq", "line"))
+    tag = F.regexp_extract("line", r"^([A-Za-z_]+)(?::|$)", 1)
+    return each.select("report", "record", "file", F.col("seq").cast("long").alias("seq"), tag.alias("tag"), F.regexp_extract("line", r"^[A-Za-z_]+:(.*)$", 1).alias("rest"))
+
+
 def entries(reports: DataFrame, report_col: str = "report", text_col: str = "text") -> DataFrame:
     """(report, seq, record, tag, rest): each line with the number of its record and that record's file.
 
-    Records are cut and numbered inside each report's array, so order needs no
-    shuffle; a report is one row.
+    For reports that are rows: records are cut and numbered inside each report's
+    array, so order needs no shuffle. `read_reports` reads large files.
     """
-    all_lines = F.filter(F.transform(T.lines(F.col(text_col)), T.strip), lambda x: (x != "") & ~x.startswith("#"))
-    rows = reports.select(F.col(report_col).alias("report"), F.posexplode(F.split(F.array_join(all_lines, "\n"), r"(?<=(^|\n)end_of_record)\n")).alias("record", "body"))
-    file = T.strip(F.regexp_extract("body", r"(?:^|\n)SF:([^\n]*)", 1))
-    rows = rows.select("report", F.col("record").cast("long").alias("record"), F.when(file != "", file).alias("file"), F.posexplode(F.split("body", "\n")).alias("seq", "line"))
-    tag = F.regexp_extract("line", r"^([A-Za-z_]+)(?::|$)", 1)
-    return rows.select("report", "record", "file", F.col("seq").cast("long").alias("seq"), tag.alias("tag"), F.regexp_extract("line", r"^[A-Za-z_]+:(.*)$", 1).alias("rest"))
+    rows = _pieces(reports.select(F.col(report_col).alias("report"), F.col(text_col).alias("text")), ["report"])
+    ended = F.col("i") < F.col("n") - 1
+    rows = rows.where(ended | (F.col("piece") != "") | (F.col("n") == 1))
+    body = F.when(~ended, F.col("piece")).when(F.col("piece") == "", END).otherwise(F.concat("piece", F.lit(f"\n{END}")))
+    return _tagged(rows.select("report", F.col("i").cast("long").alias("record"), _file(), body.alias("piece")))
+
+
+def read_reports(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """The same of report files, with their paths as `report`, where one file is read by as many tasks as it has splits.
+
+    Splits are cut at the ends of records. A record's number is made of where
+    its split begins and how many records the task had before, fewer than a
+    split has bytes, so numbers of a file are distinct and ascend, with gaps,
+    without a shuffle. The last record of a file has no end of its own only if
+    text follows the last end; such ends, one row for each record, meet the last
+    records of the files. A file without
+    lines gives one row without a tag.
+    """
+    meta = lambda c: F.col(f"_metadata.{c}")
+    chunks = spark.read.option("lineSep", f"\n{END}").text(paths)
+    found_in = chunks.inputFiles()
+    ordinal = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    chunks = chunks.select(meta("file_path").alias("report"), meta("file_block_start").alias("start"), (meta("file_block_start") + ordinal).alias("base"), (meta("file_block_start") + meta("file_block_length") >= meta("file_size")).alias("late"), F.col("value").alias("text"))
+    # Ends that stand behind blanks are found within a chunk, of which they make several records.
+    rows = _pieces(chunks, ["report", "start", "base", "late"]).select("report", "start", (F.col("base") * (1 << 20) + F.col("i")).alias("record"), "late", (F.col("i") < F.col("n") - 1).alias("ended"), _file(), "piece")
+    inner = F.when(F.col("ended"), F.when(F.col("piece") == "", END).otherwise(F.concat("piece", F.lit(f"\n{END}")))).otherwise(F.col("piece"))
+    found = _tagged(rows.where("ended or piece <> ''").select("report", "record", "file", inner.alias("piece")))
+    only = (F.count("*") == 1) & (F.max("piece") == "") & (F.max("start") == 0)
+    last = rows.where("late").groupBy("report").agg(F.max("record").alias("record"), only.alias("blank"))
+    size = F.when(F.col("piece") == "", 0).otherwise(F.size(F.split("piece", "\n"))).cast("long")
+    ends = rows.where("not ended").select("report", size.alias("seq"), "record", "file").join(last, RECORD, "left_anti")
+    # Spark skips files without a byte; their names are known from the listing.
+    listed = spark.createDataFrame([(f,) for f in found_in], "report string")
+    plain = lambda df: df.withColumn("_plain", F.regexp_replace("report", "^([A-Za-z]+):/+", "$1:/"))
+    none = plain(listed).join(plain(last.where("not blank")).select("_plain"), "_plain", "left_anti")
+    none = none.select("report", F.lit(0).cast("long").alias("record"), F.lit(None).cast("string").alias("file"), F.lit(0).cast("long").alias("seq"), F.lit("").alias("tag"), F.lit("").alias("rest"))
+    return found.unionByName(ends.select("report", "record", "file", "seq", F.lit(END).alias("tag"), F.lit("").alias("rest"))).unionByName(none)
 
 
 def _count(x: Column) -> Column:
@@ -89,8 +143,9 @@ def function_projection(found: DataFrame) -> DataFrame:
 def records(found: DataFrame) -> DataFrame:
     """(report, record, file, lines_found, lines_hit, functions_found, functions_hit, branches_found, branches_hit) of the records, 0 for missing counters."""
     names = ("lines_found", "lines_hit", "functions_found", "functions_hit", "branches_found", "branches_hit")
-    heads = found.where("file is not null").select(*RECORD, "file").distinct()
-    return heads.join(counters(found).drop("file"), RECORD, "left").select(*RECORD, "file", *(F.coalesce(t.lower(), F.lit(0)).cast("long").alias(n) for t, n in zip(COUNTERS, names)))
+    n = _count(F.col("rest"))
+    rows = found.where("file is not null").groupBy(*RECORD, "file").agg(*(F.max(F.when(F.col("tag") == t, n)).alias(name) for t, name in zip(COUNTERS, names)))
+    return rows.select(*RECORD, "file", *(F.coalesce(name, F.lit(0)).cast("long").alias(name) for name in names))
 
 
 def production(found: DataFrame, test_lines: DataFrame) -> DataFrame:
