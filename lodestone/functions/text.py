@@ -154,3 +154,24 @@ def glob_to_regex(glob: str, within: bool = False) -> str:
     if depth:
         raise ValueError(f"unclosed alternation in glob {glob!r}")
     return "^" + "".join(out) + "$"
+
+
+def glob_pattern(glob: Column) -> Column:
+    """The regular expression, without anchors, of globs in a column, where * and ? stay within a part; null for an unclosed class.
+
+    ** spans parts, [ab] and [!ab] are classes, and a backslash makes the next sign stand for itself.
+    """
+    # Signs that later steps would read again stand aside as control characters.
+    aside = {"*": "\x01", "?": "\x02", "[": "\x03", "]": "\x04", "\\": "\x05"}
+    out = glob
+    for sign, mark in aside.items():
+        out = F.replace(out, F.lit("\\" + sign), F.lit(mark))
+    out = F.regexp_replace(out, r"\\(.)", "$1")
+    out = F.regexp_replace(out, r"\[[!^]", "[\x06")
+    out = F.regexp_replace(out, r"([.+()|^$}{&~\-](?![^\[]*\]))", r"\\$1")
+    out = F.regexp_replace(out, r"(^|/)(?:\*\*/)+", "$1\x07")
+    out = F.regexp_replace(out, r"\*\*+", "\x08")
+    out = F.replace(F.replace(out, F.lit("*"), F.lit("[^/]*")), F.lit("?"), F.lit("[^/]"))
+    for mark, regex in (("\x08", ".*"), ("\x07", "(?:.*/)?"), ("\x06", "^"), *((m, "\\" + c) for c, m in aside.items())):
+        out = F.replace(out, F.lit(mark), F.lit(regex))
+    return F.when(~glob.rlike(r"(?<!\\)\[[^\]]*$"), out)

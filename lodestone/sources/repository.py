@@ -40,12 +40,58 @@ def ignored(path: Column, patterns: list[str]) -> Column:
     return out
 
 
-def walk(spark: SparkSession, root: str, exclude: list[str] = (), ignore: list[str] = (), hidden: bool = False, extensions: tuple[str, ...] | None = (*SOURCE_EXTENSIONS, *RETIRED_EXTENSIONS)) -> DataFrame:
+#: Precedence of ignore rules, rising: excludes of the user, of the repository, and the two kinds of files in folders.
+GLOBAL, EXCLUDE, GITIGNORE, IGNORE = range(4)
+
+
+def ignore_rules(files: DataFrame) -> DataFrame:
+    """(folder, rank, nth, pattern) of the ignore files among files (path, text): one row for each line, the folder "" being the root."""
+    name = T.name_of(F.col("path"))
+    exclude = F.col("path") == ".git/info/exclude"
+    rank = F.when(exclude, EXCLUDE).when(name == ".gitignore", GITIGNORE).when(name == ".ignore", IGNORE)
+    folder = F.when(exclude, "").otherwise(F.regexp_replace("path", r"/?[^/]*$", ""))
+    rows = files.withColumn("rank", rank).where("rank is not null")
+    return rows.select(folder.alias("folder"), "rank", F.posexplode(T.lines(F.col("text"))).alias("nth", "pattern"))
+
+
+def ignored_by(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """(path, ignored) of files (path) under ignore rules (folder, rank, nth, pattern).
+
+    A file is ignored if it or a folder above it is. Of the rules of all folders
+    above an entry that match it, the highest rank decides, then the deepest
+    folder, then the last line, and ! takes back. Rules stay a table: a folder's
+    are one row, and entries meet the folders above them by equality. Each
+    folder is judged once, not again for each of its files.
+    """
+    bare = F.regexp_replace(F.regexp_replace("pattern", r"[\r\n]+$", ""), r"(?<!\\)[ \t]+$", "")
+    rows = rules.select("folder", "rank", "nth", bare.alias("p")).where("p <> '' and not startswith(p, '#')")
+    back = F.startswith("p", F.lit("!"))
+    rows = rows.withColumn("back", back).withColumn("p", F.regexp_replace("p", r"^!", ""))
+    body = F.regexp_replace("p", r"/+$", "")
+    regex = F.concat(F.when(F.contains(body, F.lit("/")), "^").otherwise("^(?:.*/)?"), T.glob_pattern(F.regexp_replace(body, "^/+", "")), F.lit("$"))
+    rows = rows.select("folder", F.struct("rank", "nth", regex.alias("regex"), F.endswith("p", F.lit("/")).alias("dirs"), "back").alias("rule")).where("rule.regex is not null and rule.regex <> '^(?:.*/)?$'")
+    by_folder = rows.groupBy("folder").agg(F.sort_array(F.collect_list("rule")).alias("rules"))
+    parts = F.split("path", "/")
+    prefix = lambda p, i: F.array_join(F.slice(p, F.lit(1), i), "/")
+    every = files.select("path").distinct().withColumn("parts", parts)
+    above = every.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size("parts")), lambda i: F.struct(prefix(F.col("parts"), i).alias("entry"), (i < F.size("parts")).alias("dir")))).alias("e")).select("path", "e.*")
+    entries = above.select("entry", "dir").distinct().withColumn("parts", F.split("entry", "/"))
+    seen = F.transform(F.sequence(F.lit(0), F.size("parts") - 1), lambda i: F.struct(prefix(F.col("parts"), i).alias("folder"), F.array_join(F.slice("parts", i + 1, F.size("parts")), "/").alias("rest"), i.alias("depth")))
+    met = entries.select("entry", "dir", F.explode(seen).alias("s")).select("entry", "dir", "s.*").join(by_folder, "folder")
+    hits = F.filter("rules", lambda r: (~r.dirs | F.col("dir")) & F.regexp_like(F.col("rest"), r.regex))
+    best = met.select("entry", "dir", "depth", F.explode(F.filter(hits, lambda r, i: (i == F.size(hits) - 1) | (F.get(hits, i + 1).rank != r.rank))).alias("r"))
+    judged = best.groupBy("entry", "dir").agg(F.max_by(~F.col("r.back"), F.struct("r.rank", "depth", "r.nth")).alias("out")).where("out")
+    gone = above.join(judged.select("entry", "dir"), ["entry", "dir"], "left_semi").select("path").distinct().withColumn("ignored", F.lit(True))
+    return files.select("path").join(gone, "path", "left").select("path", F.coalesce("ignored", F.lit(False)).alias("ignored"))
+
+
+def walk(spark: SparkSession, root: str, exclude: list[str] = (), ignore: list[str] = (), hidden: bool = False, extensions: tuple[str, ...] | None = (*SOURCE_EXTENSIONS, *RETIRED_EXTENSIONS), rules: DataFrame | None = None) -> DataFrame:
     """(path, text, read_error, excluded) of the files below a root in order of path; undecodable files are rows with an error.
 
     Dependency folders, hidden files and folders, other extensions and what the
     `ignore` patterns exclude leave before any content is read (the content is
-    a column of the same scan, so only kept rows decode it). `exclude` tags.
+    a column of the same scan, so only kept rows decode it). `rules` are those of
+    ignore files in folders (`ignore_rules`). `exclude` tags.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     inner = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", "/"), "^" + "".join("\\" + c if not c.isalnum() and c not in "/_-" else c for c in root.rstrip("/")) + "/", "")
@@ -57,6 +103,8 @@ def walk(spark: SparkSession, root: str, exclude: list[str] = (), ignore: list[s
     if extensions is not None:
         rows = rows.where(F.lower(T.extension_of(F.col("path"))).isin(*extensions))
     rows = rows.where(~ignored(F.col("path"), list(ignore)))
+    if rules is not None:
+        rows = rows.join(ignored_by(rows.select("path"), rules).where("ignored"), "path", "left_anti")
     tag = F.lit(False)
     for glob in exclude:
         tag = tag | F.col("path").rlike(T.glob_to_regex(glob))
