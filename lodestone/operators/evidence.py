@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -109,6 +109,41 @@ def line_roles(lines: DataFrame, ranges: DataFrame) -> DataFrame:
     return lines.join(inside, ["file", "line"], "left").select("file", "line", F.when(F.col("_covered").isNull(), False).when(F.col("_covered") >= size, True).alias("test"))
 
 
+def role_sizes(files: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(path, role, bytes, lines) of files (path, role, text), where test ranges (file, start, stop in bytes) of a source are sized apart from the rest.
+
+    A sweep over a file's line starts and range ends, in order of bytes, keeps
+    the number of open ranges; what lies between two of them belongs to one line
+    and one side. A line counts for a side that has a byte of it that isn't
+    white space, and for each side that has some of it if it is blank. A side
+    without bytes has no row; files of other roles and without ranges keep
+    their whole size. Nothing pairs lines with ranges, and ranges may overlap.
+    """
+    sized = files.select("path", "role", F.coalesce("text", F.lit("")).alias("text")).withColumn("total", F.octet_length("text").cast("long"))
+    ends = F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("step")), F.struct(F.col("stop").alias("pos"), F.lit(-1).alias("step")))
+    marks = ranges.where("start < stop").select(F.col("file").alias("path"), F.explode(ends).alias("e")).select("path", F.greatest(F.col("e.pos"), F.lit(0)).cast("long").alias("pos"), "e.step")
+    split = sized.where("role = 'source'").join(marks.select("path").distinct(), "path", "left_semi")
+    whole = sized.join(split.select("path"), "path", "left_anti").select("path", "role", F.col("total").alias("bytes"), F.size(T.lines(F.col("text"))).cast("long").alias("lines"))
+    lines = split.select("path", "total", F.posexplode(F.split("text", "\n")).alias("n", "body"))
+    by = Window.partitionBy("path")
+    length = F.octet_length("body") + 1
+    lines = lines.withColumn("pos", F.coalesce(F.sum(length).over(by.orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    starts = lines.select("path", "pos", F.lit(0).alias("step"), "n", "body", "pos", "total").toDF("path", "pos", "step", "n", "body", "first", "total")
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    both = starts.unionByName(marks.join(split.select("path"), "path", "left_semi").select("path", "pos", "step", none("n", "int"), none("body", "string"), none("first", "long"), none("total", "long")))
+    along = by.orderBy("pos", "step", F.col("n").asc_nulls_first())
+    last = lambda c: F.last(c, ignorenulls=True).over(along)
+    stop = F.least(F.coalesce(F.lead("pos").over(along), F.lit(1 << 62)), F.max("total").over(by))
+    swept = both.select("path", "pos", stop.alias("stop"), (F.sum("step").over(along) > 0).alias("test"), last("n").alias("n"), last("body").alias("body"), last("first").alias("first")).where("stop > pos")
+    part = F.decode(F.expr("substring(encode(body, 'UTF-8'), int(pos - first) + 1, int(stop - pos))"), "ISO-8859-1")
+    pieces = swept.select("path", "n", "test", (F.col("stop") - F.col("pos")).alias("bytes"), part.rlike("[^ \\t\\n\\f\\r]").alias("filled"))
+    of = pieces.groupBy("path", "n").agg(F.bool_or("filled").alias("any"), *(x for t in (True, False) for x in (F.sum(F.when(F.col("test") == t, F.col("bytes"))).alias(f"bytes_{t}"), F.bool_or(F.col("filled") & (F.col("test") == t)).alias(f"filled_{t}"))))
+    side = lambda t, role: F.struct(F.lit(role).alias("role"), F.col(f"bytes_{t}").alias("bytes"), (F.col(f"filled_{t}") | (~F.col("any") & F.col(f"bytes_{t}").isNotNull())).alias("counts"))
+    each = of.select("path", F.explode(F.array(side(True, "test"), side(False, "source"))).alias("s")).select("path", "s.*").where("bytes is not null")
+    apart = each.groupBy("path", "role").agg(F.sum("bytes").alias("bytes"), F.count_if("counts").alias("lines"))
+    return whole.unionByName(apart)
+
+
 def receipt_problems(receipts: DataFrame) -> DataFrame:
     """(receipt, problem) of receipts against what they are held to: rows with each value and its wanted_ counterpart; the first that differs counts."""
     names = ("root", "schema", "kind", "command", "report_sha256", "inputs_sha256", "partition")
