@@ -34,7 +34,7 @@ class _Budget(StatefulProcessor):
         pdf = pd.concat(list(rows)).sort_values(self.order, kind="stable")
         left = self.left.get()[0] if self.left.exists() else 0
         self.left.update((max(0, left - len(pdf)),))
-        yield pdf.assign(grandfathered=[i < left for i in range(len(pdf))])
+        yield pdf.drop(columns="_key", errors="ignore").assign(grandfathered=[i < left for i in range(len(pdf))])
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
         self.left.update((int(initialState["n"].sum()),))
@@ -75,9 +75,9 @@ def ratchet_stream(findings: DataFrame, baseline: DataFrame, keys: list[str], or
     named = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("_key")
     had = baseline.select(named).groupBy("_key").agg(F.count("*").alias("n"))
     rows = findings.select(named, *findings.columns)
-    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in findings.schema.fields)
     flagged = rows.groupBy("_key").transformWithStateInPandas(_Budget(order), f"{kind}, grandfathered boolean", "append", "none", initialState=had.groupBy("_key"))
-    return _started(flagged.drop("_key"), out, checkpoint)
+    return _started(flagged, out, checkpoint)
 
 
 def clone_stream(places: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
