@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import dense_ids
+
 # Capacity limits, beyond which evidence counts as incomplete.
 MAX_WINDOWS_PER_HASH = 512
 MAX_MATCHES = 200_000
@@ -125,6 +127,11 @@ def changed_first(files: DataFrame) -> DataFrame:
     return files.orderBy(F.desc("changed"), F.split("path", "/"))
 
 
+def input_order(files: DataFrame) -> DataFrame:
+    """Files (path, changed) with their `rank` from 0 in that order; no task sees all files."""
+    return dense_ids(files.withColumn("_k", F.struct(~F.col("changed"), F.split("path", "/"))), "_k", "rank").drop("_k")
+
+
 def by_role(streams: DataFrame, dim: DataFrame) -> DataFrame:
     """(role, a, b, a_start, b_start, tokens): clones among the streams (stream, role, tokens) of each role that looks for them, at that role's size.
 

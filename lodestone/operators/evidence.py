@@ -73,9 +73,8 @@ def overlapping(spans: DataFrame, ranges: DataFrame) -> DataFrame:
     """
     deal = lambda df: df.where("start < stop").withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("start") / BUCKET), F.floor((F.col("stop") - 1) / BUCKET))))
     r = deal(ranges.select("file", "start", "stop")).select("file", "_bucket", F.col("start").alias("_a"), F.col("stop").alias("_b"))
-    named = spans.withColumn("_id", F.xxhash64(*spans.columns))
-    hit = deal(named).join(r, ["file", "_bucket"]).where("_a < stop and _b > start").select("_id").distinct()
-    return named.join(hit, "_id", "left_semi").drop("_id")
+    hit = deal(spans).join(r, ["file", "_bucket"]).where("_a < stop and _b > start").select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(spans.columns))).distinct()
+    return spans.join(hit, [spans[c].eqNullSafe(hit[f"_{i}"]) for i, c in enumerate(spans.columns)], "left_semi")
 
 
 def test_spans(spans: DataFrame, files: DataFrame, ranges: DataFrame) -> DataFrame:

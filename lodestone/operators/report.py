@@ -12,10 +12,11 @@ fingerprint or command.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans.lineage import running
 
 FINDING = (
     "category string, file string, line long, column long, end_line long, file_b string, line_b long, end_line_b long, metric string, identity string, "
@@ -351,7 +352,8 @@ def excerpts(locations: DataFrame, sources: DataFrame, order: str = "seq") -> Da
 
     A location shows eight lines of 240 characters at most, control characters
     as escapes, and all locations together, in order, 64 KB; a location that
-    begins beyond that shows nothing. One without a line shows the file's first.
+    begins beyond that shows nothing. Sizes are summed in ranges of the order, so
+    no task sees all locations. One without a line shows the file's first.
     """
     rows = locations.join(sources.select(F.col("path").alias("file"), T.lines(F.col("text")).alias("all")), "file")
     n, start = F.size("all"), F.coalesce("line", F.lit(1))
@@ -362,9 +364,7 @@ def excerpts(locations: DataFrame, sources: DataFrame, order: str = "seq") -> Da
     shown = F.transform("raw", lambda x: T.visible(x))
     rows = rows.withColumn("lines", F.transform(shown, lambda x: F.left(x, F.lit(CHARS)))).withColumn("cut", F.col("cut") | F.exists(shown, lambda x: F.length(x) > CHARS))
     size = F.aggregate(F.transform("lines", lambda x: F.octet_length(x)), F.lit(0), lambda a, x: a + x)
-    # The budget runs over all locations in order; their number is that of one report.
-    before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_before", F.coalesce(F.sum(size).over(before), F.lit(0))).where(F.col("_before") < BYTES)
+    rows = running(rows.withColumn("_size", size), order, "_size", "_before").where(F.col("_before") < BYTES)
     fits = F.filter(F.transform("lines", lambda x, i: F.struct(x.alias("t"), F.aggregate(F.slice("lines", F.lit(1), i + 1), F.lit(0).cast("long"), lambda a, y: a + F.octet_length(y)).alias("to"))), lambda x: F.col("_before") + x["to"] <= BYTES)
     kept = F.transform(fits, lambda x: x["t"])
     return rows.select(order, "file", F.col("first_line").cast("long").alias("first_line"), kept.alias("lines"), (F.col("cut") | (F.size(kept) < F.size("lines"))).alias("truncated")).where(F.size("lines") > 0)

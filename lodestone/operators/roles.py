@@ -214,13 +214,13 @@ def classification_gaps(files: DataFrame, policy: Policy, dim: DataFrame) -> Dat
     return rows.select("path", "role", x.alias("x")).where("x is not null and x.outcome <> 'ignored'").select("path", "role", "x.step", "x.outcome")
 
 
-def observations(files: DataFrame, policy: Policy, dim: DataFrame) -> DataFrame:
-    """(engine, state) that the files (path, role) of a run complete, once each."""
+def observations(files: DataFrame, policy: Policy, dim: DataFrame, run: str | None = None) -> DataFrame:
+    """(engine, state) that the files (path, role) of a run complete, once each; of each run where the files name theirs."""
     rows = with_role(files, dim, "complexity", "safety", "invariants")
     parsed = F.lower(T.extension_of(F.col("path"))).isin(*PARSED_EXTENSIONS)
     ran = {"file_budgets": F.col("safety"), "suppressions": F.col("safety") & F.lit(policy.suppressions), "invariants": F.col("invariants") & F.lit(policy.invariants), "complexity": F.col("complexity") & parsed}
     found = F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in ran.items())))
-    return rows.select(F.explode(found).alias("engine")).distinct().withColumn("state", F.lit("completed"))
+    return rows.select(*([run] if run else []), F.explode(found).alias("engine")).distinct().withColumn("state", F.lit("completed"))
 
 
 def advisories(counts: DataFrame) -> DataFrame:

@@ -91,9 +91,15 @@ def classification_gaps(spark, d):
     return roles.classification_gaps(projected(spark, d, "documents", _DOCS), _POLICY, roles.dimension(spark, _POLICY))
 
 
-@query("role_observations", "SELECT unnest(['file_budgets', 'suppressions', 'invariants', 'complexity']) AS engine, 'completed' AS state")
+@query(
+    "role_observations",
+    f"""SELECT DISTINCT run, unnest(CASE WHEN role IN ('source', 'test') AND ext IN ('ts', 'py') THEN ['file_budgets', 'suppressions', 'invariants', 'complexity'] WHEN role IN ('source', 'test') THEN ['file_budgets', 'suppressions', 'invariants'] WHEN role IN {_SAFE} THEN ['file_budgets', 'suppressions'] ELSE [] END) AS engine, 'completed' AS state
+    FROM (SELECT *, doc_id % 45 AS run FROM {_DOCS_SQL})""",
+)
 def role_observations(spark, d):
-    return roles.observations(projected(spark, d, "documents", _DOCS), _POLICY, roles.dimension(spark, _POLICY))
+    """What 45 runs over parts of the documents complete."""
+    files = projected(spark, d, "documents", _DOCS).withColumn("run", F.col("doc_id") % 45)
+    return roles.observations(files, _POLICY, roles.dimension(spark, _POLICY), "run")
 
 
 _STEP = "CASE event_id % 5 WHEN 0 THEN 'coverage-diff' WHEN 1 THEN 'read-source' WHEN 2 THEN 'lint' WHEN 3 THEN 'mutation-scope' ELSE 'other' END"
@@ -130,19 +136,23 @@ def role_extensions(spark, d):
     return files.classify(p, path_col="name").groupBy("name", "role").agg(F.count("*").alias("n"))
 
 
-@query("engine_plan", "SELECT * FROM (VALUES ('file_budgets', true, true), ('suppressions', true, true), ('complexity', true, true), ('invariants', true, true), ('clones', true, true), ('coverage', false, false), ('mutation_report', false, false), ('generated_freshness', false, false), ('legacy_ratchet', true, true), ('format_check', false, false), ('lint', true, false), ('tests', false, false), ('typecheck', false, false)) t(id, enabled, selected)")
-def engine_plan(spark, d):
-    return policy.engine_plan(spark, policy.load("[gate]\npreset = 'legacy-migration'\n"), ["policy", "tests"], ("lint",)).select("id", "enabled", "selected")
+_PRESET_ROWS = "(VALUES ('strict-agent', 'source', 32768, 5, 50), ('strict-agent', 'test', 32768, 8, 80), ('balanced', 'source', 65536, 8, 80), ('balanced', 'test', 65536, 12, 120), ('legacy-migration', 'config', 65536, 8, 80), ('strict-agent', 'config', 32768, 5, 50)) t(preset, role, max_bytes, clone_min_lines, clone_min_tokens)"
 
 
-@query("preset_limits", "SELECT * FROM (VALUES ('strict-agent', 'source', 'error', 32768, 5, 50, 10), ('strict-agent', 'test', 'error', 32768, 8, 80, 10), ('balanced', 'source', 'error', 65536, 8, 80, 15), ('balanced', 'test', 'error', 65536, 12, 120, 15), ('legacy-migration', 'config', 'warning', 65536, 8, 80, 15), ('strict-agent', 'config', 'error', 32768, 5, 50, 10)) t(preset, role, severity, max_bytes, clone_min_lines, clone_min_tokens, max_cyclomatic)")
+@query(
+    "preset_limits",
+    f"""WITH f AS (SELECT role, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS b, len({_LINES}) AS n, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS w FROM {_DOCS_SQL})
+    SELECT preset, role, count(*) AS files, count(*) FILTER (b > max_bytes) AS large, count(*) FILTER (n >= clone_min_lines AND w >= clone_min_tokens) AS searched FROM f JOIN {_PRESET_ROWS} USING (role) GROUP BY 1, 2""",
+)
 def preset_limits(spark, d):
+    """How many documents of a role each preset finds too large, and long enough to hold a clone."""
     out = None
     for name in policy.PRESETS[:3]:
         dim = roles.dimension(spark, policy.as_policy(policy.validated(policy.preset(name)))).withColumn("preset", F.lit(name))
         out = dim if out is None else out.unionByName(dim)
     kept = out.where("role in ('source', 'test') and preset <> 'legacy-migration' or role = 'config' and preset <> 'balanced'")
-    return kept.select("preset", "role", "severity", *(F.col(c).cast("int").alias(c) for c in ("max_bytes", "clone_min_lines", "clone_min_tokens", "max_cyclomatic")))
+    f = projected(spark, d, "documents", _DOCS).select("role", F.octet_length(F.coalesce("text", F.lit(""))).alias("b"), F.size(T.lines(F.col("text"))).alias("n"), F.size(clones.word_tokens(F.col("text"))).alias("w"))
+    return f.join(F.broadcast(kept), "role").groupBy("preset", "role").agg(F.count("*").alias("files"), F.count_if(F.expr("b > max_bytes")).alias("large"), F.count_if(F.expr("n >= clone_min_lines and w >= clone_min_tokens")).alias("searched"))
 
 
 # Rules and code ----------------------------------------------------------
@@ -395,11 +405,10 @@ def clone_capacity(spark, d):
     return clones.capacity_failures(clones.windows(_streams(spark, d), 3), 8, 100)
 
 
-@query("clone_input_order", "SELECT path, rank - 1 AS rank FROM (SELECT 'd' || doc_id % 10 || '/' || doc_id AS path, row_number() OVER (ORDER BY doc_id % 4 = 0 DESC, 'd' || doc_id % 10, CAST(doc_id AS VARCHAR)) AS rank FROM documents) WHERE rank <= 50")
+@query("clone_input_order", "SELECT path, row_number() OVER (ORDER BY NOT changed, f, n) - 1 AS rank FROM (SELECT 'd' || doc_id % 10 || '/' || doc_id AS path, 'd' || doc_id % 10 AS f, CAST(doc_id AS VARCHAR) AS n, doc_id % 4 = 0 AS changed FROM documents)")
 def clone_input_order(spark, d):
     rows = table(spark, d, "documents").select(F.expr("'d' || doc_id % 10 || '/' || doc_id").alias("path"), (F.col("doc_id") % 4 == 0).alias("changed"))
-    # The report shows the first fifty.
-    return clones.changed_first(rows).limit(50).select("path").withColumn("_o", F.lit(0)).groupBy("_o").agg(F.collect_list("path").alias("p")).select(F.posexplode("p").alias("rank", "path")).select("path", F.col("rank").cast("long").alias("rank"))
+    return clones.input_order(rows).select("path", "rank")
 
 
 # Coverage ----------------------------------------------------------------
@@ -408,19 +417,27 @@ _REC = {"file": "CASE WHEN l_partkey % 4 = 0 THEN './p/' || l_partkey || '.ts' E
 
 
 def _records(spark, d):
-    rows = projected(spark, d, "lineitem", _REC).where("k % 5 > 0").groupBy("file").agg(F.count("*").alias("lines_found"), F.count_if(F.col("q") > 25).alias("lines_hit"))
+    rows = projected(spark, d, "lineitem", _REC).groupBy("file").agg(F.count("*").alias("lines_found"), F.count_if(F.col("q") > 25).alias("lines_hit"))
     zero = F.lit(0).cast("long")
     rows = rows.select("file", "lines_found", "lines_hit", *(zero.alias(c) for c in ("functions_found", "functions_hit", "branches_found", "branches_hit")))
     # Every seventh part is in the report under two spellings.
     return rows.union(rows.where(F.col("file").rlike(r"/\d*7\.ts$")).withColumn("file", F.concat(F.lit("p/../"), F.regexp_extract("file", r"(p/\d+\.ts)$", 1))))
 
 
+# No line item has a part of every fifth file, whose number is beyond all parts; every eleventh lies outside of the repository.
+_PART_FILE = {"k": "CASE WHEN p_partkey % 5 = 0 THEN p_partkey + 900000000 ELSE p_partkey END", "out": "p_partkey % 11 = 0", "critical": "p_partkey % 40 IN (3, 7, 15)"}
+
+
+def _part_files(spark, d):
+    return projected(spark, d, "part", _PART_FILE).withColumn("file", F.concat(F.lit("p/"), F.col("k").cast("string"), F.lit(".ts")))
+
+
 def _inventory(spark, d):
-    return table(spark, d, "part").select(F.when(F.col("p_partkey") % 11 == 0, "../out.ts").otherwise(F.concat(F.lit("p/"), F.col("p_partkey").cast("string"), F.lit(".ts"))).alias("file"))
+    return _part_files(spark, d).select(F.when(F.col("out"), "../out.ts").otherwise(F.col("file")).alias("file"))
 
 
-_HAS = "(SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_partkey % 5 > 0)"
-_SOURCES = f"SELECT 'p/' || p_partkey || '.ts' AS source, CASE WHEN k IS NULL THEN 'absent' WHEN p_partkey % 10 = 7 THEN 'ambiguous' END AS reason FROM part LEFT JOIN {_HAS} ON k = p_partkey WHERE p_partkey % 11 > 0 UNION ALL SELECT '../out.ts', 'outside'"
+_HAS = "(SELECT DISTINCT l_partkey AS k FROM lineitem)"
+_SOURCES = f"SELECT 'p/' || p.k || '.ts' AS source, CASE WHEN h.k IS NULL THEN 'absent' WHEN p.k % 10 = 7 THEN 'ambiguous' END AS reason FROM {sql('part', _PART_FILE)} p LEFT JOIN {_HAS} h ON h.k = p.k WHERE NOT out UNION ALL SELECT '../out.ts', 'outside'"
 
 
 @query("coverage_source_records", _SOURCES)
@@ -430,13 +447,13 @@ def coverage_source_records(spark, d):
 
 @query(
     "coverage_evaluated",
-    f"""WITH s AS ({_SOURCES}), r AS (SELECT l_partkey AS k, count(*) AS f, count(*) FILTER (l_quantity > 25) AS h FROM lineitem WHERE l_partkey % 5 > 0 GROUP BY 1), t AS (SELECT sum(h) * 100.0 / sum(f) AS pct FROM r JOIN s ON s.source = 'p/' || k || '.ts' WHERE reason IS NULL),
-    c AS (SELECT unnest(range(1, 40)) AS k)
+    f"""WITH s AS ({_SOURCES}), r AS (SELECT l_partkey AS k, count(*) AS f, count(*) FILTER (l_quantity > 25) AS h FROM lineitem GROUP BY 1), t AS (SELECT sum(h) * 100.0 / sum(f) AS pct FROM r JOIN s ON s.source = 'p/' || k || '.ts' WHERE reason IS NULL),
+    c AS (SELECT k FROM {sql('part', _PART_FILE)} WHERE critical)
     SELECT source AS file, 'Missing Source Coverage' AS metric, CAST(0 AS DOUBLE) AS actual, CAST(99 AS DOUBLE) AS floor_value FROM s WHERE reason IS NOT NULL UNION ALL SELECT 'workspace', 'Global Line Coverage', round(pct, 6), 99 FROM t WHERE pct < 99
     UNION ALL SELECT 'p/' || c.k || '.ts', CASE WHEN r.k IS NULL OR c.k % 10 = 7 THEN 'Missing Critical Path' ELSE 'Critical Path 100% Coverage' END, CASE WHEN r.k IS NULL OR c.k % 10 = 7 THEN 0 ELSE round(h * 100.0 / f, 6) END, 100 FROM c LEFT JOIN r ON r.k = c.k WHERE r.k IS NULL OR c.k % 10 = 7 OR h < f""",
 )
 def coverage_evaluated(spark, d):
-    critical = spark.range(1, 40).select(F.concat(F.lit("p/"), F.col("id").cast("string"), F.lit(".ts")).alias("file"))
+    critical = _part_files(spark, d).where("critical").select("file")
     out = coverage.evaluated(_records(spark, d), _inventory(spark, d), critical, "/r", line=99.0)
     return out.select("file", "metric", F.round("actual", 6).alias("actual"), F.col("limit").alias("floor_value"))
 
@@ -447,9 +464,9 @@ def coverage_overflow(spark, d):
     return coverage.floor_findings(coverage.all_totals(big), 90.0, 90.0, 90.0).withColumnRenamed("limit", "floor_value")
 
 
-@query("coverage_unmeasured_functions", f"SELECT 'p/' || p_partkey || '.ts' AS file FROM part LEFT JOIN {_HAS} ON k = p_partkey WHERE k IS NULL OR p_partkey % 10 = 7")
+@query("coverage_unmeasured_functions", f"SELECT 'p/' || p.k || '.ts' AS file FROM {sql('part', _PART_FILE)} p LEFT JOIN {_HAS} h ON h.k = p.k WHERE h.k IS NULL OR p.k % 10 = 7")
 def coverage_unmeasured_functions(spark, d):
-    f = table(spark, d, "part").select(F.concat(F.lit("p/"), F.col("p_partkey").cast("string"), F.lit(".ts")).alias("file"))
+    f = _part_files(spark, d).select("file")
     return coverage.functions_without_records(f.union(f), _records(spark, d), "/r")
 
 
@@ -631,6 +648,19 @@ def ratchet_valued(spark, d):
     return out.where("category in ('budget', 'complexity')").select("ord", "touched", "grandfathered")
 
 
+@query(
+    "ratchet_summary",
+    f"""WITH {_CHANGES_SQL}, c AS (SELECT category, row_number() OVER (PARTITION BY category, CASE category WHEN 'clone' THEN least(now, file_b) ELSE now END, CASE category WHEN 'suppression' THEN NULL WHEN 'clone' THEN greatest(now, file_b) ELSE file_b END, identity ORDER BY ord) AS r, now, file_b, identity FROM x WHERE half = 1 AND NOT touched AND category IN ('suppression', 'invariant', 'clone')),
+    b AS (SELECT category, file AS now, file_b, identity, count(*) AS had FROM x WHERE half = 0 GROUP BY ALL), g AS (SELECT count(*) FILTER (r <= coalesce(had, 0)) AS g FROM c LEFT JOIN b ON c.category = b.category AND c.now = b.now AND c.identity = b.identity AND (c.file_b IS NOT DISTINCT FROM b.file_b)),
+    n AS (SELECT count(*) AS n FROM x WHERE half = 1 AND category IN ('suppression', 'invariant', 'clone')) SELECT g AS grandfathered, n - g AS retained FROM g, n""",
+)
+def ratchet_summary(spark, d):
+    """Of counted findings, how many the baseline excuses."""
+    cur, base = _debt(spark, d)
+    out = ratchet.apply(cur, base, *_changes(spark, d))
+    return ratchet.summary(out.where("category in ('suppression', 'invariant', 'clone')"))
+
+
 @query(
     "ratchet_hot_key",
     f"""WITH o AS (SELECT o_orderkey AS ord, o_orderkey % 2 AS half, CAST(o_totalprice AS DOUBLE) AS v, CASE WHEN o_custkey % 3 = 0 THEN 'hot' ELSE o_orderpriority END AS key FROM orders),

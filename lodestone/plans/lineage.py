@@ -50,3 +50,19 @@ def ranked(rows: DataFrame, keys: list[str], order: str, name: str = "rank") ->
     inside = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("_part", *keys).orderBy(order)))
     same = [inside["_part"] == sizes["_part"], *(inside[k].eqNullSafe(sizes[f"_k{i}"]) for i, k in enumerate(keys))]
     return inside.join(sizes, same).select(*(inside[c] for c in rows.columns), (F.col("_rank") + F.col("_before")).alias(name))
+
+
+def running(rows: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """Adds the sum of `value` over all rows that come before in order, without bringing them together; rows of one order are summed in any order, but the same each time."""
+    dealt = cut(rows.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
+    sizes = dealt.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    # A row for each range.
+    base = sizes.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return dealt.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(base, "_part").select(*rows.columns, (F.col("_base") + F.col("_in")).alias(name))
+
+
+def dense_ids(rows: DataFrame, key: str, name: str = "id") -> DataFrame:
+    """Adds dense ids from 0 in order of a key."""
+    found = ranked(rows.withColumn("_all", F.lit(0)), ["_all"], key, "_rank")
+    return found.select((F.col("_rank") - 1).cast("long").alias(name), *rows.columns)

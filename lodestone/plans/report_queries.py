@@ -75,7 +75,7 @@ def rule_stream(spark, d):
 @query("failure_stream", f"SELECT rule_id, count(*) AS n FROM ({_STREAM}) WHERE category = 'orchestration' OR rule_id IN ('HG-COVERAGE-MISSING-DIFF', 'HG-MUTATION-TIMEOUTS') GROUP BY 1 UNION ALL SELECT 'HG-SAVED', 1")
 def failure_stream(spark, d):
     stream = report.rule_stream(_findings(spark, d))
-    kept = stream.where("rule_id = 'HG-ORCHESTRATION-LINT'").drop("cat_rank").limit(1)
+    kept = stream.where("rule_id = 'HG-ORCHESTRATION-LINT'").drop("cat_rank").orderBy("message").limit(1)
     saved = kept.union(kept.withColumn("rule_id", F.lit("HG-SAVED"))).union(kept.withColumn("rule_id", F.lit("HG-SAVED")))
     return report.failure_stream(stream, saved).groupBy("rule_id").agg(F.count("*").alias("n"))
 
@@ -236,14 +236,16 @@ def verdict_accepted(spark, d):
 
 @query(
     "source_excerpts",
-    r"""WITH l AS (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '\n\z', ''), '\r?\n') AS a FROM documents WHERE text <> ''), x AS (SELECT doc_id, least(2 + 8, len(a)) AS stop, list_transform(a[2:least(9, len(a))], lambda t: left(t, 240)) AS s, len(a) < 9 OR len(list_filter(a[2:least(9, len(a))], lambda t: len(t) > 240)) > 0 AS cut FROM l WHERE len(a) >= 2), y AS (SELECT *, list_sum(list_transform(s, lambda t: octet_length(encode(t)))) AS b FROM x),
-    z AS (SELECT *, coalesce(sum(b) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM y) SELECT doc_id AS seq, CAST(2 AS BIGINT) AS first_line, md5(array_to_string(s, chr(10))) AS lines, cut AS truncated FROM z WHERE before + b <= 65536 AND doc_id < 40""",
+    r"""WITH l AS (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '\n\z', ''), '\r?\n') AS a FROM documents WHERE text <> ''), x AS (SELECT doc_id, list_transform(a[2:least(9, len(a))], lambda t: replace(replace(t, chr(9), '\t'), chr(13), '\r')) AS v, len(a) < 9 AS short FROM l WHERE len(a) >= 2),
+    y AS (SELECT doc_id, list_transform(v, lambda t: left(t, 240)) AS s, short OR len(list_filter(v, lambda t: len(t) > 240)) > 0 AS cut FROM x), b AS (SELECT *, list_transform(range(1, len(s) + 1), lambda i: list_sum(list_transform(s[1:i], lambda t: octet_length(encode(t))))) AS sums FROM y),
+    z AS (SELECT *, coalesce(sum(sums[-1]) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b), k AS (SELECT *, len(list_filter(sums, lambda n: before + n <= 65536)) AS n FROM z WHERE before < 65536)
+    SELECT doc_id AS seq, CAST(2 AS BIGINT) AS first_line, md5(array_to_string(s[1:n], chr(10))) AS lines, cut OR n < len(s) AS truncated FROM k WHERE n > 0""",
 )
 def source_excerpts(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("path"), "text")
     at = docs.select(F.col("doc_id").alias("seq"), F.col("path").alias("file"), F.lit(2).cast("long").alias("line"), F.lit(9).cast("long").alias("end_line"))
     out = report.excerpts(at, docs.select("path", "text"))
-    return out.where("seq < 40").select("seq", "first_line", F.md5(F.array_join("lines", "\n")).alias("lines"), "truncated")
+    return out.select("seq", "first_line", F.md5(F.array_join("lines", "\n")).alias("lines"), "truncated")
 
 
 @query("captured_sources", f"SELECT p_partkey, 'src/f' || p_partkey || '.ts' AS path FROM part WHERE 'src/f' || p_partkey || '.ts' IN (SELECT file FROM {_F} WHERE category <> 'orchestration' AND {_COUNTS})")

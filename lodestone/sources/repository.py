@@ -11,7 +11,7 @@ from pyspark.sql import types
 
 from ..functions import text as T
 from ..operators.files import RETIRED_EXTENSIONS, SOURCE_EXTENSIONS, VENDOR_DIRS
-from ..plans.lineage import ranked
+from ..plans.lineage import dense_ids
 
 
 def in_inventory(path: Column) -> Column:
@@ -113,22 +113,16 @@ def walk(spark: SparkSession, root: str, exclude: list[str] = (), ignore: list[s
 
 
 def snapshot(files: DataFrame) -> DataFrame:
-    """(id, path, text, read_error): files (path, content) once each in order of path, with dense ids from 0; content that isn't UTF-8 is an error, not a loss.
+    """(id, path, text, read_error): files (path, content) once each in order of path, with dense ids from 0; of several contents of a path the least counts; content that isn't UTF-8 is an error, not a loss.
 
     No task sees all paths.
     """
     valid = F.expr("is_valid_utf8(cast(content as string))")
-    rows = files.where("path is not null").groupBy("path").agg(F.first("content").alias("content"))
+    rows = files.where("path is not null").groupBy("path").agg(F.min("content").alias("content"))
     rows = rows.select("path", F.split("path", "/").alias("k"), F.when(valid, F.col("content").cast("string")).alias("text"), F.when(~valid, F.lit("not UTF-8")).alias("read_error"))
     return dense_ids(rows, "k").drop("k")
 
 
-def dense_ids(rows: DataFrame, key: str, name: str = "id") -> DataFrame:
-    """Adds dense ids from 0 in order of a key."""
-    found = ranked(rows.withColumn("_all", F.lit(0)), ["_all"], key, "_rank")
-    return found.select((F.col("_rank") - 1).cast("long").alias(name), *rows.columns)
-
-
 def scoped(files: DataFrame, filters: DataFrame) -> DataFrame:
     """Files (path) that equal a filter (filter, is_file) or lie below one that is a folder, with filters' files that weren't found; distinct and ordered.
 
