@@ -169,36 +169,17 @@ def branch_words(kind: Column) -> Column:
     return F.when(kind.isin(*OPERATORS), F.concat(F.lit("boolean operator `"), kind, F.lit("`"))).when(kind.isin(*BRANCHES), F.coalesce(named, F.lit("branching construct")))
 
 
-@F.pandas_udf(types.ArrayType(types.StringType()))
-def shell_words(command: pd.Series) -> pd.Series:
-    """Words of a command line; quotes join them, a backslash takes the next character as it is, but not in single quotes."""
-
-    def one(text):
-        out, now, quote, begun, escaped = [], [], None, False, False
-        for c in text or "":
-            if escaped:
-                now.append(c)
-                escaped = False
-            elif c == "\\" and quote != "'":
-                escaped = begun = True
-            elif quote:
-                if c == quote:
-                    quote = None
-                else:
-                    now.append(c)
-            elif c in "'\"":
-                quote, begun = c, True
-            elif c.isspace():
-                if now or begun:
-                    out.append("".join(now))
-                now, begun = [], False
-            else:
-                now.append(c)
-        if now or begun:
-            out.append("".join(now))
-        return out
+def shell_words(command: Column) -> Column:
+    """Words of a command line; quotes join them, a backslash takes the next character as it is, but not in single quotes. What isn't closed ends with the line."""
+    single, double, escape = r"'[^']*(?:'|$)", r'"(?:[^"\\]|\\.)*(?:"|\\?$)', r"\\(?:.|$)"
+    words = F.regexp_extract_all(F.coalesce(command, F.lit("")), F.lit(rf"(?sU)(?:{single}|{double}|{escape}|[^\s'\"\\])+"), F.lit(0))
+    parts = lambda w: F.regexp_extract_all(w, F.lit(rf"(?s){single}|{double}|{escape}|[^'\"\\]+"), F.lit(0))
+
+    def plain(part):
+        quoted = F.regexp_replace(F.regexp_extract(part, r'(?s)^"((?:[^"\\]|\\.)*)', 1), r"(?s)\\(.)", "$1")
+        return F.when(part.startswith("'"), F.regexp_replace(part, "'", "")).when(part.startswith('"'), quoted).when(part.startswith("\\"), F.regexp_replace(part, r"^\\", "")).otherwise(part)
 
-    return command.map(one)
+    return F.transform(words, lambda w: F.array_join(F.transform(parts(w), plain), ""))
 
 
 _CFG = re.compile(r"\s*(?:([A-Za-z_][\w:]*)\s*(?:=\s*(\"(?:\\.|[^\"\\])*\"))?|([(),]))")
@@ -246,24 +227,11 @@ def requires_test(predicate: pd.Series) -> pd.Series:
     return predicate.map(lambda p: cfg_value(p, False) is False and cfg_value(p, True) is not False)
 
 
-@F.pandas_udf(types.LongType())
-def byte_offset(text: pd.Series, line: pd.Series, column: pd.Series) -> pd.Series:
+def byte_offset(text: Column, line: Column, column: Column) -> Column:
     """The byte at a line and column from 1 on, carriage returns apart; null for a place outside the text."""
-
-    def one(t, n, c):
-        if t is None or n != n or c != c or n < 1 or c < 1:
-            return None
-        at = 0
-        for _ in range(int(n) - 1):
-            at = t.find("\n", at) + 1
-            if not at:
-                return None
-        left = int(c) - 1
-        while left:
-            if at >= len(t) or t[at] == "\n":
-                return None
-            left -= t[at] != "\r"
-            at += 1
-        return len(t[:at].encode())
-
-    return pd.Series([one(*x) for x in zip(text, line, column)], dtype="Int64")
+    all_lines = F.split(text, "\n", -1)
+    before = F.aggregate(F.slice(all_lines, F.lit(1), F.greatest(line - 1, F.lit(0)).cast("int")), F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x) + 1)
+    mine = F.get(all_lines, (line - 1).cast("int"))
+    head = F.regexp_substr(mine, F.concat(F.lit("^(?:\r*[^\r]){"), F.greatest(column - 1, F.lit(0)).cast("string"), F.lit("}")))
+    inside = text.isNotNull() & (line >= 1) & (column >= 1) & (line <= F.size(all_lines))
+    return F.when(inside, before + F.when(column == 1, F.lit(0)).otherwise(F.octet_length(head)))

@@ -342,6 +342,10 @@ ORACLES: dict[str, str] = {
     "clone_windows": f"WITH {_WINDOWS.format(k=K)} SELECT stream, count(*) AS windows, count(DISTINCT h) AS distinct_windows FROM win GROUP BY stream",
     "clone_spans": f"WITH {_SPANS} SELECT * FROM spans",
     "clone_files": f"WITH {_SPANS} SELECT count(DISTINCT f) AS files FROM (SELECT a AS f FROM spans UNION ALL SELECT b FROM spans)",
+    "clone_fingerprint": r"""WITH b AS (SELECT item_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+    h AS (SELECT item_id, hex(encode('clone-v1')) || array_to_string(list_transform(w, lambda t: lpad(printf('%X', octet_length(encode(t))), 16, '0') || hex(encode(t))), '') AS h FROM b),
+    o AS (SELECT item_id, list_transform(regexp_extract_all(h, '..'), lambda x: CAST('0x' || x AS HUGEINT)) AS o FROM h)
+    SELECT item_id, lower(lpad(to_hex(CAST(list_reduce(o, lambda s, c: xor(s, c) * 1099511628211 % 18446744073709551616, CAST(14695981039346656037 AS HUGEINT)) AS UBIGINT)), 16, '0')) AS fingerprint FROM o""",
     "clone_hash_capacity": f"WITH {_WINDOWS.format(k=3)} SELECT h, count(*) AS n FROM win GROUP BY h HAVING count(*) > 8",
     "coverage_floors": f"SELECT found, hit, round(hit / found * 100, 6) AS pct, hit / found * 100 < 60 AS below FROM (SELECT count(*) AS found, count(*) FILTER (hits > 0) AS hit FROM {DA})",
     "coverage_missing_source": "SELECT file, CASE WHEN n IS NULL THEN 'absent' ELSE 'ambiguous' END AS reason FROM (SELECT DISTINCT p_partkey * 2 AS file FROM part) LEFT JOIN (SELECT l_partkey * 100 + CAST(l_quantity AS BIGINT) AS file, count(*) AS n FROM lineitem GROUP BY 1) USING (file) WHERE n IS NULL OR n > 1",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -253,9 +254,10 @@ def not_executable(spark, d):
     return table(spark, d, "part").select("p_partkey", code.not_executable(pick(0), pick(1)).alias("not_executable"))
 
 
-@query("shell_words", "SELECT p_partkey, ['run', 'a b' || p_partkey, 'it''s', '', 'x y'] AS words FROM part")
+@query("shell_words", "SELECT p_partkey, ['run', p_name, '--brand=' || string_split(p_brand, ' ')[1]] || string_split(p_brand, ' ')[2:] || ['it''s', p_type, '', 'x ' || p_size] AS words FROM part")
 def shell_words(spark, d):
-    command = F.concat(F.lit("run \"a b"), F.col("p_partkey").cast("string"), F.lit("\" it\\'s '' x\\ y"))
+    q, k = F.lit("'"), lambda c: F.col(c).cast("string")
+    command = F.concat(F.lit('run "'), "p_name", F.lit('" --brand='), "p_brand", F.lit(" it\\'s "), q, "p_type", q, F.lit(" '' x\\ "), k("p_size"))
     return table(spark, d, "part").select("p_partkey", code.shell_words(command).alias("words"))
 
 
@@ -268,11 +270,18 @@ def cfg_predicates(spark, d):
     return table(spark, d, "part").select("p_partkey", code.requires_test(p).alias("test_only"))
 
 
-@query("span_offsets", "SELECT p_partkey, CAST(CASE p_partkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 5 WHEN 2 THEN 7 END AS BIGINT) AS at FROM part")
+_OFFSETS = {"doc_id": "doc_id", "text": "text", "n": "doc_id % 7 + 1", "c": "n_chars % 70 + 1"}
+
+
+@query(
+    "span_offsets",
+    f"""WITH x AS (SELECT *, string_split(text, chr(10)) AS l FROM {sql('documents', _OFFSETS)})
+    SELECT doc_id, CASE WHEN n <= len(l) AND length(replace(l[n], chr(13), '')) >= c - 1 THEN CAST(coalesce(list_sum(list_transform(l[1:n - 1], lambda t: octet_length(encode(t)) + 1)), 0) AS BIGINT) + octet_length(encode(substr(l[n], 1, c - 1))) END AS at FROM x""",
+)
 def span_offsets(spark, d):
-    text = F.lit("aé\r\nbcd\n")
-    n, c = (F.element_at(F.array(*(F.lit(x) for x in v)), (F.col("p_partkey") % 4 + 1).cast("int")) for v in ((1, 2, 2, 2), (1, 1, 3, 9)))
-    return table(spark, d, "part").select("p_partkey", code.byte_offset(text, n, c).alias("at"))
+    """A place in each document, in some beyond its lines."""
+    x = projected(spark, d, "documents", _OFFSETS)
+    return x.select("doc_id", code.byte_offset(F.col("text"), F.col("n"), F.col("c")).alias("at"))
 
 
 @query("branch_words", "SELECT kind, words, count(*) AS n FROM (SELECT (['if_statement', 'match_arm', 'elif_clause', '&&', 'call_expression'])[p_partkey % 5 + 1] AS kind, (['conditional branch (`if`)', 'pattern match arm (`match`)', 'branching construct', 'boolean operator `&&`', NULL])[p_partkey % 5 + 1] AS words FROM part) GROUP BY 1, 2")
@@ -281,26 +290,30 @@ def branch_words(spark, d):
     return table(spark, d, "part").select(kind.alias("kind"), code.branch_words(kind).alias("words")).groupBy("kind", "words").agg(F.count("*").alias("n"))
 
 
-_GLOBS = (("src/**", "src/a/b.ts"), ("*.ts", "a/b.ts"), ("**/x.rs", "x.rs"), ("a/{b,c}.py", "a/c.py"), ("a/[!b].py", "a/b.py"), ("a.py", "axpy"), ("a?c", "a/c"), ("**", "q"))
+# Globs and paths of columns: a folder and a name of one part against a pattern of the same.
+_GLOBBED = {"k": "p_partkey", "path": "'src/d' || p_size % 9 || '/' || p_name || '.ts'", "pattern": "CASE p_partkey % 4 WHEN 0 THEN 'src/**/*' || p_size % 10 || '.ts' WHEN 1 THEN 'src/d?/*.t[!x' || p_size || ']' WHEN 2 THEN '**/d' || p_partkey % 9 || '/*' ELSE 'src/d[0-' || p_size % 5 || ']/**' END", "size": "p_size", "name": "p_name"}
 
 
-@query("glob_matches", "SELECT p_partkey, ([true, true, true, true, false, false, true, true])[p_partkey % 8 + 1] AS hit FROM part")
+@query(
+    "glob_matches",
+    f"SELECT k, pattern, CASE k % 4 WHEN 0 THEN name LIKE '%' || size % 10 WHEN 1 THEN true WHEN 2 THEN size % 9 = k % 9 ELSE size % 9 <= size % 5 END AS hit FROM {sql('part', _GLOBBED)}",
+)
 def glob_matches(spark, d):
-    n = F.col("p_partkey") % 8
-    out = None
-    for i, (glob, path) in enumerate(_GLOBS):
-        hit = F.lit(path).rlike(T.glob_to_regex(glob))
-        out = F.when(n == i, hit) if out is None else out.when(n == i, hit)
-    return table(spark, d, "part").select("p_partkey", out.alias("hit"))
+    x = projected(spark, d, "part", _GLOBBED)
+    return x.select("k", "pattern", F.regexp_like("path", F.concat(F.lit("^"), T.glob_pattern(F.col("pattern")), F.lit("$"))).alias("hit"))
 
 
-_PATHS = ("/r/src/./a.ts", "src/../../x", "./b//c.ts", "/other/x.ts", "a/../b.ts", "../q", "\\r\\z.ts".replace("\\r", "d"))
+_MESSY = {"k": "p_partkey", "path": "CASE p_partkey % 6 WHEN 0 THEN '/r/src/./' || p_name || '.ts' WHEN 1 THEN 'd' || p_size || '/../../' || p_name WHEN 2 THEN './b' || p_size || '//' || p_name WHEN 3 THEN '/other/' || p_name WHEN 4 THEN p_size || '/../' || p_name || '/b.ts' ELSE '../' || p_name END", "name": "p_name", "size": "p_size"}
 
 
-@query("paths_normalised", "SELECT p_partkey, (['src/a.ts', NULL, 'b/c.ts', NULL, 'b.ts', NULL, 'd/z.ts'])[p_partkey % 7 + 1] AS in_repository, (['/r/src/a.ts', 'x', 'b/c.ts', '/other/x.ts', 'b.ts', 'q', 'd/z.ts'])[p_partkey % 7 + 1] AS in_report FROM part")
+@query(
+    "paths_normalised",
+    f"""SELECT k, CASE k % 6 WHEN 0 THEN 'src/' || name || '.ts' WHEN 2 THEN 'b' || size || '/' || name WHEN 4 THEN name || '/b.ts' END AS in_repository,
+    CASE k % 6 WHEN 0 THEN '/r/src/' || name || '.ts' WHEN 2 THEN 'b' || size || '/' || name WHEN 3 THEN '/other/' || name WHEN 4 THEN name || '/b.ts' ELSE name END AS in_report FROM {sql('part', _MESSY)}""",
+)
 def paths_normalised(spark, d):
-    p = F.element_at(F.array(*map(F.lit, _PATHS)), (F.col("p_partkey") % 7 + 1).cast("int"))
-    return table(spark, d, "part").select("p_partkey", coverage.repository_key(p, "/r").alias("in_repository"), T.record_key(p).alias("in_report"))
+    p = projected(spark, d, "part", _MESSY)
+    return p.select("k", coverage.repository_key(F.col("path"), "/r").alias("in_repository"), T.record_key(F.col("path")).alias("in_report"))
 
 
 _PYTHON = "@d\ndef choose(a, /, b=1, *args, flag=True, **kw):\n    if a and b:\n        return 1\n    elif b:\n        return 2\n    else:\n        if a:\n            pass\n    try:\n        x = [i for i in kw if i if b]\n    except E:\n        pass\n\nclass A:\n    def inner{k}(self):\n        return lambda q: q if q else 0\n"
@@ -542,12 +555,24 @@ def test_spans(spark, d):
     return evidence.test_spans(projected(spark, d, "lineitem", _SPAN), tests, ranges)
 
 
-@query("line_roles", "SELECT s_suppkey AS file, CAST(n AS BIGINT) AS line, CASE WHEN n < 3 THEN false WHEN n > 3 THEN true END AS test FROM supplier, range(1, 6) t(n)")
+# Disjoint test ranges of documents: at most one in each 200 bytes.
+_TESTED = {"file": "l_partkey % 300", "cell": "l_orderkey % 20", "start": "l_orderkey % 20 * 200 + l_linenumber * 7", "stop": "l_orderkey % 20 * 200 + l_linenumber * 7 + l_suppkey % 130", "keep": "l_suppkey % 7 = 3"}
+
+
+@query(
+    "line_roles",
+    f"""WITH r AS (SELECT file, cell, start AS a, stop AS b FROM {sql('lineitem', _TESTED)} WHERE keep AND start < stop QUALIFY row_number() OVER (PARTITION BY file, cell ORDER BY start, stop) = 1),
+    l AS (SELECT doc_id AS file, unnest(string_split(coalesce(text, ''), chr(10))) AS t, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS line FROM documents),
+    p AS (SELECT *, coalesce(sum(octet_length(encode(t)) + 1) OVER (PARTITION BY file ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s, octet_length(encode(t)) AS n FROM l),
+    c AS (SELECT p.file, line, sum(least(s + n, b) - greatest(s, a)) AS covered FROM p JOIN r ON p.file = r.file AND a < s + n AND b > s GROUP BY 1, 2)
+    SELECT p.file, p.line, CASE WHEN covered IS NULL THEN false WHEN covered >= n THEN true END AS test FROM p LEFT JOIN c ON c.file = p.file AND c.line = p.line""",
+)
 def line_roles(spark, d):
-    s = table(spark, d, "supplier")
-    n = F.explode(F.sequence(F.lit(1), F.lit(5))).alias("n")
-    lines = s.select("s_suppkey", n).select(F.col("s_suppkey").alias("file"), F.col("n").cast("long").alias("line"), (F.col("n") * 10).alias("start"), (F.col("n") * 10 + 9).alias("stop"))
-    return evidence.line_roles(lines, s.select(F.col("s_suppkey").alias("file"), F.lit(35).alias("start"), F.lit(60).alias("stop")))
+    r = projected(spark, d, "lineitem", _TESTED).where("keep and start < stop").groupBy("file", "cell").agg(F.min(F.struct("start", "stop")).alias("r")).select("file", "r.start", "r.stop")
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("file"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("n", "t"))
+    before = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    lines = texts.withColumn("start", F.coalesce(F.sum(F.octet_length("t") + 1).over(before), F.lit(0)))
+    return evidence.line_roles(lines.select("file", (F.col("n") + 1).cast("long").alias("line"), "start", (F.col("start") + F.octet_length("t")).alias("stop")), r)
 
 
 @query("ownership_roles", "SELECT p_partkey AS path, CASE WHEN p_partkey % 3 = 0 THEN 'config' WHEN p_partkey % 4 = 2 AND p_partkey % 5 > 0 THEN 'test' ELSE 'source' END AS role FROM part")

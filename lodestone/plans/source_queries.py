@@ -14,6 +14,11 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
+def _events(spark, d):
+    """Events, of which those without a user make a report of their own, -1."""
+    return table(spark, d, "events").withColumn("user_id", F.coalesce("user_id", F.lit(-1)))
+
+
 def query(name: str, oracle: str | None = None):
     def keep(f):
         QUERIES[name] = f
@@ -144,9 +149,9 @@ def ignored_paths(spark, d):
 _REPORT = "array<struct<path: string, line: int>>"
 
 
-@query("report_round_trip", "SELECT user_id AS report, CAST(NULL AS BOOLEAN) AS passed, CAST(NULL AS BIGINT) AS n, 'malformed' AS problem FROM events WHERE user_id % 5 = 0 GROUP BY 1 UNION ALL SELECT user_id, user_id % 5 = 1, count(*), CASE user_id % 5 WHEN 1 THEN 'passed with findings' WHEN 2 THEN 'unknown version' END FROM events WHERE user_id % 5 > 0 GROUP BY 1")
+@query("report_round_trip", "SELECT user_id AS report, CAST(NULL AS BOOLEAN) AS passed, CAST(NULL AS BIGINT) AS n, 'malformed' AS problem FROM (SELECT * REPLACE (coalesce(user_id, -1) AS user_id) FROM events) WHERE user_id % 5 = 0 GROUP BY 1 UNION ALL SELECT user_id, user_id % 5 = 1, count(*), CASE user_id % 5 WHEN 1 THEN 'passed with findings' WHEN 2 THEN 'unknown version' END FROM (SELECT * REPLACE (coalesce(user_id, -1) AS user_id) FROM events) WHERE user_id % 5 > 0 GROUP BY 1")
 def report_round_trip(spark, d):
-    e = table(spark, d, "events").where("user_id is not null")
+    e = _events(spark, d)
     r = e.groupBy("user_id").agg(F.collect_list(F.struct(F.col("event_type").alias("file"), F.col("event_id").alias("line"))).alias("findings"))
     body = F.to_json(F.struct(F.when(F.col("user_id") % 5 == 2, 2).otherwise(1).alias("schema_version"), (F.col("user_id") % 5 == 1).alias("passed"), "findings"))
     texts = r.select(F.col("user_id").alias("report"), F.when(F.col("user_id") % 5 == 0, "{broken").otherwise(body).alias("body"))
@@ -280,7 +285,7 @@ def python_native_zeros(spark, d):
 
 
 def _messages(spark, d):
-    e = table(spark, d, "events").where("user_id is not null")
+    e = _events(spark, d)
     kind = F.col("event_type")
     span = F.struct(F.lit(True).alias("is_primary"), F.concat(F.lit("src/"), kind, F.lit(".rs")).alias("file_name"), (F.col("event_id") % 3).alias("line_start"), F.lit(1).alias("column_start"), (F.col("event_id") % 3 + 1).alias("line_end"))
     message = F.struct(F.when(kind == "error", "error").when(kind == "view", "note").otherwise("warning").alias("level"), F.lit("said").alias("message"), F.struct(F.when(kind == "click", "clippy::x").otherwise("E1").alias("code")).alias("code"), F.array(span).alias("spans"), F.lit('a "quoted" text').alias("rendered"))
@@ -293,7 +298,7 @@ def _messages(spark, d):
 @query(
     "compiler_messages",
     """SELECT user_id, CASE event_type WHEN 'click' THEN 'clippy' ELSE 'rustc' END AS tool, CASE event_type WHEN 'click' THEN 'clippy::x' ELSE 'E1' END AS rule, CASE event_type WHEN 'error' THEN 'error' ELSE 'warning' END AS level, 'src/' || event_type || '.rs' AS file, event_id % 3 AS line,
-    min(event_id) AS seq, string_agg(DISTINCT '{"name":"t' || event_id % 2 || '"}', ',' ORDER BY '{"name":"t' || event_id % 2 || '"}') AS targets, event_type = 'error' AS blocking FROM events WHERE user_id IS NOT NULL AND event_type <> 'view' GROUP BY user_id, event_type, event_id % 3""",
+    min(event_id) AS seq, string_agg(DISTINCT '{"name":"t' || event_id % 2 || '"}', ',' ORDER BY '{"name":"t' || event_id % 2 || '"}') AS targets, event_type = 'error' AS blocking FROM (SELECT * REPLACE (coalesce(user_id, -1) AS user_id) FROM events) WHERE event_type <> 'view' GROUP BY user_id, event_type, event_id % 3""",
 )
 def compiler_messages(spark, d):
     kept, _ = tools.bounded(_messages(spark, d), ["user_id"])
@@ -301,7 +306,7 @@ def compiler_messages(spark, d):
     return found.select("user_id", "tool", "rule", "level", "file", "line", "seq", F.array_join("targets", ",").alias("targets"), "blocking")
 
 
-@query("compiler_streams", "SELECT user_id, user_id % 4 > 0 AS complete, CASE WHEN user_id % 4 > 0 THEN true END AS success, false AS truncated, count(*) + CASE WHEN user_id % 4 > 0 THEN 1 ELSE 0 END AS n FROM events WHERE user_id IS NOT NULL GROUP BY user_id")
+@query("compiler_streams", "SELECT user_id, user_id % 4 > 0 AS complete, CASE WHEN user_id % 4 > 0 THEN true END AS success, false AS truncated, count(*) + CASE WHEN user_id % 4 > 0 THEN 1 ELSE 0 END AS n FROM (SELECT * REPLACE (coalesce(user_id, -1) AS user_id) FROM events) GROUP BY user_id")
 def compiler_streams(spark, d):
     kept, cut = tools.bounded(_messages(spark, d), ["user_id"])
     _, state = tools.messages(kept, ["user_id"])
@@ -315,7 +320,7 @@ _KINDS = ("signup", "view", "error", "click", "purchase")
 
 
 def _by_user(spark, d, *columns):
-    return table(spark, d, "events").where("user_id is not null").groupBy(F.col("user_id").alias("report")).agg(*columns)
+    return _events(spark, d).groupBy(F.col("user_id").alias("report")).agg(*columns)
 
 
 def _n(kind: str) -> str:
@@ -324,7 +329,7 @@ def _n(kind: str) -> str:
 
 @query(
     "mutation_stryker_stats",
-    f"SELECT user_id AS report, {_n('signup')} AS killed, {_n('view')} AS survived, {_n('purchase')} AS timeout, {_n('error')} AS compile_error, {_n('click')} AS unviable, count(*) AS total, CASE WHEN user_id % 3 = 0 THEN 'declared total differs' END AS problem FROM events WHERE user_id IS NOT NULL GROUP BY 1",
+    f"SELECT user_id AS report, {_n('signup')} AS killed, {_n('view')} AS survived, {_n('purchase')} AS timeout, {_n('error')} AS compile_error, {_n('click')} AS unviable, count(*) AS total, CASE WHEN user_id % 3 = 0 THEN 'declared total differs' END AS problem FROM (SELECT * REPLACE (coalesce(user_id, -1) AS user_id) FROM events) GROUP BY 1",
 )
 def mutation_stryker_stats(spark, d):
     return mutation.stryker_stats(_stryker(spark, d)).select("report", "killed", "survived", "timeout", "compile_error", "unviable", "total", "problem")
@@ -338,12 +343,12 @@ def _stryker(spark, d):
     return rows.select("report", body.alias("body"))
 
 
-@query("mutation_unexecuted", "SELECT user_id AS report, 'a.ts:' || event_id % 9 || ':' || CASE WHEN event_id % 2 = 0 THEN '4' ELSE '?' END || ' (mutant ' || event_id || ', No Coverage)' AS place FROM events WHERE user_id IS NOT NULL AND event_type = 'click'")
+@query("mutation_unexecuted", "SELECT user_id AS report, 'a.ts:' || event_id % 9 || ':' || CASE WHEN event_id % 2 = 0 THEN '4' ELSE '?' END || ' (mutant ' || event_id || ', No Coverage)' AS place FROM (SELECT * REPLACE (coalesce(user_id, -1) AS user_id) FROM events) WHERE event_type = 'click'")
 def mutation_unexecuted(spark, d):
     return mutation.unexecuted(_stryker(spark, d))
 
 
-_VIOLATIONS = f"""WITH s AS (SELECT user_id AS report, {_n('signup')} AS k, {_n('view')} AS v, {_n('purchase')} AS t, {_n('error')} AS c, {_n('click')} AS u FROM events WHERE user_id IS NOT NULL AND user_id % 3 > 0 GROUP BY 1)
+_VIOLATIONS = f"""WITH s AS (SELECT user_id AS report, {_n('signup')} AS k, {_n('view')} AS v, {_n('purchase')} AS t, {_n('error')} AS c, {_n('click')} AS u FROM (SELECT * REPLACE (coalesce(user_id, -1) AS user_id) FROM events) WHERE user_id % 3 > 0 GROUP BY 1)
 SELECT report, 'Mutation Unexecuted Mutants' AS metric, CAST(u AS DOUBLE) AS actual, CAST(0 AS DOUBLE) AS floor_value FROM s WHERE u > 0 UNION ALL SELECT report, 'Mutation Timeouts', t, 0 FROM s WHERE t > 0 UNION ALL SELECT report, 'Mutation Compile Errors', c, 0 FROM s WHERE c > 0
 UNION ALL SELECT report, 'Mutation Kill Rate', round(coalesce(k * 100.0 / nullif(k + v, 0), 0), 6), 85 FROM s WHERE k + v = 0 OR k * 100.0 / (k + v) < 85"""
 
@@ -354,7 +359,7 @@ def mutation_violations(spark, d):
 
 
 def _cargo(spark, d):
-    e = table(spark, d, "events").where("user_id is not null")
+    e = _events(spark, d)
     kind = F.when(F.col("event_type") == "error", "purchase").otherwise(F.col("event_type"))
     phase = lambda name, status, argv: F.struct(F.lit(name).alias("phase"), status.alias("process_status"), F.array(*map(F.lit, argv)).alias("argv"))
     text = F.create_map(*(F.lit(x) for p in (("signup", "CaughtMutant"), ("view", "MissedMutant"), ("click", "Unviable"), ("purchase", "Timeout")) for x in p))
@@ -372,7 +377,7 @@ def _cargo(spark, d):
 
 @query(
     "mutation_cargo_stats",
-    f"SELECT user_id AS report, {_n('signup')} AS killed, {_n('view')} AS survived, count(*) FILTER (event_type IN ('purchase', 'error')) AS timeout, {_n('click')} AS unviable, count(*) AS total, CASE user_id % 5 WHEN 3 THEN 'declared counters differ' WHEN 4 THEN 'no baseline that passed' END AS problem FROM events WHERE user_id IS NOT NULL GROUP BY 1",
+    f"SELECT user_id AS report, {_n('signup')} AS killed, {_n('view')} AS survived, count(*) FILTER (event_type IN ('purchase', 'error')) AS timeout, {_n('click')} AS unviable, count(*) AS total, CASE user_id % 5 WHEN 3 THEN 'declared counters differ' WHEN 4 THEN 'no baseline that passed' END AS problem FROM (SELECT * REPLACE (coalesce(user_id, -1) AS user_id) FROM events) GROUP BY 1",
 )
 def mutation_cargo_stats(spark, d):
     return mutation.cargo_stats(_cargo(spark, d)).select("report", "killed", "survived", "timeout", "unviable", "total", "problem")
@@ -387,15 +392,15 @@ def _generic(spark, d):
 
 @query(
     "mutation_generic_stats",
-    f"SELECT *, CASE WHEN r = 1 AND total > 0 THEN 'declared total differs' WHEN r IN (2, 3) THEN 'unknown outcome' WHEN total = 0 THEN 'no mutants' END AS problem FROM (SELECT user_id AS report, user_id % 5 AS r, {_n('signup')} AS killed, {_n('view')} AS survived, {_n('purchase')} AS timeout, count(*) FILTER (event_type IN ('signup', 'view', 'purchase')) AS total FROM events WHERE user_id IS NOT NULL GROUP BY 1, 2)",
+    f"SELECT *, CASE WHEN r = 1 AND total > 0 THEN 'declared total differs' WHEN r IN (2, 3) THEN 'unknown outcome' WHEN total = 0 THEN 'no mutants' END AS problem FROM (SELECT user_id AS report, user_id % 5 AS r, {_n('signup')} AS killed, {_n('view')} AS survived, {_n('purchase')} AS timeout, count(*) FILTER (event_type IN ('signup', 'view', 'purchase')) AS total FROM (SELECT * REPLACE (coalesce(user_id, -1) AS user_id) FROM events) GROUP BY 1, 2)",
 )
 def mutation_generic_stats(spark, d):
     return mutation.generic_stats(_generic(spark, d)).select("report", (F.col("report") % 5).alias("r"), "killed", "survived", "timeout", "total", "problem")
 
 
-@query("mutation_formats", "SELECT format, count(*) AS n FROM (SELECT DISTINCT user_id, CASE user_id % 4 WHEN 0 THEN 'stryker' WHEN 1 THEN 'cargo' WHEN 2 THEN 'generic' ELSE 'invalid' END AS format FROM events WHERE user_id IS NOT NULL) GROUP BY 1")
+@query("mutation_formats", "SELECT format, count(*) AS n FROM (SELECT DISTINCT user_id, CASE user_id % 4 WHEN 0 THEN 'stryker' WHEN 1 THEN 'cargo' WHEN 2 THEN 'generic' ELSE 'invalid' END AS format FROM (SELECT * REPLACE (coalesce(user_id, -1) AS user_id) FROM events)) GROUP BY 1")
 def mutation_formats(spark, d):
-    rows = table(spark, d, "events").where("user_id is not null").select(F.col("user_id").alias("report")).distinct()
+    rows = _events(spark, d).select(F.col("user_id").alias("report")).distinct()
     body = F.element_at(F.array(F.lit('{"files":{"a.ts":{"mutants":[{"id":"1","status":"killed"}]}}}'), F.lit('{"outcomes":[]}'), F.lit('{"killed":1}'), F.lit("[1")), (F.col("report") % 4 + 1).cast("int"))
     return mutation.stats_of(rows.select("report", body.alias("body"))).groupBy("format").agg(F.count("*").alias("n"))
 
