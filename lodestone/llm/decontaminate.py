@@ -2,16 +2,19 @@
 
 Each slice of documents is a shard. Its suffix array holds the word suffixes
 that begin with a word pair of the test items (no other suffix can match a
-window of them), sorted by the hashes of their first words. Every test suffix is
-searched by bisection, all of them at once; the run of suffixes that share its
-first window of words gives the places of the window, and the neighbours in the
-array give the longest verbatim match.
+window of them), sorted by the hashes of their first words. Every distinct
+window that a test suffix begins with is searched by bisection, all of them at
+once; the run of suffixes that share it gives its places, so a place counts once
+for each size of window, however often a window is repeated on either side. For
+spans, the words from each place on give the longest verbatim match of each test
+suffix.
 
 The test items are sent to the executors in blocks of at most `BLOCK_BYTES` of
 text, so what is broadcast is bounded; more blocks mean more passes.
 
 An item of fewer words than a window, but not none, is one window. Null and
-empty texts have no words, hit nothing and are hit by nothing. Repeated items
+empty texts have no words, hit nothing and are hit by nothing; items without an
+id are no items. Repeated items
 and rows count as rows of their own; an item_id is listed once.
 """
 
@@ -22,10 +25,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import ALNUM_WORDS, TextSlice, Words, ngrams, slices, trimmed, words
+from ._text import ALNUM_WORDS, TextSlice, Words, mix64, ngrams, slices, trimmed, words
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
@@ -43,6 +47,31 @@ class TestItems:
     size: np.ndarray
     heads: np.ndarray
     single: np.ndarray
+    #: Distinct windows: a first word, the number of words, and the class of all windows with the same items.
+    window_start: np.ndarray
+    window_size: np.ndarray
+    window_class: np.ndarray
+    class_items: list[np.ndarray]
+
+
+def _distinct_windows(h: np.ndarray, item: np.ndarray, start: np.ndarray, size: np.ndarray):
+    gram = np.zeros(len(start), np.uint64)
+    for k in np.unique(size).tolist():
+        mine = size == k
+        gram[mine] = ngrams(h, k)[start[mine]]
+    order = np.lexsort((item[start], gram, size))
+    start, size, gram = start[order], size[order], gram[order]
+    if not len(start):
+        return start, size, start, []
+    new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (size[1:] != size[:-1])])
+    other = new | np.concatenate([[True], item[start][1:] != item[start][:-1]])
+    window, of = (np.cumsum(new) - 1)[other], item[start][other]
+    first = np.flatnonzero(np.concatenate([[True], window[1:] != window[:-1]]))
+    marks = mix64(of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+    named = np.stack([np.add.reduceat(marks, first), np.diff(np.append(first, len(of))).astype(np.uint64)], 1)
+    _, one, group = np.unique(named, axis=0, return_index=True, return_inverse=True)
+    stop = np.append(first, len(of))
+    return start[new], size[new], group.reshape(-1), [of[stop[i] : stop[i + 1]] for i in one.tolist()]
 
 
 def prepare(ids: list, texts: list, window: int = WINDOW) -> TestItems:
@@ -62,7 +91,7 @@ def prepare(ids: list, texts: list, window: int = WINDOW) -> TestItems:
     pair = ngrams(h, 2)
     heads = np.unique(pair[start[size[start] >= 2]]) if len(h) > 1 else np.zeros(0, np.uint64)
     single = np.unique(h[start[size[start] == 1]])
-    return TestItems(np.array(ids, dtype=object), h, item, last, start, size[start], heads, single)
+    return TestItems(np.array(ids, dtype=object), h, item, last, start, size[start], heads, single, *_distinct_windows(h, item, start, size[start]))
 
 
 def _among(x: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -129,7 +158,15 @@ class SuffixArray:
         return which, place, same
 
 
-def matches(s: TextSlice, q: TestItems, window: int = WINDOW) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
+    def places(self, q: TestItems) -> tuple[np.ndarray, np.ndarray]:
+        """(distinct window, position) of every place where one occurs."""
+        low = self.bound(q, q.window_start, q.window_size, False)
+        n = self.bound(q, q.window_start, q.window_size, True) - low
+        which = np.repeat(np.arange(len(n)), n)
+        return which, self.at[np.repeat(low, n) + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)]
+
+
+def _array(s: TextSlice, q: TestItems, window: int) -> tuple[Words, SuffixArray | None]:
     w = words(s, ALNUM_WORDS, lower=True)
     at = np.zeros(0, np.int64)
     if len(w.hash) and len(q.start):
@@ -137,10 +174,63 @@ def matches(s: TextSlice, q: TestItems, window: int = WINDOW) -> tuple[Words, np
         if len(w.hash) > 1:
             starts[:-1] |= _among(ngrams(w.hash, 2), q.heads)
         at = np.flatnonzero(starts)
-    if not len(at):
-        none = np.zeros(0, np.int64)
-        return w, none, none, none
-    return w, *SuffixArray(w, at, window).search(q)
+    return w, SuffixArray(w, at, window) if len(at) else None
+
+
+def occurrences(s: TextSlice, q: TestItems, window: int = WINDOW) -> tuple[Words, np.ndarray, np.ndarray]:
+    """Words of a slice, and (distinct window, position) of each place of a window."""
+    w, array = _array(s, q, window)
+    none = np.zeros(0, np.int64)
+    return w, *(array.places(q) if array else (none, none))
+
+
+def matches(s: TextSlice, q: TestItems, window: int = WINDOW) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of a slice, and (test suffix, position, words matched) of each pair of a place and a test suffix; as many as there are such pairs."""
+    w, array = _array(s, q, window)
+    none = np.zeros(0, np.int64)
+    return w, *(array.search(q) if array else (none, none, none))
+
+
+def _hits(q: TestItems, window: int, more: bool):
+    """What `_scan` gives without spans: with `more`, the stretches of words hit are carried to the next block of items."""
+
+    def run(batches):
+        for batch in batches:
+            earlier = "items" in batch.schema.names
+            for s in slices(batch.column(1)):
+                w, which, place = occurrences(s, q, window)
+                hit = np.zeros(len(w.hash) + 1, dtype=np.int64)
+                np.add.at(hit, place, 1)
+                np.add.at(hit, place + q.window_size[which], -1)
+                if earlier:
+                    known = batch.column("hits").slice(s.first, s.n)
+                    row = np.repeat(np.arange(s.n), pa.compute.list_value_length(known).to_numpy(zero_copy_only=False))
+                    first, size = (known.flatten().field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+                    np.add.at(hit, w.first[row] + first, 1)
+                    np.add.at(hit, w.first[row] + first + size, -1)
+                hit = np.cumsum(hit)[:-1] > 0
+                inside = np.concatenate([[0], np.cumsum(hit)])
+                pairs = np.unique(np.stack([w.row[place], q.window_class[which]], 1), axis=0) if len(place) else np.zeros((0, 2), np.int64)
+                count = np.array([len(q.class_items[c]) for c in pairs[:, 1].tolist()], dtype=np.int64)
+                items = np.concatenate([q.class_items[c] for c in pairs[:, 1].tolist()]) if len(pairs) else np.zeros(0, np.int64)
+                listed = batch.column("items").slice(s.first, s.n).to_pylist() if earlier else []
+                found = {"n_words": pa.array(np.diff(w.first)), "n_hit": pa.array(inside[w.first[1:]] - inside[w.first[:-1]]), "items": _listed(q.ids, np.repeat(pairs[:, 0], count), items, s.n, listed)}
+                if more:
+                    edge = np.concatenate([hit, [False]]) ^ np.concatenate([[False], hit])
+                    edge[w.first] |= np.concatenate([hit, [False]])[w.first]
+                    begins = np.flatnonzero(edge[:-1] & hit) if len(hit) else np.zeros(0, np.int64)
+                    row_end = w.first[w.row[begins] + 1] if len(begins) else begins
+                    off = np.flatnonzero(~hit)
+                    stop = np.append(off, len(hit))[np.searchsorted(off, begins)] if len(begins) else begins
+                    row = w.row[begins] if len(begins) else begins
+                    struct = pa.StructArray.from_arrays([pa.array(begins - w.first[row]), pa.array(np.minimum(stop, row_end) - begins)], fields=list(_HIT))
+                    found["hits"] = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(s.n + 1)).astype(np.int32)), struct)
+                yield pa.RecordBatch.from_pydict({c: batch.column(c).slice(s.first, s.n) for c in ("id", "text")[: 1 + more]} | found)
+
+    return trimmed(run)
+
+
+_HIT = pa.struct([("first", pa.int64()), ("size", pa.int64())])
 
 
 def _listed(ids: np.ndarray, rows: np.ndarray, items: np.ndarray, n: int, known: list) -> pa.Array:
@@ -152,8 +242,8 @@ def _listed(ids: np.ndarray, rows: np.ndarray, items: np.ndarray, n: int, known:
     return pa.array([sorted(set(map(str, x))) for x in out], pa.list_(pa.string()))
 
 
-def _scan(q: TestItems, window: int, more: bool = False, spans: bool = True):
-    """more: each row keeps its text for the next block of items, and what the blocks before have found; spans: give each occurrence."""
+def _scan(q: TestItems, window: int, more: bool = False):
+    """Each occurrence of each test suffix; more: each row keeps its text for the next block of items, and what the blocks before have found."""
 
     def run(batches):
         for batch in batches:
@@ -167,11 +257,10 @@ def _scan(q: TestItems, window: int, more: bool = False, spans: bool = True):
                 row = w.row[place]
                 known = batch.column("items").slice(s.first, s.n).to_pylist() if earlier else []
                 found = {"n_words": pa.array(np.diff(w.first)), "n_hit": pa.array(inside[w.first[1:]] - inside[w.first[:-1]]), "items": _listed(q.ids, row, q.item[q.start[which]], s.n, known)}
-                if spans:
-                    each = batch.column("spans").slice(s.first, s.n).to_pylist() if earlier else [[] for _ in range(s.n)]
-                    for r, i, p, m, z in zip(row.tolist(), q.item[q.start[which]].tolist(), (place - w.first[row]).tolist(), same.tolist(), q.size[which].tolist()):
-                        each[r].append({"first": p, "size": z, "longest": m, "item_id": q.ids[i]})
-                    found["spans"] = pa.array(each, pa.list_(_SPAN))
+                each = batch.column("spans").slice(s.first, s.n).to_pylist() if earlier else [[] for _ in range(s.n)]
+                for r, i, p, m, z in zip(row.tolist(), q.item[q.start[which]].tolist(), (place - w.first[row]).tolist(), same.tolist(), q.size[which].tolist()):
+                    each[r].append({"first": p, "size": z, "longest": m, "item_id": q.ids[i]})
+                found["spans"] = pa.array(each, pa.list_(_SPAN))
                 yield pa.RecordBatch.from_pydict({c: batch.column(c).slice(s.first, s.n) for c in ("id", "text")[: 1 + more]} | found)
 
     return run
@@ -181,7 +270,7 @@ _SPAN = pa.struct([("first", pa.int64()), ("size", pa.int64()), ("longest", pa.i
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, spans: bool = True) -> DataFrame:
-    """(id, n_words, n_hit, items, spans) of each document; without `spans` they aren't made where one block of items suffices.
+    """(id, n_words, n_hit, items, spans) of each document; without `spans` they aren't made, and repeated windows cost nothing more.
 
     `items` are the ids, as sorted strings, of items with occurring windows;
     `spans` has each occurrence: first word, words of the window, longest
@@ -192,8 +281,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<first: long, size: long, longest: long, item_id: string>>"
     blocks = _blocks(tests, window)
+    if not spans:
+        plain = schema.partition(", spans")[0]
+        for q in blocks[:-1]:
+            rows = rows.mapInArrow(_hits(q, window, True), plain.replace(", n_words", ", text string, n_words", 1) + ", hits array<struct<first: long, size: long>>")
+        return rows.mapInArrow(_hits(blocks[-1], window, False), plain)
     if len(blocks) == 1:
-        return rows.mapInArrow(_scan(blocks[0], window, spans=spans), schema if spans else schema.partition(", spans")[0])
+        return rows.mapInArrow(_scan(blocks[0], window), schema)
     for q in blocks:
         rows = rows.mapInArrow(_scan(q, window, True), schema.replace(", n_words", ", text string, n_words", 1))
     return _recounted(rows)
@@ -238,7 +332,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text
             for batch in batches:
                 hit = np.zeros(batch.num_rows, dtype=bool)
                 for s in slices(batch.column(at)):
-                    w, _, place, _ = matches(s, q, window)
+                    w, _, place = occurrences(s, q, window)
                     hit[s.first + w.row[place]] = True
                 yield batch.filter(pa.array(~hit))
 

@@ -146,6 +146,8 @@ def test_decontaminate(spark, monkeypatch):
         monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
         got = {r.doc_id: tuple(r)[1:] for r in decontaminate.digest(decontaminate.scan(frame(spark, rows), bench)).collect()}
         assert got == want
+        bare = {r.doc_id: tuple(r)[1:] for r in decontaminate.digest(decontaminate.scan(frame(spark, rows), bench, spans=False)).collect()}
+        assert bare == want
         kept = {r.doc_id for r in decontaminate.clean_documents(frame(spark, rows), bench).collect()}
         assert kept == {i for i, x in want.items() if not x[4]}
     empty = spark.createDataFrame([], "item_id long, text string")
@@ -188,6 +190,14 @@ def test_decontaminate_rows_stay_apart_over_blocks(spark, monkeypatch):
     got = []
     for block in (decontaminate.BLOCK_BYTES, 20):
         monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
-        got.append(sorted(map(str, decontaminate.digest(decontaminate.scan(frame(spark, rows), bench)).collect())))
+        got += [sorted(map(str, decontaminate.digest(decontaminate.scan(frame(spark, rows), bench, spans=x)).collect())) for x in (True, False)]
     assert len(got[0]) == len(rows)
-    assert got[0] == got[1]
+    assert got[0] == got[1] == got[2] == got[3]
+
+
+def test_decontaminate_repeated_words_on_both_sides(spark):
+    same = "w " * 20_000
+    rows = [(1, same + "end", "en", "s", 1), (2, "a " + "w " * 9 + "b", "en", "s", 1), (3, "go w w w now", "en", "s", 1)]
+    bench = spark.createDataFrame([("long", same), ("again", same), ("short", "w w w")], "item_id string, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontaminate.digest(decontaminate.scan(frame(spark, rows), bench, spans=False)).collect()}
+    assert got == {1: (20_001, 20_000, 3), 2: (11, 9, 1), 3: (5, 3, 1)}
