@@ -11,7 +11,6 @@ all blocks, and each blob gets an answer of as many entries.
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import store
+from ._store import fresh_path, store
 
 #: Blocks per range of hashes: about as many hashes in a range as in some blocks.
 BLOCKS_PER_RANGE = 8
@@ -38,17 +37,20 @@ def unpack(body) -> pa.RecordBatch:
 
 
 def build(rows: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], name: str) -> DataFrame:
-    """Store the batches that `make` gives for each partition as blocks (block_id, body)."""
+    """Store the batches that `make` gives for each partition as blocks (block_id, body), numbered by partition and place: a repeated task gives the same blocks."""
 
     def run(batches):
-        for block in make(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(os.urandom(8), "big", signed=True)], pa.int64()), pa.array([pack(block)], pa.binary())], ["block_id", "body"])
+        from pyspark import TaskContext
+
+        first = TaskContext.get().partitionId() << 32
+        for n, block in enumerate(make(batches)):
+            yield pa.RecordBatch.from_arrays([pa.array([first + n], pa.int64()), pa.array([pack(block)], pa.binary())], ["block_id", "body"])
 
     spark = rows.sparkSession
     table = f"lodestone_{name}_{uuid.uuid4().hex}"
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # Bodies are compressed already.
-    rows.mapInArrow(run, "block_id long, body binary").write.format("parquet").option("compression", "none").bucketBy(buckets, "block_id").saveAsTable(table)
+    rows.mapInArrow(run, "block_id long, body binary").write.format("parquet").option("compression", "none").option("path", fresh_path(spark, name)).bucketBy(buckets, "block_id").saveAsTable(table)
     return spark.table(table)
 
 

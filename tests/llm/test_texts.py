@@ -201,3 +201,11 @@ def test_decontaminate_repeated_words_on_both_sides(spark):
     bench = spark.createDataFrame([("long", same), ("again", same), ("short", "w w w")], "item_id string, text string")
     got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontaminate.digest(decontaminate.scan(frame(spark, rows), bench, spans=False)).collect()}
     assert got == {1: (20_001, 20_000, 3), 2: (11, 9, 1), 3: (5, 3, 1)}
+
+
+def test_substrings_of_repeated_ids_are_the_same_in_each_run(spark):
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(1, f"{passage} {i} " + " ".join(f"u{i}x{j}" for j in range(30)), "en", "s", 1) for i in range(6)] + [(0, "alone", "en", "s", 1)]
+    runs = [sorted((r.id, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(frame(spark, rows, 5)).collect()) for _ in range(3)]
+    assert runs[0] == runs[1] == runs[2]
+    assert sorted(x[1] for x in runs[0]) == [0, 0, 40, 40, 40, 40, 40]
