@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import ranked
+
 STATES = ("disabled", "skipped", "cached", "completed", "failed", "incomplete")
 
 
@@ -84,3 +86,34 @@ def partition_cover(parts: DataFrame, sources: DataFrame, part: str, source: str
     both = sources.select(source).distinct().withColumn("known", F.lit(True)).join(claimed, source, "full")
     problem = F.when(F.col("n").isNull(), "uncovered").when(F.col("known").isNull(), "unknown").when(F.col("n") > 1, "overlap")
     return both.select(source, problem.alias("problem")).where("problem is not null")
+
+
+def comparison_lines(changes: DataFrame, verdicts: DataFrame, differences: DataFrame, before: str, after: str) -> DataFrame:
+    """(section, nth, text): a comparison as the lines of a text, in order of section and nth.
+
+    changes: (engine, file, line, identity, change), as `compare` gives them;
+    verdicts: (side, passed, errors) of sides before and after; differences:
+    (text) of scope and configuration. Lines of findings are numbered within
+    their group in ranges of their order, so no task sees all of them.
+    """
+    spark = changes.sparkSession
+    line = lambda section, text, nth=0: (section, nth, text)
+    badge = F.when(F.col("passed"), "PASS").otherwise(F.format_string("FAIL (%d errors)", F.col("errors")))
+    both = verdicts.select("side", badge.alias("b")).agg(F.max(F.when(F.col("side") == "before", F.col("b"))).alias("x"), F.max(F.when(F.col("side") == "after", F.col("b"))).alias("y"))
+    n = changes.agg(*(F.count_if(F.col("change") == c).alias(c) for c in ("added", "removed", "retained")))
+    heads = F.array(*(F.struct(F.lit(s).alias("section"), F.lit(0).cast("long").alias("nth"), t.alias("text")) for s, t in (
+        (3, F.format_string("diff: +%d added, -%d removed, %d retained", "added", "removed", "retained")),
+        (6, F.when(F.col("removed") > 0, F.format_string("Removed findings (-%d):", "removed"))), (8, F.when(F.col("added") > 0, F.format_string("New findings (+%d):", "added"))),
+    )))
+    counted = n.select(F.explode(heads).alias("h")).select("h.*").where("text is not null")
+    title = spark.createDataFrame([line(0, f"report compare: {before} vs {after}"), line(1, "-" * 70)], "section int, nth long, text string")
+    verdict = both.select(F.lit(2).alias("section"), F.lit(0).cast("long").alias("nth"), F.concat(F.lit("verdict: before: "), "x", F.lit(" -> after: "), "y").alias("text"))
+    told = ranked(differences.select("text", F.lit(0).alias("_all")), ["_all"], "text", "nth").select(F.lit(5).alias("section"), F.col("nth").cast("long").alias("nth"), F.concat(F.lit("  - "), "text").alias("text"))
+    warned = differences.agg(F.count("*").alias("n")).where("n > 0").select(F.lit(4).alias("section"), F.lit(0).cast("long").alias("nth"), F.lit("warning: Non-equivalent comparison").alias("text"))
+    place = F.when(F.col("line").isNull(), F.col("file")).otherwise(F.concat("file", F.lit(":"), F.col("line").cast("string")))
+    some = changes.where("change in ('removed', 'added')").select(F.when(F.col("change") == "removed", 7).otherwise(9).alias("section"), F.struct("engine", "file", "line", "identity").alias("_k"), F.format_string("  - [%s] %s: %s", "engine", place, "identity").alias("text"))
+    shown = ranked(some, ["section"], "_k", "nth").select("section", F.col("nth").cast("long").alias("nth"), "text")
+    out = title
+    for part in (verdict, counted, warned, told, shown):
+        out = out.unionByName(part)
+    return out

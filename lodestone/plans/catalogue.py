@@ -198,6 +198,16 @@ def report_compare(spark, d):
     return findings.compare(o.where("o_orderstatus <> 'F'"), o.where("o_orderstatus <> 'O'"), ["file", "line", "identity"])
 
 
+def report_compare_text(spark, d):
+    """The comparison of two sets of orders as lines; regions stand for what differs in scope."""
+    o = table(spark, d, "orders").select(F.col("o_orderstatus").alias("engine"), F.col("o_custkey").cast("string").alias("file"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderkey") % 50).alias("line"), F.col("o_orderpriority").alias("identity"), F.col("o_orderkey").alias("k"))
+    before, after = o.where("k % 4 > 0"), o.where("k % 4 < 3")
+    both = before.select(F.lit("before").alias("side")).union(after.select(F.lit("after")))
+    verdicts = both.groupBy("side").agg((F.count("*") == 0).alias("passed"), F.count("*").alias("errors"))
+    differences = table(spark, d, "region").select(F.concat(F.lit("scope of "), "r_name").alias("text"))
+    return findings.comparison_lines(findings.compare(before, after, ["engine", "file", "line", "identity"]), verdicts, differences, "a.json", "b.json")
+
+
 def _events(spark, d):
     return table(spark, d, "events")
 
@@ -314,6 +324,7 @@ QUERIES = {
     "rename_closure": rename_closure,
     "module_reachability": module_reachability,
     "report_compare": report_compare,
+    "report_compare_text": report_compare_text,
     "top_files": top_files,
     "top_files_filter": top_files_filter,
     "function_reviews": function_reviews,
@@ -362,6 +373,12 @@ ORACLES: dict[str, str] = {
     "rename_closure": "SELECT c_custkey AS path, CAST(1 AS BIGINT) AS origin FROM customer WHERE c_custkey > 1",
     "module_reachability": "WITH RECURSIVE e AS (SELECT CASE WHEN p_partkey % 5 = 0 THEN -1 ELSE p_partkey // 2 END AS src, p_partkey AS dst FROM part), r AS (SELECT p_partkey AS node, CAST(CASE WHEN p_partkey = 3 THEN 2 ELSE 1 END AS BIGINT) AS mask FROM part WHERE p_partkey IN (1, 3, 7) UNION SELECT e.dst, r.mask FROM r JOIN e ON e.src = r.node) SELECT node, bit_or(mask) AS mask FROM r GROUP BY node",
     "report_compare": "WITH o AS (SELECT o_custkey AS file, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 50 END AS line, o_orderpriority AS identity, o_orderstatus AS s FROM orders), b AS (SELECT DISTINCT file, line, identity FROM o WHERE s <> 'F'), a AS (SELECT DISTINCT file, line, identity FROM o WHERE s <> 'O') SELECT *, 'retained' AS change FROM (SELECT * FROM b INTERSECT SELECT * FROM a) UNION ALL SELECT *, 'removed' FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT *, 'added' FROM (SELECT * FROM a EXCEPT SELECT * FROM b)",
+    "report_compare_text": """WITH o AS (SELECT o_orderstatus AS engine, CAST(o_custkey AS VARCHAR) AS file, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 50 END AS line, o_orderpriority AS identity, o_orderkey AS k FROM orders),
+    b AS (SELECT DISTINCT engine, file, line, identity FROM o WHERE k % 4 > 0), a AS (SELECT DISTINCT engine, file, line, identity FROM o WHERE k % 4 < 3), r AS (SELECT * FROM b EXCEPT SELECT * FROM a), n AS (SELECT * FROM a EXCEPT SELECT * FROM b),
+    f AS (SELECT 7 AS section, * FROM r UNION ALL SELECT 9, * FROM n), e AS (SELECT count(*) FILTER (k % 4 > 0) AS eb, count(*) FILTER (k % 4 < 3) AS ea FROM o), c AS (SELECT (SELECT count(*) FROM n) AS na, (SELECT count(*) FROM r) AS nr, (SELECT count(*) FROM b) - (SELECT count(*) FROM r) AS nk)
+    SELECT 0 AS section, CAST(0 AS BIGINT) AS nth, 'report compare: a.json vs b.json' AS text UNION ALL SELECT 1, 0, repeat('-', 70) UNION ALL SELECT 2, 0, 'verdict: before: FAIL (' || eb || ' errors) -> after: FAIL (' || ea || ' errors)' FROM e UNION ALL SELECT 3, 0, 'diff: +' || na || ' added, -' || nr || ' removed, ' || nk || ' retained' FROM c
+    UNION ALL SELECT 4, 0, 'warning: Non-equivalent comparison' UNION ALL SELECT 5, row_number() OVER (ORDER BY r_name), '  - scope of ' || r_name FROM region UNION ALL SELECT 6, 0, 'Removed findings (-' || nr || '):' FROM c UNION ALL SELECT 8, 0, 'New findings (+' || na || '):' FROM c
+    UNION ALL SELECT section, row_number() OVER (PARTITION BY section ORDER BY engine, file, line NULLS FIRST, identity), '  - [' || engine || '] ' || file || coalesce(':' || line, '') || ': ' || identity FROM f""",
     "top_files": "SELECT user_id AS file, count(*) AS findings FROM events GROUP BY 1 ORDER BY findings DESC, file LIMIT 10",
     "top_files_filter": "SELECT event_id, user_id FROM events WHERE user_id IN (SELECT user_id FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, user_id LIMIT 10))",
     "function_reviews": "SELECT l_orderkey, l_partkey, string_agg(l_linenumber || ':' || l_suppkey, ',' ORDER BY l_linenumber, l_suppkey) AS metrics, count(*) AS n FROM lineitem GROUP BY 1, 2",
