@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import clones, coverage, files, findings, mutation, ratchet, rules
-from . import clone_queries, gate_queries, history_queries, report_queries, source_queries, tree_queries
+from . import clone_queries, gate_queries, history_queries, report_queries, source_queries, stream_queries, tree_queries
 from .tables import table
 
 FLAGSHIP = "clone_spans"
@@ -395,6 +395,6 @@ ORACLES: dict[str, str] = {
     "partition_cover": "WITH c AS (SELECT l_partkey * 3 AS source, count(DISTINCT l_suppkey % 3) AS n FROM lineitem GROUP BY 1), s AS (SELECT DISTINCT p_partkey * 2 AS source, true AS known FROM part), j AS (SELECT coalesce(c.source, s.source) AS source, CASE WHEN n IS NULL THEN 'uncovered' WHEN known IS NULL THEN 'unknown' WHEN n > 1 THEN 'overlap' END AS problem FROM s FULL JOIN c ON s.source = c.source) SELECT * FROM j WHERE problem IS NOT NULL",
 }
 
-for _part in (clone_queries, history_queries, tree_queries, source_queries, gate_queries, report_queries):
+for _part in (clone_queries, history_queries, tree_queries, stream_queries, source_queries, gate_queries, report_queries):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES
