@@ -12,9 +12,10 @@ emissions and transitions alike, is the difference of expected counts with and
 without the labels, and each document weighs the same. So a document may have
 lines of both kinds, and the transitions between kinds are learned.
 
-Training takes a bounded sample of labelled documents: `SAMPLE` of them, chosen
-by a hash of their id, and of one that has more than `SAMPLE_LINES` lines that
-many from its middle. Scores are of whole texts. Labels, language, source and id
+Training takes a bounded sample of labelled documents with their whole texts: in
+order of a hash of their id, `SAMPLE` documents at most, of which one that would
+bring all of them above `SAMPLE_LINES` lines is passed over. Scores are of whole
+texts. Labels, language, source and id
 are no features.
 
 Null and empty texts are one empty line and get a score as any other. Rows that
@@ -29,10 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._store import store
 from ._text import WHITESPACE_WORDS, TextSlice, slices, trimmed, words
 
 SAMPLE = 6000
-SAMPLE_LINES = 100
+SAMPLE_LINES = 150_000
 THRESHOLD = 0.3
 NOISE = 0.02
 OWN = 15
@@ -185,18 +187,25 @@ def _collect(batches):
     for batch in batches:
         for s in slices(batch.column(1)):
             x, _, first = features(s)
-            skip = np.maximum(np.diff(first) - SAMPLE_LINES, 0) // 2
-            body = [x[first[i] + k : min(first[i + 1], first[i] + k + SAMPLE_LINES)].astype(np.float32).tobytes() for i, k in enumerate(skip.tolist())]
+            body = [x[first[i] : first[i + 1]].astype(np.float32).tobytes() for i in range(s.n)]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, s.n), pa.array(body, pa.binary())], ["quality", "x"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> dict:
-    """A model from at most `sample` labelled documents where `learn`, a boolean column of labels, holds."""
+def fit(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, sample_lines: int = SAMPLE_LINES) -> dict:
+    """A model from at most `sample` labelled documents of `sample_lines` lines in all where `learn`, a boolean column of labels, holds."""
     rows = labels.where(learn).where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("quality"))
     # At most `sample` rows of two numbers: small enough to send to each executor.
     chosen = rows.orderBy(F.xxhash64(id_col), id_col).limit(sample)
     found = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).groupBy(id_col).agg(F.first("quality").alias("quality"), F.min(F.coalesce(text_col, F.lit(""))).alias("text"))
-    got = found.select("quality", "text").mapInArrow(trimmed(_collect), "quality int, x binary").toArrow()
+    found = store(found.select(id_col, "quality", "text", (F.regexp_count("text", F.lit("\n")) + 1).alias("lines")), "sample")
+    # As many rows as the sample has; each is taken whole or not at all.
+    taken, left = [], sample_lines
+    for r in found.select(id_col, "lines").orderBy(F.xxhash64(id_col), id_col).collect():
+        if r.lines <= left:
+            taken.append((r[0],))
+            left -= r.lines
+    kept = docs.sparkSession.createDataFrame(taken, found.select(id_col).schema)
+    got = found.join(F.broadcast(kept), id_col).select("quality", "text").mapInArrow(trimmed(_collect), "quality int, x binary").toArrow()
     y = got["quality"].to_numpy().astype(int) if got.num_rows else np.zeros(0, int)
     if len(set(y.tolist())) < 2:
         return {"share": float(y.mean()) if len(y) else 0.5}

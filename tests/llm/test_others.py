@@ -209,3 +209,14 @@ def test_pipeline_stages(spark):
         docs = spark.createDataFrame(out.toArrow().to_pandas(), docs.schema)
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
     assert {r.doc_id for r in last} == {r.doc_id for r in docs.collect()}
+
+
+def test_quality_learns_from_whole_texts_within_its_bound(spark, monkeypatch):
+    """A text too long for what is left is passed over, the others are taken whole."""
+    rows = [(i, "\n".join(["line of words"] * n), "en", "s", 1) for i, n in enumerate((3, 500, 2, 4, 90, 1))]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality_crf, "train", lambda x, first, y: seen.append(sorted(np.diff(first).tolist())) or {"share": 0.5})
+    for bound in (1000, 100, 7):
+        quality_crf.fit(frame(spark, rows), labels, F.lit(True), sample_lines=bound)
+    assert seen[0] == [1, 2, 3, 4, 90, 500] and seen[1] == [1, 2, 3, 4, 90] and sum(seen[2] if len(seen) > 2 else [0]) <= 7
