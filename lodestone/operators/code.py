@@ -182,49 +182,39 @@ def shell_words(command: Column) -> Column:
     return F.transform(words, lambda w: F.array_join(F.transform(parts(w), plain), ""))
 
 
-_CFG = re.compile(r"\s*(?:([A-Za-z_][\w:]*)\s*(?:=\s*(\"(?:\\.|[^\"\\])*\"))?|([(),]))")
-
-
-def cfg_value(predicate: str, test: bool, depth: int = 64) -> bool | None:
-    """A configuration predicate for a value of `test`, null where it depends on something else."""
-    tokens = [(m[1], m[2], m[3]) for m in _CFG.finditer(predicate or "")]
-    at = 0
-
-    def parse(left: int) -> bool | None:
-        nonlocal at
-        if left < 0 or at >= len(tokens) or tokens[at][0] is None:
-            raise ValueError("malformed predicate")
-        name, value, _ = tokens[at]
-        at += 1
-        if value is None and at < len(tokens) and tokens[at][2] == "(":
-            at += 1
-            parts = []
-            while at < len(tokens) and tokens[at][2] != ")":
-                parts.append(parse(left - 1))
-                if at < len(tokens) and tokens[at][2] == ",":
-                    at += 1
-            if at >= len(tokens):
-                raise ValueError("malformed predicate")
-            at += 1
-            if name == "not" and len(parts) == 1:
-                return None if parts[0] is None else not parts[0]
-            if name == "all":
-                return False if False in parts else None if None in parts else True
-            if name == "any":
-                return True if True in parts else None if None in parts else False
-            return None
-        return test if name == "test" and value is None else None
-
-    try:
-        return parse(depth)
-    except ValueError:
-        return None
+_DEPTH = 64
 
 
-@F.pandas_udf(types.BooleanType())
-def requires_test(predicate: pd.Series) -> pd.Series:
+def cfg_value(predicate: Column, test: bool) -> Column:
+    """A configuration predicate for a value of `test`, null where it depends on something else or can't be read.
+
+    Names become digits, 0 false, 1 true and 2 unknown, and the innermost
+    parentheses are replaced by their value, from the inside out.
+    """
+    name = r"(?<![\w:])[A-Za-z_][\w:]*"
+    s = F.regexp_replace(F.coalesce(predicate, F.lit("")), rf'{name}\s*=\s*"(?:\\.|[^"\\])*"', "2")
+    s = F.regexp_replace(F.regexp_replace(s, r"(?<=[\w)])\s+(?=\w)", ","), r"\s+", "")
+    s = F.regexp_replace(s, r"(?<![\w:])test(?![\w:(])", "1" if test else "0")
+    s = F.regexp_replace(s, name + r"(?![\w:(])", "2")
+    # Each pattern has one value, so their order doesn't matter.
+    inner = (
+        (r"not\(1,?\)", "0"), (r"not\(0,?\)", "1"), (r"not\((?![01],?\))[012,]*\)", "2"), (r"all\((?=[12,]*0)[012,]*\)", "0"), (r"all\([1,]*\)", "1"), (r"all\((?=[1,]*2)[12,]*\)", "2"),
+        (r"any\((?=[02,]*1)[012,]*\)", "1"), (r"any\([0,]*\)", "0"), (r"any\((?=[0,]*2)[02,]*\)", "2"), (r"(?!(?:not|all|any)\()[A-Za-z_][\w:]*\([012,]*\)", "2"),
+    )
+
+    def once(x):
+        for pattern, value in inner:
+            x = F.regexp_replace(x, r"(?<![\w:])" + pattern, value)
+        return x
+
+    s = F.aggregate(F.sequence(F.lit(1), F.lit(_DEPTH)), s, lambda x, _: F.when(x.contains("("), once(x)).otherwise(x))
+    first = F.regexp_extract(s, r"^([012])(?![\w:(])", 1)
+    return F.when(first == "1", True).when(first == "0", False)
+
+
+def requires_test(predicate: Column) -> Column:
     """Whether a predicate surely excludes code outside of tests: false without `test`, and not false with it."""
-    return predicate.map(lambda p: cfg_value(p, False) is False and cfg_value(p, True) is not False)
+    return F.coalesce(~cfg_value(predicate, False), F.lit(False)) & F.coalesce(cfg_value(predicate, True), F.lit(True))
 
 
 def byte_offset(text: Column, line: Column, column: Column) -> Column:

@@ -261,13 +261,13 @@ def shell_words(spark, d):
     return table(spark, d, "part").select("p_partkey", code.shell_words(command).alias("words"))
 
 
-_CFG = (("test", True), ("not(test)", False), ("all(test, unix)", True), ("any(test, unix)", False), ("not(not(test))", True), ('all(feature = "x")', False), ("any(test)", True), ("all(test, not(test))", False), ("test(", False), ("any(all(test, unix), test)", True))
+_CFG = {"k": "p_partkey", "predicate": """CASE p_partkey % 8 WHEN 0 THEN 'all(test, feature = "' || p_name || '")' WHEN 1 THEN 'any(test, target_os = "' || p_type || '")' WHEN 2 THEN 'not(any(not(test), feature = "' || p_brand || '"))' WHEN 3 THEN 'all(not(test), unix, size_' || p_size || ')'
+    WHEN 4 THEN 'any(all(test, s' || p_size || '), test)' WHEN 5 THEN 'size_' || p_size WHEN 6 THEN 'all(test, any(a' || p_size || ', not(test)' ELSE 'all(any(test), not(not(all(test, b::c' || p_size || '))))' END"""}
 
 
-@query("cfg_predicates", "SELECT p_partkey, ([" + ", ".join(str(r).lower() for _, r in _CFG) + f"])[p_partkey % {len(_CFG)} + 1] AS test_only FROM part")
+@query("cfg_predicates", f"SELECT k, k % 8 IN (0, 2, 4, 7) AS test_only FROM {sql('part', _CFG)}")
 def cfg_predicates(spark, d):
-    p = F.element_at(F.array(*(F.lit(x) for x, _ in _CFG)), (F.col("p_partkey") % len(_CFG) + 1).cast("int"))
-    return table(spark, d, "part").select("p_partkey", code.requires_test(p).alias("test_only"))
+    return projected(spark, d, "part", _CFG).select("k", code.requires_test(F.col("predicate")).alias("test_only"))
 
 
 _OFFSETS = {"doc_id": "doc_id", "text": "text", "n": "doc_id % 7 + 1", "c": "n_chars % 70 + 1"}
