@@ -102,3 +102,17 @@ def test_baselines_of_random_histories(spark, seed):
                 want.add((w, p, text, {"bad": "not UTF-8", "lost": "missing blob"}.get(b)))
     inventory = {r.path for r in got.collect()}
     assert {tuple(x) for x in got.collect()} == {x for x in want if x[1] in inventory} and {"src/a.rs", "lib/c.ts"} <= inventory and "notes.txt" not in inventory
+
+
+def test_short_branches_leave_a_long_line_whole(spark):
+    """Every tenth commit goes past the one before it and two in a row do at times; the greatest child is then a dead end."""
+    parent = "id - CASE WHEN id % 100 IN (50, 51) THEN 2 ELSE 1 END"
+    rows = spark.range(2000).selectExpr("id AS commit", f"CASE WHEN id > 1 THEN array({parent}) ELSE array() END AS parents")
+    places, _ = history.chains(rows)
+    assert places.groupBy("chain").count().agg({"count": "max"}).first()[0] > 1900
+
+
+def test_exits_lead_to_other_chains(spark):
+    rows = spark.range(300).selectExpr("id AS commit", "CASE WHEN id > 5 THEN array(id - 1, id - 5) WHEN id > 0 THEN array(id - 1) ELSE array() END AS parents")
+    _, exits = history.chains(rows)
+    assert exits.isEmpty()
