@@ -116,3 +116,17 @@ def test_exits_lead_to_other_chains(spark):
     rows = spark.range(300).selectExpr("id AS commit", "CASE WHEN id > 5 THEN array(id - 1, id - 5) WHEN id > 0 THEN array(id - 1) ELSE array() END AS parents")
     _, exits = history.chains(rows)
     assert exits.isEmpty()
+
+
+def test_equal_numbers_of_lines_take_the_greater_blob(spark):
+    commits = spark.createDataFrame([(0, []), (1, [0])], "commit long, parents array<long>")
+    deltas = spark.createDataFrame([(1, "a.rs", 9), (1, "a.rs", 10), (0, "b.rs", 1), (1, "b.rs", None)], "commit long, path string, blob long")
+    wanted = spark.createDataFrame([(0,), (1,)], "commit long")
+    assert {tuple(r) for r in history.trees(commits, deltas, wanted).collect()} == {(1, "a.rs", 10), (0, "b.rs", 1)}
+
+
+def test_trees_of_all_commits_of_a_chain(spark):
+    rows = spark.range(400).selectExpr("id AS commit", "CASE WHEN id > 0 THEN array(id - 1) ELSE array() END AS parents")
+    deltas = spark.range(400).selectExpr("id AS commit", "'a.rs' AS path", "id AS blob")
+    found = history.trees(rows, deltas, rows.select("commit"))
+    assert {(r.commit, r.blob) for r in found.collect()} == {(i, i) for i in range(400)}
