@@ -24,7 +24,7 @@ def far(spark, tmp_path_factory):
     return str(out)
 
 
-@pytest.mark.parametrize("name", ["attribution_touched", "ratchet_counted", "retained_context"])
+@pytest.mark.parametrize("name", ["attribution_touched", "ratchet_counted", "retained_context", "ratchet_valued"])
 def test_order_beyond_64_bits(spark, far, name):
     near = gate_queries.QUERIES[name](spark, SF)
     wide = gate_queries.QUERIES[name](spark, far)
